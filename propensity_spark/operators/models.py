@@ -84,8 +84,7 @@ class Trained:
         else:
             value = F.get(vector_to_array("probability"), F.lit(1))
             value = F.when(value.isNull() | F.isnan(value), 0.5).otherwise(value)
-        keep = [F.coalesce(F.col(f"_raw_{c}"), F.lit(None)).alias(c) if c in self.features else F.col(c)
-                for c in df.columns]
+        keep = [F.col(f"_raw_{c}").alias(c) if c in self.features else F.col(c) for c in df.columns]
         return out.select(*keep, value.alias("score")).withColumn(
             "predicted_label", (F.col("score") >= threshold).cast("int"))
 
@@ -136,7 +135,8 @@ def train(
         if name in spec.params:
             spark_name, kind = spec.params[name]
             value = kind(value)
-            estimator.set(spark_name, 1.0 / (value * max(1, facts["n"])) if name == "C" else value)
+            value = 1.0 / (value * max(1, facts["n"])) if name == "C" else value
+            estimator.set(estimator.getParam(spark_name), value)
     stages: list = [VectorAssembler(inputCols=features, outputCol="_vector")]
     if spec.scaled:
         stages.append(StandardScaler(inputCol="_vector", outputCol="_scaled", withMean=True, withStd=True))

@@ -1,0 +1,175 @@
+"""Registry, acceptance, audit and traffic queries. Registry rows are derived from part, rules from supplier."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from propensity_spark.operators import governance as gv
+from propensity_spark.plans import bindings as b
+from propensity_spark.plans.registry import query
+from propensity_spark.sources.readers import Tables, flatten_list, split_list
+
+RANKS_SQL = """SELECT model_id, status,
+  row_number() OVER (ORDER BY coalesce(roc_auc, 0.70) DESC, seq) AS roc_auc_rank,
+  row_number() OVER (ORDER BY coalesce(pr_auc, 0.70) DESC, seq) AS pr_auc_rank FROM registry_models"""
+
+
+@query(RANKS_SQL, ["registry_models"])
+def model_ranks(t: Tables) -> DataFrame:
+    return gv.model_ranks(b.registry_models(t)).select("model_id", "status", "roc_auc_rank", "pr_auc_rank")
+
+
+@query(f"SELECT model_id, roc_auc_rank, CAST(model_id = 'm_0' AS INT) AS is_champion FROM ({RANKS_SQL})",
+       ["registry_models"])
+def model_list(t: Tables) -> DataFrame:
+    out = gv.model_list(b.registry_models(t), "m_0")
+    return out.select("model_id", "roc_auc_rank", F.col("is_champion").cast("int"))
+
+
+ACCEPTANCE_SQL = """SELECT model_id, 'ML Model' AS type, algorithm_type AS checked,
+  'ROC-AUC >= 0.70 & Latency <= 50ms' AS assertion_check,
+  printf('AUC: %.4f, Latency: %.1fms', coalesce(roc_auc, 0.80), coalesce(latency, 15.0)) AS metric_value,
+  CASE WHEN coalesce(roc_auc, 0.80) >= 0.70 AND coalesce(latency, 15.0) <= 50.0 THEN 'PASS' ELSE 'FAIL' END AS status
+FROM registry_models
+UNION ALL SELECT model_id, 'Rule-Based Model', model_name, 'Valid Logic & Gini >= 0.40',
+  printf('Conditions: %d, Gini: %.4f', n_conditions, coalesce(gini, 0.50)),
+  CASE WHEN n_conditions > 0 AND coalesce(gini, 0.50) >= 0.40 THEN 'PASS' ELSE 'FAIL' END FROM registry_rules"""
+
+
+@query(ACCEPTANCE_SQL, ["registry_models", "registry_rules"])
+def acceptance(t: Tables) -> DataFrame:
+    return gv.acceptance(b.registry_models(t), b.registry_rules(t))
+
+
+@query(f"SELECT * FROM ({ACCEPTANCE_SQL}) WHERE model_id = 'rule_7'", ["registry_models", "registry_rules"])
+def acceptance_of_one(t: Tables) -> DataFrame:
+    return gv.acceptance(b.registry_models(t), b.registry_rules(t), "rule_7")
+
+
+@query(f"""SELECT count(*) AS total_tested, count(*) FILTER (WHERE status = 'PASS') AS passed,
+  count(*) FILTER (WHERE status = 'FAIL') AS failed,
+  round(count(*) FILTER (WHERE status = 'PASS') / count(*), 4) AS pass_rate FROM ({ACCEPTANCE_SQL})""",
+       ["registry_models", "registry_rules"])
+def acceptance_summary(t: Tables) -> DataFrame:
+    return gv.acceptance_summary(acceptance(t))
+
+
+# ---- upserts
+
+def _manifest(t: Tables) -> DataFrame:
+    """One entry per line of a part; a part comes many times, and the newest line counts."""
+    order = F.col("l_orderkey") * 1000000 + F.col("l_suppkey") * 1000 + F.col("l_linenumber") * 100 + F.col("l_quantity")
+    return t["lineitem"].filter(F.col("l_partkey") % 3 == 0).select(
+        F.concat(F.lit("m_"), (F.col("l_partkey") * 2).cast("string")).alias("model_id"),
+        F.concat(F.lit("v"), F.col("l_linenumber").cast("string")).alias("version"),
+        F.when(F.col("l_partkey") % 2 == 0, "Rule").otherwise("ML").alias("model_category"),
+        order.cast("bigint").alias("seq"))
+
+
+MANIFEST_SQL = """, manifest AS (SELECT 'm_' || l_partkey * 2 AS model_id, 'v' || l_linenumber AS version,
+  CASE WHEN l_partkey % 2 = 0 THEN 'Rule' ELSE 'ML' END AS model_category,
+  CAST(l_orderkey * 1000000 + l_suppkey * 1000 + l_linenumber * 100 + l_quantity AS BIGINT) AS seq
+  FROM lineitem WHERE l_partkey % 3 = 0)
+"""
+
+
+@query(MANIFEST_SQL + """, newest AS (SELECT model_id, arg_max(version, seq) AS version,
+  arg_max(model_category, seq) AS model_category, max(seq) AS seq FROM manifest GROUP BY model_id)
+SELECT model_id, version, model_category, seq FROM newest
+UNION ALL SELECT model_id, version, model_category, seq FROM registry_models
+WHERE model_id NOT IN (SELECT model_id FROM newest)""", ["registry_models"])
+def manifest_upsert(t: Tables) -> DataFrame:
+    current = b.registry_models(t).select("model_id", "version", "model_category", "seq")
+    return gv.upsert(current, _manifest(t), "model_id", "seq")
+
+
+@query(MANIFEST_SQL + """SELECT count(DISTINCT model_id) FILTER (WHERE model_category <> 'Rule') AS imported_ml,
+  count(DISTINCT model_id) FILTER (WHERE model_category = 'Rule') AS imported_rules FROM manifest""",
+       ["registry_models"])
+def manifest_counts(t: Tables) -> DataFrame:
+    return gv.upsert_counts(_manifest(t), "model_id")
+
+
+@query("""SELECT o_custkey AS customer_id, arg_min(o_orderstatus, o_orderkey) AS o_orderstatus,
+  min(o_orderkey) AS o_orderkey FROM orders WHERE o_custkey NOT IN (SELECT user_id FROM events) GROUP BY o_custkey""")
+def insert_absent(t: Tables) -> DataFrame:
+    incoming = t["orders"].select(F.col("o_custkey").alias("customer_id"), "o_orderstatus", "o_orderkey")
+    # The order column is kept in the row as well.
+    incoming = incoming.withColumn("place", F.col("o_orderkey"))
+    current = t["events"].select(F.col("user_id").alias("customer_id"))
+    return gv.insert_absent(current, incoming, "customer_id", "place").drop("place")
+
+
+@query("""SELECT CASE WHEN s_suppkey % 3 = 0 THEN 'rule_' ELSE 'lin_' END || s_suppkey AS model_id,
+  CASE WHEN s_suppkey % 3 = 0 OR s_suppkey % 5 = 0 THEN 'Rule' ELSE 'ML' END AS model_category, 'challenger' AS status,
+  CASE WHEN s_suppkey % 4 <> 0 THEN floor(s_acctbal) / 10000.0 ELSE 0.80 END AS roc_auc,
+  CASE WHEN s_suppkey % 4 = 0 THEN floor(s_acctbal) / 10000.0 ELSE 0.75 END AS pr_auc, 15.0 AS latency FROM supplier""")
+def approve_models(t: Tables) -> DataFrame:
+    key, figure = F.col("s_suppkey"), F.floor("s_acctbal") / 10000.0
+    none = F.lit(None).cast("double")
+    studio = t["supplier"].select(
+        F.concat(F.when(key % 3 == 0, "rule_").otherwise("lin_"), key.cast("string")).alias("model_id"),
+        F.when(key % 5 == 0, "Rule Strategy A").otherwise("Linear Regression").alias("algorithm_type"),
+        F.when(key % 4 != 0, figure).alias("auc"), F.when(key % 4 == 0, figure).alias("pr_auc"),
+        none.alias("ks"), none.alias("fairness"), none.alias("latency_ms"))
+    out = gv.approve(studio, "2026-01-01 00:00:00")
+    return out.select("model_id", "model_category", "status", gv.metric("baselines", "roc_auc").alias("roc_auc"),
+                      gv.metric("baselines", "pr_auc").alias("pr_auc"),
+                      gv.metric("live_metrics", "latency").alias("latency"))
+
+
+# ---- champion, audit, traffic
+
+@query("""SELECT model_id, CASE WHEN model_id = 'm_9' THEN 'champion' WHEN status = 'champion' THEN 'challenger'
+  ELSE status END AS status FROM registry_models""", ["registry_models"])
+def promote(t: Tables) -> DataFrame:
+    return gv.promote(b.registry_models(t), "m_9").select("model_id", "status")
+
+
+PREVIOUS_SQL = """SELECT 'm_' || old_no AS model_id FROM audit_trail
+WHERE event_type IN ('purchase', 'signup') AND new_no = 7 AND 'm_' || old_no IN (SELECT model_id FROM registry_models)
+ORDER BY seq DESC LIMIT 1"""
+
+
+@query(PREVIOUS_SQL, ["audit_trail", "registry_models"])
+def previous_champion(t: Tables) -> DataFrame:
+    return gv.previous_champion(b.registry_models(t), b.audit_trail(t), "m_7")
+
+
+@query(f"""SELECT model_id, CASE WHEN model_id = (SELECT model_id FROM ({PREVIOUS_SQL})) THEN 'champion'
+  WHEN status = 'champion' THEN 'challenger' ELSE status END AS status FROM registry_models""",
+       ["audit_trail", "registry_models"])
+def rollback(t: Tables) -> DataFrame:
+    return gv.rollback(b.registry_models(t), b.audit_trail(t), "m_7", "m_1", "m_2").select("model_id", "status")
+
+
+AUDIT_COLUMNS = "seq, timestamp, triggered_by, action, evidence, approved_by"
+
+
+@query(f"""SELECT {AUDIT_COLUMNS} FROM audit_trail UNION ALL
+SELECT max(seq) + 1, '2026-01-01 00:00:00', 'lead', 'Manual check', 'none', 'lead' FROM audit_trail""", ["audit_trail"])
+def audit_append(t: Tables) -> DataFrame:
+    return gv.audit_entry(b.audit_trail(t), "lead", "Manual check", "none", "2026-01-01 00:00:00", "lead")
+
+
+@query(f"SELECT * FROM (SELECT {AUDIT_COLUMNS} FROM audit_trail ORDER BY seq DESC LIMIT 15) ORDER BY seq",
+       ["audit_trail"])
+def audit_tail(t: Tables) -> DataFrame:
+    return gv.audit_tail(b.audit_trail(t))
+
+
+@query("""SELECT event_id, CASE WHEN CAST('0x' || substr(md5(event_id || '|42'), 1, 8) AS BIGINT) % 10000 < 7000
+  THEN 'm_0' ELSE 'm_9' END AS model_id FROM events""")
+def assign_traffic(t: Tables) -> DataFrame:
+    return gv.assign_traffic(t["events"].select("event_id"), "event_id", "m_0", "m_9", 0.7).drop("shadow_model_id")
+
+
+@query("""SELECT o_custkey, array_to_string(list_sort(list(DISTINCT o_orderstatus)), ', ') AS states,
+  count(DISTINCT o_orderstatus) AS n FROM orders GROUP BY o_custkey""")
+def list_columns(t: Tables) -> DataFrame:
+    """A list column to text and back."""
+    lists = t["orders"].groupBy("o_custkey").agg(F.sort_array(F.collect_set("o_orderstatus")).alias("states"))
+    text = flatten_list(lists, "states")
+    sizes = split_list(text, "states").select(F.col("o_custkey").alias("key"), F.size("states").cast("bigint").alias("n"))
+    return text.join(sizes, text.o_custkey == sizes.key).drop("key")

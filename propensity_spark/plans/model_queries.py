@@ -1,0 +1,205 @@
+"""Scoring, training, bulk-file and streaming queries."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from propensity_spark.functions.session import scratch_path
+from propensity_spark.operators import models as md
+from propensity_spark.operators import scoring as sc
+from propensity_spark.operators.metrics import score_summary as summary
+from propensity_spark.plans import bindings as b
+from propensity_spark.plans.customer_queries import TELEMETRY
+from propensity_spark.plans.metric_queries import SCORE, _in_bin, _edges_sql
+from propensity_spark.plans.registry import query
+from propensity_spark.sources import readers
+from propensity_spark.sources.readers import Tables
+from propensity_spark.streaming import jobs
+
+# ---- stored coefficients
+
+WEIGHTS = {"credit_score": 0.004, "annual_income": 0.0000005, "average_utilization": -1.25, "monthly_spend": 0.00002,
+           "fixed_deposit_balance": 0.000001}
+INTERCEPT = -2.5
+TOTAL_SQL = f"({INTERCEPT}::DOUBLE" + "".join(
+    f" + coalesce({f}, 0) * {w!r}::DOUBLE" for f, w in WEIGHTS.items()) + ")"
+LOGIT_SQL = f"(1.0 / (1.0 + exp(-{TOTAL_SQL})))"
+
+
+@query(f"""SELECT customer_id, round({LOGIT_SQL}, 6) AS score, CAST({LOGIT_SQL} >= 0.55 AS INT) AS predicted_label,
+  round(least(greatest({TOTAL_SQL}, 0.0), 1.0), 6) AS linear_score FROM profile""", ["profile"])
+def linear_score(t: Tables) -> DataFrame:
+    out = sc.linear_score(b.profile(t), WEIGHTS, INTERCEPT)
+    both = sc.linear_score(out.drop("predicted_label"), WEIGHTS, INTERCEPT, "identity", "linear_score")
+    return both.select("customer_id", F.round("score", 6).alias("score"),
+                       (F.col("score") >= 0.55).cast("int").alias("predicted_label"),
+                       F.round("linear_score", 6).alias("linear_score"))
+
+
+TERMS_SQL = "[" + ", ".join(f"coalesce({f}, 0) * {w!r}::DOUBLE" for f, w in WEIGHTS.items()) + "]"
+
+
+def _top_sql(n: int, by: str) -> str:
+    return f"round(list_reverse_sort(list_transform({TERMS_SQL}, lambda x: {{'by': {by}, 'term': x}}))[{n}].term, 6) + 0.0"
+
+
+@query("SELECT customer_id, " + ", ".join(
+    [f"{_top_sql(i, 'abs(x)')} AS explanation_coeff_{i}" for i in (1, 2, 3)]
+    + [f"{_top_sql(i, 'x')} AS signed_{i}" for i in (1, 2, 3)]) + " FROM profile", ["profile"])
+def contributions(t: Tables) -> DataFrame:
+    df = b.profile(t).select("customer_id", *WEIGHTS)
+    names = [f"explanation_coeff_{i}" for i in (1, 2, 3)]
+    out = sc.contributions(df, WEIGHTS).withColumnsRenamed({n: f"abs_{n}" for n in names})
+    out = sc.contributions(out, WEIGHTS, signed=True)
+    return out.select("customer_id", *[(F.round(f"abs_{n}", 6) + 0.0).alias(n) for n in names],
+                      *[(F.round(n, 6) + 0.0).alias(f"signed_{i}") for i, n in enumerate(names, 1)])
+
+
+COHORT_SQL = "(SELECT * FROM profile ORDER BY md5(customer_id || '|42'), customer_id LIMIT 250)"
+
+
+@query(f"""SELECT substr(sha256(customer_id || '|lin_reg_custom|run-1'), 1, 12) AS prediction_id, customer_id,
+  'lin_reg_custom' AS model_id, 'credit_card' AS target_product_type, round({LOGIT_SQL}, 4) AS propensity_score,
+  CAST({LOGIT_SQL} >= 0.55 AS INT) AS predicted_label,
+  {', '.join(f"{_top_sql(i, 'abs(x)')} AS explanation_coeff_{i}" for i in (1, 2, 3))},
+  -1 AS is_conversion_successful FROM {COHORT_SQL}""", ["profile"])
+def batch_score(t: Tables) -> DataFrame:
+    out = sc.batch_score(b.profile(t), 250, "lin_reg_custom", "credit_card", WEIGHTS, INTERCEPT, "run-1")
+    return readers.normalise(out).withColumns(
+        {f"explanation_coeff_{i}": F.col(f"explanation_coeff_{i}") + 0.0 for i in (1, 2, 3)})
+
+
+@query(f"""SELECT count(*) AS scored_count, round(CAST(sum(CAST(round({LOGIT_SQL}, 4) AS DECIMAL(5,4))) AS DOUBLE)
+  / count(*), 4) AS average_propensity_score FROM {COHORT_SQL}""", ["profile"])
+def batch_summary(t: Tables) -> DataFrame:
+    scored = sc.batch_score(b.profile(t), 250, "lin_reg_custom", "credit_card", WEIGHTS, INTERCEPT, "run-1")
+    return summary(scored, "propensity_score")
+
+
+# ---- Spark ML
+
+FAST = {"logistic_regression": {"max_iter": 50}, "xgboost": {"n_estimators": 5, "max_depth": 3},
+        "catboost": {"iterations": 5, "depth": 4}, "random_forest": {"n_estimators": 10, "max_depth": 5},
+        "pytorch_mlp": {"max_iter": 10}}
+INPUTS = ["age", "annual_income", "credit_score", "credit_limit", "monthly_spend", "average_utilization",
+          "total_outstanding_loan", "monthly_loan_emi"]
+
+
+def _studio(t: Tables, algorithms: list[str]) -> md.Training:
+    return md.train_studio(
+        b.profile(t), "defaulter", algorithms, [*INPUTS, "fixed_deposit_balance"],
+        {"credit_limit": "median", "monthly_spend": "mean", "fixed_deposit_balance": "zero"}, 0.7,
+        tags={"auto_cure_max_dpd": 5}, group="segment", privileged="BUILDING", unprivileged="AUTOMOBILE", params=FAST)
+
+
+@query()
+def studio_scoreboard(t: Tables) -> DataFrame:
+    return _studio(t, list(md.ALGORITHMS)).scoreboard.drop("latency_ms")
+
+
+@query()
+def studio_curves(t: Tables) -> DataFrame:
+    result = _studio(t, ["logistic_regression", "random_forest"])
+    curves = [result.curves(k).withColumn("kind", F.lit(k)) for k in ("roc", "pr")]
+    risk = result.risk().select("model_id", F.lit(0).alias("idx"), F.col("predicted_rate").alias("x"),
+                                F.col("actual_rate").alias("y"), F.concat(F.lit("risk "), "bin").alias("kind"))
+    return curves[0].unionByName(curves[1]).unionByName(risk)
+
+
+@query()
+def campaign_leads(t: Tables) -> DataFrame:
+    _, leads = md.train_campaign(b.profile(t), "loans", ["linear_regression", "logistic_regression"], INPUTS,
+                                 params=FAST)
+    return leads.select("customer_id", "annual_income", "credit_score", F.round("score", 4).alias("propensity_score"))
+
+
+@query()
+def shadow_scores(t: Tables) -> DataFrame:
+    df = md.campaign_labels(b.profile(t), "defaulter").persist()
+    models = [md.train(df, a, INPUTS, "label", FAST.get(a)) for a in ("linear_regression", "logistic_regression",
+                                                                      "xgboost")]
+    return md.long_scores(models, df, "xgb_custom", ["customer_id"])
+
+
+@query()
+def model_explanations(t: Tables) -> DataFrame:
+    df = md.campaign_labels(b.profile(t), "defaulter").persist()
+    model = md.train(df, "random_forest", INPUTS, "label", FAST["random_forest"])
+    return model.explain(df).select("customer_id", *[f"explanation_coeff_{i}" for i in (1, 2, 3)])
+
+
+# ---- files
+
+@query("""SELECT c_custkey, c_name, c_acctbal, CASE WHEN c_nationkey % 5 <> 0 THEN c_nationkey END AS c_nationkey,
+  CAST(c_acctbal > 0 AS INT) AS positive FROM customer""")
+def tsv_round_trip(t: Tables) -> DataFrame:
+    rows = t["customer"].select(
+        "c_custkey", F.concat("c_name", F.lit("\t")).alias("c_name"), "c_acctbal",
+        F.when(F.col("c_nationkey") % 5 != 0, F.col("c_nationkey")).alias("c_nationkey"),
+        (F.col("c_acctbal") > 0).alias("positive"))
+    path = scratch_path(t.spark, "tsv")
+    readers.save_tsv(rows, path)
+    back = readers.load_tsv(t.spark, path,
+                            "c_custkey bigint, c_name string, c_acctbal double, c_nationkey int, positive boolean")
+    return back.withColumns({"c_name": F.rtrim("c_name"), "positive": F.col("positive").cast("int")})
+
+
+@query("""SELECT CAST(ts AS DATE)::VARCHAR AS day, count(*) AS n, round(CAST(sum(s) AS DOUBLE), 4) AS total
+FROM (SELECT timestamp AS ts, propensity_score AS s FROM predictions) GROUP BY day""", ["predictions"])
+def appended_log(t: Tables) -> DataFrame:
+    path = scratch_path(t.spark, "predictions")
+    readers.append_log(b.predictions(t), path)
+    log = t.spark.read.parquet(path)
+    return log.groupBy(F.col("day").cast("string").alias("day")).agg(
+        F.count(F.lit(1)).alias("n"), F.sum("propensity_score").cast("double").alias("total"))
+
+
+# ---- streams over the event files
+
+def _log_stream(t: Tables) -> DataFrame:
+    return b.request_log(jobs.file_stream(t.spark, t.folder, "events"))
+
+
+@query("""SELECT log_id, endpoint, '{"k":"********"}' AS payload_summary FROM request_log""", ["request_log"])
+def stream_masked_log(t: Tables) -> DataFrame:
+    rows = jobs.masked_log(_log_stream(t), ["k"], delay="60 days")
+    return jobs.run_append(rows.select("log_id", "endpoint", "payload_summary"), "masked")
+
+
+@query(f"""SELECT strftime(date_trunc('day', timestamp), '%Y-%m-%d') AS window_start, endpoint, {TELEMETRY}
+FROM request_log GROUP BY ALL""", ["request_log"])
+def stream_telemetry(t: Tables) -> DataFrame:
+    out = jobs.run_complete(jobs.windowed_telemetry(_log_stream(t)), "telemetry")
+    return out.withColumn("window_start", F.date_format("window_start", "yyyy-MM-dd"))
+
+
+STREAM_PSI_SQL = f""", s AS (SELECT date_trunc('day', timestamp) AS step, CAST({SCORE} AS DOUBLE) AS s, timestamp FROM predictions),
+e AS (SELECT bin, count(*) FILTER (WHERE {_in_bin('s', 10)}) / count(*) AS e FROM {_edges_sql(10)}, s
+  WHERE timestamp < TIMESTAMP '2024-01-16' GROUP BY bin),
+a AS (SELECT step, bin, count(*) FILTER (WHERE {_in_bin('s', 10)}) / count(*) AS a, count(*) AS n FROM {_edges_sql(10)}, s
+  GROUP BY step, bin),
+j AS (SELECT step, n, CASE WHEN e = 0 THEN 0.0001 ELSE e END AS e, CASE WHEN a = 0 THEN 0.0001 ELSE a END AS a
+  FROM a JOIN e USING (bin)),
+k AS (SELECT step, n, e / sum(e) OVER (PARTITION BY step) AS e, a / sum(a) OVER (PARTITION BY step) AS a FROM j)
+SELECT strftime(step, '%Y-%m-%d') AS window_start, max(n) AS n, round(sum((a - e) * ln(a / e)), 4) AS psi FROM k GROUP BY step"""
+
+
+@query(STREAM_PSI_SQL, ["predictions"])
+def stream_psi(t: Tables) -> DataFrame:
+    early = b.predictions(t).filter(F.col("timestamp") < F.lit("2024-01-16").cast("timestamp_ntz"))
+    baseline = jobs.score_baseline(early, SCORE)
+    live = b.predictions({"events": jobs.file_stream(t.spark, t.folder, "events")})
+    out = jobs.run_complete(jobs.windowed_psi(live, SCORE, "timestamp", baseline), "psi")
+    return out.withColumn("window_start", F.date_format("window_start", "yyyy-MM-dd"))
+
+
+@query(f"""SELECT log_id, customer_id, round({LOGIT_SQL}, 6) AS score, CAST({LOGIT_SQL} >= 0.55 AS INT) AS predicted_label
+FROM (SELECT event_id AS log_id, user_id AS customer_id FROM events) LEFT JOIN profile USING (customer_id)""",
+       ["profile"])
+def stream_scores(t: Tables) -> DataFrame:
+    events = jobs.file_stream(t.spark, t.folder, "events")
+    requests = events.select(F.col("event_id").alias("log_id"), F.col("user_id").alias("customer_id"))
+    out = jobs.scored_requests(requests, b.profile(t), WEIGHTS, INTERCEPT)
+    out = out.select("log_id", "customer_id", F.round("score", 6).alias("score"), "predicted_label")
+    return jobs.run_append(out, "scores")
