@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import json
 from functools import reduce
 from operator import and_, or_
 
@@ -50,11 +49,9 @@ def iso(col: Column) -> Column:
 
 def mask_json(col: Column, keys: list[str], mask: str = "********") -> Column:
     """Replace the values of top-level `keys` in a JSON object; text that is no object becomes ''."""
-    fields = F.from_json(col, "map<string,variant>")
-    hidden = F.try_parse_json(F.lit(json.dumps(mask)))
-    masked = F.transform_values(fields, lambda k, v: F.when(k.isin(keys), hidden).otherwise(v))
-    is_object = F.ltrim(col).startswith("{") & F.try_parse_json(col).isNotNull()
-    return F.when(is_object, F.to_json(masked)).otherwise(F.lit(""))
+    fields = F.from_json(col, "map<string,variant>")  # NULL unless the text is an object
+    masked = F.transform_values(fields, lambda k, v: F.when(k.isin(keys), F.lit(mask).cast("variant")).otherwise(v))
+    return F.coalesce(F.to_json(masked), F.lit(""))
 
 
 def hash_bucket(key: Column, seed: int, buckets: int = 10000) -> Column:

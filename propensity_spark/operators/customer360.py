@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from propensity_spark.functions.scalar import all_of, ratio
+from propensity_spark.functions.scalar import all_of, is_true, ratio
 
 # The 15 model features; names and order are fixed values.
 FEATURES = [
@@ -17,17 +17,39 @@ FEATURES = [
 PROFILE = ["segment", "late_payment_flag", "risk_profile"]
 
 
-def fan_out(base: DataFrame, log: DataFrame, key: str) -> DataFrame:
+HOT_ROWS = 1_000_000
+MOST_HOT_KEYS = 1000
+SALTS = 64
+
+
+def hot_keys(log: DataFrame, key: str, rows: int = HOT_ROWS) -> list:
+    """The keys with more than `rows` log rows, the largest first.
+
+    At most MOST_HOT_KEYS are listed: a key beyond them holds less than a thousandth of the log.
+    """
+    counts = log.filter(F.col(key).isNotNull()).groupBy(key).count().filter(F.col("count") > rows)
+    return [r[key] for r in counts.orderBy(F.col("count").desc(), key).limit(MOST_HOT_KEYS).collect()]
+
+
+def fan_out(base: DataFrame, log: DataFrame, key: str, hot_rows: int = HOT_ROWS) -> DataFrame:
     """base LEFT JOIN log where one customer may own a large share of the log.
 
     Spark splits a skewed partition only on the preserved side of an outer join, and here the log is the other
-    side. So matched customers come from an inner join with the log on the left, which can be split, and the
-    rest from an anti join with the distinct keys.
+    side. So the log rows of hot customers are salted and their base rows repeated once per salt. Hot customers
+    do have log rows, so a repeated base row that met none is dropped.
     """
-    matched = log.join(base, key).select(*base.columns, *[c for c in log.columns if c != key])
-    rest = base.join(log.select(key).distinct(), key, "left_anti")
-    empty = [F.lit(None).cast(f.dataType).alias(f.name) for f in log.schema if f.name != key]
-    return matched.unionByName(rest.select(*base.columns, *empty))
+    hot = hot_keys(log, key, hot_rows)
+    if not hot:
+        return base.join(log, key, "left")
+    is_hot = is_true(F.col(key).isin(hot))
+    salted = log.withColumns({
+        "_salt": F.when(is_hot, F.pmod(F.xxhash64(*log.columns), F.lit(SALTS)).cast("int")).otherwise(0),
+        "_met": F.lit(True),
+    })
+    every = F.sequence(F.lit(0), F.lit(SALTS - 1))
+    repeated = base.withColumn("_salt", F.explode(F.when(is_hot, every).otherwise(F.array(F.lit(0)))))
+    joined = repeated.join(salted, [key, "_salt"], "left")
+    return joined.filter(~is_hot | F.col("_met")).drop("_salt", "_met")
 
 
 def latest_per_key(log: DataFrame, key: str, time: str, tie_break: str) -> DataFrame:

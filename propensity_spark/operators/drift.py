@@ -15,15 +15,23 @@ PSI_LIMIT = 0.25
 AUC_LIMIT = 0.75
 
 
-def _bin_counts(side: str, value: Column, edges: list[float]) -> list[Column]:
-    """Counters e_i, a_i per bin and e_n, a_n per side, for one aggregate over any grouping."""
+def _bin_counts(df: DataFrame, side: str, value: Column, edges: list[float], by: list[str], *sums: Column) -> DataFrame:
+    """Counters e_i, a_i per bin and e_n, a_n per side, for each group.
+
+    Rows are first reduced to one per group, side and bin, with one counter each; `sums` are added up with them
+    and come out as e_<name>, a_<name>.
+    """
     place = bin_index(value.cast("double"), edges)
+    small = df.groupBy(*by, F.col(side).alias("_side"), place.alias("_bin")).agg(F.count(F.lit(1)).alias("_n"), *sums)
+    names = [c for c in small.columns if c not in (*by, "_side", "_bin", "_n")]
     out = []
     for prefix, name in (("e", EXPECTED), ("a", ACTUAL)):
-        own = F.col(side) == name
-        out.append(F.count_if(own).alias(f"{prefix}_n"))
-        out += [F.count_if(own & (place == i)).alias(f"{prefix}_{i}") for i in range(len(edges) - 1)]
-    return out
+        own = F.col("_side") == name
+        out.append(F.sum(F.when(own, F.col("_n")).otherwise(0)).alias(f"{prefix}_n"))
+        out += [F.sum(F.when(own & (F.col("_bin") == i), F.col("_n")).otherwise(0)).alias(f"{prefix}_{i}")
+                for i in range(len(edges) - 1)]
+        out += [F.sum(F.when(own, F.col(c))).alias(f"{prefix}_{c}") for c in names]
+    return small.groupBy(*by).agg(*out)
 
 
 def score_distribution(df: DataFrame, side: str, score: str, bins: int = 19) -> DataFrame:
@@ -31,10 +39,10 @@ def score_distribution(df: DataFrame, side: str, score: str, bins: int = 19) ->
     edges = linspace(0.0, 1.0, bins)
     rows = F.array(*[
         F.struct(F.lit(i).alias("bin"), F.lit(round((edges[i] + edges[i + 1]) / 2, 3)).alias("midpoint"),
-                 F.col(f"e_{i}").alias("expected"), F.col(f"a_{i}").alias("actual"))
+                 F.coalesce(f"e_{i}", F.lit(0)).alias("expected"), F.coalesce(f"a_{i}", F.lit(0)).alias("actual"))
         for i in range(bins)
     ])
-    return df.agg(*_bin_counts(side, F.col(score), edges)).select(F.inline(rows))
+    return _bin_counts(df, side, F.col(score), edges, []).select(F.inline(rows))
 
 
 def _psi(bins: int) -> Column:
@@ -50,13 +58,14 @@ def _psi(bins: int) -> Column:
 
     terms = F.zip_with(scaled("a"), scaled("e"), lambda a, e: (a - e) * F.ln(a / e))
     value = F.round(F.aggregate(terms, F.lit(0.0), lambda acc, v: acc + v), 4)
-    return F.when((F.col("e_n") == 0) | (F.col("a_n") == 0), F.lit(0.0)).otherwise(value)
+    empty = (F.coalesce(F.col("e_n"), F.lit(0)) == 0) | (F.coalesce(F.col("a_n"), F.lit(0)) == 0)
+    return F.when(empty, F.lit(0.0)).otherwise(value)
 
 
 def psi(df: DataFrame, side: str, score: str, bins: int = 10, by: list[str] | None = None) -> DataFrame:
     """Population stability index on [0, 1] per group; 0 when a side is empty. Only counters are shuffled."""
     by = list(by or [])
-    counts = df.groupBy(*by).agg(*_bin_counts(side, F.col(score), linspace(0.0, 1.0, bins)))
+    counts = _bin_counts(df, side, F.col(score), linspace(0.0, 1.0, bins), by)
     return counts.select(*by, _psi(bins).alias("psi"))
 
 
@@ -95,16 +104,12 @@ def feature_drift(df: DataFrame, side: str, cols: list[str], bins: int = 10) ->
         scaled = F.when(x.isNotNull(), F.least(F.greatest(scaled, F.lit(0.0)), F.lit(1.0)))
         pairs.append(F.struct(F.lit(c).alias("feature"), x.alias("value"), scaled.alias("scaled")))
     rows = df.select(side, F.inline(F.array(*pairs))).filter(F.col("value").isNotNull())
-    exact = F.col("value").cast("decimal(28,6)")
-
-    def mean(name: str) -> Column:
-        mine = F.col(side) == name
-        return F.round(ratio(F.sum(F.when(mine, exact)), F.count_if(mine)), 4)
-
-    counts = rows.groupBy("feature").agg(
-        mean(EXPECTED).alias("baseline_mean"), mean(ACTUAL).alias("live_mean"),
-        *_bin_counts(side, F.col("scaled"), linspace(0.0, 1.0, bins)),
-    )
+    counts = _bin_counts(rows, side, F.col("scaled"), linspace(0.0, 1.0, bins), ["feature"],
+                         F.sum("value").alias("value"))
+    counts = counts.withColumns({
+        "baseline_mean": F.round(ratio(F.col("e_value"), F.col("e_n")), 4),
+        "live_mean": F.round(ratio(F.col("a_value"), F.col("a_n")), 4),
+    })
     out = counts.select("feature", "baseline_mean", "live_mean", _psi(bins).alias("psi"))
     return out.withColumn("status", F.when(F.col("psi") >= PSI_LIMIT, "Critical").otherwise("Stable"))
 

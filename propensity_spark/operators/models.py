@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import time
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 from pyspark.ml import Pipeline, PipelineModel
@@ -164,6 +164,12 @@ class Training:
     scoreboard: DataFrame
     scored: DataFrame
     label: str
+    cached: list[DataFrame] = field(default_factory=list)
+
+    def release(self) -> None:
+        """Free the cached feature frame once the results are read."""
+        for df in self.cached:
+            df.unpersist()
 
     def curves(self, kind: str) -> DataFrame:
         return curve(self.scored, self.label, "score", kind, by=["model_id"])
@@ -221,6 +227,7 @@ def train_campaign(
     """On-demand training on the whole population: the scoreboard and the 100 best leads of the best model."""
     df = campaign_labels(population, campaign).persist(StorageLevel.MEMORY_AND_DISK)
     result = train_all(df, df, algorithms, features, "label", **options)
+    result.cached.append(df)
     leads = top_leads(result.best().score(df), "score")
     return result, leads
 
@@ -230,18 +237,19 @@ def train_studio(
     train_ratio: float, tags: dict | None = None, key: str = "customer_id", fit_on: str = "cohort", **options,
 ) -> Training:
     """Label, tag, impute, split, train, and evaluate on the test part."""
-    if cohort.limit(1).count() == 0:
-        raise ValueError("Selected cohort returned zero customer records.")
     strategies = {f: imputations.get(f, "zero") for f in features}
     used = [f for f, s in strategies.items() if s != "drop"]
     if not used:
         raise ValueError("At least one feature must be selected after imputation drops.")
-    if cohort.limit(10).count() < 10:
-        raise ValueError("Cohort size is too small to split and train models.")
     df = event_tags(campaign_labels(cohort, campaign), **(tags or {}))
-    df = hash_split(df, key, train_ratio)
-    fitted_on = df.filter("part = 'train'") if fit_on == "train" else None
-    # A feature that decides the label may also be imputed, so labels come first.
-    df = impute(df, strategies, fitted_on).persist(StorageLevel.MEMORY_AND_DISK)
-    return train_all(df.filter("part = 'train'"), df.filter("part = 'test'"), algorithms, used, "label",
-                     suffix="studio", **options)
+    # The target may rest on a feature that is imputed, so labels come first.
+    df = hash_split(df, key, train_ratio).persist(StorageLevel.MEMORY_AND_DISK)
+    if df.limit(1).count() == 0:
+        raise ValueError("Selected cohort returned zero customer records.")
+    if df.limit(10).count() < 10:
+        raise ValueError("Cohort size is too small to split and train models.")
+    filled = impute(df, strategies, df.filter("part = 'train'") if fit_on == "train" else None)
+    result = train_all(filled.filter("part = 'train'"), filled.filter("part = 'test'"), algorithms, used, "label",
+                       suffix="studio", **options)
+    result.cached.append(df)
+    return result

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import math
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
 
@@ -29,12 +31,23 @@ def missing_stats(df: DataFrame, cols: list[str]) -> DataFrame:
     return counts.select("_n", F.inline(rows)).select("feature", "null_count", share.alias("null_share"))
 
 
-def medians(df: DataFrame, cols: list[str]) -> DataFrame:
+def medians(df: DataFrame, cols: list[str], accuracy: int = 10000) -> DataFrame:
     """Exact interpolated median per feature, as (feature, median).
 
-    Values are counted per feature first and ranked over ranges of the value, so no task holds a whole column.
+    A sketch first brackets each median: its ranks are off by at most 1 / accuracy, so the quantiles 0.5 -+ 3 /
+    accuracy enclose the middle rows. Values outside the bracket are then counted as one group below and one
+    above it, and only the distinct values inside are ranked.
     """
-    counts = _long(df, cols).groupBy("feature", "value").agg(F.count(F.lit(1)).alias("n"))
+    near = [0.5 - 3 / accuracy, 0.5 + 3 / accuracy]
+    brackets = df.agg(*[F.percentile_approx(F.col(c).cast("double"), near, accuracy).alias(c) for c in cols]).first()
+    clamped = []
+    for c in cols:
+        value = F.col(c).cast("double")
+        if brackets[c]:
+            low, high = brackets[c]
+            value = F.when(value < low, F.lit(-math.inf)).when(value > high, F.lit(math.inf)).otherwise(value)
+        clamped.append(value.alias(c))
+    counts = _long(df.select(*clamped), cols).groupBy("feature", "value").agg(F.count(F.lit(1)).alias("n"))
     ranked = running_totals(counts, "value", ["n"], by=["feature"])
     # 1-based positions of the two middle rows; they coincide for an odd count.
     low = F.floor((F.col("total_n") + 1) / 2)
@@ -80,36 +93,40 @@ def correlation(df: DataFrame, cols: list[str]) -> DataFrame:
     """Pearson correlation of every pair as (feature_a, feature_b, corr), over rows where both are present.
 
     Undefined correlations are 0. Columns that are no numbers are skipped. One scan: each row gives one record
-    per feature, combined map-side into a group per feature. Values are centred by a first-pass mean, so large
-    offsets do not cancel.
+    per feature, summed map-side per feature and pattern of present columns. Within a pattern the same rows
+    count for every pair, so the sums of each feature are needed once, not once per pair. Values are taken
+    relative to an origin near them, so large offsets do not cancel.
     """
     cols = [c for c in cols if c in df.columns and isinstance(df.schema[c].dataType, NumericType)]
-    mean = df.agg(*[F.coalesce(F.avg(F.col(c).cast("double")), F.lit(0.0)).alias(c) for c in cols]).first()
-    centred = df.select(*[(F.col(c).cast("double") - F.lit(mean[c])).alias(c) for c in cols])
+    values = df.select(*[F.col(c).cast("double").alias(c) for c in cols])
+    # Any origin gives the same correlation; a mean of some rows is near enough to keep the digits.
+    origin = values.limit(1000).agg(*[F.coalesce(F.avg(c), F.lit(0.0)).alias(c) for c in cols]).first()
+    pattern = F.concat(*[F.when(F.col(c).isNull(), "0").otherwise("1") for c in cols])
+    moved = values.select(pattern.alias("pattern"), *[(F.col(c) - F.lit(origin[c])).alias(c) for c in cols])
     pairs = F.array(*[F.struct(F.lit(c).alias("feature_a"), F.col(c).alias("_a")) for c in cols])
-    rows = centred.select("*", F.inline(pairs)).filter(F.col("_a").isNotNull())
     a = F.col("_a")
-    sums = []
-    for i, c in enumerate(cols):
-        b, both = F.col(c), F.col(c).isNotNull()
-        sums += [
-            F.count(b).alias(f"n{i}"), F.sum(F.when(both, a)).alias(f"a{i}"), F.sum(b).alias(f"b{i}"),
-            F.sum(a * b).alias(f"ab{i}"), F.sum(F.when(both, a * a)).alias(f"aa{i}"), F.sum(b * b).alias(f"bb{i}"),
-        ]
-    sums = rows.groupBy("feature_a").agg(*sums)
-    out = []
-    for i, c in enumerate(cols):
-        n, sa, sb, ab, aa, bb = (F.col(f"{k}{i}") for k in ("n", "a", "b", "ab", "aa", "bb"))
-        # A constant column leaves only rounding noise in its variance.
-        var_a, var_b = n * aa - sa * sa, n * bb - sb * sb
-        spread = F.when((var_a > 1e-12 * n * aa) & (var_b > 1e-12 * n * bb), F.sqrt(var_a) * F.sqrt(var_b))
-        r = F.coalesce(F.try_divide(n * ab - sa * sb, spread), F.lit(0.0))
-        out.append(F.struct(F.lit(c).alias("feature_b"), F.greatest(F.least(r, F.lit(1.0)), F.lit(-1.0))
-                            .alias("corr")))
-    known = sums.select("feature_a", F.inline(F.array(*out)))
-    # An all-NULL feature has no group; its pairs are 0.
+    sums = moved.select("*", F.inline(pairs)).filter(a.isNotNull()).groupBy("pattern", "feature_a").agg(
+        F.count(F.lit(1)).alias("n"), F.sum(a).alias("a"), F.sum(a * a).alias("aa"),
+        *[F.sum(a * F.col(c)).alias(f"ab{i}") for i, c in enumerate(cols)])
+    # From here on rows are features x patterns.
+    own = F.struct("feature_a", F.struct("a", "aa"))
+    others = F.map_from_entries(F.collect_list(own).over(Window.partitionBy("pattern")))
+    b = F.array(*[F.struct(F.lit(c).alias("feature_b"), F.col(f"ab{i}").alias("ab")) for i, c in enumerate(cols)])
+    met = sums.withColumn("others", others).select("feature_a", "n", "a", "aa", "others", F.inline(b))
+    met = met.withColumn("b", F.try_element_at("others", F.col("feature_b"))).filter(F.col("b").isNotNull())
+    total = met.groupBy("feature_a", "feature_b").agg(
+        F.sum("n").alias("n"), F.sum("a").alias("a"), F.sum("b.a").alias("b"), F.sum("aa").alias("aa"),
+        F.sum("b.aa").alias("bb"), F.sum("ab").alias("ab"))
+    n, a, b = F.col("n"), F.col("a"), F.col("b")
+    # A constant column leaves only rounding noise in its variance.
+    var_a, var_b = n * F.col("aa") - a * a, n * F.col("bb") - b * b
+    noise = F.lit(1e-12) * n
+    spread = F.when((var_a > noise * F.col("aa")) & (var_b > noise * F.col("bb")), F.sqrt(var_a) * F.sqrt(var_b))
+    r = F.coalesce(F.try_divide(n * F.col("ab") - a * b, spread), F.lit(0.0))
+    known = total.select("feature_a", "feature_b", F.greatest(F.least(r, F.lit(1.0)), F.lit(-1.0)).alias("corr"))
+    # A pair that is never present together has no row; its correlation is 0.
     every = df.sparkSession.createDataFrame([(x, y) for x in cols for y in cols], "feature_a string, feature_b string")
-    full = F.broadcast(every).join(known, ["feature_a", "feature_b"], "left")
+    full = every.join(known, ["feature_a", "feature_b"], "left")
     return full.select("feature_a", "feature_b", F.coalesce("corr", F.lit(0.0)).alias("corr"))
 
 

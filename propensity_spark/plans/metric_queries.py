@@ -223,9 +223,9 @@ def _drift_sql(source: str, cols: list[str]) -> str:
 FROM {source}, (SELECT CAST(min({c}) AS DOUBLE) AS lo, CAST(max({c}) AS DOUBLE) AS hi FROM {source}
   WHERE side = 'expected') WHERE {c} IS NOT NULL""")
     return f""", drift_rows AS ({' UNION ALL '.join(parts)}), drift_psi AS ({_psi_sql('drift_rows', 'scaled', 'feature')})
-SELECT feature, round(CAST(sum(CAST(value AS DECIMAL(28,6))) FILTER (WHERE side = 'expected') AS DOUBLE)
+SELECT feature, round(sum(value) FILTER (WHERE side = 'expected')
     / count(*) FILTER (WHERE side = 'expected'), 4) AS baseline_mean,
-  round(CAST(sum(CAST(value AS DECIMAL(28,6))) FILTER (WHERE side = 'actual') AS DOUBLE)
+  round(sum(value) FILTER (WHERE side = 'actual')
     / count(*) FILTER (WHERE side = 'actual'), 4) AS live_mean,
   max(psi) + 0.0 AS psi, CASE WHEN max(psi) >= 0.25 THEN 'Critical' ELSE 'Stable' END AS status
 FROM drift_rows JOIN drift_psi USING (feature) GROUP BY feature"""
