@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
 
@@ -31,19 +31,26 @@ def missing_stats(df: DataFrame, cols: list[str]) -> DataFrame:
     return counts.select("_n", F.inline(rows)).select("feature", "null_count", share.alias("null_share"))
 
 
-def medians(df: DataFrame, cols: list[str], accuracy: int = 10000) -> DataFrame:
+def _bracket(name: str, accuracy: int) -> Column:
+    near = [0.5 - 3 / accuracy, 0.5 + 3 / accuracy]
+    return F.percentile_approx(F.col(name).cast("double"), near, accuracy)
+
+
+def medians(
+    df: DataFrame, cols: list[str], accuracy: int = 10000, brackets: dict[str, list[float]] | None = None
+) -> DataFrame:
     """Exact interpolated median per feature, as (feature, median).
 
     A sketch first brackets each median: its ranks are off by at most 1 / accuracy, so the quantiles 0.5 -+ 3 /
     accuracy enclose the middle rows. Values outside the bracket are then counted as one group below and one
     above it, and only the distinct values inside are ranked.
     """
-    near = [0.5 - 3 / accuracy, 0.5 + 3 / accuracy]
-    brackets = df.agg(*[F.percentile_approx(F.col(c).cast("double"), near, accuracy).alias(c) for c in cols]).first()
+    if brackets is None:
+        brackets = df.agg(*[_bracket(c, accuracy).alias(c) for c in cols]).first().asDict()
     clamped = []
     for c in cols:
         value = F.col(c).cast("double")
-        if brackets[c]:
+        if brackets.get(c):
             low, high = brackets[c]
             value = F.when(value < low, F.lit(-math.inf)).when(value > high, F.lit(math.inf)).otherwise(value)
         clamped.append(value.alias(c))
@@ -66,16 +73,22 @@ def approximate_medians(df: DataFrame, cols: list[str], accuracy: int = 10000) -
     return rows.agg(F.percentile_approx("value", 0.5, accuracy).alias("median"))
 
 
-def fill_values(df: DataFrame, strategies: dict[str, str]) -> dict[str, float]:
-    """The value each feature is filled with: its mean, exact median, or 0. One number per feature."""
+def fill_values(df: DataFrame, strategies: dict[str, str], accuracy: int = 10000) -> dict[str, float]:
+    """The value each feature is filled with: its mean, exact median, or 0. One number per feature.
+
+    Means and median brackets come from one scan.
+    """
     out = {c: 0.0 for c, s in strategies.items() if s != "drop"}
     means = [c for c, s in strategies.items() if s == "mean"]
     middle = [c for c, s in strategies.items() if s == "median"]
-    if means:
-        row = df.agg(*[F.avg(F.col(c).cast("double")).alias(c) for c in means]).first()
-        out.update({c: row[c] for c in means if row[c] is not None})
+    if not means and not middle:
+        return out
+    facts = [F.avg(F.col(c).cast("double")).alias(c) for c in means] + [_bracket(c, accuracy).alias(c) for c in middle]
+    row = df.agg(*facts).first()
+    out.update({c: row[c] for c in means if row[c] is not None})
     if middle:
-        out.update({r["feature"]: r["median"] for r in medians(df, middle).collect()})
+        found = medians(df, middle, accuracy, {c: row[c] for c in middle})
+        out.update({r["feature"]: r["median"] for r in found.collect()})
     return out
 
 

@@ -7,7 +7,7 @@ from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType, NumericType, StringType
+from pyspark.sql.types import BooleanType, DataType, NumericType, StringType
 
 from propensity_spark.functions.scalar import all_of, any_of, as_int, is_true, ratio
 from propensity_spark.sources.schemas import RULE_CONFIG
@@ -84,9 +84,13 @@ def _number_text(x: Column) -> Column:
     return F.when(x == F.floor(x), whole).otherwise(F.rtrim(F.lit("0"), x.cast("decimal(38,21)").cast("string")))
 
 
-def _sides(df: DataFrame, name: str) -> tuple[Column, Column]:
+def column_types(df: DataFrame) -> dict[str, DataType]:
+    return {f.name: f.dataType for f in df.schema}
+
+
+def _sides(name: str, kind: DataType) -> tuple[Column, Column]:
     """(numeric side, text side) of a feature; text that looks like a number counts as a number."""
-    col, kind = F.col(name), df.schema[name].dataType
+    col = F.col(name)
     if isinstance(kind, StringType):
         numeric = col.rlike(NUMBER)
         return F.when(numeric, col.try_cast("double")), F.when(~numeric, col)
@@ -106,16 +110,16 @@ COMPARE = {
 }
 
 
-def condition(df: DataFrame, cond: dict) -> Column:
-    """A condition as a Column that is never NULL.
+def condition(types: dict[str, DataType], cond: dict) -> Column:
+    """A condition as a Column that is never NULL, over columns of the given types.
 
     A missing feature, a NULL or an unknown operator is false, also for `!=`. A number never equals or precedes
     text. `in` is membership for a list, and a substring test for anything else.
     """
     name, op, value = cond.get("feature"), cond.get("operator"), cond.get("value")
-    if name not in df.columns:
+    if name not in types:
         return F.lit(False)
-    number, text = _sides(df, name)
+    number, text = _sides(name, types[name])
     if op == "in":
         return is_true(_is_in(number, text, value))
     wanted = _as_number(value)
@@ -138,9 +142,9 @@ def _is_in(number: Column, text: Column, value: object) -> Column:
     return F.instr(within, shown) > 0
 
 
-def rule_mask(df: DataFrame, config: dict) -> Column:
+def rule_mask(types: dict[str, DataType], config: dict) -> Column:
     """All conditions (any of them for logic OR); a rule without conditions matches nothing."""
-    conds = [condition(df, c) for c in config.get("conditions") or []]
+    conds = [condition(types, c) for c in config.get("conditions") or []]
     if not conds:
         return F.lit(False)
     return any_of(conds) if str(config.get("logic", "AND")).upper() == "OR" else all_of(conds)
@@ -172,14 +176,14 @@ def evaluate_rules(df: DataFrame, rules: list[dict], delay: str = "payment_delay
     Rows are first reduced to one per delay bucket, so a scan carries one counter per rule, not one per rule and
     bucket. The rules are configuration; beyond RULES_PER_SCAN of them a further scan is added.
     """
-    has_delay = delay in df.columns
-    bucket = dpd_bucket(F.col(delay)) if has_delay else F.lit(-1)
+    types = column_types(df)
+    bucket = dpd_bucket(F.col(delay)) if delay in types else F.lit(-1)
     out = None
     for start in range(0, len(rules), RULES_PER_SCAN):
         part = rules[start:start + RULES_PER_SCAN]
         counts = df.groupBy(bucket.alias("bucket")).agg(
             F.count(F.lit(1)).alias("n"),
-            *[F.count_if(rule_mask(df, r["rule_config"])).alias(f"m{i}") for i, r in enumerate(part)],
+            *[F.count_if(rule_mask(types, r["rule_config"])).alias(f"m{i}") for i, r in enumerate(part)],
         )
         long = F.array(*[
             F.struct(F.lit(r["model_id"]).alias("model_id"), F.lit(r["model_name"]).alias("model_name"),
@@ -201,7 +205,7 @@ def evaluate_rules(df: DataFrame, rules: list[dict], delay: str = "payment_delay
 
 def rule_scores(df: DataFrame, rule: dict) -> DataFrame:
     """Add prediction 0/1 and score 0.95/0.05 of one rule."""
-    mask = rule_mask(df, rule["rule_config"])
+    mask = rule_mask(column_types(df), rule["rule_config"])
     return df.withColumns({"prediction": as_int(mask), "score": F.when(mask, 0.95).otherwise(0.05)})
 
 
@@ -212,7 +216,9 @@ def rule_sample(df: DataFrame, rule: dict, key: str = "customer_id", n: int = 20
 
 def rule_hits(df: DataFrame, rules: list[dict], key: str = "customer_id") -> DataFrame:
     """One row per row of df and rule that fired; row-local, no shuffle."""
-    fired = F.array_compact(F.array(*[F.when(rule_mask(df, r["rule_config"]), F.lit(r["model_id"])) for r in rules]))
+    types = column_types(df)
+    fired = [F.when(rule_mask(types, r["rule_config"]), F.lit(r["model_id"])) for r in rules]
+    fired = F.array_compact(F.array(*fired))
     return df.select(key, F.explode(fired).alias("model_id"))
 
 

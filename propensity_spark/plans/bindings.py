@@ -15,7 +15,8 @@ from propensity_spark.sources.readers import Tables
 
 
 def cents(name: str) -> Column:
-    return F.round(F.col(name) * 100).cast("bigint")
+    """Money in whole cents. `round` on doubles goes through decimals, floor does not."""
+    return F.floor(F.col(name) * 100 + 0.5)
 
 
 def _sum_if(cond: Column, value: Column) -> Column:
@@ -28,7 +29,7 @@ def demographics(t: Tables) -> DataFrame:
     key = F.col("c_custkey")
     return located.select(
         key.alias("customer_id"), (key * 7 % 68 + 18).cast("int").alias("age"),
-        F.col("c_mktsegment").alias("segment"), (F.round(F.col("c_acctbal") * 100) * 2).alias("annual_income"),
+        F.col("c_mktsegment").alias("segment"), (cents("c_acctbal") * 2).cast("double").alias("annual_income"),
         (key * 37 % 551 + 300).cast("int").alias("credit_score"), F.col("n_name").alias("location"),
         F.col("r_name").alias("region"),
     )
