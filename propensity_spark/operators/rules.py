@@ -81,7 +81,7 @@ def _as_number(value: object) -> float | None:
 def _number_text(x: Column) -> Column:
     """A double as plain text: 25 is 25.0."""
     whole = F.concat(x.cast("bigint").cast("string"), F.lit(".0"))
-    return F.when(x == F.floor(x), whole).otherwise(F.rtrim(F.lit("0"), x.cast("decimal(38,21)").cast("string")))
+    return F.when(x == F.floor(x), whole).otherwise(F.rtrim(x.cast("decimal(38,21)").cast("string"), F.lit("0")))
 
 
 def column_types(df: DataFrame) -> dict[str, DataType]:
