@@ -7,10 +7,8 @@ from tests.session import make_session
 
 @pytest.fixture(scope="session")
 def spark(tmp_path_factory):
-    session = make_session()
-    session.conf.set("spark.sql.shuffle.partitions", "4")
-    session.sparkContext.setCheckpointDir(str(tmp_path_factory.mktemp("checkpoints")))
-    yield session
+    folder = str(tmp_path_factory.mktemp("checkpoints"))
+    yield make_session(**{"spark.checkpoint.dir": folder, "spark.sql.shuffle.partitions": "4"})
 
 
 @pytest.fixture(scope="session")

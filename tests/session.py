@@ -7,14 +7,16 @@ import os
 from pyspark.sql import SparkSession
 
 
-def make_session() -> SparkSession:
+def make_session(**extra: str) -> SparkSession:
     cpus = os.environ.get("BENCH_CPUS", "8")
-    spark = (
+    builder = (
         SparkSession.builder.master(f"local[{cpus}]").appName("propensity_spark")
         .config("spark.sql.shuffle.partitions", "8").config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true").config("spark.driver.memory", "8g")
         .config("spark.ui.enabled", "false").config("spark.sql.execution.arrow.pyspark.enabled", "true")
-        .getOrCreate()
     )
+    for key, value in extra.items():
+        builder = builder.config(key, value)
+    spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
