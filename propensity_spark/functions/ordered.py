@@ -13,7 +13,7 @@ from pyspark.sql.types import DecimalType
 
 from propensity_spark.functions.session import checkpointed
 
-PART = "_range"
+PART, GROUP = "_range", "_group"
 BOUNDED_DIGITS = 6
 
 
@@ -31,7 +31,7 @@ def _ranged(df: DataFrame, order: list[str], descending: bool, by: list[str]) ->
     kind = df.schema[order[0]].dataType
     if len(order) == 1 and isinstance(kind, DecimalType) and kind.precision <= BOUNDED_DIGITS:
         step = F.lit(10 ** (kind.precision - kind.scale) / 64)
-        part = F.floor(F.col(order[0]).cast("double") / step)
+        part = F.coalesce(F.floor(F.col(order[0]).cast("double") / step), F.lit(0).cast("bigint"))
         return df.withColumn(PART, -part if descending else part)
     keys = [F.col(c) for c in by] + [_directed(c, descending and i == 0) for i, c in enumerate(order)]
     return checkpointed(df.repartitionByRange(*keys).withColumn(PART, F.spark_partition_id()))
@@ -42,27 +42,31 @@ def running_totals(
 ) -> DataFrame:
     """Add cum_<s> (inclusive running sum in `order`) and total_<s> for every column s, per group of `by`.
 
-    `df` holds one row per (by, order) value, so pre-aggregate first.
+    `df` holds one row per (by, order) value, so pre-aggregate first. `order` must not be NULL.
     """
     by = list(by or [])
     ranged = _ranged(df, [order], descending, by)
-    inside = Window.partitionBy(PART, *by).orderBy(_directed(order, descending)).rowsBetween(
+    # Groups are keyed by a struct: it is never NULL, so a NULL group is kept, and no filter is inferred that
+    # would keep Spark from using the shuffle of `df` for both reads below.
+    key = [GROUP] if by else []
+    if by:
+        ranged = ranged.withColumn(GROUP, F.struct(*by))
+    inside = Window.partitionBy(PART, *key).orderBy(_directed(order, descending)).rowsBetween(
         Window.unboundedPreceding, Window.currentRow
     )
     # One row per range and group.
-    ranges = ranged.groupBy(*by, PART).agg(*[F.sum(s).alias(f"_sum_{s}") for s in sums])
-    whole = Window.partitionBy(*by)
+    ranges = ranged.groupBy(*key, PART).agg(*[F.sum(s).alias(f"_sum_{s}") for s in sums])
+    whole = Window.partitionBy(*key)
     before = whole.orderBy(PART).rowsBetween(Window.unboundedPreceding, -1)
     offsets = ranges.select(
-        *by, PART,
+        *key, PART,
         *[F.coalesce(F.sum(f"_sum_{s}").over(before), F.lit(0)).alias(f"_before_{s}") for s in sums],
         *[F.sum(f"_sum_{s}").over(whole).alias(f"total_{s}") for s in sums],
     )
     if not by:
         offsets = F.broadcast(offsets)
     cum = ranged.select("*", *[F.sum(s).over(inside).alias(f"_in_{s}") for s in sums])
-    joined = cum.join(offsets, [*by, PART])
-    return joined.select(
+    return cum.join(offsets, [*key, PART]).select(
         *df.columns,
         *[(F.col(f"_in_{s}") + F.col(f"_before_{s}")).alias(f"cum_{s}") for s in sums],
         *[F.col(f"total_{s}") for s in sums],

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from propensity_spark.functions.scalar import is_true, ratio
-from propensity_spark.operators.labels import hash_sample
+from propensity_spark.operators.labels import SMALL_SAMPLE, hash_sample
 
 
 def _or(name: str, default: float) -> Column:
@@ -89,13 +89,13 @@ def stress(
 ) -> DataFrame:
     """A stressed copy of df: score shifted for one sample of n keys, utilisation and delay for another.
 
-    The key frames hold at most n rows each, so they are broadcast.
+    The key frames hold n rows each and are broadcast up to a sample that is small.
     """
     keys = df.select(key).distinct()
     marked = df
     for name, seed in zip(("_score", "_card"), seeds):
         chosen = hash_sample(keys, key, n, seed).withColumn(name, F.lit(True))
-        marked = marked.join(F.broadcast(chosen), key, "left")
+        marked = marked.join(F.broadcast(chosen) if n <= SMALL_SAMPLE else chosen, key, "left")
     score = F.least(F.greatest(F.col("credit_score") + spec.score, F.lit(300)), F.lit(850))
     usage = F.least(F.col("average_utilization") * spec.utilization, F.lit(1.0))
     delay = F.greatest(F.col("payment_delay_days") + spec.delay, F.lit(0))

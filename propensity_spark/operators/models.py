@@ -122,7 +122,8 @@ def _filled(df: DataFrame, features: list[str]) -> DataFrame:
 
 
 def train(
-    df: DataFrame, algorithm: str, features: list[str], label: str, params: dict | None = None, suffix: str = "custom"
+    df: DataFrame, algorithm: str, features: list[str], label: str, params: dict | None = None, suffix: str = "custom",
+    model_id: str | None = None,
 ) -> Trained:
     """Fit one candidate. Parameters an algorithm does not know are ignored; text numbers are converted."""
     spec = ALGORITHMS[algorithm]
@@ -142,7 +143,7 @@ def train(
         stages.append(StandardScaler(inputCol="_vector", outputCol="_scaled", withMean=True, withStd=True))
     estimator.setFeaturesCol("_scaled" if spec.scaled else "_vector")
     fitted = Pipeline(stages=[*stages, estimator]).fit(_filled(df, features).select(*features, label))
-    return Trained(f"{spec.short}_{suffix}", algorithm, list(features), fitted)
+    return Trained(model_id or f"{spec.short}_{suffix}", algorithm, list(features), fitted)
 
 
 def long_scores(models: list[Trained], df: DataFrame, champion: str, keep: list[str]) -> DataFrame:
@@ -221,6 +222,41 @@ def train_all(
     return Training(models, board, scored, label)
 
 
+# The metrics a registry keeps (fixed values).
+METRICS = ["roc_auc", "pr_auc", "f1_score", "log_loss", "ks_statistic"]
+
+
+def train_registered(
+    registry: DataFrame, df: DataFrame, features: list[str] = FEATURES, label: str = "is_conversion_successful"
+) -> tuple[list[Trained], DataFrame]:
+    """Fit every registered model of a known algorithm on the labelled rows, with its stored hyper-parameters.
+
+    Returns the models, and the registry with their metrics as baselines and merged into the live metrics. Rules
+    and models that fail keep their rows.
+    """
+    by_title = {a.title: name for name, a in ALGORITHMS.items()} | {"PyTorch MLP": "pytorch_mlp"}
+    known = df.filter(F.col(label).isin(0, 1)).persist(StorageLevel.MEMORY_AND_DISK)
+    models = []
+    for row in registry.filter(F.col("model_category") != "Rule").orderBy("seq").collect():
+        if row["algorithm_type"] in by_title:
+            try:
+                models.append(train(known, by_title[row["algorithm_type"]], features, label, row["hyperparameters"],
+                                    model_id=row["model_id"]))
+            except Exception as e:
+                print(f"{row['model_id']}: {e}")
+    if not models:
+        return [], registry
+    found = binary_metrics(long_scores(models, known, "", [label]), label, "score", by=["model_id"])
+    found = found.select("model_id", F.create_map(*[x for m in METRICS for x in (F.lit(m), F.col(m))]).alias("_new"))
+    joined = registry.join(F.broadcast(found), "model_id", "left")
+    kept = F.map_filter("live_metrics", lambda k, _: ~k.isin(METRICS))
+    return models, joined.withColumns({
+        "baselines": F.coalesce("_new", "baselines"),
+        "live_metrics": F.when(F.col("_new").isNull(), F.col("live_metrics")).otherwise(
+            F.map_concat(F.coalesce(kept, F.create_map().cast("map<string,double>")), F.col("_new"))),
+    }).drop("_new")
+
+
 def train_campaign(
     population: DataFrame, campaign: str, algorithms: list[str], features: list[str] = FEATURES, **options
 ) -> tuple[Training, DataFrame]:

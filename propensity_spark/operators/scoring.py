@@ -44,9 +44,12 @@ def contributions(df: DataFrame, weights: dict[str, float], top: int = 3, signed
 
 def batch_score(
     population: DataFrame, n: int, model_id: str, product: str, weights: dict[str, float], intercept: float,
-    run: str, key: str = "customer_id", seed: int = 42,
+    run: str, key: str = "customer_id", seed: int = 42, scored_at: str | None = None,
 ) -> DataFrame:
-    """Prediction-log rows for a random cohort of n customers, outcome pending. Ids repeat when a run is repeated."""
+    """Prediction-log rows for a random cohort of n customers, outcome pending. Ids repeat when a run is repeated.
+
+    With `scored_at` the rows carry the time the log is partitioned by.
+    """
     scored = linear_score(hash_sample(population, key, n, seed), weights, intercept)
     scored = contributions(scored, weights)
     return scored.select(
@@ -56,4 +59,5 @@ def batch_score(
         F.round("score", 4).cast("decimal(5,4)").alias("propensity_score"), "predicted_label",
         *[F.round(f"explanation_coeff_{i}", 6).alias(f"explanation_coeff_{i}") for i in (1, 2, 3)],
         F.lit(-1).alias("is_conversion_successful"),
+        *([F.lit(scored_at).cast("timestamp_ntz").alias("timestamp")] if scored_at else []),
     )

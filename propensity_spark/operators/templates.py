@@ -35,11 +35,18 @@ def cohort_clause(filters: dict) -> tuple[str, dict]:
 def template_query(
     spark: SparkSession, template: str, filters: dict, columns: list[str] | None = None, **frames: DataFrame
 ) -> DataFrame:
-    """Run a SQL template with the cohort filters bound as parameters, over frames named like its tables."""
+    """Run a SQL template with the cohort filters bound as parameters, over frames named like its tables.
+
+    The names are temporary views only while the text is analysed.
+    """
     where, args = cohort_clause(filters)
     for name, frame in frames.items():
         frame.createOrReplaceTempView(name)
-    out = spark.sql(template.replace(PLACEHOLDER, where), args=args)
+    try:
+        out = spark.sql(template.replace(PLACEHOLDER, where), args=args)
+    finally:
+        for name in frames:
+            spark.catalog.dropTempView(name)
     return out.select(*columns) if columns else out
 
 

@@ -42,7 +42,9 @@ def customer_360_latest(t: Tables) -> DataFrame:
 
 @query(f"SELECT {SHOWN_SQL} FROM with_outcomes WHERE customer_id = 7", ["with_outcomes"])
 def customer_lookup(t: Tables) -> DataFrame:
-    return _shown(c360.lookup(b.with_outcomes(t), "customer_id", 7))
+    parts = [b.credit_card_history(t), b.loan_details(t), b.investment_profiles(t)]
+    base, log = (c360.lookup(f, "customer_id", 7) for f in (b.demographics(t), b.predictions(t)))
+    return _shown(c360.customer_360(base, parts, log=log))
 
 
 COHORT = {"minimum": {"age": 25, "annual_income": 100000.0, "credit_score": 400}, "maximum": {"age": 65},

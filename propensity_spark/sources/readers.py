@@ -84,6 +84,11 @@ def append_log(df: DataFrame, path: str, time: str = "timestamp") -> None:
     df.withColumn("day", F.to_date(time)).write.mode("append").partitionBy("day").parquet(path)
 
 
+def save_bucketed(df: DataFrame, table: str, key: str, buckets: int) -> None:
+    """A table stored in buckets of `key`, sorted in each. Tables with the same buckets join without a shuffle."""
+    df.repartition(buckets, key).write.mode("overwrite").bucketBy(buckets, key).sortBy(key).saveAsTable(table)
+
+
 def preview(df: DataFrame, rows: int = 10, with_count: bool = False) -> tuple[list[str], DataFrame, int | None]:
     """Column names, a few rows, and the row count only when asked for."""
     return df.columns, df.limit(rows), df.count() if with_count else None

@@ -44,7 +44,7 @@ RULE_CONFIG = "struct<logic:string,conditions:array<struct<feature:string,operat
 REGISTRY = f"""
     active_routing struct<champion_id:string>,
     models map<string,struct<model_id:string,algorithm_type:string,version:string,status:string,
-        model_category:string,serving_path:string,created_at:string,
+        model_category:string,serving_path:string,created_at:string,hyperparameters:map<string,string>,
         baselines:map<string,double>,live_metrics:map<string,double>>>,
     rule_models map<string,struct<model_id:string,model_name:string,category:string,status:string,
         target_product:string,rule_config:{RULE_CONFIG},performance_summary:map<string,string>>>,

@@ -8,7 +8,9 @@ from tests.session import make_session
 @pytest.fixture(scope="session")
 def spark(tmp_path_factory):
     folder = str(tmp_path_factory.mktemp("checkpoints"))
-    yield make_session(**{"spark.checkpoint.dir": folder, "spark.sql.shuffle.partitions": "4"})
+    warehouse = str(tmp_path_factory.mktemp("warehouse"))
+    yield make_session(**{"spark.checkpoint.dir": folder, "spark.sql.warehouse.dir": warehouse,
+                          "spark.sql.shuffle.partitions": "4"})
 
 
 @pytest.fixture(scope="session")

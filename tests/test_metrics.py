@@ -66,6 +66,21 @@ def test_metrics_per_group_equal_each_group_alone(spark):
         assert r[1:] == tuple(alone)
 
 
+def test_a_group_without_a_name_is_kept(spark):
+    df = spark.range(40).select(F.when(F.col("id") % 2 == 0, "x").alias("g"), (F.col("id") % 3 % 2).cast("int").alias("label"),
+                                (F.col("id") / 40).cast("decimal(5,4)").alias("score"))
+    out = {r["g"]: r["n_labelled"] for r in me.binary_metrics(df, "label", "score", by=["g"]).collect()}
+    assert out == {None: 20, "x": 20}
+
+
+def test_both_reads_of_the_counts_share_a_shuffle(spark):
+    df = spark.range(40).select((F.col("id") % 2).alias("g"), F.lit(1).alias("label"),
+                                (F.col("id") / 40).cast("decimal(5,4)").alias("score"))
+    out = me.binary_metrics(df, "label", "score", by=["g"])
+    out.collect()
+    assert "ReusedExchange" in out._jdf.queryExecution().executedPlan().toString()
+
+
 @pytest.mark.parametrize("n", [5, 40])
 def test_curves(spark, n):
     rng = np.random.default_rng(n)

@@ -133,3 +133,11 @@ def test_split_and_sample_do_not_depend_on_partitioning(spark):
     share = labels.hash_split(df, "k", 0.7).filter("part = 'train'").count() / 2000
     assert abs(share - 0.7) < 0.05
     assert labels.hash_sample(df, "k", 50).distinct().count() == 50
+
+
+@pytest.mark.parametrize("n", [1, 60, 1999, 2000, 2001])
+def test_a_large_sample_equals_the_top_n(spark, n):
+    df = spark.range(2000).withColumnRenamed("id", "k")
+    want = sorted(rows(labels.hash_sample(df, "k", n)))
+    assert sorted(rows(labels.hash_sample(df, "k", n, small=0))) == want
+    assert len(want) == min(n, 2000)

@@ -129,3 +129,20 @@ def test_campaign_leads_and_shadow_scores(people):
     long = md.long_scores(result.models, people, "log_reg_custom", ["customer_id"])
     roles = {(r["model_id"], r["role"]): r["count"] for r in long.groupBy("model_id", "role").count().collect()}
     assert roles == {("log_reg_custom", "champion"): 100, ("lin_reg_custom", "shadow"): 100}
+
+
+def test_registered_models_get_fresh_metrics(spark, people):
+    schema = ("model_id string, seq int, algorithm_type string, model_category string, hyperparameters map<string,string>, "
+              "baselines map<string,double>, live_metrics map<string,double>")
+    registry = spark.createDataFrame([
+        ("a", 0, "XGBoost", "ML", {"n_estimators": "2", "max_depth": "2", "unknown": "x"}, {"roc_auc": 0.1}, {"latency": 9.0, "roc_auc": 0.1}),
+        ("b", 1, "Linear Regression", "ML", {}, {}, None),
+        ("r", 2, "XGBoost", "Rule", {}, {"roc_auc": 0.2}, {}), ("u", 3, "Prophet", "ML", {}, {"roc_auc": 0.3}, {})], schema)
+    pending = people.withColumn("target", F.when(F.col("customer_id") < 5, -1).otherwise(F.col("target")))
+    models, out = md.train_registered(registry, pending, FEATURES[:5], "target")
+    rows_ = {r["model_id"]: r for r in out.collect()}
+    assert [m.model_id for m in models] == ["a", "b"] and set(out.columns) == set(registry.columns) and len(rows_) == 4
+    assert set(rows_["a"]["baselines"]) == set(md.METRICS) and rows_["a"]["baselines"]["roc_auc"] > 0.5
+    assert rows_["a"]["live_metrics"] == {"latency": 9.0, **rows_["a"]["baselines"]}
+    assert rows_["b"]["live_metrics"] == rows_["b"]["baselines"]
+    assert rows_["r"]["baselines"] == {"roc_auc": 0.2} and rows_["u"]["live_metrics"] == {}

@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from propensity_spark.functions.session import checkpointed, scratch_path, shared_dir
+from propensity_spark.operators.customer360 import customer_360
 from propensity_spark.sources import readers
 from propensity_spark.sources.schemas import BANK_TABLES
 from tests.conftest import rows
@@ -78,3 +79,14 @@ def test_parallel_database_read_is_planned_by_key_ranges(spark):
         assert "driver" in str(e).lower()
     else:
         raise AssertionError("no driver is installed")
+
+
+def test_bucketed_tables_join_without_a_shuffle(spark):
+    for name in ("bucket_people", "bucket_cards"):
+        frame_ = spark.range(200).select((F.col("id") % 150).alias("customer_id"), F.col("id").alias(name))
+        readers.save_bucketed(frame_.dropDuplicates(["customer_id"]), name, "customer_id", 4)
+    joined = customer_360(spark.table("bucket_people"), [spark.table("bucket_cards").hint("merge")])
+    assert joined.count() == 150
+    assert "Exchange" not in joined._jdf.queryExecution().executedPlan().toString()
+    for name in ("bucket_people", "bucket_cards"):
+        spark.sql(f"DROP TABLE {name}")

@@ -1,6 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from propensity_spark.operators.models import train
 from propensity_spark.operators.search import telemetry
 from propensity_spark.plans import bindings as b
 from propensity_spark.sources.readers import Tables
@@ -69,3 +70,15 @@ def test_windows_do_not_depend_on_the_session_zone(spark, arriving):
     finally:
         spark.conf.set("spark.sql.session.timeZone", zone)
     assert here[0].endswith("00:00:00")
+
+
+def test_a_trained_model_scores_a_stream(spark, arriving):
+    profiles = b.demographics(Tables(spark, SF)).withColumn("target", (F.col("credit_score") > 600).cast("int"))
+    model = train(profiles, "logistic_regression", ["age", "credit_score"], "target", {"max_iter": 10})
+
+    def scores(log):
+        requests = log.select("log_id", F.regexp_extract("username", "[0-9]+", 0).cast("long").alias("customer_id"))
+        return model.score(requests.join(profiles, "customer_id")).select("log_id", "score", "predicted_label")
+
+    got = jobs.run_append(scores(stream(spark, arriving)), "model")
+    assert sorted(rows(got)) == sorted(rows(scores(b.request_log(spark.read.parquet(arriving)))))
