@@ -207,7 +207,8 @@ def train_all(
                                      F.lit(0).alias("predicted_label"))
         scored = empty
     else:
-        scored = long_scores(models, test, "", keep).drop("role")
+        # Metrics, fairness and curves all read these narrow rows.
+        scored = long_scores(models, test, "", keep).drop("role").persist(StorageLevel.MEMORY_AND_DISK)
     metrics = binary_metrics(scored, label, "score", by=["model_id"])
     if group:
         fair = adverse_impact(scored, "predicted_label", group, privileged, unprivileged, by=["model_id"])
@@ -219,7 +220,7 @@ def train_all(
         "pr_auc", "f1_score", "log_loss", "ks_statistic", "gini",
         F.coalesce("adverse_impact_ratio", F.lit(1.0)).alias("fairness_adverse_impact_ratio"), "latency_ms",
     )
-    return Training(models, board, scored, label)
+    return Training(models, board, scored, label, [scored])
 
 
 # The metrics a registry keeps (fixed values).
