@@ -138,8 +138,8 @@ def metric_history(
 # ---- decisions
 
 def best_challenger(models: DataFrame, champion: str) -> DataFrame:
-    """The model other than the champion with the highest baseline ROC-AUC, the first registered on ties."""
-    others = models.filter(F.col("model_id") != champion)
+    """The challenger with the highest baseline ROC-AUC, the first registered on ties. Migrated models are none."""
+    others = models.filter((F.col("status") == "challenger") & (F.col("model_id") != champion))
     auc = F.try_element_at("baselines", F.lit("roc_auc"))
     return others.orderBy(auc.desc_nulls_last(), F.col("seq")).limit(1)
 
@@ -159,7 +159,7 @@ def drift_alert(models: DataFrame, metrics: DataFrame, champion: str, mode: str
     live = metrics.select("roc_auc", "psi", "fairness", F.lit(1).alias("_one"))
     return live.join(F.broadcast(challenger), "_one", "left").select(
         F.lit(champion).alias("champion_id"), F.col("roc_auc").alias("live_auc"), "psi", "fairness",
-        "challenger_id", "challenger_auc", degraded.alias("degraded"),
+        "challenger_id", F.coalesce("challenger_auc", F.lit(0.5)).alias("challenger_auc"), degraded.alias("degraded"),
         F.lit(mode == "manual").alias("needs_approval"),
     )
 

@@ -133,7 +133,7 @@ def registry_models(t: Tables) -> DataFrame:
     return t["part"].select(
         F.concat(F.lit("m_"), key.cast("string")).alias("model_id"), key.alias("seq"),
         F.col("p_type").alias("algorithm_type"), F.col("p_brand").alias("version"),
-        F.when(key == 0, "champion").otherwise("challenger").alias("status"),
+        F.when(key == 0, "champion").when(key % 4 == 3, "migrated").otherwise("challenger").alias("status"),
         F.when(size % 3 == 0, "Rule").otherwise("ML").alias("model_category"),
         F.create_map(F.lit("roc_auc"), auc, F.lit("pr_auc"), pr).alias("baselines"),
         F.create_map(F.lit("latency"), key % 800 / 10.0).alias("live_metrics"),
@@ -257,7 +257,7 @@ SELECT *, CAST(3.5 AS DOUBLE) AS fixed,
 SELECT *, CASE WHEN timestamp < TIMESTAMP '2024-01-16' THEN 'expected' ELSE 'actual' END AS side FROM predictions""",
     "registry_models": """
 SELECT 'm_' || p_partkey AS model_id, p_partkey AS seq, p_type AS algorithm_type, p_brand AS version,
-  CASE WHEN p_partkey = 0 THEN 'champion' ELSE 'challenger' END AS status,
+  CASE WHEN p_partkey = 0 THEN 'champion' WHEN p_partkey % 4 = 3 THEN 'migrated' ELSE 'challenger' END AS status,
   CASE WHEN p_size % 3 = 0 THEN 'Rule' ELSE 'ML' END AS model_category,
   CASE WHEN p_size % 7 <> 0 THEN CAST(p_size AS DOUBLE) / 100.0 + 0.5 END AS roc_auc,
   CASE WHEN p_size % 5 <> 0 THEN CAST(p_size AS DOUBLE) / 100.0 + 0.4 END AS pr_auc,

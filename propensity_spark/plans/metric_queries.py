@@ -281,7 +281,7 @@ def _live_metrics(t: Tables) -> DataFrame:
 ALERT_SQL = f""", auc AS ({_metrics_sql('predictions', LABEL, SCORE)}), psis AS ({_psi_sql('score_sides', SCORE)}),
 fair AS (SELECT {FAIR_SQL} FROM (SELECT segment, CAST({SCORE} >= 0.25 AS INT) AS label
   FROM predictions JOIN demographics USING (customer_id))),
-best AS (SELECT model_id, roc_auc FROM registry_models WHERE model_id <> 'm_0'
+best AS (SELECT model_id, roc_auc FROM registry_models WHERE model_id <> 'm_0' AND status = 'challenger'
   ORDER BY roc_auc DESC NULLS LAST, seq LIMIT 1),
 alert AS (SELECT 'm_0' AS champion_id, auc.roc_auc AS live_auc, psi, adverse_impact_ratio AS fairness,
   best.model_id AS challenger_id, best.roc_auc AS challenger_auc, psi >= 0.25 OR auc.roc_auc < 0.75 AS degraded,

@@ -178,13 +178,15 @@ def test_feature_drift_status_and_odd_features(spark):
 
 @pytest.fixture(scope="module")
 def models(frame):
-    return frame([("a", 0, {"roc_auc": 0.8}), ("b", 1, {"roc_auc": 0.9}), ("c", 2, {"roc_auc": 0.9}), ("d", 3, {})],
-                 "model_id string, seq int, baselines map<string,double>")
+    return frame([("a", 0, "champion", {"roc_auc": 0.8}), ("m", 1, "migrated", {"roc_auc": 0.99}),
+                  ("b", 2, "challenger", {"roc_auc": 0.9}), ("c", 3, "challenger", {"roc_auc": 0.9}), ("d", 4, "challenger", {})],
+                 "model_id string, seq int, status string, baselines map<string,double>")
 
 
 def test_alert_and_failover(models, frame):
     assert dr.best_challenger(models, "a").first()["model_id"] == "b"
     assert dr.best_challenger(models, "b").first()["model_id"] == "c"
+    assert dr.best_challenger(models.filter("model_id = 'm'"), "a").first() is None
 
     def decide(auc, psi, mode, frame_of_models=models):
         live = frame([(auc, psi, 0.9)], "roc_auc double, psi double, fairness double")
