@@ -45,7 +45,7 @@ def score_distribution(df: DataFrame, side: str, score: str, bins: int = 19) ->
     return _bin_counts(df, side, F.col(score), edges, []).select(F.inline(rows))
 
 
-def _psi(bins: int) -> Column:
+def psi_from_counts(bins: int) -> Column:
     """PSI from the counters of _bin_counts. Values outside the bins stay in the denominator."""
     def shares(prefix: str) -> list[Column]:
         raw = [F.coalesce(ratio(F.col(f"{prefix}_{i}"), F.col(f"{prefix}_n")), F.lit(0.0)) for i in range(bins)]
@@ -66,7 +66,7 @@ def psi(df: DataFrame, side: str, score: str, bins: int = 10, by: list[str] | No
     """Population stability index on [0, 1] per group; 0 when a side is empty. Only counters are shuffled."""
     by = list(by or [])
     counts = _bin_counts(df, side, F.col(score), linspace(0.0, 1.0, bins), by)
-    return counts.select(*by, _psi(bins).alias("psi"))
+    return counts.select(*by, psi_from_counts(bins).alias("psi"))
 
 
 def ks(df: DataFrame, side: str, value: str, by: list[str] | None = None) -> DataFrame:
@@ -110,7 +110,7 @@ def feature_drift(df: DataFrame, side: str, cols: list[str], bins: int = 10) ->
         "baseline_mean": F.round(ratio(F.col("e_value"), F.col("e_n")), 4),
         "live_mean": F.round(ratio(F.col("a_value"), F.col("a_n")), 4),
     })
-    out = counts.select("feature", "baseline_mean", "live_mean", _psi(bins).alias("psi"))
+    out = counts.select("feature", "baseline_mean", "live_mean", psi_from_counts(bins).alias("psi"))
     return out.withColumn("status", F.when(F.col("psi") >= PSI_LIMIT, "Critical").otherwise("Stable"))
 
 
@@ -132,7 +132,7 @@ def metric_history(
         F.count(F.lit(1)).alias("a_n"), *[F.count_if(place == i).alias(f"a_{i}") for i in range(10)]
     )
     compared = live.withColumns({name: F.lit(base[name]) for name in base.asDict()})
-    return metrics.join(compared.select("step", _psi(10).alias("psi")), "step").orderBy("step")
+    return metrics.join(compared.select("step", psi_from_counts(10).alias("psi")), "step").orderBy("step")
 
 
 # ---- decisions

@@ -102,4 +102,7 @@ def search_catalog(
                .when(yes, "Yes").otherwise("No"),
     })
     found = search_any(shown, text, [c for c in CATALOG_SEARCH if c in shown.columns])
-    return page(found, [(sort, descending)], "meta_id", number, size)
+    # The catalogue sorts by lower-case text, with missing values as empty text.
+    by = F.lower(F.coalesce(F.col(check_allowed(sort, shown.columns)).cast("string"), F.lit("")))
+    ordered = found.orderBy(by.desc() if descending else by.asc(), "meta_id")
+    return ordered.offset((number - 1) * size).limit(size)

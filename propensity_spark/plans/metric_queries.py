@@ -141,20 +141,20 @@ def score_summary(t: Tables) -> DataFrame:
 
 # ---- drift
 
-def _edges_sql(bins: int) -> str:
+def edges_sql(bins: int) -> str:
     e = linspace(0.0, 1.0, bins)
     rows = ", ".join(f"({i}, '{e[i]!r}'::DOUBLE, '{e[i + 1]!r}'::DOUBLE)" for i in range(bins))
     return f"(VALUES {rows}) b(bin, lo, hi)"
 
 
-def _in_bin(value: str, bins: int) -> str:
+def in_bin_sql(value: str, bins: int) -> str:
     return f"({value} >= lo AND ({value} < hi OR (bin = {bins - 1} AND {value} <= hi)))"
 
 
 @query(f"""SELECT CAST(bin AS INT) AS bin, round((lo + hi) / 2, 3) AS midpoint,
-  count(*) FILTER (WHERE side = 'expected' AND {_in_bin('s', 19)}) AS expected,
-  count(*) FILTER (WHERE side = 'actual' AND {_in_bin('s', 19)}) AS actual
-FROM {_edges_sql(19)}, (SELECT side, CAST({SCORE} AS DOUBLE) AS s FROM score_sides) GROUP BY bin, lo, hi""",
+  count(*) FILTER (WHERE side = 'expected' AND {in_bin_sql('s', 19)}) AS expected,
+  count(*) FILTER (WHERE side = 'actual' AND {in_bin_sql('s', 19)}) AS actual
+FROM {edges_sql(19)}, (SELECT side, CAST({SCORE} AS DOUBLE) AS s FROM score_sides) GROUP BY bin, lo, hi""",
        ["score_sides"])
 def score_distribution(t: Tables) -> DataFrame:
     return dr.score_distribution(b.score_sides(t), "side", SCORE)
@@ -168,9 +168,9 @@ SELECT {lead}round(sum((a - e) * ln(a / e)), 4) AS psi FROM (
   SELECT {lead}bin, e / sum(e) OVER ({part}) AS e, a / sum(a) OVER ({part}) AS a FROM (
     SELECT {lead}bin, CASE WHEN ec = 0 THEN 0.0001 ELSE ec / en END AS e, CASE WHEN ac = 0 THEN 0.0001 ELSE ac / an END AS a
     FROM (SELECT {lead}bin, count(*) FILTER (WHERE side = 'expected') AS en, count(*) FILTER (WHERE side = 'actual') AS an,
-        count(*) FILTER (WHERE side = 'expected' AND {_in_bin('s', 10)}) AS ec,
-        count(*) FILTER (WHERE side = 'actual' AND {_in_bin('s', 10)}) AS ac
-      FROM {_edges_sql(10)}, (SELECT *, CAST({value} AS DOUBLE) AS s FROM {source}) GROUP BY {group}bin, lo, hi))
+        count(*) FILTER (WHERE side = 'expected' AND {in_bin_sql('s', 10)}) AS ec,
+        count(*) FILTER (WHERE side = 'actual' AND {in_bin_sql('s', 10)}) AS ac
+      FROM {edges_sql(10)}, (SELECT *, CAST({value} AS DOUBLE) AS s FROM {source}) GROUP BY {group}bin, lo, hi))
 ) {'GROUP BY ' + by if by else ''}"""
 
 

@@ -11,7 +11,7 @@ from propensity_spark.operators import scoring as sc
 from propensity_spark.operators.metrics import score_summary as summary
 from propensity_spark.plans import bindings as b
 from propensity_spark.plans.customer_queries import TELEMETRY
-from propensity_spark.plans.metric_queries import SCORE, _in_bin, _edges_sql
+from propensity_spark.plans.metric_queries import SCORE, in_bin_sql, edges_sql
 from propensity_spark.plans.registry import query
 from propensity_spark.sources import readers
 from propensity_spark.sources.readers import Tables
@@ -175,9 +175,9 @@ def stream_telemetry(t: Tables) -> DataFrame:
 
 
 STREAM_PSI_SQL = f""", s AS (SELECT date_trunc('day', timestamp) AS step, CAST({SCORE} AS DOUBLE) AS s, timestamp FROM predictions),
-e AS (SELECT bin, count(*) FILTER (WHERE {_in_bin('s', 10)}) / count(*) AS e FROM {_edges_sql(10)}, s
+e AS (SELECT bin, count(*) FILTER (WHERE {in_bin_sql('s', 10)}) / count(*) AS e FROM {edges_sql(10)}, s
   WHERE timestamp < TIMESTAMP '2024-01-16' GROUP BY bin),
-a AS (SELECT step, bin, count(*) FILTER (WHERE {_in_bin('s', 10)}) / count(*) AS a, count(*) AS n FROM {_edges_sql(10)}, s
+a AS (SELECT step, bin, count(*) FILTER (WHERE {in_bin_sql('s', 10)}) / count(*) AS a, count(*) AS n FROM {edges_sql(10)}, s
   GROUP BY step, bin),
 j AS (SELECT step, n, CASE WHEN e = 0 THEN 0.0001 ELSE e END AS e, CASE WHEN a = 0 THEN 0.0001 ELSE a END AS a
   FROM a JOIN e USING (bin)),

@@ -36,7 +36,7 @@ def read_jdbc(
     )
 
 
-def normalise(df: DataFrame, key: str = "") -> DataFrame:
+def normalise(df: DataFrame) -> DataFrame:
     """Decimals to double and date or time columns to ISO text, the form results are handed out in."""
     out = []
     for field in df.schema:
