@@ -16,11 +16,14 @@ from propensity_spark.sources.readers import Tables, normalise
 
 SHOWN = ["customer_id", "segment", "late", *c360.FEATURES, "risk_profile", "is_conversion_successful"]
 SHOWN_SQL = "customer_id, segment, CAST(late_payment_flag AS INT) AS late, " + ", ".join(
-    c360.FEATURES) + ", risk_profile, is_conversion_successful"
+    c360.FEATURES) + ", risk_profile, CAST(is_conversion_successful AS DOUBLE) AS is_conversion_successful"
 
 
-def _shown(df: DataFrame) -> DataFrame:
-    return df.withColumn("late", F.col("late_payment_flag").cast("int")).select(*SHOWN)
+def _shown(df: DataFrame, *more: str) -> DataFrame:
+    """The columns to compare; whole numbers that may be missing are shown as double, as both engines hand them out."""
+    outcome = F.col("is_conversion_successful").cast("double")
+    shown = df.withColumns({"late": F.col("late_payment_flag").cast("int"), "is_conversion_successful": outcome})
+    return shown.select(*SHOWN, *more)
 
 
 @query(f"SELECT {SHOWN_SQL} FROM with_outcomes", ["with_outcomes"])
@@ -36,8 +39,7 @@ FROM profile LEFT JOIN (SELECT * FROM newest WHERE rn = 1) USING (customer_id)""
 def customer_360_latest(t: Tables) -> DataFrame:
     parts = [b.credit_card_history(t), b.loan_details(t), b.investment_profiles(t)]
     out = c360.customer_360(b.demographics(t), parts, log=b.predictions(t), latest=("timestamp", "prediction_id"))
-    out = out.withColumn("late", F.col("late_payment_flag").cast("int"))
-    return out.select(*SHOWN, F.col("propensity_score").cast("double"))
+    return _shown(out.withColumn("propensity_score", F.col("propensity_score").cast("double")), "propensity_score")
 
 
 @query(f"SELECT {SHOWN_SQL} FROM with_outcomes WHERE customer_id = 7", ["with_outcomes"])
@@ -62,7 +64,7 @@ WHERE age >= 30 AND timestamp >= TIMESTAMP '2024-01-10' AND timestamp <= TIMESTA
 def cohort_time_window(t: Tables) -> DataFrame:
     out = c360.cohort_filter(b.with_outcomes(t), minimum={"age": 30}, time="timestamp", start="2024-01-10",
                              end="2024-01-20")
-    return normalise(out.withColumn("late", F.col("late_payment_flag").cast("int")).select(*SHOWN, "timestamp"))
+    return normalise(_shown(out, "timestamp"))
 
 
 @query(f"""SELECT count(*) AS n_rows, count(DISTINCT customer_id) AS n_customers FROM with_outcomes

@@ -131,7 +131,7 @@ def model_explanations(t: Tables) -> DataFrame:
 
 # ---- files
 
-@query("""SELECT c_custkey, c_name, c_acctbal, CASE WHEN c_nationkey % 5 <> 0 THEN c_nationkey END AS c_nationkey,
+@query("""SELECT c_custkey, c_name, c_acctbal, CASE WHEN c_nationkey % 5 <> 0 THEN CAST(c_nationkey AS DOUBLE) END AS c_nationkey,
   CAST(c_acctbal > 0 AS INT) AS positive FROM customer""")
 def tsv_round_trip(t: Tables) -> DataFrame:
     rows = t["customer"].select(
@@ -142,7 +142,8 @@ def tsv_round_trip(t: Tables) -> DataFrame:
     readers.save_tsv(rows, path)
     back = readers.load_tsv(t.spark, path,
                             "c_custkey bigint, c_name string, c_acctbal double, c_nationkey int, positive boolean")
-    return back.withColumns({"c_name": F.rtrim("c_name"), "positive": F.col("positive").cast("int")})
+    return back.withColumns({"c_name": F.rtrim("c_name"), "positive": F.col("positive").cast("int"),
+                             "c_nationkey": F.col("c_nationkey").cast("double")})
 
 
 @query("""SELECT CAST(ts AS DATE)::VARCHAR AS day, count(*) AS n, round(CAST(sum(s) AS DOUBLE), 4) AS total
