@@ -25,6 +25,8 @@ from propensity_spark.llm.components import components
 CELLS, SAMPLE = 256, 4096
 #: Vectors in a block, for which one tree is built.
 BLOCK = 4096
+#: Block pairs that one task traverses.
+PAIRS = 4
 #: Radii of the levels inside a block; below the last one, the vectors themselves.
 RADII = (1.0, 0.5, 0.25)
 #: Allows for rounding where a bound is taken in single precision.
@@ -296,10 +298,12 @@ def _search(spark, distinct: DataFrame, cosine: float, cells: int, block: int) -
     reach = chord(cosine) + SLACK
     near = [(a, b) for a in radius for b in radius
             if np.linalg.norm(centres[a] - centres[b]) <= reach + radius[a] + radius[b]]
+    # A pair is little to read and much to do, so the number of tasks is given.
+    tasks = max(1, min(1 << 16, sum(parts[a] * parts[b] for a, b in near) // 2 // PAIRS))
     near = spark.createDataFrame(near or [(-1, -1)], "cell long, cell2 long")  # cells squared at most
     other = trees.select(F.col("block").alias("block2"), F.col("cell").alias("cell2"), F.col("file").alias("file2"))
     pairs = trees.join(near, "cell").join(other, "cell2").where("block <= block2")
-    pairs = pairs.select("block", "block2", "file", "file2").repartition(F.xxhash64("block", "block2"))
+    pairs = pairs.select("block", "block2", "file", "file2").repartition(tasks, "block", "block2")
     pairs = pairs.sortWithinPartitions("block", "block2")
 
     def traverse(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
