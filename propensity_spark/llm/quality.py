@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import zlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -14,6 +15,10 @@ from propensity_spark.llm.common import fold, free_name, map_texts
 
 #: At most so many trusted positives, and as many unlabelled texts, are learned from: those whose ids hash lowest.
 SAMPLE = 20_000
+#: Parts of the sample of which each is scored by a model of the others when the prior is estimated.
+PARTS = 4
+#: Rows of each kind in a step; the sign of the risk's second part is not to depend on a few.
+BATCH = 2048
 MARKS = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 SMALL = 1e-4
 
@@ -70,14 +75,15 @@ class Model:
 def _fit(p: np.ndarray, u: np.ndarray, prior: float | None, steps: int, seed: int) -> Model:
     """Minimise the PU risk by Adam; prior None learns to tell p from u instead (logistic regression on a balance).
 
-    With the logistic loss l, positives P, unlabelled U and prior q the risk is
+    With the sigmoid loss l(f) = sigmoid(-f), positives P, unlabelled U and prior q the risk is
     q E_P[l(f)] + max(0, E_U[l(-f)] - q E_P[l(-f)]). Where a step's second part is below zero, the gradient of its
-    negative is followed alone (Kiryo et al. 2017), which takes back over-fitting.
+    negative is followed alone (Kiryo et al. 2017), which takes back over-fitting. The loss is bounded, so a small
+    error of the prior does not outweigh the negatives as margins grow.
     """
     rng = np.random.default_rng(seed)
     both = np.vstack([p, u])
-    mean, scale = both.mean(0), both.std(0) + 0.05
-    hidden = 16
+    mean, scale = both.mean(0), both.std(0) + 0.3
+    hidden, decay = 16, 1.5 / len(p)  # the fewer examples, the smaller the weights
     w = [rng.normal(0, 1 / math.sqrt(N_FEATURES), (N_FEATURES, hidden)), np.zeros(hidden),
          rng.normal(0, 1 / math.sqrt(hidden), hidden), np.zeros(())]
     model = Model(mean, scale, w, prior or 0.5)
@@ -85,16 +91,16 @@ def _fit(p: np.ndarray, u: np.ndarray, prior: float | None, steps: int, seed: in
     zp, zu = (np.clip((x - mean) / scale, -8, 8) for x in (p, u))
     sigmoid = lambda x: 1 / (1 + np.exp(-np.clip(x, -40, 40)))
     for step in range(1, steps + 1):
-        bp, bu = zp[rng.integers(0, len(zp), 512)], zu[rng.integers(0, len(zu), 512)]
+        bp, bu = (z if len(z) <= BATCH else z[rng.integers(0, len(z), BATCH)] for z in (zp, zu))
         hp, hu = np.tanh(bp @ w[0] + w[1]), np.tanh(bu @ w[0] + w[1])
         fp, fu = hp @ w[2] + w[3], hu @ w[2] + w[3]
-        # Derivatives of l(f) = log(1 + exp(-f)) and of l(-f).
-        dp, dp_neg, du_neg = -sigmoid(-fp) / len(fp), sigmoid(fp) / len(fp), sigmoid(fu) / len(fu)
-        if prior is None:
-            gp, gu = dp, du_neg
-        else:
-            negative = np.logaddexp(0, fu).mean() - prior * np.logaddexp(0, fp).mean()
-            gp, gu = (prior * (dp - dp_neg), du_neg) if negative >= 0 else (prior * dp_neg, -du_neg)
+        sp, su = sigmoid(fp), sigmoid(fu)
+        if prior is None:  # logistic loss
+            gp, gu = (sp - 1) / len(fp), su / len(fu)
+        else:  # l(f) = sigmoid(-f): derivatives of l(f) and of l(-f) differ in sign alone
+            dp, du = sp * (1 - sp) / len(fp), su * (1 - su) / len(fu)
+            negative = su.mean() - prior * sp.mean()
+            gp, gu = (-2 * prior * dp, du) if negative >= 0 else (prior * dp, -du)
         grads = [np.zeros_like(x) for x in w]
         for z, h, g in ((bp, hp, gp), (bu, hu, gu)):
             back = np.outer(g, w[2]) * (1 - h * h)
@@ -102,29 +108,37 @@ def _fit(p: np.ndarray, u: np.ndarray, prior: float | None, steps: int, seed: in
                 grads[i] = grads[i] + x
         rate = 0.01 * (1 - step / (steps + 1))
         for i in range(4):
-            g = grads[i] + (1e-4 * w[i] if i in (0, 2) else 0)
+            g = grads[i] + (decay * w[i] if i in (0, 2) else 0)
             m[i] = 0.9 * m[i] + 0.1 * g
             v[i] = 0.999 * v[i] + 0.001 * g * g
             w[i] = w[i] - rate * (m[i] / (1 - 0.9**step)) / (np.sqrt(v[i] / (1 - 0.999**step)) + 1e-8)
     return model
 
 
-def estimate_prior(p: np.ndarray, u: np.ndarray, seed: int = 7) -> float:
+def estimate_prior(p: np.ndarray, u: np.ndarray, part_p: np.ndarray, part_u: np.ndarray, seed: int = 7) -> float:
     """The share of positives in u: least ratio of u's to p's share above a limit of a score that tells p from u.
 
-    The score is fitted on one half and the ratio taken on the other, over limits that leave enough of p; a bound on
-    the error of both shares is added, so that thin tails do not decide (best-bin estimation).
+    Every part is scored by a model of the other parts; a document that is in p and in u must be in the same part, as
+    else its copy in u would look more like p than it is. The limits are quantiles of p's scores in the part, the
+    shares are means over the parts, and a bound on their error is added when the limit is chosen, so that thin tails
+    do not decide (best-bin estimation).
     """
-    model = _fit(p[::2], u[::2], None, 400, seed)
-    a, b = np.sort(model.margin(p[1::2])), np.sort(model.margin(u[1::2]))
-    if not len(a) or not len(b):
+    above_p, above_u = [], []
+    for part in np.unique(part_p):
+        rest_p, rest_u, own_p, own_u = p[part_p != part], u[part_u != part], p[part_p == part], u[part_u == part]
+        if min(map(len, (rest_p, rest_u, own_u))):
+            model = _fit(rest_p, rest_u, None, 300, seed)
+            a, b = np.sort(model.margin(own_p)), np.sort(model.margin(own_u))
+            limits = np.quantile(a, np.linspace(0, 0.9, 91))
+            above_p.append(len(a) - np.searchsorted(a, limits))
+            above_u.append((len(b) - np.searchsorted(b, limits)) / len(b) * len(a))
+    if not above_p:
         return 0.5
-    limits = np.quantile(a, np.linspace(0, 0.9, 91))
-    above_p = 1 - np.searchsorted(a, limits) / len(a)
-    above_u = 1 - np.searchsorted(b, limits) / len(b)
-    error = math.sqrt(math.log(40) / (2 * len(a))) + math.sqrt(math.log(40) / (2 * len(b)))
-    best = np.argmin((above_u + error) / above_p)
-    return float(np.clip(above_u[best] / above_p[best], 0.05, 0.99))
+    n = sum(x[0] for x in above_p)
+    share_p, share_u = np.sum(above_p, 0) / n, np.sum(above_u, 0) / n
+    error = math.sqrt(math.log(40) / (2 * len(p))) + math.sqrt(math.log(40) / (2 * len(u)))
+    best = np.argmin((share_u + error) / share_p)
+    return float(np.clip(share_u[best] / share_p[best], 0.05, 0.99))
 
 
 def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", sample: int = SAMPLE,
@@ -145,14 +159,15 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     bounded = F.broadcast(chosen.select("id", F.col("positive").alias(key)))  # 2 * sample ids at most
     wanted = docs.select(F.col(doc_id).alias("id"), text).join(bounded, "id").select("id", text, key)
     rows = map_texts(wanted, ["id", key], text, lambda texts: [_feature_lists(texts)], [_vector()])
-    rows = rows.orderBy("id", key).toPandas()
+    rows = rows.toPandas().sort_values(["id", key], kind="stable")
     if not len(rows):
         return None
     x, positive = np.vstack(rows["_features"].to_numpy()).astype(float), rows[key].to_numpy(bool)
     p, u = x[positive], x[~positive]
     if len(p) < 2 or len(u) < 2:
         return None
-    return _fit(p, u, estimate_prior(p, u, seed), steps, seed)
+    part = np.array([zlib.crc32(str(i).encode()) // 5 % PARTS for i in rows["id"]])
+    return _fit(p, u, estimate_prior(p, u, part[positive], part[~positive], seed), steps, seed)
 
 
 def _vector() -> StructField:
@@ -179,7 +194,8 @@ def classify(
         if model is None or not texts:
             scores = np.full(len(texts), 0.5)
         else:
-            scores = model.score(np.array(_feature_lists(texts), np.float32).astype(float))
+            # Rounded, since the last bits of a matrix product depend on how many texts come together.
+            scores = model.score(np.array(_feature_lists(texts), np.float32).astype(float)).round(9)
         return [scores, (scores >= limit).astype(np.int32)]
 
     return map_texts(docs, keep, text, run, [StructField(score, DoubleType()), StructField(predicted, IntegerType())])
