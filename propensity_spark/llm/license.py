@@ -103,9 +103,10 @@ def scan(text: list[bytes], known: list[Template], coverage: float) -> list[tupl
 
     A notice that is covered must hold some of the template's words that are rarest in the text, since all of them
     together are more than may be missing. Around each of their places a window, half as long again as the template,
-    is aligned, so a notice that is repeated is found each time. Of overlapping finds of a template the best stays.
+    is aligned, so a notice that is repeated is found each time. Of finds that overlap, of one template or of several
+    that are alike, the one with the highest coverage stays, then the longest.
     """
-    have, out = Counter(text), []
+    have, finds = Counter(text), set()
     for t in known:
         size, need = len(t.words), coverage * len(t.words)
         if sum(len(t.places[w]) for w in t.kinds if w in have) < need:
@@ -117,17 +118,19 @@ def scan(text: list[bytes], known: list[Template], coverage: float) -> list[tupl
             chosen.add(w)
             places += len(t.places[w])
         starts = {i - p for i, w in enumerate(text) if w in chosen for p in t.places[w]}
-        finds, slack = [], size // 2 + 2
+        slack = size // 2 + 2
         for start in sorted(starts):
             low = max(0, start - slack)
             matched = align(t.words, text[low:start + size + slack])
             if len(matched) >= need and matched:
-                finds.append((-len(matched), low + matched[0][1], low + matched[-1][1] + 1))
-        taken: list[tuple[int, int]] = []
-        for n, first, last in sorted(set(finds), key=lambda x: (x[0], x[2] - x[1], x[1])):
-            if all(last <= a or b <= first for a, b in taken):
-                taken.append((first, last))
-                out.append((t.name, -n / size, first, last))
+                finds.add((t.name, len(matched) / size, low + matched[0][1], low + matched[-1][1] + 1, len(matched)))
+    out: list[tuple[str, float, int, int]] = []
+    taken: list[tuple[int, int]] = []  # disjoint ranges, sorted
+    for name, share, first, last, _ in sorted(finds, key=lambda x: (-x[1], -x[4], x[3] - x[2], x[2], x[0])):
+        at = bisect.bisect(taken, (first, last))
+        if (not at or taken[at - 1][1] <= first) and (at == len(taken) or last <= taken[at][0]):
+            taken.insert(at, (first, last))
+            out.append((name, share, first, last))
     return sorted(out, key=lambda x: (x[2], x[0], x[3]))
 
 
