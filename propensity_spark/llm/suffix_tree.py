@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import math
 from collections import Counter
 from collections.abc import Iterator
@@ -14,7 +15,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import (ArrayType, BinaryType, DoubleType, LongType, StructField, StructType)
 
 from propensity_spark.llm.common import ROWS, stored
-from propensity_spark.llm.simhash import FOLD
 
 #: The end of a text; no word is empty.
 END = b""
@@ -30,20 +30,25 @@ DEPTH = 3
 MU = 20.0
 #: A context stays if its distribution gains more than this many nats over its suffix's, per kept next symbol.
 GAIN = 2.0
-#: Distinct words or pairs that a task gathers before it passes them on.
-GATHER = 300_000
+#: Distinct words, and pairs, that a task gathers before it passes them on.
+WORDS, PAIRS = 500_000, 3_000_000
 
 
 def tokens(text: bytes) -> list[bytes]:
     """The words of the text, A-Z lower-cased and cut at ASCII space and tab to carriage return, and END."""
-    return [w for w in text.translate(FOLD).split(b" ") if w] + [END]
+    return [*text.lower().split(), END]
 
 
-def _batches(parts: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple[pa.RecordBatch, list[list[bytes]]]]:
+def _batches(parts: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple[pa.RecordBatch, list[bytes], list[int]]]:
+    """Some rows, the tokens of all their texts one after another, and the number of tokens of each."""
     for part in parts:
         for start in range(0, part.num_rows, ROWS):
-            few = part.slice(start, ROWS)
-            yield few, [tokens(x or b"") for x in few.column(column).cast(pa.binary()).to_pylist()]
+            few, flat, sizes = part.slice(start, ROWS), [], []
+            for x in few.column(column).cast(pa.binary()).to_pylist():
+                words = tokens(x or b"")
+                flat += words
+                sizes.append(len(words))
+            yield few, flat, sizes
 
 
 def word_counts(texts: DataFrame, text: str = "text") -> DataFrame:
@@ -56,10 +61,9 @@ def word_counts(texts: DataFrame, text: str = "text") -> DataFrame:
                 [pa.array(list(c.keys()), pa.binary()), pa.array(list(c.values()), pa.int64())], ["word", "c"])
 
         seen: Counter = Counter()
-        for _, docs in _batches(parts, 0):
-            for words in docs:
-                seen.update(words)
-            if len(seen) > GATHER:
+        for _, flat, _ in _batches(parts, 0):
+            seen.update(flat)
+            if len(seen) > WORDS:
                 yield emit(seen)
                 seen = Counter()
         if seen:
@@ -94,8 +98,7 @@ class Tree:
     vocabulary: int
 
     def ids(self, words: list[bytes]) -> np.ndarray:
-        get = self.words.get
-        return np.fromiter((get(w, -1) for w in words), np.int64, len(words))
+        return np.fromiter(map(self.words.get, words, itertools.repeat(-1)), np.int64, len(words))
 
 
 def _find(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
@@ -107,21 +110,22 @@ def _find(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
 
 
 def states(tree: Tree, ids: np.ndarray, levels: int) -> list[np.ndarray]:
-    """For each level the number of the context that ends before each token, -1 where it is not in the tree.
+    """For each length the number of the context that ends before each token, -1 where it is not in the tree.
 
-    A context reaches back over words of the same text only, so the first token has none.
+    ids may be those of several texts: END is in no context, so none reaches back into another text.
     """
     found, room = [], len(tree.words) + 1
-    suffix = np.append(-1, ids[:-1])  # depth 1: the word before
-    for depth in range(1, levels + 1):
-        level = tree.levels[depth - 1]
-        if depth == 1:
-            at = _find(level.contexts, suffix)
-            at[suffix < 0] = -1
-        else:
-            before = np.concatenate([np.full(min(depth, len(ids)), -1), ids[:-depth] if depth < len(ids) else []]).astype(np.int64)
-            ok = (before >= 0) & (found[-1] >= 0)
-            at = np.where(ok, _find(level.contexts, before + found[-1] * room), -1)
+    for length in range(1, levels + 1):
+        keys = tree.levels[length - 1].contexts
+        before = np.concatenate([np.full(min(length, len(ids)), -1), ids[:max(0, len(ids) - length)]])
+        if length == 1:
+            place = np.full(room, -1)  # of each word, and at the end of -1
+            place[keys] = np.arange(len(keys))
+            found.append(place[before])
+            continue
+        at = np.full(len(ids), -1)
+        ok = np.flatnonzero((before >= 0) & (found[-1] >= 0))
+        at[ok] = _find(keys, before[ok] + found[-1][ok] * room)
         found.append(at)
     return found
 
@@ -137,14 +141,13 @@ def next_counts(texts: DataFrame, tree, depth: int, floor: int, text: str = "tex
             keys, n = np.unique(np.concatenate(held), return_counts=True)
             return pa.RecordBatch.from_arrays([pa.array(keys), pa.array(n.astype(np.int64))], ["key", "n"])
 
-        for _, docs in _batches(parts, 0):
-            for words in docs:
-                ids = model.ids(words)
-                state = states(model, ids, depth)[-1]
-                ok = (state >= 0) & (ids >= 0)
-                held.append(state[ok] * len(model.words) + ids[ok])
-                size += len(held[-1])
-            if size > 8 * GATHER:
+        for _, flat, _ in _batches(parts, 0):
+            ids = model.ids(flat)
+            state = states(model, ids, depth)[-1]
+            ok = (state >= 0) & (ids >= 0)
+            held.append(state[ok] * len(model.words) + ids[ok])
+            size += len(held[-1])
+            if size > PAIRS:
                 yield emit()
                 held, size = [], 0
         if held:
@@ -172,7 +175,8 @@ def train(texts: DataFrame, counts: DataFrame, text: str = "text", depth: int =
     c = common["c"].to_numpy(np.int64)
     tree = Tree(words, np.log10(c + 0.5) - math.log10(total + 0.5 * (kinds + 1)), [], total, kinds)
     room, n_words = len(words) + 1, max(1, len(words))
-    keys = np.flatnonzero(c >= at_least(often))  # the first words, as they are sorted by count
+    keys = np.flatnonzero(c >= at_least(often))
+    keys = keys[keys != words.get(END, -1)]  # nothing follows the end
     seen = c[keys]
     for length in range(1, depth + 1):
         empty, size = np.zeros(0, np.int64), len(keys)
@@ -242,24 +246,23 @@ def _probability(tree: Tree, found: list[np.ndarray], symbol: np.ndarray, mu: fl
     return np.log10(p)
 
 
-def log_probabilities(tree: Tree, words: list[bytes], mu: float = MU) -> tuple[float, float, list[bytes]]:
-    """(root score, tree score, words that are not frequent) of a text; the root's scores of the latter lack in both.
+def log_probabilities(tree: Tree, ids: np.ndarray, mu: float = MU) -> tuple[np.ndarray, np.ndarray]:
+    """log10 probability of every token at the root and in the tree; of rare words without their root's part, 0.
 
     A symbol has the smoothed probability at the longest retained suffix, which rests on those of shorter ones. A rare
     word is no entry of any state, so each retained state only multiplies its root probability by alpha.
     """
-    ids = tree.ids(words)
-    rare = ids < 0
-    if not tree.levels or not len(tree.words):
-        return 0.0, 0.0, words
-    found = states(tree, ids, len(tree.levels))
-    base = tree.base[ids[~rare]].sum()
-    score = _probability(tree, [x[~rare] for x in found], ids[~rare], mu).sum()
+    base, own = np.zeros(len(ids)), np.zeros(len(ids))
+    if not len(tree.words):
+        return base, own
+    found, rare = states(tree, ids, len(tree.levels)), ids < 0
+    base[~rare] = tree.base[ids[~rare]]
+    own[~rare] = _probability(tree, [x[~rare] for x in found], ids[~rare], mu)
     for level, at in zip(tree.levels, found):
-        at = at[rare]
-        at = at[at >= 0]
-        score += np.log10(level.alpha[at[level.kept[at]]]).sum() if len(at) else 0.0
-    return float(base), float(score), [w for w, r in zip(words, rare.tolist()) if r]
+        if len(level.contexts):
+            factor = np.append(np.where(level.kept, np.log10(level.alpha), 0.0), 0.0)  # the last one for -1
+            own[rare] += factor[at[rare]]
+    return base, own
 
 
 def score(docs: DataFrame, tree: Tree, counts: DataFrame, doc_id: str = "doc_id", text: str = "text",
@@ -267,16 +270,14 @@ def score(docs: DataFrame, tree: Tree, counts: DataFrame, doc_id: str = "doc_id"
     """One row per document row: doc_id, n_tokens, n_known, base_score, score (sums of log10 probabilities).
 
     base_score is the root's: sum of log10((c + 0.5) / (N + 0.5 (V + 1))) over the words and the end. Frequent words
-    are scored where the text is read; the others are listed once per document and joined with the counts, which are
-    too many to hold. Rows are told apart by a number, so repeated and NULL ids keep their rows.
+    are scored where the text is read; the others are listed and joined with the counts, which are too many to hold. Rows are told apart by a number, so repeated and NULL ids keep their rows.
     """
     n_seen = math.log10(tree.train_tokens + 0.5 * (tree.vocabulary + 1))
     handle = docs.sparkSession.sparkContext.broadcast(tree)
     source = docs.select(F.col(doc_id).alias("id"), text)
     fields = [source.schema["id"], StructField("row", LongType()), StructField("n_tokens", LongType()),
               StructField("n_rare", LongType()), StructField("base", DoubleType()), StructField("own", DoubleType()),
-              StructField("rare", ArrayType(StructType([StructField("word", BinaryType()),
-                                                        StructField("times", LongType())])))]
+              StructField("rare", ArrayType(BinaryType()))]
     schema = StructType(fields)
 
     def read(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -284,24 +285,24 @@ def score(docs: DataFrame, tree: Tree, counts: DataFrame, doc_id: str = "doc_id"
         from pyspark.sql.pandas.types import to_arrow_schema
 
         arrow, model, row = to_arrow_schema(schema), handle.value, TaskContext.get().partitionId() << 40
-        for few, texts in _batches(parts, 1):
-            made: list[list] = [[], [], [], [], [], []]
-            for words in texts:
-                base, own, rare = log_probabilities(model, words, mu)
-                times = [{"word": w, "times": n} for w, n in Counter(rare).items()]
-                for column, value in zip(made, (row, len(words), len(rare), base, own, times)):
-                    column.append(value)
-                row += 1
+        for few, flat, sizes in _batches(parts, 1):
+            ids = model.ids(flat)
+            starts = np.cumsum([0, *sizes[:-1]])
+            sums = [np.add.reduceat(x, starts) for x in log_probabilities(model, ids, mu)]
+            rare = np.flatnonzero(ids < 0)
+            n_rare = np.add.reduceat(ids < 0, starts, dtype=np.int64)
+            lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(n_rare)), pa.int32()),
+                                             pa.array([flat[i] for i in rare.tolist()], pa.binary()))
             yield pa.RecordBatch.from_arrays(
-                [few.column(0)] + [pa.array(x, f.type) for x, f in zip(made, list(arrow)[1:])], schema=arrow)
+                [few.column(0), pa.array(np.arange(row, row + len(sizes))), pa.array(sizes, pa.int64()),
+                 pa.array(n_rare), pa.array(sums[0]), pa.array(sums[1]), lists.cast(arrow[-1].type)], schema=arrow)
+            row += len(sizes)
 
     first = stored(source.mapInArrow(read, schema), "scored")
-    rare = first.select("row", F.explode("rare").alias("r")).select("row", "r.word", "r.times")
-    known = rare.join(counts, "word", "left")
+    known = first.select("row", F.explode("rare").alias("word")).join(counts, "word", "left")
     part = F.log10(F.coalesce("c", F.lit(0)) + 0.5) - F.lit(n_seen)
     extra = known.groupBy("row").agg(
-        F.sum(F.col("times") * part).alias("extra"),
-        F.sum(F.when(F.col("c").isNotNull(), F.col("times"))).alias("seen"))
+        F.sum(part).alias("extra"), F.count("c").alias("seen"))
     out = first.join(extra, "row", "left")
     zero = lambda c: F.coalesce(c, F.lit(0))
     return out.select(

@@ -63,7 +63,7 @@ def test_odd_vectors(spark):
 @given(st.integers(0, 10**6), st.integers(1, 60), st.integers(2, 5))
 def test_trees_are_nested_and_cover(seed, n, dim):
     rng = np.random.default_rng(seed)
-    x = cover_tree.unit(rng.normal(size=(n, dim)) * rng.choice([0.05, 1], size=(n, 1)) + [1.0] + [0.0] * (dim - 1))
+    x = cover_tree.unit(rng.normal(size=(n, dim)) * rng.choice([0.05, 1], size=(n, 1)) + np.eye(dim)[0])
     tree, order = cover_tree.build(x)
     assert sorted(order.tolist()) == list(range(n)) and np.allclose(tree.x, x[order])
     for radius, level, finer in zip(cover_tree.RADII, tree.levels, [*tree.levels[1:], None]):

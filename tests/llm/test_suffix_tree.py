@@ -16,7 +16,7 @@ def corpus(seed=1, n=300):
     for i in range(n):
         out = [rng.choice(words), rng.choice(words)]
         for _ in range(rng.randint(3, 40)):
-            k = (words.index(out[-1]) * 2 + words.index(out[-2])) % 5
+            k = (ord(out[-1][0]) * 2 + ord(out[-2][0])) % 5
             out.append(words[k] if rng.random() < 0.8 else rng.choice([*words, f"rare{rng.randrange(40)}"]))
         rows.append((i, " ".join(out)))
     return rows
