@@ -43,39 +43,40 @@ def paths(messages: DataFrame, per_tree: int = 1) -> DataFrame:
     messages: conv_id, message_id, parent_id (NULL or missing in the conversation: a root), score. A branch's score is
     the mean score of its messages (NULL: 0); each root's leaves are ranked by it, ties by the deeper and then the
     smaller leaf id, and the `per_tree` best are chosen. Self-joins double the reach of every message: after k of them
-    each knows its ancestor 2^k steps up and the sum of scores until there, so d levels take log2(d) joins, and the
-    same steps, taken back, list the messages of the chosen paths. Messages that are their own ancestors lie on no
-    path from a root. conv_id may be NULL; messages without id are left out.
+    each knows its ancestor 2^k steps up and the sum of scores until there, or, if it is no deeper than that, its root.
+    Only the deeper ones are joined again, so d levels take log2(d) joins; the same steps, taken back from the widest,
+    list the messages of the chosen paths, each once. Messages that are their own ancestors lie on no path from a
+    root. conv_id may be NULL; messages without id are left out.
     """
     nodes = messages.where(F.col("message_id").isNotNull()).select(
         F.struct("conv_id", F.col("message_id").alias("id")).alias("node"),
         F.struct("conv_id", F.col("parent_id").alias("id")).alias("up"),
         F.coalesce("score", F.lit(0.0)).cast("double").alias("sum"))
     known = nodes.select(F.col("node").alias("up"), F.lit(True).alias("there"))
-    step = nodes.join(known, "up", "left").select(
-        "node", F.when(F.col("there"), F.col("up")).alias("up"), "sum", F.lit(1).cast("long").alias("depth"))
-    steps = [stored(step, "replies")]
-    inner = steps[0].where(F.col("up").isNotNull()).select(F.col("up").alias("node")).distinct()
-    # Each table holds, for every message, the ancestor 2^k steps up (NULL beyond the root) and sums until there.
-    total, open_ = steps[0].count(), steps[0].where(F.col("up").isNotNull()).limit(1).count()
-    while open_ and 1 << len(steps) <= 2 * total:
-        now = steps[-1]
-        above = now.select(F.col("node").alias("up"), F.col("up").alias("up2"), F.col("sum").alias("sum2"),
-                           F.col("depth").alias("depth2"))
-        more = now.join(above, "up", "left").select(
-            "node", F.col("up2").alias("up"), (F.col("sum") + F.coalesce("sum2", F.lit(0.0))).alias("sum"),
-            (F.col("depth") + F.coalesce("depth2", F.lit(0))).alias("depth"))
-        steps.append(stored(more, "replies"))
-        open_ = steps[-1].where(F.col("up").isNotNull()).limit(1).count()
-    done = steps[-1].where(F.col("up").isNull())  # messages in a ring always have an ancestor
-    roots = _roots(steps, done.join(inner, "node", "left_anti"))
+    first = stored(nodes.join(known, "up", "left").select(
+        "node", F.when(F.col("there"), F.col("up")).alias("up"), F.when(F.col("there").isNull(), F.col("node"))
+        .alias("root"), "sum", F.lit(1).cast("long").alias("depth")), "replies")
+    inner = first.where(F.col("up").isNotNull()).select(F.col("up").alias("node")).distinct()
+    # `open_`: messages below the reach, with the ancestor at it (`up`); `done`: those that know their root.
+    done, open_, steps = first.where(F.col("up").isNull()), first.where(F.col("up").isNotNull()), []
+    total = left = open_.count()
+    while left and 1 << len(steps) <= 2 * total:  # beyond that only rings are left
+        steps.append(open_.select("node", "up"))
+        above = done.unionByName(open_).select(
+            F.col("node").alias("up"), F.col("up").alias("up2"), F.col("root").alias("root2"),
+            F.col("sum").alias("sum2"), F.col("depth").alias("depth2"))
+        more = stored(open_.join(above, "up").select(
+            "node", F.col("up2").alias("up"), F.col("root2").alias("root"), (F.col("sum") + F.col("sum2")).alias("sum"),
+            (F.col("depth") + F.col("depth2")).alias("depth")), "replies")
+        done, open_ = done.unionByName(more.where(F.col("up").isNull())), more.where(F.col("up").isNotNull())
+        left = open_.count()
+    leaves = done.join(inner, "node", "left_anti")
     rank = F.row_number().over(Window.partitionBy("root").orderBy(
         F.desc(F.col("sum") / F.col("depth")), F.desc("depth"), "node"))
     # Spark's window group limit cuts each task's part of a root with very many leaves to the best before the shuffle.
-    best = roots.withColumn("path", rank).where(F.col("path") <= per_tree)
+    best = leaves.withColumn("path", rank).where(F.col("path") <= per_tree)
     members = best.select(F.col("node").alias("leaf"), "root", F.col("path").cast("long"), "node")
-    for table in reversed(steps):
-        up = table.where(F.col("up").isNotNull()).select("node", "up")
+    for up in reversed(steps):
         members = stored(members, "members")
         members = members.unionByName(members.join(up, "node").drop("node").withColumnRenamed("up", "node"))
     members = members.join(done.select("node", F.col("depth").alias("place")), "node")
@@ -84,15 +85,6 @@ def paths(messages: DataFrame, per_tree: int = 1) -> DataFrame:
         F.col("leaf.id").alias("leaf_id"), "place", F.col("node.id").alias("message_id"))
 
 
-def _roots(steps: list[DataFrame], leaves: DataFrame) -> DataFrame:
-    """leaves with `root`: the largest steps that stay below the root are taken one after another."""
-    at = leaves.select("node", "sum", "depth", F.col("node").alias("root"))
-    for table in reversed(steps):
-        up = table.where(F.col("up").isNotNull()).select(F.col("node").alias("root"), F.col("up").alias("higher"))
-        at = at.join(up, "root", "left").select("node", "sum", "depth", F.coalesce("higher", "root").alias("root"))
-    return at
-
-
 def format_conversations(messages: DataFrame, per_tree: int = 1, learn: str = "assistant") -> DataFrame:
     """One row per chosen path: conv_id, root_id, path, n_turns, formatted, loss_spans.
 

@@ -60,7 +60,7 @@ def test_escapes_are_undone(spark):
         assert r["u"] == r["t"] and "###" not in r["e"] and "</turn>" not in r["e"]
 
 
-@settings(max_examples=8, deadline=None)
+@settings(max_examples=4, deadline=None)
 @given(st.lists(st.lists(st.tuples(st.sampled_from(["user", "assistant", "tool\n</turn>", "", None]),
                                    st.one_of(st.none(), st.text(st.sampled_from("\\#</turn>\n a$é😀"), max_size=25))),
                          min_size=1, max_size=5), min_size=1, max_size=6))
