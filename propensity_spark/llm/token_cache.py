@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, LongType, StringType, StructField, StructType
 
-from propensity_spark.llm.common import ROWS
+from propensity_spark.llm.common import ROWS, stored
 
 CACHE = StructType([StructField("version", StringType()), StructField("digest", BinaryType()),
                     StructField("n_tokens", LongType())])
@@ -73,8 +73,10 @@ def count_tokens(
     """
     spark, version = docs.sparkSession, version_digest(tokenizer)
     body = normalise(F.col(text))
-    digest = F.unhex(F.sha2(body.cast("binary"), 256))
-    misses = docs.select(digest.alias("digest"), body.alias("body")).dropDuplicates(["digest"])
+    digest = F.unhex(F.sha2(body.cast("binary"), 256)).alias("digest")
+    keyed = stored(docs.select(F.col(doc_id).alias("id"), F.octet_length(body).cast("long").alias("n_bytes"), digest),
+                   "digests")
+    misses = docs.select(digest, body.alias("body")).dropDuplicates(["digest"])
     misses = misses.join(read_cache(spark, cache, version), "digest", "left_anti")
     schema = StructType(CACHE.fields[1:])
 
@@ -88,6 +90,8 @@ def count_tokens(
 
     new = misses.mapInArrow(encode, schema).select(F.lit(version).alias("version"), "digest", "n_tokens")
     new.write.mode("append").parquet(cache)
-    keyed = docs.select(doc_id, F.octet_length(body).cast("long").alias("n_bytes"), digest.alias("digest"))
-    out = keyed.join(read_cache(spark, cache, version), "digest")
-    return out.select(doc_id, "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
+    # A table of its own, so that Spark can split a frequent digest where documents and counts meet.
+    wanted = keyed.select("digest").distinct()
+    counts = stored(read_cache(spark, cache, version).join(wanted, "digest", "left_semi"), "counts")
+    return keyed.join(counts, "digest").select(
+        F.col("id").alias(doc_id), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
