@@ -19,6 +19,12 @@ def is_true(cond: Column) -> Column:
     return F.coalesce(cond, F.lit(False))
 
 
+def number(name: str) -> Column:
+    """A column as double; NaN counts as missing."""
+    value = F.col(name).cast("double")
+    return F.when(~F.isnan(value), value)
+
+
 def as_int(cond: Column) -> Column:
     return is_true(cond).cast("int")
 

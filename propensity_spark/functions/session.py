@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -19,6 +21,7 @@ def shared_dir(spark: SparkSession) -> str:
     folder = getattr(spark.sparkContext, "_propensity_dir", None)
     if folder is None:
         folder = tempfile.mkdtemp(prefix="propensity-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
         spark.sparkContext._propensity_dir = folder
     return folder
 

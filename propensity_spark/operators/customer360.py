@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from propensity_spark.functions.scalar import all_of, is_true, ratio
+from propensity_spark.functions.scalar import all_of, ratio
 
 # The 15 model features; names and order are fixed values.
 FEATURES = [
@@ -17,39 +17,15 @@ FEATURES = [
 PROFILE = ["segment", "late_payment_flag", "risk_profile"]
 
 
-HOT_ROWS = 1_000_000
-MOST_HOT_KEYS = 1000
-SALTS = 64
-
-
-def hot_keys(log: DataFrame, key: str, rows: int = HOT_ROWS) -> list:
-    """The keys with more than `rows` log rows, the largest first.
-
-    At most MOST_HOT_KEYS are listed: a key beyond them holds less than a thousandth of the log.
-    """
-    counts = log.filter(F.col(key).isNotNull()).groupBy(key).count().filter(F.col("count") > rows)
-    return [r[key] for r in counts.orderBy(F.col("count").desc(), key).limit(MOST_HOT_KEYS).collect()]
-
-
-def fan_out(base: DataFrame, log: DataFrame, key: str, hot_rows: int = HOT_ROWS) -> DataFrame:
+def fan_out(base: DataFrame, log: DataFrame, key: str) -> DataFrame:
     """base LEFT JOIN log where one customer may own a large share of the log.
 
-    Spark splits a skewed partition only on the preserved side of an outer join, and here the log is the other
-    side. So the log rows of hot customers are salted and their base rows repeated once per salt. Hot customers
-    do have log rows, so a repeated base row that met none is dropped.
+    In an outer join Spark can split a skewed partition only on the preserved side, and here the log is the other one.
+    So the join is written as its two halves: an inner join, of which either side can be split, and the customers the
+    log lacks, found from one row per customer of it. Nothing runs until the result does.
     """
-    hot = hot_keys(log, key, hot_rows)
-    if not hot:
-        return base.join(log, key, "left")
-    is_hot = is_true(F.col(key).isin(hot))
-    salted = log.withColumns({
-        "_salt": F.when(is_hot, F.pmod(F.xxhash64(*log.columns), F.lit(SALTS)).cast("int")).otherwise(0),
-        "_met": F.lit(True),
-    })
-    every = F.sequence(F.lit(0), F.lit(SALTS - 1))
-    repeated = base.withColumn("_salt", F.explode(F.when(is_hot, every).otherwise(F.array(F.lit(0)))))
-    joined = repeated.join(salted, [key, "_salt"], "left")
-    return joined.filter(~is_hot | F.col("_met")).drop("_salt", "_met")
+    none = base.join(log.select(key).distinct(), key, "left_anti")
+    return base.join(log, key).unionByName(none, allowMissingColumns=True)
 
 
 def latest_per_key(log: DataFrame, key: str, time: str, tie_break: str) -> DataFrame:
@@ -130,6 +106,29 @@ def cohort_count(df: DataFrame, key: str = "customer_id", **limits) -> DataFrame
     )
 
 
+#: What a cohort request may ask for: its name, the column it limits, and the value at which it limits nothing.
+REQUEST_MINIMUM = {"age_min": ("age", None), "income_min": ("annual_income", 0), "credit_score_min": ("credit_score", 300)}
+REQUEST_MAXIMUM = {"age_max": ("age", None)}
+REQUEST_EQUALS = {"gender": "gender"}
+
+
+def cohort_limits(request: dict) -> dict[str, dict]:
+    """A cohort request as the limits of cohort_predicates(). Ages limit only as a pair; floors only above theirs."""
+    ages = "age_min" in request and "age_max" in request
+
+    def wanted(names: dict) -> dict:
+        return {column: request[name] for name, (column, floor) in names.items()
+                if request.get(name) is not None and (ages if column == "age" else request[name] > floor)}
+
+    return {"minimum": wanted(REQUEST_MINIMUM), "maximum": wanted(REQUEST_MAXIMUM),
+            "equals": {column: request.get(name) for name, column in REQUEST_EQUALS.items()}}
+
+
+def semi_joined(frames: list[DataFrame], keys: DataFrame, key: str = "customer_id") -> list[DataFrame]:
+    """Each frame reduced to some keys; Spark takes a small key frame below the frame's own grouping by the key."""
+    return [f.join(keys.select(key), key, "left_semi") for f in frames]
+
+
 # ---- projections
 
 def delinquency_ratios(df: DataFrame, income: str = "annual_income") -> DataFrame:

@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from propensity_spark.functions.ordered import running_totals
-from propensity_spark.functions.scalar import bin_index, linspace, ratio
-from propensity_spark.operators.metrics import binary_metrics
+from propensity_spark.functions.scalar import bin_index, linspace, number, ratio
+from propensity_spark.operators.metrics import DEFAULTS, binary_metrics
 
 EXPECTED, ACTUAL = "expected", "actual"
 EPSILON = 0.0001
@@ -88,18 +88,19 @@ def two_sides(expected: DataFrame, actual: DataFrame, side: str = "side") -> Dat
 def feature_drift(df: DataFrame, side: str, cols: list[str], bins: int = 10) -> DataFrame:
     """Per feature: mean of both sides, PSI after min-max scaling by the expected side, and a status.
 
-    Live values beyond the expected range are clipped into it. Two scans: the ranges (two numbers per feature),
-    then all counters of all features together.
+    Live values beyond the expected range are clipped into it. Missing values (NULL, NaN) are left out; a feature
+    without any has PSI 0 and no means. Two scans: the ranges (two numbers per feature), then all counters of all
+    features together.
     """
     own = F.col(side) == EXPECTED
-    limits = df.agg(*[f(F.when(own, F.col(c).cast("double"))).alias(f"{n}_{c}")
+    limits = df.agg(*[f(F.when(own, number(c))).alias(f"{n}_{c}")
                       for c in cols for n, f in (("lo", F.min), ("hi", F.max))]).first()
     pairs = []
     for c in cols:
         low, high = limits[f"lo_{c}"], limits[f"hi_{c}"]
         low = 0.0 if low is None else low
         width = 0.0 if high is None else high - low
-        x = F.col(c).cast("double")
+        x = number(c)
         scaled = (x - F.lit(low)) / F.lit(width) if width else F.when(x.isNotNull(), F.lit(0.0))
         scaled = F.when(x.isNotNull(), F.least(F.greatest(scaled, F.lit(0.0)), F.lit(1.0)))
         pairs.append(F.struct(F.lit(c).alias("feature"), x.alias("value"), scaled.alias("scaled")))
@@ -110,7 +111,10 @@ def feature_drift(df: DataFrame, side: str, cols: list[str], bins: int = 10) ->
         "baseline_mean": F.round(ratio(F.col("e_value"), F.col("e_n")), 4),
         "live_mean": F.round(ratio(F.col("a_value"), F.col("a_n")), 4),
     })
-    out = counts.select("feature", "baseline_mean", "live_mean", psi_from_counts(bins).alias("psi"))
+    found = counts.select("feature", "baseline_mean", "live_mean", psi_from_counts(bins).alias("_psi"))
+    every = df.sparkSession.createDataFrame([(c,) for c in cols], "feature string")
+    out = every.join(found, "feature", "left").select(
+        "feature", "baseline_mean", "live_mean", F.coalesce("_psi", F.lit(0.0)).alias("psi"))
     return out.withColumn("status", F.when(F.col("psi") >= PSI_LIMIT, "Critical").otherwise("Stable"))
 
 
@@ -119,7 +123,8 @@ def metric_history(
 ) -> DataFrame:
     """One row per time step: metrics of the step, and PSI of its scores against the rows before `baseline_end`.
 
-    The baseline is reduced to ten counters before it meets the steps.
+    A step whose outcomes are all pending has the metrics' defaults. The baseline is reduced to ten counters before
+    it meets the steps.
     """
     stepped = df.withColumn("step", F.date_trunc(step, F.col(time).cast("timestamp_ntz")).cast("date"))
     metrics = binary_metrics(stepped, label, score, by=["step"])
@@ -132,7 +137,11 @@ def metric_history(
         F.count(F.lit(1)).alias("a_n"), *[F.count_if(place == i).alias(f"a_{i}") for i in range(10)]
     )
     compared = live.withColumns({name: F.lit(base[name]) for name in base.asDict()})
-    return metrics.join(compared.select("step", psi_from_counts(10).alias("psi")), "step").orderBy("step")
+    steps = compared.select("step", psi_from_counts(10).alias("psi"))
+    out = steps.withColumnRenamed("step", "_step").join(metrics, F.col("_step").eqNullSafe(F.col("step")), "left")
+    values = [F.coalesce(F.col(c), F.lit(v).cast(metrics.schema[c].dataType)).alias(c)
+              for c, v in DEFAULTS.items()]
+    return out.select(F.col("_step").alias("step"), *values, "psi").orderBy("step")
 
 
 # ---- decisions

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from propensity_spark.functions.scalar import is_true, ratio
-from propensity_spark.operators.labels import SMALL_SAMPLE, hash_sample
+from propensity_spark.operators.labels import hash_sample
 
 
 def _or(name: str, default: float) -> Column:
@@ -72,15 +72,16 @@ def loan_ratios(df: DataFrame, balances: list[str]) -> DataFrame:
 
 @dataclass(frozen=True)
 class Stress:
-    """Shift of credit score and delay, factor on utilisation."""
+    """Shift of credit score and delay, factor on utilisation and the most it may become (None: no limit)."""
 
     score: int
     utilization: float
     delay: int
+    most: float | None = None
 
 
 # Fixed values.
-WORSE = Stress(score=-110, utilization=1.35, delay=15)
+WORSE = Stress(score=-110, utilization=1.35, delay=15, most=1.0)
 BETTER = Stress(score=110, utilization=1 / 1.35, delay=-15)
 
 
@@ -89,19 +90,22 @@ def stress(
 ) -> DataFrame:
     """A stressed copy of df: score shifted for one sample of n keys, utilisation and delay for another.
 
-    The key frames hold n rows each and are broadcast up to a sample that is small.
+    What is missing stays missing. df is read for the samples and for the result, so it should be a stored table.
     """
     keys = df.select(key).distinct()
     marked = df
     for name, seed in zip(("_score", "_card"), seeds):
         chosen = hash_sample(keys, key, n, seed).withColumn(name, F.lit(True))
-        marked = marked.join(F.broadcast(chosen) if n <= SMALL_SAMPLE else chosen, key, "left")
+        marked = marked.join(chosen, key, "left")
     score = F.least(F.greatest(F.col("credit_score") + spec.score, F.lit(300)), F.lit(850))
-    usage = F.least(F.col("average_utilization") * spec.utilization, F.lit(1.0))
+    usage = F.col("average_utilization") * spec.utilization
+    usage = usage if spec.most is None else F.least(usage, F.lit(spec.most))
     delay = F.greatest(F.col("payment_delay_days") + spec.delay, F.lit(0))
     out = marked.withColumns({
-        "credit_score": F.when(F.col("_score"), score).otherwise(F.col("credit_score")),
-        "average_utilization": F.when(F.col("_card"), usage).otherwise(F.col("average_utilization")),
+        "credit_score": F.when(F.col("_score") & F.col("credit_score").isNotNull(), score)
+        .otherwise(F.col("credit_score")),
+        "average_utilization": F.when(F.col("_card") & F.col("average_utilization").isNotNull(), usage)
+        .otherwise(F.col("average_utilization")),
         "payment_delay_days": F.when(F.col("_card") & F.col("payment_delay_days").isNotNull(), delay)
         .otherwise(F.col("payment_delay_days")),
     })

@@ -41,7 +41,8 @@ def upsert_counts(incoming: DataFrame, key: str, category: str = "model_category
 
 def insert_absent(current: DataFrame, incoming: DataFrame, key: str, order: str) -> DataFrame:
     """The rows of `incoming` to append: ids `current` lacks, the first by `order` of each id."""
-    return _one_per_id(incoming, key, order, last=False).join(current.select(key), key, "left_anti")
+    known = current.select(key).distinct()  # a frequent id is one row before it meets the join
+    return _one_per_id(incoming, key, order, last=False).join(known, key, "left_anti")
 
 
 def approve(studio: DataFrame, created_at: str) -> DataFrame:
@@ -169,6 +170,20 @@ def audit_tail(audit: DataFrame, n: int = 15) -> DataFrame:
     return audit.orderBy(F.col("seq").desc()).limit(n).orderBy("seq")
 
 
+def registry_listing(
+    models: DataFrame, audit: DataFrame, champion: str, settings: dict[str, str], tail: int = 15
+) -> DataFrame:
+    """What a registry shows, as (part, entry, value): ranked models, the champion, settings, and the newest audit."""
+    ranked = model_ranks(models).select(F.lit("model").alias("part"), F.col("model_id").alias("entry"),
+                                        F.col("roc_auc_rank").cast("string").alias("value"))
+    fixed = models.sparkSession.createDataFrame(
+        [("champion", champion, None), *[("setting", k, v) for k, v in settings.items()]],
+        "part string, entry string, value string")
+    newest = audit_tail(audit, tail).select(F.lit("audit").alias("part"), F.col("seq").cast("string").alias("entry"),
+                                            F.col("action").alias("value"))
+    return ranked.unionByName(fixed).unionByName(newest)
+
+
 # ---- traffic
 
 def assign_traffic(

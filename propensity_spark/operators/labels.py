@@ -79,28 +79,24 @@ def hash_split(df: DataFrame, key: str, train_ratio: float, seed: int = 42) -> D
     return df.withColumn("part", F.when(hash_bucket(F.col(key), seed) < limit, "train").otherwise("test"))
 
 
-SMALL_SAMPLE = 100_000
 DIGEST_RANGES = 65536
 
 
-def hash_sample(df: DataFrame, key: str, n: int, seed: int = 42, small: int = SMALL_SAMPLE) -> DataFrame:
+def hash_sample(df: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
     """The first n rows in the order of a hash of the key: a repeatable random cohort.
 
-    A small sample is a top-n. For a large one, which must not meet in one task, the rows are counted per leading
-    digits of the hash; whole ranges are kept up to the one that holds the n-th row, and only that one is ordered.
+    The rows are counted per leading digits of the hash; whole ranges are kept up to the one that holds the n-th row,
+    and only that one, a 65536th of the rows, is ordered. So no task gets the sample, whatever its size.
     """
     order = hash_order(F.col(key), seed)
-    if n <= small:
-        return df.orderBy(order, key).limit(n)
     leading = F.conv(F.substring(order, 1, 4), 16, 10).cast("int")
     counts = df.groupBy(leading.alias("r")).count().collect()  # at most DIGEST_RANGES rows
     sizes = {r["r"]: r["count"] for r in counts}
-    if sum(sizes.values()) <= n:
-        return df
-    taken, last = 0, 0
+    taken = 0
     for last in range(DIGEST_RANGES):
-        if taken + sizes.get(last, 0) >= n:
-            break
-        taken += sizes.get(last, 0)
-    edge = df.filter(leading == last).orderBy(order, key).limit(n - taken)
-    return df.filter(leading < last).unionByName(edge)
+        here = sizes.get(last, 0)
+        if taken + here >= n:
+            edge = df.filter(leading == last).orderBy(order, key).limit(n - taken)
+            return edge if not taken else df.filter(leading < last).unionByName(edge)
+        taken += here
+    return df

@@ -15,12 +15,17 @@ from propensity_spark.functions.ordered import running_totals
 from propensity_spark.functions.scalar import ratio
 
 THRESHOLD = 0.55
+#: Metrics where nothing is labelled (fixed values).
+DEFAULTS = {"n_labelled": 0, "roc_auc": 0.5, "pr_auc": 0.5, "f1_score": 0.0, "log_loss": 0.693, "ks_statistic": 0.0,
+            "gini": 0.0}
 SMALLEST = 2.220446049250313e-16  # double precision epsilon, the clip of log loss
 
 
 def score_counts(df: DataFrame, label: str, score: str, by: list[str] | None = None) -> DataFrame:
-    """(by, score, pos, neg), rows with an unknown label left out."""
+    """(by, score, pos, neg), rows with an unknown label or without a score (NULL, NaN) left out."""
     known = df.filter(F.col(label).isin(0, 1) & F.col(score).isNotNull())
+    if dict(df.dtypes)[score] in ("double", "float"):
+        known = known.filter(~F.isnan(score))
     return known.groupBy(*(by or []), F.col(score).alias("score")).agg(
         F.count_if(F.col(label) == 1).alias("pos"), F.count_if(F.col(label) == 0).alias("neg")
     )

@@ -17,7 +17,7 @@ from pyspark.ml.classification import (
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import LinearRegression
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.storagelevel import StorageLevel
 
@@ -232,21 +232,21 @@ def train_registered(
 ) -> tuple[list[Trained], DataFrame]:
     """Fit every registered model of a known algorithm on the labelled rows, with its stored hyper-parameters.
 
-    Returns the models, and the registry with their metrics as baselines and merged into the live metrics. Rules
-    and models that fail keep their rows.
+    Returns the models, and the registry with their metrics as baselines and merged into the live metrics, and the
+    `error` of a model whose fit failed. Rules and models that fail keep their rows.
     """
     by_title = {a.title: name for name, a in ALGORITHMS.items()} | {"PyTorch MLP": "pytorch_mlp"}
     known = df.filter(F.col(label).isin(0, 1)).persist(StorageLevel.MEMORY_AND_DISK)
-    models = []
+    models, failed = [], {}
     for row in registry.filter(F.col("model_category") != "Rule").orderBy("seq").collect():
         if row["algorithm_type"] in by_title:
             try:
                 models.append(train(known, by_title[row["algorithm_type"]], features, label, row["hyperparameters"],
                                     model_id=row["model_id"]))
             except Exception as e:
-                print(f"{row['model_id']}: {e}")
+                failed[row["model_id"]] = str(e)
     if not models:
-        return [], registry
+        return [], registry.withColumn("error", _errors(failed))
     found = binary_metrics(long_scores(models, known, "", [label]), label, "score", by=["model_id"])
     found = found.select("model_id", F.create_map(*[x for m in METRICS for x in (F.lit(m), F.col(m))]).alias("_new"))
     joined = registry.join(F.broadcast(found), "model_id", "left")
@@ -255,7 +255,15 @@ def train_registered(
         "baselines": F.coalesce("_new", "baselines"),
         "live_metrics": F.when(F.col("_new").isNull(), F.col("live_metrics")).otherwise(
             F.map_concat(F.coalesce(kept, F.create_map().cast("map<string,double>")), F.col("_new"))),
-    }).drop("_new")
+    }).drop("_new").withColumn("error", _errors(failed))
+
+
+def _errors(failed: dict[str, str]) -> Column:
+    """The message of each model that failed."""
+    out = F.lit(None).cast("string")
+    for model_id, message in failed.items():
+        out = F.when(F.col("model_id") == model_id, message).otherwise(out)
+    return out
 
 
 def train_campaign(

@@ -4,24 +4,29 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
 
 from propensity_spark.functions.ordered import running_totals
-from propensity_spark.functions.scalar import ratio
+from propensity_spark.functions.scalar import number, ratio
 
 
 def _long(df: DataFrame, cols: list[str]) -> DataFrame:
-    """(feature, value) rows of the given columns, NULLs left out."""
-    pairs = F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("value")) for c in cols])
+    """(feature, value) rows of the given columns, NULL and NaN left out."""
+    pairs = F.array(*[F.struct(F.lit(c).alias("feature"), number(c).alias("value")) for c in cols])
     return df.select(F.inline(pairs)).filter(F.col("value").isNotNull())
 
 
 def missing_stats(df: DataFrame, cols: list[str]) -> DataFrame:
-    """NULL count and share per feature, in one scan. A column df does not have counts as not missing."""
-    known = [c for c in cols if c in df.columns]
-    counts = df.agg(F.count(F.lit(1)).alias("_n"), *[F.count_if(F.col(c).isNull()).alias(f"_{c}") for c in known])
+    """Count and share of missing values (NULL, NaN) per feature, in one scan. A column df lacks is not missing."""
+    known, kinds = [c for c in cols if c in df.columns], dict(df.dtypes)
+
+    def missing(name: str) -> Column:
+        value = F.col(name)
+        return value.isNull() | F.isnan(value) if kinds[name] in ("double", "float") else value.isNull()
+
+    counts = df.agg(F.count(F.lit(1)).alias("_n"), *[F.count_if(missing(c)).alias(f"_{c}") for c in known])
     rows = F.array(*[
         F.struct(F.lit(c).alias("feature"), (F.col(f"_{c}") if c in known else F.lit(0)).cast("bigint")
                  .alias("null_count"))
@@ -33,7 +38,7 @@ def missing_stats(df: DataFrame, cols: list[str]) -> DataFrame:
 
 def _bracket(name: str, accuracy: int) -> Column:
     near = [0.5 - 3 / accuracy, 0.5 + 3 / accuracy]
-    return F.percentile_approx(F.col(name).cast("double"), near, accuracy)
+    return F.percentile_approx(number(name), near, accuracy)
 
 
 def medians(
@@ -43,13 +48,14 @@ def medians(
 
     A sketch first brackets each median: its ranks are off by at most 1 / accuracy, so the quantiles 0.5 -+ 3 /
     accuracy enclose the middle rows. Values outside the bracket are then counted as one group below and one
-    above it, and only the distinct values inside are ranked.
+    above it, and only the distinct values inside are ranked. A feature without values has the median NULL; a feature
+    that `brackets` lacks is ranked whole.
     """
     if brackets is None:
         brackets = df.agg(*[_bracket(c, accuracy).alias(c) for c in cols]).first().asDict()
     clamped = []
     for c in cols:
-        value = F.col(c).cast("double")
+        value = number(c)
         if brackets.get(c):
             low, high = brackets[c]
             value = F.when(value < low, F.lit(-math.inf)).when(value > high, F.lit(math.inf)).otherwise(value)
@@ -64,7 +70,13 @@ def medians(
     def at(position):
         return F.max(F.when((first < position) & (position <= F.col("cum_n")), F.col("value")))
 
-    return ranked.groupBy("feature").agg(((at(low) + at(high)) / 2).alias("median"))
+    found = ranked.groupBy("feature").agg(((at(low) + at(high)) / 2).alias("median"))
+    return _every(df, cols).join(found, "feature", "left")
+
+
+def _every(df: DataFrame, cols: list[str]) -> DataFrame:
+    """One row per feature."""
+    return df.sparkSession.createDataFrame([(c,) for c in cols], "feature string")
 
 
 def approximate_medians(df: DataFrame, cols: list[str], accuracy: int = 10000) -> DataFrame:
@@ -83,62 +95,62 @@ def fill_values(df: DataFrame, strategies: dict[str, str], accuracy: int = 10000
     middle = [c for c, s in strategies.items() if s == "median"]
     if not means and not middle:
         return out
-    facts = [F.avg(F.col(c).cast("double")).alias(c) for c in means] + [_bracket(c, accuracy).alias(c) for c in middle]
+    facts = [F.avg(number(c)).alias(c) for c in means] + [_bracket(c, accuracy).alias(c) for c in middle]
     row = df.agg(*facts).first()
     out.update({c: row[c] for c in means if row[c] is not None})
     if middle:
-        found = medians(df, middle, accuracy, {c: row[c] for c in middle})
-        out.update({r["feature"]: r["median"] for r in found.collect()})
+        found = {r["feature"]: r["median"] for r in medians(df, middle, accuracy, {c: row[c] for c in middle}).collect()}
+        wide = [c for c in middle if found[c] is not None and math.isinf(found[c])]
+        if wide:  # the bracket missed the middle, or the median is infinite: rank every value
+            found.update({r["feature"]: r["median"] for r in medians(df, wide, accuracy, {}).collect()})
+        out.update({c: v for c, v in found.items() if v is not None})
     return out
 
 
 def impute(df: DataFrame, strategies: dict[str, str], fit_on: DataFrame | None = None) -> DataFrame:
-    """Fill NULLs per feature by strategy zero / mean / median; `drop` removes the feature.
+    """Fill missing values (NULL, NaN) per feature by strategy zero / mean / median; `drop` removes the feature.
 
-    The values come from `fit_on` (the training part), or from the whole of df.
+    The values come from `fit_on` (the training part), or from the whole of df. A feature without values gets 0. df is
+    read several times, so it should be a stored table.
     """
     values = fill_values(df if fit_on is None else fit_on, strategies)
     out = df.drop(*[c for c, s in strategies.items() if s == "drop"])
-    return out.withColumns({c: F.coalesce(F.col(c).cast("double"), F.lit(v)) for c, v in values.items()})
+    return out.withColumns({c: F.coalesce(number(c), F.lit(v)) for c, v in values.items()})
 
 
 def correlation(df: DataFrame, cols: list[str]) -> DataFrame:
     """Pearson correlation of every pair as (feature_a, feature_b, corr), over rows where both are present.
 
-    Undefined correlations are 0. Columns that are no numbers are skipped. One scan: each row gives one record
-    per feature, summed map-side per feature and pattern of present columns. Within a pattern the same rows
-    count for every pair, so the sums of each feature are needed once, not once per pair. Values are taken
-    relative to an origin near them, so large offsets do not cancel.
+    Undefined correlations are 0: a constant column, or a pair that is never present together. Columns that are no
+    numbers are skipped; NaN and infinite values count as missing. Two scans: the means, and then one record per row
+    and feature, summed map-side to one row per feature, so what is shuffled is features squared. Values are taken
+    relative to the column's mean, so large offsets do not cancel.
     """
     cols = [c for c in cols if c in df.columns and isinstance(df.schema[c].dataType, NumericType)]
-    values = df.select(*[F.col(c).cast("double").alias(c) for c in cols])
-    # Any origin gives the same correlation; a mean of some rows is near enough to keep the digits.
-    origin = values.limit(1000).agg(*[F.coalesce(F.avg(c), F.lit(0.0)).alias(c) for c in cols]).first()
-    pattern = F.concat(*[F.when(F.col(c).isNull(), "0").otherwise("1") for c in cols])
-    moved = values.select(pattern.alias("pattern"), *[(F.col(c) - F.lit(origin[c])).alias(c) for c in cols])
-    pairs = F.array(*[F.struct(F.lit(c).alias("feature_a"), F.col(c).alias("_a")) for c in cols])
-    a = F.col("_a")
-    sums = moved.select("*", F.inline(pairs)).filter(a.isNotNull()).groupBy("pattern", "feature_a").agg(
-        F.count(F.lit(1)).alias("n"), F.sum(a).alias("a"), F.sum(a * a).alias("aa"),
-        *[F.sum(a * F.col(c)).alias(f"ab{i}") for i, c in enumerate(cols)])
-    # From here on rows are features x patterns.
-    own = F.struct("feature_a", F.struct("a", "aa"))
-    others = F.map_from_entries(F.collect_list(own).over(Window.partitionBy("pattern")))
-    b = F.array(*[F.struct(F.lit(c).alias("feature_b"), F.col(f"ab{i}").alias("ab")) for i, c in enumerate(cols)])
-    met = sums.withColumn("others", others).select("feature_a", "n", "a", "aa", "others", F.inline(b))
-    met = met.withColumn("b", F.try_element_at("others", F.col("feature_b"))).filter(F.col("b").isNotNull())
-    total = met.groupBy("feature_a", "feature_b").agg(
-        F.sum("n").alias("n"), F.sum("a").alias("a"), F.sum("b.a").alias("b"), F.sum("aa").alias("aa"),
-        F.sum("b.aa").alias("bb"), F.sum("ab").alias("ab"))
-    n, a, b = F.col("n"), F.col("a"), F.col("b")
-    # A constant column leaves only rounding noise in its variance.
-    var_a, var_b = n * F.col("aa") - a * a, n * F.col("bb") - b * b
-    noise = F.lit(1e-12) * n
-    spread = F.when((var_a > noise * F.col("aa")) & (var_b > noise * F.col("bb")), F.sqrt(var_a) * F.sqrt(var_b))
-    r = F.coalesce(F.try_divide(n * F.col("ab") - a * b, spread), F.lit(0.0))
-    known = total.select("feature_a", "feature_b", F.greatest(F.least(r, F.lit(1.0)), F.lit(-1.0)).alias("corr"))
-    # A pair that is never present together has no row; its correlation is 0.
-    every = df.sparkSession.createDataFrame([(x, y) for x in cols for y in cols], "feature_a string, feature_b string")
+    values = df.select(*[F.when(F.abs(number(c)) < math.inf, number(c)).alias(c) for c in cols])
+    mean = values.agg(*[F.coalesce(F.avg(c), F.lit(0.0)).alias(c) for c in cols]).first()
+    moved = values.select(*[(F.col(c) - F.lit(mean[c])).alias(c) for c in cols])
+    own = F.array(*[F.struct(F.lit(c).alias("feature_a"), F.col(c).alias("_a")) for c in cols])
+    a, sums = F.col("_a"), []
+    for i, c in enumerate(cols):
+        shared = F.when(F.col(c).isNotNull(), a)
+        sums += [F.count(shared).alias(f"n{i}"), F.sum(shared).alias(f"a{i}"), F.sum(shared * shared).alias(f"aa{i}"),
+                 F.sum(a * F.col(c)).alias(f"ab{i}"), (F.min(shared) < F.max(shared)).alias(f"varies{i}")]
+    found = moved.select("*", F.inline(own)).filter(a.isNotNull()).groupBy("feature_a").agg(*sums)
+    # From here on rows are features squared.
+    each = F.array(*[F.struct(F.lit(c).alias("feature_b"), *[F.col(f"{k}{i}").alias(k) for k in
+                                                             ("n", "a", "aa", "ab", "varies")])
+                     for i, c in enumerate(cols)])
+    one = found.select("feature_a", F.inline(each))
+    other = one.select(F.col("feature_a").alias("feature_b"), F.col("feature_b").alias("feature_a"),
+                       F.col("a").alias("b"), F.col("aa").alias("bb"), F.col("varies").alias("b_varies"))
+    n, x, y = F.col("n"), F.col("a"), F.col("b")
+    spread = F.sqrt(n * F.col("aa") - x * x) * F.sqrt(n * F.col("bb") - y * y)
+    r = F.when(F.col("varies") & F.col("b_varies"), F.try_divide(n * F.col("ab") - x * y, spread))
+    r = F.coalesce(F.when(~F.isnan(r), r), F.lit(0.0))
+    known = one.join(other, ["feature_a", "feature_b"]).select(
+        "feature_a", "feature_b", F.greatest(F.least(r, F.lit(1.0)), F.lit(-1.0)).alias("corr"))
+    every = df.sparkSession.createDataFrame([(p, q) for p in cols for q in cols], "feature_a string, feature_b string")
     full = every.join(known, ["feature_a", "feature_b"], "left")
     return full.select("feature_a", "feature_b", F.coalesce("corr", F.lit(0.0)).alias("corr"))
 

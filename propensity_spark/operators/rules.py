@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 import re
 from collections.abc import Iterable
 
@@ -13,7 +15,6 @@ from propensity_spark.functions.scalar import all_of, any_of, as_int, is_true, r
 from propensity_spark.sources.schemas import RULE_CONFIG
 
 NUMBER = r"^-?([0-9]+\.?[0-9]*|\.[0-9]+)$"
-RULES_PER_SCAN = 100
 
 # Default rules: name, category, product, conditions joined by AND (fixed values).
 DEFAULT_RULES = [
@@ -152,6 +153,7 @@ def rule_mask(types: dict[str, DataType], config: dict) -> Column:
 
 # ---- whole population
 
+# Fixed values.
 DPD_BUCKETS = ["0 DPD (Current)", "1-30 DPD", "31-60 DPD", "61-90 DPD", "90+ DPD"]
 
 
@@ -173,34 +175,30 @@ def dpd_buckets(df: DataFrame, delay: str = "payment_delay_days") -> DataFrame:
 def evaluate_rules(df: DataFrame, rules: list[dict], delay: str = "payment_delay_days") -> DataFrame:
     """One row per rule: population, matches, match rate and matches per delay bucket.
 
-    Rows are first reduced to one per delay bucket, so a scan carries one counter per rule, not one per rule and
-    bucket. The rules are configuration; beyond RULES_PER_SCAN of them a further scan is added.
+    One scan whatever the number of rules: each row lists the rules that fired, and the list is counted per rule and
+    delay bucket before the shuffle. What comes back is rules x buckets and is laid on the list of rules, so a rule
+    that never fired, and an empty population, give a row of zeros.
     """
     types = column_types(df)
     bucket = dpd_bucket(F.col(delay)) if delay in types else F.lit(-1)
-    out = None
-    for start in range(0, len(rules), RULES_PER_SCAN):
-        part = rules[start:start + RULES_PER_SCAN]
-        counts = df.groupBy(bucket.alias("bucket")).agg(
-            F.count(F.lit(1)).alias("n"),
-            *[F.count_if(rule_mask(types, r["rule_config"])).alias(f"m{i}") for i, r in enumerate(part)],
-        )
-        long = F.array(*[
-            F.struct(F.lit(r["model_id"]).alias("model_id"), F.lit(r["model_name"]).alias("model_name"),
-                     F.col(f"m{i}").alias("matched"))
-            for i, r in enumerate(part)
-        ])
-        rows = counts.select("bucket", "n", F.inline(long))
-        out = rows if out is None else out.unionByName(rows)
-    matched = F.sum("matched")
-    per_bucket = [F.sum(F.when(F.col("bucket") == i, F.col("matched")).otherwise(0)) for i in range(5)]
+    fired = [F.when(rule_mask(types, r["rule_config"]), F.lit(i)) for i, r in enumerate(rules)]
+    hits = F.explode(F.array_compact(F.array(F.lit(-1), *fired)))  # -1 counts the population
+    counts = df.select(bucket.alias("bucket"), hits.alias("rule")).groupBy("rule", "bucket").count()
+    in_bucket = [F.sum(F.when(F.col("bucket") == i, F.col("count")).otherwise(0)) for i in range(5)]
+    per_rule = counts.groupBy("rule").agg(F.sum("count").alias("n"), F.array(*in_bucket).alias("days"))
+    one = per_rule.agg(F.map_from_entries(F.collect_list(F.struct("rule", F.struct("n", "days")))).alias("found"))
+    listed = json.dumps([{"rule": i, "model_id": r["model_id"], "model_name": r["model_name"]}
+                         for i, r in enumerate(rules)])
+    kind = "array<struct<rule:int,model_id:string,model_name:string>>"
+    rows = one.select("found", F.inline(F.from_json(F.lit(listed), kind)))
+    total = F.coalesce(F.try_element_at("found", F.lit(-1))["n"], F.lit(0))
+    own = F.try_element_at("found", F.col("rule"))
+    matched = F.coalesce(own["n"], F.lit(0))
     names = ["dpd_0", "dpd_1_30", "dpd_31_60", "dpd_61_90", "dpd_over_90"]
-    return out.groupBy("model_id", "model_name").agg(
-        F.sum("n").alias("total_evaluated"),
-        matched.alias("matched_count"),
-        F.round(F.coalesce(ratio(matched, F.sum("n")), F.lit(0.0)), 4).alias("match_rate"),
-        *[c.alias(n) for c, n in zip(per_bucket, names)],
-    )
+    return rows.select(
+        "model_id", "model_name", total.alias("total_evaluated"), matched.alias("matched_count"),
+        F.round(F.coalesce(ratio(matched, total), F.lit(0.0)), 4).alias("match_rate"),
+        *[F.coalesce(F.get(own["days"], F.lit(i)), F.lit(0)).alias(n) for i, n in enumerate(names)])
 
 
 def rule_scores(df: DataFrame, rule: dict) -> DataFrame:

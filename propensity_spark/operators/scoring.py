@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from propensity_spark.operators.customer360 import customer_360, semi_joined
 from propensity_spark.operators.labels import hash_sample
 from propensity_spark.operators.metrics import THRESHOLD
 
@@ -42,12 +43,23 @@ def contributions(df: DataFrame, weights: dict[str, float], top: int = 3, signed
     })
 
 
+def batch_population(
+    base: DataFrame, parts: list[DataFrame], n: int, key: str = "customer_id", seed: int = 42
+) -> DataFrame:
+    """base LEFT JOIN each 1:1 part for a random cohort of n customers: keys are drawn from base before anything is
+    joined, and every part is reduced to them before it is aggregated."""
+    keys = hash_sample(base.select(key), key, n, seed)
+    return customer_360(semi_joined([base], keys, key)[0], semi_joined(parts, keys, key), key)
+
+
 def batch_score(
     population: DataFrame, n: int, model_id: str, product: str, weights: dict[str, float], intercept: float,
     run: str, key: str = "customer_id", seed: int = 42, scored_at: str | None = None,
 ) -> DataFrame:
     """Prediction-log rows for a random cohort of n customers, outcome pending. Ids repeat when a run is repeated.
 
+    A population that is assembled by joins should be assembled for sampled keys alone: see batch_population().
+
     With `scored_at` the rows carry the time the log is partitioned by.
     """
     scored = linear_score(hash_sample(population, key, n, seed), weights, intercept)

@@ -104,9 +104,13 @@ def request_log(events: DataFrame) -> DataFrame:
     )
 
 
+def details(t: Tables) -> list[DataFrame]:
+    return [credit_card_history(t), loan_details(t), investment_profiles(t)]
+
+
 def profile(t: Tables) -> DataFrame:
     """The 1:1 part of customer-360."""
-    return customer_360(demographics(t), [credit_card_history(t), loan_details(t), investment_profiles(t)])
+    return customer_360(demographics(t), details(t))
 
 
 def with_outcomes(t: Tables) -> DataFrame:
@@ -172,6 +176,18 @@ def audit_trail(t: Tables) -> DataFrame:
     )
 
 
+def semantic_metadata(t: Tables) -> DataFrame:
+    """Catalogue rows made of parts."""
+    size = F.col("p_size")
+    return t["part"].select(
+        F.concat(F.lit("meta_"), F.col("p_partkey").cast("string")).alias("meta_id"),
+        F.col("p_brand").alias("table_name"), F.when(size % 11 != 0, F.col("p_name")).alias("column_name"),
+        F.col("p_type").alias("data_type"), (size % 5 == 0).alias("is_primary_key"),
+        (size % 3 == 0).alias("is_foreign_key"), F.when(size % 2 == 0, F.col("p_brand")).alias("referenced_table"),
+        F.col("p_name").alias("business_definition"),
+        F.when(size > 25, "PII").otherwise("Public").alias("data_sensitivity"))
+
+
 def template_texts(t: Tables) -> DataFrame:
     """Template code built from part rows: with a list, with an empty list, and without one."""
     kind, word = F.lower("p_type"), F.element_at(F.split("p_name", " "), 1)
@@ -276,6 +292,12 @@ SELECT event_id AS seq, strftime(ts, '%Y-%m-%d %H:%M:%S') AS timestamp, 'user_'
     ELSE 'Traffic split updated: ' || event_type END AS action,
   event_type, event_id % 300 AS old_no, user_id % 20 AS new_no, props AS evidence, 'system' AS approved_by
 FROM events""",
+    "semantic_metadata": """
+SELECT 'meta_' || p_partkey AS meta_id, p_brand AS table_name, CASE WHEN p_size % 11 <> 0 THEN p_name END AS column_name,
+  p_type AS data_type, CASE WHEN p_size % 5 = 0 THEN 'Yes' ELSE 'No' END AS pk,
+  CASE WHEN p_size % 3 = 0 AND p_size % 2 = 0 THEN 'Yes (' || p_brand || ')' WHEN p_size % 3 = 0 THEN 'Yes' ELSE 'No' END
+    AS fk, p_name AS business_definition, CASE WHEN p_size > 25 THEN 'PII' ELSE 'Public' END AS data_sensitivity
+FROM part""",
     "template_texts": """
 SELECT p_partkey AS template_id, CASE p_partkey % 3
   WHEN 0 THEN 'import x' || chr(10) || 'selected_columns = [' || chr(10) || ' "age", ''' || lower(p_type) || ''', "'

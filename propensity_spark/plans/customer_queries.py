@@ -73,22 +73,43 @@ def cohort_count(t: Tables) -> DataFrame:
     return c360.cohort_count(b.with_outcomes(t), **COHORT)
 
 
-TEMPLATE = """SELECT d.customer_id, d.age, d.annual_income, d.credit_score, c.credit_limit, c.monthly_spend,
-  c.average_utilization, l.payment_delay_days, l.active_loans_count, l.total_outstanding_loan, l.monthly_loan_emi
+# The pull over all four tables; its columns and joins are fixed values.
+TEMPLATE = """SELECT d.customer_id, d.age, d.annual_income, d.credit_score,
+  c.credit_limit, c.monthly_spend, c.average_utilization, l.payment_delay_days,
+  l.active_loans_count, l.total_outstanding_loan, l.monthly_loan_emi,
+  i.mutual_fund_holdings, i.equity_portfolio_value, i.fixed_deposit_balance
 FROM demographics d LEFT JOIN credit_card_history c ON d.customer_id = c.customer_id
-LEFT JOIN loan_details l ON d.customer_id = l.customer_id WHERE {{COHORT_FILTERS}} ORDER BY d.customer_id"""
+LEFT JOIN loan_details l ON d.customer_id = l.customer_id
+LEFT JOIN investment_profiles i ON d.customer_id = i.customer_id
+WHERE {{COHORT_FILTERS}} ORDER BY d.customer_id"""
+PULLED = ["customer_id", "age", "annual_income", "credit_limit", "payment_delay_days", "mutual_fund_holdings",
+          "fixed_deposit_balance"]
 
 
-@query("""SELECT d.customer_id, age, annual_income, credit_limit, payment_delay_days
-FROM demographics d LEFT JOIN credit_card_history USING (customer_id) LEFT JOIN loan_details USING (customer_id)
-WHERE age BETWEEN 21 AND 65 AND annual_income >= 25000 AND credit_score >= 600""",
-       ["demographics", "credit_card_history", "loan_details"])
+@query(f"""SELECT {', '.join(PULLED)} FROM profile
+WHERE age BETWEEN 21 AND 65 AND annual_income >= 25000 AND credit_score >= 600""", ["profile"])
 def template_pull(t: Tables) -> DataFrame:
-    return template_query(
-        t.spark, TEMPLATE,
-        {"age_min": 21, "age_max": 65, "income_min": 25000.0, "credit_score_min": 600, "gender": "All"},
-        ["customer_id", "age", "annual_income", "credit_limit", "payment_delay_days"],
-        demographics=b.demographics(t), credit_card_history=b.credit_card_history(t), loan_details=b.loan_details(t))
+    """A view of the session with the name of a table of the template is neither read nor lost."""
+    t.spark.range(1).createOrReplaceTempView("demographics")
+    try:
+        out = template_query(
+            t.spark, TEMPLATE,
+            {"age_min": 21, "age_max": 65, "income_min": 25000.0, "credit_score_min": 600, "gender": "All"}, PULLED,
+            demographics=b.demographics(t), credit_card_history=b.credit_card_history(t),
+            loan_details=b.loan_details(t), investment_profiles=b.investment_profiles(t))
+        assert t.spark.table("demographics").columns == ["id"]
+    finally:
+        t.spark.catalog.dropTempView("demographics")
+    return out
+
+
+@query("""SELECT meta_id, table_name, column_name, pk, fk FROM semantic_metadata
+WHERE contains(lower(coalesce(table_name, '') || '|' || coalesce(column_name, '') || '|' || data_type || '|' || pk || '|'
+  || fk || '|' || business_definition || '|' || data_sensitivity), 'yes (')
+ORDER BY lower(coalesce(column_name, '')) DESC, meta_id LIMIT 25 OFFSET 25""", ["semantic_metadata"])
+def catalogue_search(t: Tables) -> DataFrame:
+    out = se.search_catalog(b.semantic_metadata(t), "YES (", "column_name", True, number=2)
+    return out.select("meta_id", "table_name", "column_name", "pk", "fk")
 
 
 @query("""SELECT customer_id, credit_score, annual_income, round(monthly_spend * 12.0 / nullif(annual_income, 0), 6)

@@ -165,6 +165,29 @@ def assign_traffic(t: Tables) -> DataFrame:
     return gv.assign_traffic(t["events"].select("event_id"), "event_id", "m_0", "m_9", 0.7).drop("shadow_model_id")
 
 
+@query("""SELECT event_id, mode, CASE WHEN mode = 'ab_split'
+  AND CAST('0x' || substr(md5(event_id || '|42'), 1, 8) AS BIGINT) % 10000 >= 7000 THEN 'm_9' ELSE 'm_0' END AS model_id,
+  CASE WHEN mode = 'shadow' THEN 'm_9' END AS shadow_model_id
+FROM events, (VALUES ('ab_split'), ('single'), ('shadow')) v(mode)""")
+def assign_traffic_modes(t: Tables) -> DataFrame:
+    requests, out = t["events"].select("event_id"), None
+    for mode in ("ab_split", "single", "shadow"):
+        rows = gv.assign_traffic(requests, "event_id", "m_0", "m_9", 0.7, mode).withColumn("mode", F.lit(mode))
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+@query(f"""SELECT 'model' AS part, model_id AS entry, CAST(roc_auc_rank AS VARCHAR) AS value FROM ({RANKS_SQL})
+UNION ALL SELECT 'champion', 'm_0', NULL UNION ALL SELECT 'setting', 'failover_mode', 'manual'
+UNION ALL SELECT 'setting', 'drift_threshold_psi', '0.25'
+UNION ALL SELECT 'setting', 'performance_threshold_auc', '0.75'
+UNION ALL SELECT 'audit', CAST(seq AS VARCHAR), action FROM (SELECT * FROM audit_trail ORDER BY seq DESC LIMIT 15)""",
+       ["registry_models", "audit_trail"])
+def registry_listing(t: Tables) -> DataFrame:
+    settings = {"failover_mode": "manual", "drift_threshold_psi": "0.25", "performance_threshold_auc": "0.75"}
+    return gv.registry_listing(b.registry_models(t), b.audit_trail(t), "m_0", settings)
+
+
 @query("""SELECT o_custkey, array_to_string(list_sort(list(DISTINCT o_orderstatus)), ', ') AS states,
   count(DISTINCT o_orderstatus) AS n FROM orders GROUP BY o_custkey""")
 def list_columns(t: Tables) -> DataFrame:

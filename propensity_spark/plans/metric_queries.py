@@ -13,7 +13,7 @@ from propensity_spark.operators.features import stress as stress_frame
 from propensity_spark.plans import bindings as b
 from propensity_spark.plans.registry import query
 from propensity_spark.plans.rule_queries import STRESS_SQL
-from propensity_spark.sources.readers import Tables
+from propensity_spark.sources.readers import Tables, stored
 
 # ---- evaluation
 
@@ -239,6 +239,14 @@ def feature_drift(t: Tables) -> DataFrame:
     return dr.feature_drift(_line_sides(t), "side", LINE_FEATURES)
 
 
+@query("WITH sides AS " + LINE_SIDES_SQL + _drift_sql("sides", ["l_tax"]) + """
+UNION ALL SELECT 'never', NULL, NULL, 0.0, 'Stable' FROM (SELECT 1)""")
+def feature_drift_empty(t: Tables) -> DataFrame:
+    """A feature without values, NaN at best, keeps its row."""
+    empty = F.when(F.col("l_linenumber") == 1, F.lit(float("nan"))).alias("never")
+    return dr.feature_drift(_line_sides(t).select("side", "l_tax", empty), "side", ["l_tax", "never"])
+
+
 STRESSED = ["credit_score", "average_utilization", "payment_delay_days"]
 
 
@@ -247,7 +255,7 @@ STRESSED = ["credit_score", "average_utilization", "payment_delay_days"]
   UNION ALL SELECT 'actual', credit_score, average_utilization, payment_delay_days FROM stressed)
 """ + _drift_sql("sides", STRESSED), ["profile"])
 def stressed_drift(t: Tables) -> DataFrame:
-    base = b.profile(t).select("customer_id", *STRESSED)
+    base = stored(b.profile(t).select("customer_id", *STRESSED), "profile")
     return dr.feature_drift(dr.two_sides(base, stress_frame(base, n=4000)), "side", STRESSED)
 
 
@@ -264,6 +272,24 @@ def metric_history(t: Tables) -> DataFrame:
     return out.withColumn("step", F.col("step").cast("string"))
 
 
+@query(f""", stepped AS (SELECT * EXCLUDE ({LABEL}), CAST(timestamp AS DATE) AS step,
+  CASE WHEN timestamp >= TIMESTAMP '2024-01-25' THEN -1 ELSE {LABEL} END AS {LABEL} FROM predictions),
+live AS (SELECT step, {SCORE}, 'actual' AS side FROM stepped),
+base AS (SELECT s.step, p.{SCORE}, 'expected' AS side FROM (SELECT DISTINCT step FROM stepped) s, predictions p
+  WHERE p.timestamp < TIMESTAMP '2024-01-11'),
+both_sides AS (FROM live UNION ALL FROM base),
+psis AS ({_psi_sql('both_sides', SCORE, 'step')}), metrics AS ({_metrics_sql('stepped', LABEL, SCORE, 'step')})
+SELECT CAST(step AS VARCHAR) AS step, coalesce(n_labelled, 0) AS n_labelled, coalesce(roc_auc, 0.5) AS roc_auc,
+  coalesce(pr_auc, 0.5) AS pr_auc, coalesce(log_loss, 0.693) AS log_loss, coalesce(ks_statistic, 0.0) AS ks_statistic, psi
+FROM psis LEFT JOIN metrics USING (step)""", ["predictions"])
+def metric_history_pending(t: Tables) -> DataFrame:
+    """The outcomes of the newest days are all pending."""
+    late = F.col("timestamp") >= F.lit("2024-01-25").cast("timestamp_ntz")
+    log = b.predictions(t).withColumn(LABEL, F.when(late, -1).otherwise(F.col(LABEL)))
+    out = dr.metric_history(log, LABEL, SCORE, "timestamp", "2024-01-11")
+    return out.select(F.col("step").cast("string"), "n_labelled", "roc_auc", "pr_auc", "log_loss", "ks_statistic", "psi")
+
+
 # ---- decisions
 
 def _live_metrics(t: Tables) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from propensity_spark.functions.session import scratch_path
 from propensity_spark.operators import models as md
 from propensity_spark.operators import scoring as sc
+from propensity_spark.operators.customer360 import FEATURES
 from propensity_spark.operators.metrics import score_summary as summary
 from propensity_spark.plans import bindings as b
 from propensity_spark.plans.customer_queries import TELEMETRY
@@ -56,6 +57,10 @@ def contributions(t: Tables) -> DataFrame:
                       *[(F.round(n, 6) + 0.0).alias(f"signed_{i}") for i, n in enumerate(names, 1)])
 
 
+def _batch(t: Tables) -> DataFrame:
+    return sc.batch_population(b.demographics(t), b.details(t), 250)
+
+
 COHORT_SQL = "(SELECT * FROM profile ORDER BY md5(customer_id || '|42'), customer_id LIMIT 250)"
 
 
@@ -65,7 +70,7 @@ COHORT_SQL = "(SELECT * FROM profile ORDER BY md5(customer_id || '|42'), custome
   {', '.join(f"{_top_sql(i, 'abs(x)')} AS explanation_coeff_{i}" for i in (1, 2, 3))},
   -1 AS is_conversion_successful FROM {COHORT_SQL}""", ["profile"])
 def batch_score(t: Tables) -> DataFrame:
-    out = sc.batch_score(b.profile(t), 250, "lin_reg_custom", "credit_card", WEIGHTS, INTERCEPT, "run-1")
+    out = sc.batch_score(_batch(t), 250, "lin_reg_custom", "credit_card", WEIGHTS, INTERCEPT, "run-1")
     return readers.normalise(out).withColumns(
         {f"explanation_coeff_{i}": F.col(f"explanation_coeff_{i}") + 0.0 for i in (1, 2, 3)})
 
@@ -73,7 +78,7 @@ def batch_score(t: Tables) -> DataFrame:
 @query(f"""SELECT count(*) AS scored_count, round(CAST(sum(CAST(round({LOGIT_SQL}, 4) AS DECIMAL(5,4))) AS DOUBLE)
   / count(*), 4) AS average_propensity_score FROM {COHORT_SQL}""", ["profile"])
 def batch_summary(t: Tables) -> DataFrame:
-    scored = sc.batch_score(b.profile(t), 250, "lin_reg_custom", "credit_card", WEIGHTS, INTERCEPT, "run-1")
+    scored = sc.batch_score(_batch(t), 250, "lin_reg_custom", "credit_card", WEIGHTS, INTERCEPT, "run-1")
     return summary(scored, "propensity_score")
 
 
@@ -82,13 +87,12 @@ def batch_summary(t: Tables) -> DataFrame:
 FAST = {"logistic_regression": {"max_iter": 50}, "xgboost": {"n_estimators": 5, "max_depth": 3},
         "catboost": {"iterations": 5, "depth": 4}, "random_forest": {"n_estimators": 10, "max_depth": 5},
         "pytorch_mlp": {"max_iter": 10}}
-INPUTS = ["age", "annual_income", "credit_score", "credit_limit", "monthly_spend", "average_utilization",
-          "total_outstanding_loan", "monthly_loan_emi"]
+INPUTS = FEATURES
 
 
 def _studio(t: Tables, algorithms: list[str]) -> md.Training:
     return md.train_studio(
-        b.profile(t), "defaulter", algorithms, [*INPUTS, "fixed_deposit_balance"],
+        b.profile(t), "defaulter", algorithms, INPUTS,
         {"credit_limit": "median", "monthly_spend": "mean", "fixed_deposit_balance": "zero"}, 0.7,
         tags={"auto_cure_max_dpd": 5}, group="segment", privileged="BUILDING", unprivileged="AUTOMOBILE", params=FAST)
 
@@ -116,7 +120,7 @@ def campaign_leads(t: Tables) -> DataFrame:
 
 @query()
 def shadow_scores(t: Tables) -> DataFrame:
-    df = md.campaign_labels(b.profile(t), "defaulter").persist()
+    df = readers.stored(md.campaign_labels(b.profile(t), "defaulter"), "labelled")
     models = [md.train(df, a, INPUTS, "label", FAST.get(a)) for a in ("linear_regression", "logistic_regression",
                                                                       "xgboost")]
     return md.long_scores(models, df, "xgb_custom", ["customer_id"])
@@ -124,11 +128,40 @@ def shadow_scores(t: Tables) -> DataFrame:
 
 @query()
 def model_explanations(t: Tables) -> DataFrame:
-    df = md.campaign_labels(b.profile(t), "defaulter").persist()
+    df = readers.stored(md.campaign_labels(b.profile(t), "defaulter"), "labelled")
     model = md.train(df, "random_forest", INPUTS, "label", FAST["random_forest"])
     return model.explain(df).select("customer_id", *[f"explanation_coeff_{i}" for i in (1, 2, 3)])
 
 
+@query("""SELECT round(regr_slope(CAST(annual_income >= 500000 AS DOUBLE), credit_score), 8) AS slope,
+  round(regr_intercept(CAST(annual_income >= 500000 AS DOUBLE), credit_score), 6) AS intercept FROM demographics""",
+       ["demographics"])
+def fitted_line(t: Tables) -> DataFrame:
+    """A linear model with one input is the least-squares line."""
+    people = b.demographics(t).withColumn("label", (F.col("annual_income") >= 500000).cast("int"))
+    line = md.train(people, "linear_regression", ["credit_score"], "label").fitted.stages[-1]
+    return t.spark.createDataFrame([(round(float(line.coefficients[0]), 8), round(float(line.intercept), 6))],
+                                   "slope double, intercept double")
+
+
+@query("""SELECT model_id, CASE WHEN p_partkey % 3 = 0 THEN 5 ELSE 0 END AS n_metrics, p_partkey % 3 = 1 AS failed
+FROM (SELECT 'm_' || p_partkey AS model_id, p_partkey FROM part WHERE p_partkey < 6)""")
+def registered_training(t: Tables) -> DataFrame:
+    """Of six registered models two are fitted, two have a parameter that is no number, two an unknown algorithm."""
+    key = F.col("p_partkey")
+    empty = F.create_map().cast("map<string,double>")
+    registry = t["part"].filter("p_partkey < 6").select(
+        F.concat(F.lit("m_"), key.cast("string")).alias("model_id"), key.alias("seq"),
+        F.when(key % 3 == 0, "Linear Regression").when(key % 3 == 1, "XGBoost").otherwise("Prophet")
+        .alias("algorithm_type"), F.lit("ML").alias("model_category"),
+        F.create_map(F.lit("max_depth"), F.lit("deep")).alias("hyperparameters"), empty.alias("baselines"),
+        empty.alias("live_metrics"))
+    people = readers.stored(b.demographics(t).withColumn("label", (F.col("annual_income") >= 500000).cast("int")),
+                            "people")
+    _, out = md.train_registered(registry, people, ["age", "credit_score"], "label")
+    return out.select("model_id", F.size("baselines").alias("n_metrics"), F.col("error").isNotNull().alias("failed"))
+
+
 # ---- files
 
 @query("""SELECT c_custkey, c_name, c_acctbal, CASE WHEN c_nationkey % 5 <> 0 THEN CAST(c_nationkey AS DOUBLE) END AS c_nationkey,
@@ -162,16 +195,17 @@ def _log_stream(t: Tables) -> DataFrame:
     return b.request_log(jobs.file_stream(t.spark, t.folder, "events"))
 
 
-@query("""SELECT log_id, endpoint, '{"k":"********"}' AS payload_summary FROM request_log""", ["request_log"])
+@query("""SELECT log_id, endpoint, CASE WHEN json_exists(payload_summary, '$.k') THEN '{"k":"********"}'
+  ELSE payload_summary END AS payload_summary FROM request_log""", ["request_log"])
 def stream_masked_log(t: Tables) -> DataFrame:
-    rows = jobs.masked_log(_log_stream(t), ["k"], delay="60 days")
+    rows = jobs.masked_log(_log_stream(t), ["k"], delay="1 day")
     return jobs.run_append(rows.select("log_id", "endpoint", "payload_summary"), "masked")
 
 
 @query(f"""SELECT strftime(date_trunc('day', timestamp), '%Y-%m-%d') AS window_start, endpoint, {TELEMETRY}
 FROM request_log GROUP BY ALL""", ["request_log"])
 def stream_telemetry(t: Tables) -> DataFrame:
-    out = jobs.run_complete(jobs.windowed_telemetry(_log_stream(t)), "telemetry")
+    out = jobs.run_update(jobs.windowed_telemetry(_log_stream(t)), "telemetry", ["window_start", "endpoint"])
     return out.withColumn("window_start", F.date_format("window_start", "yyyy-MM-dd"))
 
 
@@ -191,7 +225,7 @@ def stream_psi(t: Tables) -> DataFrame:
     early = b.predictions(t).filter(F.col("timestamp") < F.lit("2024-01-16").cast("timestamp_ntz"))
     baseline = jobs.score_baseline(early, SCORE)
     live = b.predictions({"events": jobs.file_stream(t.spark, t.folder, "events")})
-    out = jobs.run_complete(jobs.windowed_psi(live, SCORE, "timestamp", baseline), "psi")
+    out = jobs.run_update(jobs.windowed_psi(live, SCORE, "timestamp", baseline), "psi", ["window_start"])
     return out.withColumn("window_start", F.date_format("window_start", "yyyy-MM-dd"))
 
 
@@ -201,6 +235,6 @@ FROM (SELECT event_id AS log_id, user_id AS customer_id FROM events) LEFT JOIN p
 def stream_scores(t: Tables) -> DataFrame:
     events = jobs.file_stream(t.spark, t.folder, "events")
     requests = events.select(F.col("event_id").alias("log_id"), F.col("user_id").alias("customer_id"))
-    out = jobs.scored_requests(requests, b.profile(t), WEIGHTS, INTERCEPT)
+    out = jobs.scored_requests(requests, readers.stored(b.profile(t), "profile"), WEIGHTS, INTERCEPT)
     out = out.select("log_id", "customer_id", F.round("score", 6).alias("score"), "predicted_label")
     return jobs.run_append(out, "scores")

@@ -13,7 +13,7 @@ from propensity_spark.operators.customer360 import FEATURES
 from propensity_spark.operators.leads import top_leads
 from propensity_spark.plans import bindings as b
 from propensity_spark.plans.registry import query
-from propensity_spark.sources.readers import Tables
+from propensity_spark.sources.readers import Tables, stored
 
 # ---- rules
 
@@ -164,7 +164,7 @@ FROM profile""", ["profile"])
 def impute(t: Tables) -> DataFrame:
     used = ["mutual_fund_holdings", "equity_portfolio_value", "fixed_deposit_balance", "payment_delay_days",
             "monthly_sip_amount"]
-    out = pr.impute(b.profile(t).select("customer_id", "age", *used), {
+    out = pr.impute(stored(b.profile(t).select("customer_id", "age", *used), "features"), {
         "mutual_fund_holdings": "zero", "equity_portfolio_value": "mean", "fixed_deposit_balance": "median",
         "payment_delay_days": "median", "monthly_sip_amount": "drop"})
     return out.withColumn("equity_portfolio_value", F.round("equity_portfolio_value", 4))
@@ -178,6 +178,32 @@ def feature_medians(t: Tables) -> DataFrame:
     return pr.medians(t["lineitem"], LINE_COLUMNS)
 
 
+@query("""SELECT 'l_quantity' AS feature, median(l_quantity) AS median FROM lineitem WHERE l_linenumber > 1
+UNION ALL SELECT 'nothing', NULL""")
+def medians_with_nan(t: Tables) -> DataFrame:
+    """NaN counts as missing, and a feature without values keeps its row."""
+    nan = F.lit(float("nan"))
+    lines = t["lineitem"].select(F.when(F.col("l_linenumber") > 1, F.col("l_quantity")).otherwise(nan).alias("l_quantity"),
+                                 F.when(F.col("l_linenumber") > 1, nan).alias("nothing"))
+    return pr.medians(lines, ["l_quantity", "nothing"])
+
+
+@query("""SELECT l_orderkey, l_linenumber, coalesce(CASE WHEN l_linenumber > 2 THEN l_quantity END, m.q) AS l_quantity
+FROM lineitem, (SELECT avg(l_quantity) AS q FROM lineitem WHERE l_linenumber > 2) m""")
+def impute_nan(t: Tables) -> DataFrame:
+    known = F.when(F.col("l_linenumber") > 2, F.col("l_quantity")).otherwise(F.lit(float("nan")))
+    lines = t["lineitem"].select("l_orderkey", "l_linenumber", known.alias("l_quantity"))
+    return pr.impute(lines, {"l_quantity": "mean"})
+
+
+@query(f"""SELECT model_id, model_name, 0 AS total_evaluated, 0 AS matched_count, 0.0 AS match_rate, 0 AS dpd_0,
+  0 AS dpd_1_30, 0 AS dpd_31_60, 0 AS dpd_61_90, 0 AS dpd_over_90 FROM (VALUES {', '.join(
+      f"('{r['model_id']}', '{r['model_name']}')" for r in ALL_RULES)}) v(model_id, model_name)""")
+def rule_run_of_nobody(t: Tables) -> DataFrame:
+    """A cohort without rows gives every rule a row."""
+    return ru.evaluate_rules(b.profile(t).filter("age > 200"), ALL_RULES)
+
+
 def _lines(t: Tables) -> DataFrame:
     """Line figures with a constant column and one that is missing for a part of the rows."""
     return t["lineitem"].select(
@@ -199,6 +225,46 @@ def correlation(t: Tables) -> DataFrame:
     return pr.correlation(_lines(t), CORR_COLUMNS).withColumn("corr", F.round("corr", 6))
 
 
+FAR = ["late", "near", "l_tax"]
+
+
+@query(""", far AS (SELECT CASE WHEN l_orderkey > 500 THEN 1e7 + l_quantity END AS late,
+  l_quantity + l_tax * 10 AS near, l_tax FROM lineitem)
+""".replace(", far", "WITH far", 1) + " UNION ALL ".join(
+    f"SELECT '{x}' AS feature_a, '{y}' AS feature_b, round(corr({x}, {y}), 5) + 0.0 AS corr FROM far"
+    for x in FAR for y in FAR))
+def correlation_far(t: Tables) -> DataFrame:
+    """A column that starts with missing rows and lies far from 0."""
+    late = F.when(F.col("l_orderkey") > 500, F.col("l_quantity") + 1e7).alias("late")
+    near = (F.col("l_quantity") + F.col("l_tax") * 10).alias("near")
+    out = pr.correlation(t["lineitem"].select(late, near, "l_tax"), FAR)
+    return out.withColumn("corr", F.round("corr", 5))
+
+
+def _copies(t: Tables) -> DataFrame:
+    """`double` and `less` say what l_quantity says."""
+    q = F.col("l_quantity")
+    return t["lineitem"].select("l_orderkey", "l_linenumber", "l_quantity", (q * 2).alias("double"),
+                                (F.lit(100) - q).alias("less"), "l_tax")
+
+
+COPIES = ["l_quantity", "double", "l_tax", "less"]
+
+
+@query("""SELECT * FROM (VALUES (1, 'l_quantity', 'l_quantity', 1), (1, 'double', 'l_quantity', 0),
+  (1, 'less', 'l_quantity', 0), (2, 'l_tax', 'l_tax', 1)) v(cluster_id, feature, representative, is_representative)""")
+def clusters_of_copies(t: Tables) -> DataFrame:
+    out = pr.feature_clusters(pr.correlation(_copies(t), COPIES), COPIES)
+    return out.withColumn("is_representative", F.col("is_representative").cast("int"))
+
+
+@query("SELECT l_orderkey, l_linenumber, l_quantity, l_tax FROM lineitem")
+def representatives(t: Tables) -> DataFrame:
+    lines = _copies(t)
+    clusters = pr.feature_clusters(pr.correlation(lines, COPIES), COPIES)
+    return pr.keep_representatives(lines, clusters, ["l_orderkey", "l_linenumber"])
+
+
 @query()
 def feature_clusters(t: Tables) -> DataFrame:
     return pr.feature_clusters(pr.correlation(_lines(t), CORR_COLUMNS), CORR_COLUMNS)
@@ -270,16 +336,32 @@ FROM profile)
 
 
 def _stress_base(t: Tables) -> DataFrame:
-    return b.profile(t).select("customer_id", "credit_score", "average_utilization", "payment_delay_days")
+    """A third of the customers have no card."""
+    usage = F.when(F.col("customer_id") % 3 != 0, F.col("average_utilization")).alias("average_utilization")
+    return stored(b.profile(t).select("customer_id", "credit_score", usage, "payment_delay_days"), "stress")
 
 
-@query(STRESS_SQL + """SELECT customer_id, credit_score, round(average_utilization, 6) AS average_utilization,
+@query(STRESS_SQL + """SELECT customer_id, credit_score,
+  CASE WHEN customer_id % 3 <> 0 THEN round(average_utilization, 6) END AS average_utilization,
   payment_delay_days FROM stressed""", ["profile"])
 def stress(t: Tables) -> DataFrame:
     out = ft.stress(_stress_base(t), n=400)
     return out.withColumn("average_utilization", F.round("average_utilization", 6))
 
 
+@query(STRESS_SQL.split("stressed AS")[0] + """stressed AS (SELECT customer_id,
+  CASE WHEN customer_id IN (FROM s) THEN least(850, credit_score + 110) ELSE credit_score END AS credit_score,
+  CASE WHEN customer_id IN (FROM c) THEN average_utilization / CAST(1.35 AS DOUBLE) ELSE average_utilization END
+    AS average_utilization,
+  CASE WHEN customer_id IN (FROM c) AND payment_delay_days IS NOT NULL THEN greatest(0, payment_delay_days - 15)
+    ELSE payment_delay_days END AS payment_delay_days FROM profile)
+SELECT customer_id, credit_score, CASE WHEN customer_id % 3 <> 0 THEN round(average_utilization, 6) END
+  AS average_utilization, payment_delay_days FROM stressed""", ["profile"])
+def stress_inverse(t: Tables) -> DataFrame:
+    out = ft.stress(_stress_base(t), ft.BETTER, n=400)
+    return out.withColumn("average_utilization", F.round("average_utilization", 6))
+
+
 @query("""SELECT user_id AS customer_id, event_id FROM events WHERE user_id IN (
   SELECT c_custkey FROM customer ORDER BY md5(c_custkey || '|3'), c_custkey LIMIT 500)""")
 def cohort_by_keys(t: Tables) -> DataFrame:

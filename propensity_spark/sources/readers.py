@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DecimalType, StringType
 
-from propensity_spark.sources.schemas import DRIVER_TABLES
+from propensity_spark.functions.session import scratch_path
+from propensity_spark.sources.schemas import BANK_TABLES, DRIVER_TABLES
 
 NULL_TEXT = "\\N"
 
@@ -24,16 +25,36 @@ class Tables:
         return self.spark.read.schema(DRIVER_TABLES[name]).parquet(f"{self.folder}/{name}.parquet")
 
 
+def bank_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """One of the bank's own tables as parquet, with its declared schema."""
+    return spark.read.schema(BANK_TABLES[name]).parquet(f"{folder}/{name}.parquet")
+
+
+def key_predicates(key: str, bounds: list[str]) -> list[str]:
+    """Conditions that cut a table at ascending key bounds, text or numbers: every row, NULL keys too, is in one."""
+    def quoted(value: str) -> str:
+        return "'" + str(value).replace("'", "''") + "'"
+
+    cuts = sorted(set(map(str, bounds)))
+    if not cuts:
+        return ["1 = 1"]
+    inner = [f"{key} >= {quoted(a)} AND {key} < {quoted(b)}" for a, b in zip(cuts, cuts[1:])]
+    return [f"{key} < {quoted(cuts[0])} OR {key} IS NULL", *inner, f"{key} >= {quoted(cuts[-1])}"]
+
+
 def read_jdbc(
-    spark: SparkSession, url: str, table: str, key: str, lower: int, upper: int, partitions: int, **options: str
+    spark: SparkSession, url: str, table: str, key: str, bounds: list[str] | tuple[int, int, int], **options: str
 ) -> DataFrame:
-    """A relational table read in parallel key ranges; filters and column lists are pushed to the database."""
-    return (
-        spark.read.format("jdbc")
-        .options(url=url, dbtable=table, partitionColumn=key, lowerBound=str(lower), upperBound=str(upper),
-                 numPartitions=str(partitions), **options)
-        .load()
-    )
+    """A relational table read in parallel; filters and column lists are pushed to the database.
+
+    `bounds` is a list of key values to cut at, for text keys, or (lowest, highest, parts) of a number.
+    """
+    if isinstance(bounds, tuple):
+        lower, upper, parts = map(str, bounds)
+        reader = spark.read.format("jdbc").options(url=url, dbtable=table, partitionColumn=key, lowerBound=lower,
+                                                   upperBound=upper, numPartitions=parts, **options)
+        return reader.load()
+    return spark.read.jdbc(url, table, predicates=key_predicates(key, bounds), properties=options)
 
 
 def normalise(df: DataFrame) -> DataFrame:
@@ -80,8 +101,12 @@ def load_tsv(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def append_log(df: DataFrame, path: str, time: str = "timestamp") -> None:
-    """Append scored or request rows to a log partitioned by day."""
-    df.withColumn("day", F.to_date(time)).write.mode("append").partitionBy("day").parquet(path)
+    """Append scored or request rows to a log partitioned by day.
+
+    Rows of a day are brought together first, so a day gets few files; a large day is split by its size.
+    """
+    rows = df.withColumn("day", F.to_date(time))
+    rows.hint("rebalance", F.col("day")).write.mode("append").partitionBy("day").parquet(path)
 
 
 def save_bucketed(df: DataFrame, table: str, key: str, buckets: int) -> None:
@@ -89,6 +114,13 @@ def save_bucketed(df: DataFrame, table: str, key: str, buckets: int) -> None:
     df.repartition(buckets, key).write.mode("overwrite").bucketBy(buckets, key).sortBy(key).saveAsTable(table)
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """df written once to the shared folder and read back: for frames that several passes read."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def preview(df: DataFrame, rows: int = 10, with_count: bool = False) -> tuple[list[str], DataFrame, int | None]:
     """Column names, a few rows, and the row count only when asked for."""
     return df.columns, df.limit(rows), df.count() if with_count else None

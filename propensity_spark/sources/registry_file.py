@@ -1,15 +1,32 @@
-"""The model registry document (JSON) as frames: one row per model, rule and audit entry."""
+"""The model registry document (JSON) as frames: one row per model, rule and audit entry, and its settings."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from propensity_spark.sources.schemas import REGISTRY
 
+#: Parts of the document that are a single entry.
+SINGLE = ["settings", "active_routing", "traffic_split"]
+#: Parts that are many entries by id, by the name of their frame.
+MANY = {"models": "models", "rule_models": "rule_models"}
+
+
+def _kind(spark: SparkSession) -> StructType:
+    return spark.createDataFrame([], REGISTRY).schema
+
+
+def _by_place(a: Column, b: Column) -> Column:
+    return F.when(a["seq"] < b["seq"], -1).when(a["seq"] > b["seq"], 1).otherwise(0)
+
 
 def load_registry(spark: SparkSession, path: str, default_rules: DataFrame | None = None) -> dict[str, DataFrame]:
-    """Frames `models`, `rule_models`, `audit`. Missing rules are filled with `default_rules`."""
+    """Frames `models`, `rule_models`, `audit`, and `settings`, `active_routing`, `traffic_split` of one row each.
+
+    Missing rules are filled with `default_rules`; a missing single entry is a row of NULLs.
+    """
     doc = spark.read.schema(REGISTRY).json(path, multiLine=True)
 
     def entries(name: str) -> DataFrame:
@@ -23,10 +40,38 @@ def load_registry(spark: SparkSession, path: str, default_rules: DataFrame | Non
     rules = entries("rule_models")
     if default_rules is not None and doc.filter(F.col("rule_models").isNull()).limit(1).count():
         rules = default_rules
-    return {"models": entries("models"), "rule_models": rules, "audit": audit}
+    return {"models": entries("models"), "rule_models": rules, "audit": audit,
+            **{name: doc.select(f"{name}.*") for name in SINGLE}}
+
+
+def save_registry(frames: dict[str, DataFrame], path: str) -> None:
+    """Write the frames of load_registry() as one document that it reads back alike.
+
+    The document is configuration: every model, rule and audit entry of it is one JSON value.
+    """
+    spark = frames["models"].sparkSession
+    kind = _kind(spark)
 
+    def entry(frame: DataFrame, fields: list[str]) -> Column:
+        return F.struct(*[F.col(f) if f in frame.columns else F.lit(None).alias(f) for f in fields])
 
-def save_registry(models: DataFrame, rule_models: DataFrame, audit: DataFrame, path: str) -> None:
-    """Write each frame as JSON lines under its own folder."""
-    for name, frame in (("models", models), ("rule_models", rule_models), ("audit_log", audit)):
-        frame.write.mode("overwrite").json(f"{path}/{name}")
+    doc = spark.range(1).select(F.lit(1).alias("_one"))
+    for name, frame_name in MANY.items():
+        frame = frames[frame_name]
+        value = entry(frame, kind[name].dataType.valueType.names).cast(kind[name].dataType.valueType)
+        listed = F.array_sort(F.collect_list(F.struct("seq", "model_id", value.alias("value"))), _by_place)
+        one = frame.agg(listed.alias("rows")).select(F.lit(1).alias("_one"), F.map_from_entries(F.transform(
+            "rows", lambda r: F.struct(r["model_id"], r["value"]))).alias(name))
+        doc = doc.join(one, "_one")
+    audit = frames["audit"]
+    value = entry(audit, kind["audit_log"].dataType.elementType.names).cast(kind["audit_log"].dataType.elementType)
+    listed = F.array_sort(F.collect_list(F.struct("seq", value.alias("value"))), _by_place)
+    doc = doc.join(audit.agg(listed.alias("rows")).select(
+        F.lit(1).alias("_one"), F.transform("rows", lambda r: r["value"]).alias("audit_log")), "_one")
+    for name in SINGLE:
+        if name in frames:
+            fields = kind[name].dataType
+            one = frames[name].limit(1).select(F.lit(1).alias("_one"), entry(frames[name], fields.names).cast(fields)
+                                               .alias(name))
+            doc = doc.join(one, "_one", "left")
+    doc.drop("_one").coalesce(1).write.mode("overwrite").json(path)

@@ -42,7 +42,9 @@ BANK_TABLES = {
 RULE_CONFIG = "struct<logic:string,conditions:array<struct<feature:string,operator:string,value:string>>>"
 
 REGISTRY = f"""
+    settings struct<failover_mode:string,drift_threshold_psi:double,performance_threshold_auc:double>,
     active_routing struct<champion_id:string>,
+    traffic_split struct<mode:string,champion_ratio:double,challenger_ratio:double,selected_challenger_id:string>,
     models map<string,struct<model_id:string,algorithm_type:string,version:string,status:string,
         model_category:string,serving_path:string,created_at:string,hyperparameters:map<string,string>,
         baselines:map<string,double>,live_metrics:map<string,double>>>,

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from propensity_spark.operators import customer360 as c
 from propensity_spark.operators import leads, search
-from propensity_spark.operators.templates import cohort_clause, template_features, template_query
+from propensity_spark.operators.templates import cohort_clause, template_features, template_preview, template_query
 from tests.conftest import rows
 
 DAY = dt.datetime(2024, 1, 1)
@@ -29,19 +29,15 @@ def test_customer_without_history_keeps_a_row_of_nulls(base, frame):
     assert out == {"a": 5.0, "b": None, "c": None}
 
 
-@pytest.mark.parametrize("hot_rows", [2, 15, 1000])
-def test_fan_out_is_a_left_join_whatever_is_salted(base, log, hot_rows):
+def test_fan_out_is_a_left_join_and_runs_nothing(base, log, spark):
     want = sorted(rows(base.join(log, "customer_id", "left")), key=str)
-    out = c.fan_out(base, log, "customer_id", hot_rows)
+    before = spark.sparkContext.statusTracker().getJobIdsForGroup(None)
+    out = c.fan_out(base, log, "customer_id")
+    assert spark.sparkContext.statusTracker().getJobIdsForGroup(None) == before
     assert sorted(rows(out), key=str) == want
     assert out.columns == base.join(log, "customer_id", "left").columns
 
 
-def test_hot_keys_are_the_largest_first(log):
-    assert c.hot_keys(log, "customer_id", 5) == ["a", "b"]
-    assert c.hot_keys(log, "customer_id", 1000) == []
-
-
 def test_latest_keeps_one_row_per_customer(base, log):
     out = c.customer_360(base, [], log=log, latest=("timestamp", "prediction_id")).collect()
     assert {r["customer_id"]: r["prediction_id"] for r in out} == {"a": 29, "b": 27, "c": None}
@@ -102,9 +98,23 @@ def test_features_become_double_and_bad_text_null(frame):
 
 def test_template_text_and_bound_values():
     text, args = cohort_clause({"age_min": 21, "age_max": 65, "income_min": 25000, "credit_score_min": 600})
-    assert "d.age BETWEEN :age_min AND :age_max" in text and "25000" not in text
-    assert args == {"age_min": 21, "age_max": 65, "income_min": 25000, "credit_score_min": 600}
-    assert cohort_clause({"age_min": 21, "income_min": 0, "credit_score_min": 300, "gender": "All"}) == ("1=1", {})
+    assert text == ("d.age >= :minimum_age AND d.annual_income >= :minimum_annual_income AND "
+                    "d.credit_score >= :minimum_credit_score AND d.age <= :maximum_age")
+    assert args == {"minimum_age": 21, "maximum_age": 65, "minimum_annual_income": 25000, "minimum_credit_score": 600}
+    assert cohort_clause({"age_min": 21, "income_min": 0, "credit_score_min": 300, "gender": "All"}) == ("TRUE", {})
+    assert cohort_clause({"income_min": None, "gender": None}) == ("TRUE", {})
+
+
+def test_template_leaves_views_of_the_session_alone(spark, base):
+    spark.range(3).createOrReplaceTempView("people")
+    out = template_query(spark, "WITH x AS (SELECT * FROM people) SELECT d.customer_id FROM x d WHERE {{COHORT_FILTERS}}",
+                         {}, people=base)
+    assert out.count() == base.count() and spark.table("people").count() == 3
+    spark.catalog.dropTempView("people")
+    look = template_preview(spark, "SELECT d.age FROM people d WHERE {{COHORT_FILTERS}};", {"gender": "Male"},
+                            with_count=True, people=base)
+    assert look["sql"] == "SELECT d.age FROM people d WHERE d.gender = :equals_gender;" and look["columns"] == ["age"]
+    assert look["values"] == {"equals_gender": "Male"} and look["total"] == look["rows"].count() == 1
 
 
 def test_template_value_is_no_sql(spark, base):

@@ -91,11 +91,32 @@ def test_medians_are_exact(wide, n):
     df = df.limit(n) if n < 801 else df.repartition(7)
     for accuracy in (10000, 20):
         got = {r["feature"]: r["median"] for r in pr.medians(df, [*cols, "empty"], accuracy).collect()}
-        assert got == {c: want[c] for c in cols}
+        assert got == {c: want[c] for c in cols} | {"empty": None}
     rough = {r["feature"]: r["median"] for r in pr.approximate_medians(df, cols).collect()}
     assert abs(rough["a"] - want["a"]) < 0.1
 
 
+def test_nan_is_missing_and_infinite_medians_are_ranked(frame):
+    nan, inf = float("nan"), float("inf")
+    df = frame([(1.0, nan, inf), (nan, 4.0, inf), (3.0, 10.0, 1.0)], "a double, b double, c double")
+    assert {r["feature"]: r["median"] for r in pr.medians(df, ["a", "b"]).collect()} == {"a": 2.0, "b": 7.0}
+    assert {r["feature"]: r["null_count"] for r in pr.missing_stats(df, ["a", "b", "c"]).collect()} == {
+        "a": 1, "b": 1, "c": 0}
+    assert rows(pr.impute(df, {"a": "mean", "b": "median", "c": "median"})) == [
+        (1.0, 7.0, inf), (2.0, 4.0, inf), (3.0, 10.0, 1.0)]
+    assert pr.fill_values(df, {"c": "median"}) == {"c": inf}
+
+
+@pytest.mark.parametrize("ascending", [True, False])
+def test_correlation_far_from_zero_in_any_order(spark, ascending):
+    ids = spark.range(6500).coalesce(1).orderBy(F.col("id") if ascending else F.col("id").desc())
+    df = ids.select(F.when(F.col("id") >= 1500, F.col("id") % 97 + 1e7).alias("x"),
+                    F.when(F.col("id") >= 1500, F.col("id") % 97 * 2 + F.col("id") % 5).alias("y"))
+    pdf = df.toPandas()
+    got = {(r["feature_a"], r["feature_b"]): r["corr"] for r in pr.correlation(df, ["x", "y"]).collect()}
+    assert got["x", "y"] == pytest.approx(pdf["x"].corr(pdf["y"]), abs=1e-9) and got["x", "x"] == pytest.approx(1.0)
+
+
 def test_missing_and_imputation(frame):
     df = frame([(1.0, None, 3.0, None), (None, 4.0, 5.0, None), (3.0, 10.0, None, None)], "a double, b double, c double, e double")
     got = {r["feature"]: (r["null_count"], r["null_share"]) for r in pr.missing_stats(df, ["a", "e", "zz"]).collect()}

@@ -115,7 +115,9 @@ def test_registry_document(spark, tmp_path):
     rule = {"model_name": "R", "rule_config": {"logic": "AND", "conditions": [
         {"feature": "age", "operator": ">=", "value": 21}, {"feature": "code", "operator": "in", "value": "a,b"}]},
         "performance_summary": {"gini": 0.5}}
-    doc = {"active_routing": {"champion_id": "m1"}, "models": {"m1": entry, "m2": {"status": "challenger"}},
+    doc = {"active_routing": {"champion_id": "m1"}, "settings": {"failover_mode": "manual", "drift_threshold_psi": 0.25},
+           "traffic_split": {"mode": "shadow", "champion_ratio": 1.0, "selected_challenger_id": "m2"},
+           "models": {"m1": entry, "m2": {"status": "challenger"}},
            "rule_models": {"rule_1": rule}, "audit_log": [{"action": "one"}, {"action": "two"}]}
     path = tmp_path / "registry.json"
     path.write_text(json.dumps(doc, indent=2))
@@ -125,8 +127,13 @@ def test_registry_document(spark, tmp_path):
     found = frames["rule_models"].first()
     assert found["model_id"] == "rule_1" and found["rule_config"]["conditions"][0]["value"] == "21"
     assert [r["action"] for r in frames["audit"].orderBy("seq").collect()] == ["one", "two"]
-    save_registry(frames["models"], frames["rule_models"], frames["audit"], str(tmp_path / "out"))
-    assert spark.read.json(str(tmp_path / "out" / "models")).count() == 2
+    assert frames["settings"].first()["drift_threshold_psi"] == 0.25
+    save_registry(frames, str(tmp_path / "out"))
+    again = load_registry(spark, str(tmp_path / "out"))
+    assert set(again) == set(frames)
+    for name, frame in frames.items():
+        assert sorted(map(repr, again[name].collect())) == sorted(map(repr, frame.collect())), name
+        assert again[name].schema.simpleString() == frame.schema.simpleString()
     bare = tmp_path / "bare.json"
     bare.write_text(json.dumps({k: v for k, v in doc.items() if k != "rule_models"}))
     filled = load_registry(spark, str(bare), default_rules=frames["rule_models"].withColumn("seq", F.lit(9)))

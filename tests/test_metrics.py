@@ -170,7 +170,8 @@ def test_feature_drift_status_and_odd_features(spark):
                                     F.lit(2.0).alias("fixed"), F.lit(None).cast("double").alias("empty"))
     live = base.withColumn("moved", F.col("moved") + 60)
     got = {r["feature"]: r for r in dr.feature_drift(dr.two_sides(base, live), "side", base.columns).collect()}
-    assert set(got) == {"same", "moved", "fixed"}
+    assert set(got) == {"same", "moved", "fixed", "empty"}
+    assert tuple(got["empty"])[1:] == (None, None, 0.0, "Stable")
     assert got["same"]["psi"] == 0.0 and got["same"]["status"] == "Stable"
     assert got["moved"]["status"] == "Critical" and got["moved"]["live_mean"] == 109.5
     assert got["fixed"]["psi"] == 0.0

@@ -3,6 +3,7 @@ import itertools
 import pytest
 from pyspark.sql import functions as F
 
+from propensity_spark.functions.scalar import hash_order
 from propensity_spark.operators import labels, rules
 from tests.conftest import rows
 
@@ -72,9 +73,23 @@ def test_dpd_buckets_at_their_limits(frame):
     assert [n for _, n in none] == [0] * 5
 
 
+def test_run_of_nobody_and_of_no_rules(spark):
+    df = spark.range(5).select(F.col("id").alias("age"))
+    nobody = rules.evaluate_rules(df.limit(0), rules.default_rules()).collect()
+    assert len(nobody) == 20 and {tuple(r)[2:] for r in nobody} == {(0, 0, 0.0, 0, 0, 0, 0, 0)}
+    assert rules.evaluate_rules(df, []).count() == 0
+
+
+def test_many_rules_are_one_scan(spark):
+    df = spark.range(50).select(F.col("id").cast("int").alias("age"))
+    many = [rules.make_rule(f"r{i}", f"R{i}", [("age", ">=", i)]) for i in range(150)]
+    out = rules.evaluate_rules(df, many)
+    assert {r["model_id"]: r["matched_count"] for r in out.collect()} == {f"r{i}": max(0, 50 - i) for i in range(150)}
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("Range (0, 50") == 1
+
+
 @pytest.mark.parametrize("parts", [1, 16])
-def test_run_counts_add_up(spark, parts, monkeypatch):
-    monkeypatch.setattr(rules, "RULES_PER_SCAN", 9)
+def test_run_counts_add_up(spark, parts):
     df = spark.range(500).select((F.col("id") * 7 % 130 - 10).cast("int").alias("payment_delay_days"),
                                  (F.col("id") % 90).cast("int").alias("age")).repartition(parts)
     out = rules.evaluate_rules(df, rules.default_rules()).collect()
@@ -136,8 +151,8 @@ def test_split_and_sample_do_not_depend_on_partitioning(spark):
 
 
 @pytest.mark.parametrize("n", [1, 60, 1999, 2000, 2001])
-def test_a_large_sample_equals_the_top_n(spark, n):
+def test_a_sample_is_the_top_n_of_the_hash(spark, n):
     df = spark.range(2000).withColumnRenamed("id", "k")
-    want = sorted(rows(labels.hash_sample(df, "k", n)))
-    assert sorted(rows(labels.hash_sample(df, "k", n, small=0))) == want
+    want = sorted(rows(df.orderBy(hash_order(F.col("k"), 42), "k").limit(n)))
+    assert sorted(rows(labels.hash_sample(df, "k", n))) == want
     assert len(want) == min(n, 2000)

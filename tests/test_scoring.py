@@ -141,7 +141,7 @@ def test_registered_models_get_fresh_metrics(spark, people):
     pending = people.withColumn("target", F.when(F.col("customer_id") < 5, -1).otherwise(F.col("target")))
     models, out = md.train_registered(registry, pending, FEATURES[:5], "target")
     rows_ = {r["model_id"]: r for r in out.collect()}
-    assert [m.model_id for m in models] == ["a", "b"] and set(out.columns) == set(registry.columns) and len(rows_) == 4
+    assert [m.model_id for m in models] == ["a", "b"] and set(out.columns) == {*registry.columns, "error"} and len(rows_) == 4
     assert set(rows_["a"]["baselines"]) == set(md.METRICS) and rows_["a"]["baselines"]["roc_auc"] > 0.5
     assert rows_["a"]["live_metrics"] == {"latency": 9.0, **rows_["a"]["baselines"]}
     assert rows_["b"]["live_metrics"] == rows_["b"]["baselines"]

@@ -74,7 +74,7 @@ def test_without_a_configured_folder_a_cluster_is_refused():
 def test_parallel_database_read_is_planned_by_key_ranges(spark):
     # No database runs here: the options are checked up to the missing driver.
     try:
-        readers.read_jdbc(spark, "jdbc:postgresql://localhost/none", "t", "id", 0, 100, 8)
+        readers.read_jdbc(spark, "jdbc:postgresql://localhost/none", "t", "id", (0, 100, 8))
     except Exception as e:
         assert "driver" in str(e).lower()
     else:
@@ -90,3 +90,9 @@ def test_bucketed_tables_join_without_a_shuffle(spark):
     assert "Exchange" not in joined._jdf.queryExecution().executedPlan().toString()
     for name in ("bucket_people", "bucket_cards"):
         spark.sql(f"DROP TABLE {name}")
+
+
+def test_text_keys_are_cut_into_predicates():
+    assert readers.key_predicates("k", ["m", "d'x", "m"]) == [
+        "k < 'd''x' OR k IS NULL", "k >= 'd''x' AND k < 'm'", "k >= 'm'"]
+    assert readers.key_predicates("k", []) == ["1 = 1"]

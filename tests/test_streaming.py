@@ -39,6 +39,18 @@ def test_closed_windows_equal_the_batch(spark, arriving):
     assert {k for k in want if k[0] < last} == set(got)
 
 
+def test_updated_windows_equal_the_batch_and_leave_the_state(spark, arriving):
+    out = jobs.run_update(jobs.windowed_telemetry(stream(spark, arriving)), "open", ["window_start", "endpoint"])
+    log = b.request_log(spark.read.parquet(arriving)).withColumn("day", F.to_date("timestamp"))
+    want = {(str(r["day"]), r["endpoint"]): tuple(r)[2:] for r in telemetry(log, ["day", "endpoint"]).collect()}
+    assert {(str(r["window_start"])[:10], r["endpoint"]): tuple(r)[2:] for r in out.collect()} == want
+    query = (jobs.windowed_telemetry(stream(spark, arriving)).writeStream.outputMode("update").format("noop")
+             .trigger(availableNow=True).start())
+    query.awaitTermination()
+    kept = [p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress if p["stateOperators"]]
+    assert kept[-1] < len(want) / 2
+
+
 def test_resent_rows_are_dropped_and_secrets_masked(spark, arriving):
     twice = stream(spark, arriving)
     twice = twice.unionByName(stream(spark, arriving))
@@ -59,7 +71,7 @@ def test_stream_scores_equal_batch_scores(spark, arriving):
 
 def test_windows_do_not_depend_on_the_session_zone(spark, arriving):
     def starts():
-        out = jobs.run_complete(jobs.windowed_telemetry(stream(spark, arriving)), "zone")
+        out = jobs.run_update(jobs.windowed_telemetry(stream(spark, arriving)), "zone", ["window_start", "endpoint"])
         return sorted({str(r["window_start"]) for r in out.select("window_start").collect()})
 
     zone = spark.conf.get("spark.sql.session.timeZone")
