@@ -14,88 +14,82 @@ PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
 BYTE_LEVEL = {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in PRINTABLE)}
 
 
+PUNCTUATION = bytes(b for b in range(33, 127) if not chr(b).isalnum())
+
+
+class _Cache(dict):
+    """Chunk -> ids as bytes; a chunk that is missing is made by `make`."""
+
+    def __init__(self, make):
+        super().__init__()
+        self.make = make
+
+    def __missing__(self, chunk: bytes) -> bytes:
+        ids = self[chunk] = self.make(chunk)
+        return ids
+
+
 class ChunkEncoder:
     """encode_batch(texts) gives the ids of Tokenizer.encode(text, add_special_tokens=False).
 
     Holds for tokenizers that drop white space and whose normaliser and pre-tokenizer never look across it, such as
     word_bpe_49k: there the ids of a text are those of its chunks in order. Chunks are cut at ASCII white space only;
-    any other space stays inside a chunk and is left to the library. A new chunk of Latin-1 letters, perhaps with a
-    full stop or comma behind, is lower-cased and cut without doubt, so the library's BPE model gets its words at
-    once. Other new chunks are encoded together, a control character between them; a chunk that could be mistaken for
-    it, or that holds a special token, is encoded alone. The cache holds two generations of about `limit` chunks.
+    any other space stays inside a chunk and is left to the library. A chunk of Latin-1 letters, perhaps with ASCII
+    punctuation behind, is lower-cased and cut there without doubt, so the library's BPE model gets the word at once;
+    any other chunk is encoded whole. The cache holds two generations of about `limit` chunks each.
     """
 
-    MARK = "\x01"
-
-    def __init__(self, path: str, limit: int = 200_000):
+    def __init__(self, path: str, limit: int = 120_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.limit, self.new, self.old = limit, {}, {}
-        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        #: The library lower-cases all but special tokens, so chunks without "<" may be lower-cased before.
-        self.lower = '"Lowercase"' in json.dumps(json.loads(self.tokenizer.to_str())["normalizer"])
+        self.model = self.tokenizer.model
         self.type = np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32
         self.code = np.dtype(self.type).char
-        self.model = self.tokenizer.model
-        self.stops = {c.encode(): array(self.code, self._ids(c)).tobytes() for c in ".,"}
+        self.limit, self.old, self.new = limit, {}, _Cache(self._make)
+        #: Ids of short runs of punctuation.
+        self.tails = _Cache(lambda c: self._whole(c))
+        #: The library lower-cases all but special tokens, so texts without "<" may be lower-cased before.
+        self.lower = '"Lowercase"' in json.dumps(json.loads(self.tokenizer.to_str())["normalizer"])
         #: Whether a word of letters passes the normaliser and pre-tokenizer as assumed.
-        self.plain = self.lower and all(self._simple(c.encode()) == array(self.code, self._ids(c)).tobytes()
-                                        for c in ("Été.", "Ab", "ßµ,"))
-        mark = self._ids(self.MARK)
-        self.mark = mark[0] if len(mark) == 1 else None
-
-    def _ids(self, text: str) -> list[int]:
-        return self.tokenizer.encode(text, add_special_tokens=False).ids
-
-    def _word(self, letters: str) -> bytes:
-        """Ids of one lower-case word of Latin-1 letters."""
-        if not letters.isascii():
-            letters = letters.encode().decode("latin-1").translate(BYTE_LEVEL)
-        return array(self.code, [t.id for t in self.model.tokenize(letters)]).tobytes()
-
-    def _simple(self, chunk: bytes) -> bytes | None:
-        """Ids of a chunk that is one word of Latin-1 letters, perhaps with a full stop or comma; None for others."""
-        tail = self.stops.get(chunk[-1:], b"")
-        word = chunk[:-1] if tail else chunk
-        if word.isalpha():
-            return self._word(word.decode().lower()) + tail
-        if word.isascii():
-            return None
-        word = word.decode("utf-8", "replace")
-        return self._word(word.lower()) + tail if word.isalpha() and max(word) < "\u0100" else None
+        self.plain = self.lower and all(
+            self._letters(w) + self.tails[t] == self._whole(w.encode() + t)
+            for w, t in (("Été", b"."), ("Ab", b""), ("ßµ", b"!?'")))
+
+    def _bytes(self, ids: list[int]) -> bytes:
+        return array(self.code, ids).tobytes()
+
+    def _whole(self, chunk: bytes) -> bytes:
+        return self._bytes(self.tokenizer.encode(chunk.decode("utf-8", "replace"), add_special_tokens=False).ids)
+
+    def _letters(self, word: str) -> bytes:
+        """Ids of one word of Latin-1 letters."""
+        word = word.lower()
+        if not word.isascii():
+            word = word.encode().decode("latin-1").translate(BYTE_LEVEL)
+        return self._bytes([t.id for t in self.model.tokenize(word)])
+
+    def _make(self, chunk: bytes) -> bytes:
+        ids = self.old.get(chunk)
+        if ids is not None:
+            return ids
+        if self.plain:
+            if chunk.isalpha():  # of ASCII letters alone, the most frequent kind
+                return self._bytes([t.id for t in self.model.tokenize(chunk.lower().decode())])
+            word = chunk.rstrip(PUNCTUATION)
+            if word and len(chunk) - len(word) <= 3:
+                letters = word.decode("utf-8", "replace")
+                if letters.isalpha() and (word.isascii() or max(letters) < "\u0100"):
+                    return self._letters(letters) + self.tails[chunk[len(word):]]
+        return self._whole(chunk)
 
     def encode_batch(self, texts: list[bytes]) -> list[np.ndarray]:
-        split = [(t.lower() if self.lower and b"<" not in t else t).split() for t in texts]
         if len(self.new) > self.limit:
-            self.old, self.new = self.new, {}
-        new, old = self.new, self.old
-        missing = []
-        for chunk in set().union(*split):
-            if chunk not in new:
-                if chunk in old:
-                    new[chunk] = old[chunk]
-                elif self.plain and (ids := self._simple(chunk)) is not None:
-                    new[chunk] = ids
-                else:
-                    missing.append(chunk)
-        for i in range(0, len(missing), 512):
-            self._fill(missing[i:i + 512])
-        return [np.frombuffer(b"".join(map(new.__getitem__, s)), self.type) for s in split]
-
-    def _fill(self, chunks: list[bytes]) -> None:
-        known = [c.decode("utf-8", "replace") for c in chunks]
-        alone = [self.mark is None or self.MARK in c or any(s in c for s in self.special) for c in known]
-        plain = [i for i, a in enumerate(alone) if not a]
-        ids = np.array(self._ids(f" {self.MARK} ".join(known[i] for i in plain)), dtype=np.int64)
-        cuts = np.flatnonzero(ids == self.mark)
-        if len(cuts) == len(plain) - 1:
-            for i, a, b in zip(plain, np.append(0, cuts + 1).tolist(), np.append(cuts, len(ids)).tolist(), strict=True):
-                self.new[chunks[i]] = ids[a:b].astype(self.type).tobytes()
-        for i, c in enumerate(known):
-            if alone[i] or chunks[i] not in self.new:
-                self.new[chunks[i]] = np.array(self._ids(c), self.type).tobytes()
+            self.old, self.new = self.new, _Cache(self._make)
+        ids = self.new.__getitem__
+        return [np.frombuffer(b"".join(map(ids, (t.lower() if self.lower and b"<" not in t else t).split())), self.type)
+                for t in texts]
 
 
 @functools.cache
