@@ -4,15 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
 from propensity_spark.functions.session import scratch_path
 
-#: Rows handed to a text function at once, so that few texts are Python objects at the same time.
-ROWS = 256
+#: Rows, and bytes of their texts, handed to a text function at once: what is held as Python objects at a time.
+ROWS, BYTES = 256, 4 << 20
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
@@ -46,6 +48,17 @@ def fold(doc_id: str) -> Column:
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5
 
 
+def slices(part: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
+    """The rows of a batch in order, at most ROWS and BYTES of text in `column` at a time; a longer text comes alone."""
+    lengths = pc.fill_null(pc.binary_length(part.column(column)), 0)
+    ends, start = np.cumsum(lengths.to_numpy(zero_copy_only=False), dtype=np.int64), 0
+    while start < part.num_rows:
+        full = int(np.searchsorted(ends, (ends[start - 1] if start else 0) + BYTES, "right"))
+        stop = min(max(start + 1, full), start + ROWS)
+        yield part.slice(start, stop - start)
+        start = stop
+
+
 def map_texts(
     df: DataFrame, keep: list[str], text: str, run: Callable[[list[bytes]], list], fields: list[StructField]
 ) -> DataFrame:
@@ -62,8 +75,7 @@ def map_texts(
 
         arrow = to_arrow_schema(schema)
         for part in parts:
-            for start in range(0, part.num_rows, ROWS):
-                few = part.slice(start, ROWS)
+            for few in slices(part, at):
                 texts = [x or b"" for x in few.column(at).cast(pa.binary()).to_pylist()]
                 made = [pa.array(x, f.type) if not isinstance(x, pa.Array) else x
                         for x, f in zip(run(texts), list(arrow)[len(keep):])]

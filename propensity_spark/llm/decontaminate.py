@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
-from propensity_spark.llm.common import ROWS, discard, stored
+from propensity_spark.llm.common import discard, slices, stored
 
 #: Items are searched in blocks of about so many bytes of text: what one worker holds at a time.
 BLOCK_BYTES = 8 << 20
@@ -146,8 +146,7 @@ def _search(df: DataFrame, index, columns: list[str], text: str, names: list[str
 
         arrow, tables = to_arrow_schema(schema), index.value
         for part in parts:
-            for start in range(0, part.num_rows, ROWS):
-                few = part.slice(start, ROWS)
+            for few in slices(part, at):
                 made: list[list] = [[], [], [], []]
                 known = zip(few.column(n + 2).to_pylist(), few.column(n + 3).to_pylist()) if more else None
                 for body in few.column(at).cast(pa.binary()).to_pylist():

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql.types import LongType, StructField, StructType
 
 from propensity_spark.llm.bpe import encoder
-from propensity_spark.llm.common import ROWS
+from propensity_spark.llm.common import slices
 
 #: Attention cost of a piece of n tokens: LINEAR * n for projections and feed-forward, QUADRATIC * n * n for scores.
 LINEAR, QUADRATIC = 1.0, 1.0 / 2048
@@ -105,8 +105,7 @@ def pack(
             return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, arrow)], schema=arrow)
 
         for part in parts:
-            for at in range(0, part.num_rows, ROWS):
-                few = part.slice(at, ROWS)
+            for few in slices(part, 1):
                 texts = [x or b"" for x in few.column(1).cast(pa.binary()).to_pylist()]
                 for key, got in zip(few.column(0).to_pylist(), bpe.encode_batch(texts)):
                     keys.append(key)

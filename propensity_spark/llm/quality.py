@@ -152,9 +152,9 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     ids = docs.select(F.col(doc_id).alias("id")).where(fold(doc_id) != 0).distinct()
     good = labels.where((fold("doc_id") != 0) & F.col("quality").isNotNull())
     good = good.groupBy(F.col("doc_id").alias("id")).agg(F.min("quality").alias("least")).where("least = 1")
-    lowest = lambda d, n: d.orderBy(F.xxhash64("id", F.lit(n)), "id").limit(sample)
-    chosen = lowest(ids.join(good, "id", "left_semi"), 1).select("id", F.lit(True).alias("positive"))
-    chosen = chosen.unionByName(lowest(ids, 2).select("id", F.lit(False).alias("positive")))
+    trusted = _lowest(ids.join(good, "id", "left_semi"), 1, sample)
+    chosen = trusted.select("id", F.lit(True).alias("positive")).unionByName(
+        _lowest(ids, 2, sample).select("id", F.lit(False).alias("positive")))
     key = free_name("positive", docs.columns)
     bounded = F.broadcast(chosen.select("id", F.col("positive").alias(key)))  # 2 * sample ids at most
     wanted = docs.select(F.col(doc_id).alias("id"), text).join(bounded, "id").select("id", text, key)
@@ -170,6 +170,21 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     return _fit(p, u, estimate_prior(p, u, part[positive], part[~positive], seed), steps, seed)
 
 
+def _lowest(ids: DataFrame, salt: int, sample: int) -> DataFrame:
+    """The `sample` ids whose hash is lowest.
+
+    Ids are first counted by the leading 16 bits of the hash, and those beyond the range that holds the last id wanted
+    are left out; so what is ordered is the sample and a 65536th of the ids, and not `sample` ids of every task.
+    """
+    order = F.xxhash64("id", F.lit(salt))
+    leading = F.shiftright(order, 48)  # keeps the sign, so ranges are in the order of the hash
+    counts = sorted(ids.groupBy(leading.alias("range")).count().collect())  # at most 65536 rows
+    if counts:
+        reach = np.searchsorted(np.cumsum([n for _, n in counts]), sample)
+        ids = ids.where(leading <= counts[min(int(reach), len(counts) - 1)][0])
+    return ids.orderBy(order, "id").limit(sample)
+
+
 def _vector() -> StructField:
     from pyspark.sql.types import ArrayType
 

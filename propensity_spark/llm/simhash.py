@@ -117,7 +117,8 @@ def near_duplicates(
     whose fingerprints differ in at most `distance` bits are linked; component_id is the least doc_id that can be
     reached, itself included. Equal fingerprints are combined first, so copies cost nothing in the search. A document
     without id still links others; where a component has no id at all, component_id is NULL. Repeated ids keep their
-    rows.
+    rows. `count` changes no result: a segment should have about as many bits as the number of distinct fingerprints,
+    so three suit some millions and two, of 32 bits each, thousands of millions.
     """
     content = F.xxhash64(text).alias("content")
     every = stored(fingerprints(docs.select(F.col(doc_id).alias("doc_id"), content, F.col(text).alias("text")),

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import (ArrayType, BinaryType, DoubleType, LongType, StructField, StructType)
 
-from propensity_spark.llm.common import ROWS, stored
+from propensity_spark.llm.common import slices, stored
 
 #: The end of a text; no word is empty.
 END = b""
@@ -42,8 +42,8 @@ def tokens(text: bytes) -> list[bytes]:
 def _batches(parts: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple[pa.RecordBatch, list[bytes], list[int]]]:
     """Some rows, the tokens of all their texts one after another, and the number of tokens of each."""
     for part in parts:
-        for start in range(0, part.num_rows, ROWS):
-            few, flat, sizes = part.slice(start, ROWS), [], []
+        for few in slices(part, column):
+            flat, sizes = [], []
             for x in few.column(column).cast(pa.binary()).to_pylist():
                 words = tokens(x or b"")
                 flat += words

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, LongType, StringType, StructField, StructType
 
-from propensity_spark.llm.common import ROWS, stored
+from propensity_spark.llm.common import slices, stored
 
 CACHE = StructType([StructField("version", StringType()), StructField("digest", BinaryType()),
                     StructField("n_tokens", LongType())])
@@ -83,8 +83,7 @@ def count_tokens(
     def encode(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = counter(tokenizer)
         for part in parts:
-            for at in range(0, part.num_rows, ROWS):
-                few = part.slice(at, ROWS)
+            for few in slices(part, 1):
                 yield pa.RecordBatch.from_arrays(
                     [few.column(0), pa.array(count(few.column(1).to_pylist()), pa.int64())], ["digest", "n_tokens"])
 

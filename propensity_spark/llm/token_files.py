@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from propensity_spark.llm.bpe import encoder
-from propensity_spark.llm.common import ROWS, free_name
+from propensity_spark.llm.common import free_name, slices
 
 #: Sequences in a record batch of a file.
 BATCH = 64
@@ -77,8 +77,7 @@ def write(
             buffer = [ids[stop:]]
 
         for part in parts:
-            for at in range(0, part.num_rows, ROWS):
-                few = part.slice(at, ROWS)
+            for few in slices(part, 1):
                 got = bpe.encode_batch([x or b"" for x in few.column(1).cast(pa.binary()).to_pylist()])
                 if writer is None and got:
                     sink = store.open_output_stream(f"{path}/{name}")
