@@ -7,8 +7,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from propensity_spark.functions.session import scratch_path
-from propensity_spark.llm import (chat, cover_tree, decontaminate, license, packing, quality, simhash, suffix_tree,
-                                  token_cache, token_files)
+from propensity_spark.llm import (chat, cover_tree, decontaminate, license, packing, quality, simhash, suffix_tables,
+                                  suffix_tree, token_cache, token_files)
 from propensity_spark.llm.common import fold, stored
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -58,8 +58,8 @@ def op6_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = F.coalesce(fold("doc_id") == 1, F.lit(False))
     learned = docs.where(~held_out)
     counts = stored(suffix_tree.word_counts(learned), "word-counts")
-    tree = suffix_tree.train(learned, counts)
-    scored = suffix_tree.score(docs, tree, counts)
+    tree = suffix_tables.train(learned, counts)
+    scored = suffix_tables.score(docs, tree)
     return scored.select(
         "doc_id", held_out.alias("held_out"), "n_tokens", "n_known", F.lit(tree.train_tokens).cast("long").alias(
             "train_tokens"), "base_score", "score")
