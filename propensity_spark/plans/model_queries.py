@@ -234,17 +234,22 @@ def _log_stream(t: Tables) -> DataFrame:
     return b.request_log(jobs.file_stream(t.spark, t.folder, "events"))
 
 
+def _delay(t: Tables) -> str:
+    return jobs.covering_delay(t.spark, t.folder, "events", "ts")
+
+
 @query("""SELECT log_id, endpoint, CASE WHEN json_exists(payload_summary, '$.k') THEN '{"k":"********"}'
   ELSE payload_summary END AS payload_summary FROM request_log""", ["request_log"])
 def stream_masked_log(t: Tables) -> DataFrame:
-    rows = jobs.masked_log(_log_stream(t), ["k"], delay="1 day")
+    rows = jobs.masked_log(_log_stream(t), ["k"], delay=_delay(t))
     return jobs.run_append(rows.select("log_id", "endpoint", "payload_summary"), "masked")
 
 
 @query(f"""SELECT strftime(date_trunc('day', timestamp), '%Y-%m-%d') AS window_start, endpoint, {TELEMETRY}
 FROM request_log GROUP BY ALL""", ["request_log"])
 def stream_telemetry(t: Tables) -> DataFrame:
-    out = jobs.run_update(jobs.windowed_telemetry(_log_stream(t)), "telemetry", ["window_start", "endpoint"])
+    live = jobs.windowed_telemetry(_log_stream(t), delay=_delay(t))
+    out = jobs.run_update(live, "telemetry", ["window_start", "endpoint"])
     return out.withColumn("window_start", F.date_format("window_start", "yyyy-MM-dd"))
 
 
@@ -264,7 +269,7 @@ def stream_psi(t: Tables) -> DataFrame:
     early = b.predictions(t).filter(F.col("timestamp") < F.lit("2024-01-16").cast("timestamp_ntz"))
     baseline = jobs.score_baseline(early, SCORE)
     live = b.predictions({"events": jobs.file_stream(t.spark, t.folder, "events")})
-    out = jobs.run_update(jobs.windowed_psi(live, SCORE, "timestamp", baseline), "psi", ["window_start"])
+    out = jobs.run_update(jobs.windowed_psi(live, SCORE, "timestamp", baseline, delay=_delay(t)), "psi", ["window_start"])
     return out.withColumn("window_start", F.date_format("window_start", "yyyy-MM-dd"))
 
 
