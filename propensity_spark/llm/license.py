@@ -98,15 +98,26 @@ def templates(notices: dict[str, str]) -> list[Template]:
     return out
 
 
+def drifts(missing: int) -> list[tuple[int, int]]:
+    """Words by which a window is longer than a template, before and after it: none, then up to those missing."""
+    steps = sorted({min(1 << k, missing) for k in range(missing.bit_length())})
+    return [(0, 0), *[x for d in steps for x in ((d, 0), (0, d), (0, -d))]]
+
+
 def scan(text: list[bytes], known: list[Template], coverage: float) -> list[tuple[str, float, int, int]]:
     """(license, coverage, start, end) of every notice: ranges of words, in order of start, then name.
 
     A notice that is covered must hold some of the template's words that are rarest in the text, since all of them
     together are more than may be missing. Around each of their places a window, half as long again as the template,
-    is aligned, so a notice that is repeated is found each time. Of finds that overlap, of one template or of several
+    is aligned; where that does not give the whole template in a row, windows of the template's size too, and some
+    words longer or shorter, so a notice that is repeated in a row is found each time. Of finds that overlap, of one template or of several
     that are alike, the one with the highest coverage stays, then the longest.
     """
     have, finds = Counter(text), set()
+
+    def add(t: Template, low: int, matched: list[tuple[int, int]]) -> None:
+        finds.add((t.name, len(matched) / len(t.words), low + matched[0][1], low + matched[-1][1] + 1, len(matched)))
+
     for t in known:
         size, need = len(t.words), coverage * len(t.words)
         if sum(len(t.places[w]) for w in t.kinds if w in have) < need:
@@ -121,9 +132,19 @@ def scan(text: list[bytes], known: list[Template], coverage: float) -> list[tupl
         slack = size // 2 + 2
         for start in sorted(starts):
             low = max(0, start - slack)
-            matched = align(t.words, text[low:start + size + slack])
-            if len(matched) >= need and matched:
-                finds.add((t.name, len(matched) / size, low + matched[0][1], low + matched[-1][1] + 1, len(matched)))
+            window = text[low:start + size + slack]
+            matched = align(t.words, window)
+            if matched and len(matched) >= need:
+                add(t, low, matched)
+            if len(matched) == size == matched[-1][1] + 1 - matched[0][1]:
+                continue
+            inside = Counter(window)  # neighbouring copies hide the anchors: without slack, then by few words
+            if sum(min(len(t.places[w]), inside[w]) for w in t.kinds) >= need:
+                for before, after in drifts(int(size - need)):
+                    low = max(0, start - before)
+                    matched = align(t.words, text[low:max(0, start + size + after)])
+                    if matched and len(matched) >= need:
+                        add(t, low, matched)
     out: list[tuple[str, float, int, int]] = []
     taken: list[tuple[int, int]] = []  # disjoint ranges, sorted
     for name, share, first, last, _ in sorted(finds, key=lambda x: (-x[1], -x[4], x[3] - x[2], x[2], x[0])):
