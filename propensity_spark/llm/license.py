@@ -13,7 +13,7 @@ from pyspark.sql.types import ArrayType, DoubleType, LongType, StringType, Struc
 from propensity_spark.llm.common import map_texts
 from propensity_spark.llm.decontaminate import words
 
-#: Short notices by the licence they name. More, or whole licence texts, go in as a parameter.
+#: Short notices by the licence they name. The whole texts are in license_texts.py.
 NOTICES = {
     "Apache-2.0": "Licensed under the Apache License, Version 2.0",
     "CC-BY-4.0": "This work is licensed under a Creative Commons Attribution 4.0 International License",
@@ -84,17 +84,31 @@ class Template:
     words: list[bytes]
     kinds: frozenset
     places: dict[bytes, list[int]]
+    deciding: list[frozenset]  # for each near variant, the places of the words it lacks
 
 
-def templates(notices: dict[str, str]) -> list[Template]:
+def templates(notices: dict[str, str | list[str]], coverage: float = COVERAGE) -> list[Template]:
+    """The templates of the notices, one or several for a name.
+
+    Another licence's template that covers enough of one is its near variant: the words that it lacks decide.
+    """
     out = []
-    for name, text in sorted(notices.items()):
+    texts = [(name, x) for name, some in notices.items() for x in ([some] if isinstance(some, str) else some)]
+    for name, text in sorted(set(texts)):
         w = words(text.encode())
         places: dict[bytes, list[int]] = {}
         for k, x in enumerate(w):
             places.setdefault(x, []).append(k)
         if w:
-            out.append(Template(name, w, frozenset(w), places))
+            out.append(Template(name, w, frozenset(w), places, []))
+    counts = [Counter(t.words) for t in out]
+    for t, have in zip(out, counts):
+        need = coverage * len(t.words)
+        for other, there in zip(out, counts):
+            if other.name != t.name and sum((have & there).values()) >= need:
+                lacks = frozenset(range(len(t.words))) - {i for i, _ in align(t.words, other.words)}
+                if lacks and len(t.words) - len(lacks) >= need and lacks not in t.deciding:
+                    t.deciding.append(lacks)
     return out
 
 
@@ -108,7 +122,7 @@ def scan(text: list[bytes], known: list[Template], coverage: float) -> list[tupl
     """(license, coverage, start, end) of every notice: ranges of words, in order of start, then name.
 
     A notice that is covered must hold some of the template's words that are rarest in the text, since all of them
-    together are more than may be missing. Around each of their places a window, half as long again as the template,
+    together are more than may be missing; and of the words that a near variant lacks, the same share. Around each of their places a window, half as long again as the template,
     is aligned; where that does not give the whole template in a row, windows of the template's size too, and some
     words longer or shorter, so a notice that is repeated in a row is found each time. Of finds that overlap, of one template or of several
     that are alike, the one with the highest coverage stays, then the longest.
@@ -116,11 +130,13 @@ def scan(text: list[bytes], known: list[Template], coverage: float) -> list[tupl
     have, finds = Counter(text), set()
 
     def add(t: Template, low: int, matched: list[tuple[int, int]]) -> None:
-        finds.add((t.name, len(matched) / len(t.words), low + matched[0][1], low + matched[-1][1] + 1, len(matched)))
+        at = {i for i, _ in matched}
+        if all(len(x & at) >= coverage * len(x) for x in t.deciding):
+            finds.add((t.name, len(matched) / len(t.words), low + matched[0][1], low + matched[-1][1] + 1, len(matched)))
 
     for t in known:
         size, need = len(t.words), coverage * len(t.words)
-        if sum(len(t.places[w]) for w in t.kinds if w in have) < need:
+        if len(text) < need or sum(min(len(t.places[w]), have[w]) for w in t.kinds if w in have) < need:
             continue
         chosen, places = set(), 0
         for w in sorted(t.kinds, key=lambda w: (have[w], w)):
@@ -128,15 +144,25 @@ def scan(text: list[bytes], known: list[Template], coverage: float) -> list[tupl
                 break
             chosen.add(w)
             places += len(t.places[w])
-        starts = {i - p for i, w in enumerate(text) if w in chosen for p in t.places[w]}
+        starts = Counter(i - p for i, w in enumerate(text) if w in chosen for p in t.places[w])
+        whole: list[int] = []  # starts of copies found whole, sorted; another copy is a template's size away
         slack = size // 2 + 2
-        for start in sorted(starts):
+        tried: list[int] = []
+        for start in sorted(starts, key=lambda x: (-starts[x], x)):
+            at = bisect.bisect(whole, start)
+            if any(abs(x - start) <= size // 2 for x in whole[max(0, at - 1):at + 1]):
+                continue
+            at = bisect.bisect(tried, start)
+            if any(abs(x - start) <= size // 8 for x in tried[max(0, at - 1):at + 1]):
+                continue  # the slack around that start covers this one
+            tried.insert(at, start)
             low = max(0, start - slack)
             window = text[low:start + size + slack]
             matched = align(t.words, window)
             if matched and len(matched) >= need:
                 add(t, low, matched)
             if len(matched) == size == matched[-1][1] + 1 - matched[0][1]:
+                bisect.insort(whole, low + matched[0][1])
                 continue
             inside = Counter(window)  # neighbouring copies hide the anchors: without slack, then by few words
             if sum(min(len(t.places[w]), inside[w]) for w in t.kinds) >= need:
@@ -145,6 +171,9 @@ def scan(text: list[bytes], known: list[Template], coverage: float) -> list[tupl
                     matched = align(t.words, text[low:max(0, start + size + after)])
                     if matched and len(matched) >= need:
                         add(t, low, matched)
+                    if len(matched) == size == matched[-1][1] + 1 - matched[0][1]:
+                        bisect.insort(whole, low + matched[0][1])
+                        break
     out: list[tuple[str, float, int, int]] = []
     taken: list[tuple[int, int]] = []  # disjoint ranges, sorted
     for name, share, first, last, _ in sorted(finds, key=lambda x: (-x[1], -x[4], x[3] - x[2], x[2], x[0])):
@@ -155,14 +184,14 @@ def scan(text: list[bytes], known: list[Template], coverage: float) -> list[tupl
     return sorted(out, key=lambda x: (x[2], x[0], x[3]))
 
 
-def license_scan(docs: DataFrame, keep: list[str], text: str = "text", notices: dict[str, str] = NOTICES,
+def license_scan(docs: DataFrame, keep: list[str], text: str = "text", notices: dict[str, str | list[str]] = NOTICES,
                  coverage: float = COVERAGE) -> DataFrame:
     """The columns `keep`, n_words and `licenses`: every notice with its coverage and its range of words.
 
     Words are runs of ASCII digits and letters, lower-cased, and other than ASCII characters. One pass over whole
     texts, no shuffle; NULL and empty texts have no notice; repeated rows are scanned alike.
     """
-    known = templates(notices)
+    known = templates(notices, coverage)
 
     def run(texts: list[bytes]) -> list:
         split = [words(t) for t in texts]

@@ -7,8 +7,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from propensity_spark.functions.session import scratch_path
-from propensity_spark.llm import (chat, cover_tree, decontaminate, license, packing, quality, simhash, suffix_tables,
-                                  suffix_tree, token_cache, token_files)
+from propensity_spark.llm import (chat, cover_tree, decontaminate, license, license_texts, packing, quality, simhash,
+                                  suffix_tables, suffix_tree, token_cache, token_files)
 from propensity_spark.llm.common import fold, stored
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -27,7 +27,7 @@ def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return license.license_scan(table(spark, sf_dir, "documents"), ["doc_id"])
+    return license.license_scan(table(spark, sf_dir, "documents"), ["doc_id"], notices=license_texts.licenses())
 
 
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

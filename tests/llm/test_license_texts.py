@@ -1,6 +1,6 @@
 import pytest
 
-from propensity_spark.llm import license
+from propensity_spark.llm import license, license_texts
 from propensity_spark.llm.decontaminate import words
 from tests.llm.test_license import KNOWN
 
@@ -13,3 +13,25 @@ def test_a_notice_repeated_in_a_row_is_found_each_time(name, between, copies):
     size, gap = len(words(license.NOTICES[name].encode())), len(between.split())
     want = [(name, 1.0, 3 + k * (size + gap), 3 + k * (size + gap) + size) for k in range(copies)]
     assert license.scan(body, KNOWN, license.COVERAGE) == want
+
+
+ALL = license_texts.licenses()
+TEMPLATES = license.templates(ALL)
+
+
+def names(text):
+    return [x[0] for x in license.scan(words(text.encode()), TEMPLATES, license.COVERAGE)]
+
+
+def test_every_text_is_found_under_its_own_name():
+    for name, texts in ALL.items():
+        for text in texts:
+            assert names(f"x y z {text} q r s") == [name], (name, text[:80])
+
+
+def test_deciding_words():
+    assert names("Licensed under CC BY 4.0") == ["CC-BY-4.0"]
+    assert names("Licensed under CC BY-NC 9.0") == []
+    assert names("GNU GENERAL PUBLIC LICENSE Version 3") == ["GPL-3.0"]
+    assert names("This work is licensed under the GNU General Public License, version 2") == ["GPL-2.0"]
+    assert names(license_texts.BSD.format("").replace("SUCH DAMAGE", "SUCH")) == ["BSD-2-Clause"]
