@@ -7,8 +7,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from propensity_spark.functions.session import scratch_path
-from propensity_spark.llm import (chat, cover_tree, decontaminate, license, license_texts, packing, quality, simhash,
-                                  suffix_tables, suffix_tree, token_cache, token_files)
+from propensity_spark.llm import (chat, cover_tree, decontaminate, hilbert_codes, license, license_texts, packing,
+                                  quality, simhash, suffix_tables, suffix_tree, token_cache, token_files)
 from propensity_spark.llm.common import fold, stored
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -97,9 +97,17 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_documents(spark, folder)
 
 
+def op13_hilbert_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded = hilbert_codes.encode(table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label"),
+                                 ["vec_id", "label"])
+    made = hilbert_codes.group_errors(stored(coded.vectors, "codes"), "label")
+    return made.select("vec_id", "code", "error", "label_error", F.lit(coded.digest()).alias("codebooks_sha256"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_quality_classifier, op2_license_scan, op3_decontamination, op4_token_counts, op5_simhash_dedup,
-    op6_suffix_tree, op7_packing, op8_chat_formatting, op9_embedding_dedup, op10_token_files)}
+    op6_suffix_tree, op7_packing, op8_chat_formatting, op9_embedding_dedup, op10_token_files,
+    op13_hilbert_codes)}
 
 #: Lower-cases A-Z alone.
 LOWER = "translate(coalesce({}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -160,4 +168,40 @@ SELECT conv_id, n_turns, sha256(turns) AS turns_sha256, CAST(length(loss) AS BIG
 FROM said
 """
 
-ORACLES = {"op3_decontamination": OP3, "op8_chat_formatting": OP8, "op9_embedding_dedup": OP9}
+_ROUND = """
+near{i} AS MATERIALIZED (
+    SELECT r, p, min(256 * d + e) AS best
+    FROM (SELECT r, p, e, CAST(sum((c.x - b.x) * (c.x - b.x)) AS BIGINT) AS d
+          FROM comp c JOIN book{i} b USING (p, j) GROUP BY r, p, e)
+    GROUP BY r, p),
+"""
+_BOOK = """
+book{k} AS MATERIALIZED (
+    SELECT p, e, j, coalesce(n.x, b.x) AS x
+    FROM book{i} b LEFT JOIN (
+        SELECT p, best % 256 AS e, j, CAST(floor(CAST(sum(x) AS DOUBLE) / count(*)) AS BIGINT) AS x
+        FROM near{i} JOIN comp USING (r, p) GROUP BY p, best % 256, j) n USING (p, e, j)),
+"""
+
+OP13 = f"""
+WITH ok AS (
+    SELECT row_number() OVER (ORDER BY vec_id NULLS LAST, v) - 1 AS r, vec_id, label, v
+    FROM (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+          FROM embeddings
+          WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)),
+comp AS MATERIALIZED (
+    SELECT r, 4 * (i - 1) // len(v) AS p, (i - 1) % (len(v) // 4) AS j, v[i] AS x
+    FROM ok, unnest(range(1, len(v) + 1)) AS t(i)),
+book0 AS MATERIALIZED (SELECT p, r AS e, j, x FROM comp WHERE r < 256),
+{"".join(_ROUND.format(i=i) + _BOOK.format(i=i, k=i + 1) for i in range(4))}
+{_ROUND.format(i=4)}
+coded AS (
+    SELECT r, string_agg(format('{{:02x}}', best % 256), '' ORDER BY p) AS code, CAST(sum(best // 256) AS BIGINT) AS error
+    FROM near4 GROUP BY r)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error,
+       (SELECT sha256(string_agg(CAST(x AS VARCHAR), ',' ORDER BY p, e, j)) FROM book4) AS codebooks_sha256
+FROM ok JOIN coded USING (r)
+"""
+
+ORACLES = {"op3_decontamination": OP3, "op8_chat_formatting": OP8, "op9_embedding_dedup": OP9,
+           "op13_hilbert_codes": OP13}
