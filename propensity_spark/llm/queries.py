@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from propensity_spark.functions.session import scratch_path
 from propensity_spark.llm import (chat, cover_tree, decontaminate, hilbert_codes, license, license_texts, packing,
-                                  quality, simhash, suffix_tables, suffix_tree, token_cache, token_files)
+                                  quality, shared_search, simhash, suffix_tables, suffix_tree, token_cache, token_files)
 from propensity_spark.llm.common import fold, stored
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -97,6 +97,10 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_documents(spark, folder)
 
 
+def op11_shared_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shared_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op13_hilbert_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded = hilbert_codes.encode(table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label"),
                                  ["vec_id", "label"])
@@ -107,7 +111,7 @@ def op13_hilbert_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (
     op1_quality_classifier, op2_license_scan, op3_decontamination, op4_token_counts, op5_simhash_dedup,
     op6_suffix_tree, op7_packing, op8_chat_formatting, op9_embedding_dedup, op10_token_files,
-    op13_hilbert_codes)}
+    op11_shared_search, op13_hilbert_codes)}
 
 #: Lower-cases A-Z alone.
 LOWER = "translate(coalesce({}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -168,6 +172,23 @@ SELECT conv_id, n_turns, sha256(turns) AS turns_sha256, CAST(length(loss) AS BIG
 FROM said
 """
 
+OP11 = f"""
+WITH doc AS (SELECT row_number() OVER () AS r, doc_id, {WORDS.format('text')} AS w FROM documents),
+tf AS (SELECT r, t, count(*) AS tf FROM (SELECT r, unnest(w) AS t FROM doc) GROUP BY r, t),
+n AS (SELECT r, sum(tf) AS n FROM tf GROUP BY r),
+whole AS (SELECT count(*) AS nn, sum(n) AS ll FROM n),
+item AS (SELECT row_number() OVER () AS q, item_id, {WORDS.format('text')} AS w FROM benchmark),
+asked AS (SELECT q, t, count(*) AS k FROM (SELECT q, unnest(w) AS t FROM item) GROUP BY q, t),
+df AS (SELECT t, CAST(floor(1000 * ln(CAST(2 * max(nn) + 2 AS DOUBLE) / (2 * count(*) + 1))) AS BIGINT) AS w
+       FROM tf, whole WHERE t IN (SELECT t FROM asked) GROUP BY t),
+part AS (SELECT r, t, w * ((1000000000 * tf) // (1000 * tf + 8 * (25 + CAST((75 * n * nn) // ll AS BIGINT)))) AS s
+         FROM tf JOIN df USING (t) JOIN n USING (r), whole),
+score AS (SELECT q, r, CAST(sum(k * s) AS BIGINT) AS score FROM asked JOIN part USING (t) GROUP BY q, r),
+ranked AS (SELECT item_id, row_number() OVER (PARTITION BY q ORDER BY score DESC, doc_id NULLS LAST) AS rank, doc_id, score
+           FROM score JOIN doc USING (r) JOIN item USING (q) WHERE score > 0)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM ranked WHERE rank <= 10
+"""
+
 _ROUND = """
 near{i} AS MATERIALIZED (
     SELECT r, p, min(256 * d + e) AS best
@@ -204,4 +225,4 @@ FROM ok JOIN coded USING (r)
 """
 
 ORACLES = {"op3_decontamination": OP3, "op8_chat_formatting": OP8, "op9_embedding_dedup": OP9,
-           "op13_hilbert_codes": OP13}
+           "op11_shared_search": OP11, "op13_hilbert_codes": OP13}
