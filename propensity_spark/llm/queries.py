@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from propensity_spark.functions.session import scratch_path
 from propensity_spark.llm import (chat, cover_tree, decontaminate, hilbert_codes, license, license_texts, packing,
-                                  quality, shared_search, simhash, suffix_tables, suffix_tree, token_cache, token_files)
+                                  quality, shared_search, simhash, substrings, suffix_tables, suffix_tree, token_cache, token_files)
 from propensity_spark.llm.common import fold, stored
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -101,6 +101,13 @@ def op11_shared_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shared_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op12_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substrings.remove_repeats(table(spark, sf_dir, "documents"), ["doc_id"])
+    gone = F.aggregate("removed", F.lit(0).cast("long"), lambda n, r: n + (r["end"] - r["start"]))
+    return found.select("doc_id", "n_words", gone.alias("n_removed"),
+                        F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
 def op13_hilbert_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded = hilbert_codes.encode(table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label"),
                                  ["vec_id", "label"])
@@ -111,7 +118,7 @@ def op13_hilbert_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (
     op1_quality_classifier, op2_license_scan, op3_decontamination, op4_token_counts, op5_simhash_dedup,
     op6_suffix_tree, op7_packing, op8_chat_formatting, op9_embedding_dedup, op10_token_files,
-    op11_shared_search, op13_hilbert_codes)}
+    op11_shared_search, op12_substring_dedup, op13_hilbert_codes)}
 
 #: Lower-cases A-Z alone.
 LOWER = "translate(coalesce({}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -189,6 +196,19 @@ ranked AS (SELECT item_id, row_number() OVER (PARTITION BY q ORDER BY score DESC
 SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM ranked WHERE rank <= 10
 """
 
+OP12 = """
+WITH doc AS (SELECT row_number() OVER () AS r, doc_id,
+                    regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+place AS (SELECT r, doc_id, i, array_to_string(w[i:i + 19], ' ') AS x FROM doc, unnest(range(1, len(w) - 18)) AS t(i)),
+again AS (SELECT r, i FROM (SELECT r, i, rank() OVER (PARTITION BY x ORDER BY doc_id NULLS LAST, i) AS k FROM place)
+          WHERE k > 1),
+gone AS (SELECT r, list(DISTINCT j) AS js FROM again, unnest(range(i, i + 20)) AS t(j) GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(len(js), 0) AS n_removed,
+       sha256(array_to_string(CASE WHEN js IS NULL THEN w ELSE list_transform(
+           list_filter(range(1, len(w) + 1), lambda j: NOT list_contains(js, j)), lambda j: w[j]) END, ' ')) AS kept_sha256
+FROM doc LEFT JOIN gone USING (r)
+"""
+
 _ROUND = """
 near{i} AS MATERIALIZED (
     SELECT r, p, min(256 * d + e) AS best
@@ -225,4 +245,4 @@ FROM ok JOIN coded USING (r)
 """
 
 ORACLES = {"op3_decontamination": OP3, "op8_chat_formatting": OP8, "op9_embedding_dedup": OP9,
-           "op11_shared_search": OP11, "op13_hilbert_codes": OP13}
+           "op11_shared_search": OP11, "op12_substring_dedup": OP12, "op13_hilbert_codes": OP13}
