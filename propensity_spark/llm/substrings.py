@@ -7,7 +7,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import (ArrayType, BinaryType, IntegerType, LongType, StringType, StructField,
@@ -19,8 +18,9 @@ from propensity_spark.llm.common import discard, slices, stored
 SHARD_WORDS = 1 << 16
 #: Windows of a span; a longer run is cut into several.
 SPAN = 1 << 12
-#: Word hashes that a worker remembers.
-CACHE = 1 << 18
+#: An odd number, so that products with it are one to one.
+FACTOR = np.uint64(0x9E3779B97F4A7C15)
+IS_SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 
 
 def automaton(spans: list[list[int]]) -> tuple[list[dict[int, int]], list[int], list[int], list[int]]:
@@ -97,16 +97,6 @@ def first_windows(spans: list[list[int]], window: int) -> list[np.ndarray]:
     return out
 
 
-class _Hashes(dict):
-    """Hash of a word, computed once as long as it is remembered."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= CACHE:
-            self.clear()
-        h = self[word] = xxhash.xxh64_intdigest(word)
-        return h
-
-
 def _sliding(op, a: np.ndarray, width: int) -> np.ndarray:
     size = 1
     while size * 2 <= width:
@@ -114,51 +104,82 @@ def _sliding(op, a: np.ndarray, width: int) -> np.ndarray:
     return op(a[:size - width], a[width - size:]) if size < width else a
 
 
-def anchors(words: list[bytes], window: int, known: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the runs of two fifths of a window, and of every window its anchor: the least hash of a run in it.
+def _mixed(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(29))) * FACTOR
+    return h ^ (h >> np.uint64(32))
+
 
-    Equal windows have equal anchors, and the runs that are no window's anchor need not be counted.
+class Anchors:
+    """The windows of some texts and their anchors, all texts at once.
+
+    A word's hash is a polynomial of its bytes, from running sums over the bytes of all texts; a run is two fifths of
+    a window's words, and a window's anchor the least hash of a run in it. Equal windows have equal anchors. Different
+    ones may have the same, which only makes them be compared.
     """
-    k = max(1, 2 * window // 5)
-    h = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
-    n, factor = len(h) - k + 1, np.uint64(0x9E3779B97F4A7C15)
-    runs = h[:n].copy()
-    for j in range(1, k):
-        runs = runs * factor + h[j:j + n]
-    runs ^= runs >> np.uint64(29)
-    runs *= factor
-    runs ^= runs >> np.uint64(32)
-    return runs, _sliding(np.minimum, runs, window - k + 1)
-
-
-def counted_anchors(words: list[bytes], window: int, known: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray]:
-    """The anchors of a text and at how many places it has each."""
-    if len(words) < window:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    runs, least = anchors(words, window, known)
-    wide = len(runs) - len(least)
-    padded = np.concatenate([np.zeros(wide, np.uint64), least, np.zeros(wide, np.uint64)])
-    values, n = np.unique(runs[_sliding(np.maximum, padded, wide + 1) == runs], return_counts=True)
-    return values.view(np.int64), n.astype(np.int64)
-
-
-def spans_of(words: list[bytes], window: int, known: dict[bytes, int], found: np.ndarray, homes: np.ndarray,
-             shards: int) -> list[tuple[int, int, int]]:
-    """(first window, number of windows, shard) of the runs of windows whose anchors are `found` (ascending), by home."""
-    if len(words) < window or not len(found):
-        return []
-    least = anchors(words, window, known)[1].view(np.int64)
-    at = np.minimum(np.searchsorted(found, least), len(found) - 1)
-    shard = np.where(found[at] == least, (homes[at].view(np.uint64) >> np.uint64(16)) % np.uint64(shards), shards)
-    edges = np.append(np.flatnonzero(np.append(True, shard[1:] != shard[:-1])), len(shard)).tolist()
-    return [(i, min(i + SPAN, b) - i, int(shard[a])) for a, b in zip(edges, edges[1:]) if shard[a] < shards
-            for i in range(a, b, SPAN)]
+
+    def __init__(self, texts: list[bytes], window: int):
+        data = np.frombuffer(b"\n".join([*texts, b""]), np.uint8)
+        edges = np.flatnonzero(np.diff(IS_SPACE[data].astype(np.int8), prepend=np.int8(1)))
+        starts, ends = edges[::2], edges[1::2]  # data ends in a space
+        powers = np.empty(len(data) + 1, np.uint64)
+        powers[0] = 1
+        powers[1:] = FACTOR
+        np.cumprod(powers, out=powers)
+        sums = np.zeros(len(data) + 1, np.uint64)
+        np.cumsum((data + np.uint64(1)) * powers[:-1], out=sums[1:])
+        # A word's sum is divided by the power it starts with, so that it does not depend on where the word stands.
+        back = np.uint64(pow(int(FACTOR), -len(data), 1 << 64))
+        word = _mixed((sums[ends] - sums[starts]) * powers[len(data) - starts] * back)
+        offsets = np.cumsum([0, *(len(t) + 1 for t in texts)])
+        #: First word of every text, and their number.
+        self.first = np.searchsorted(starts, offsets)
+        self.owner = np.repeat(np.arange(len(texts)), np.diff(self.first))
+        k = max(1, 2 * window // 5)
+        n = max(0, len(word) - window + 1)
+        runs = np.zeros(max(0, len(word) - k + 1), np.uint64)
+        for j in range(k if len(runs) else 0):
+            runs = runs * FACTOR + word[j:j + len(runs)]
+        self.runs = _mixed(runs)
+        #: Whether a window lies in one text, its anchor, and the first word's text.
+        self.inside = self.owner[:n] == self.owner[window - 1:]
+        self.least = _sliding(np.minimum, self.runs, window - k + 1) if n else np.zeros(0, np.uint64)
+        self.width = window - k
+
+    def places(self) -> tuple[np.ndarray, np.ndarray]:
+        """(text, anchor) of every run that is the anchor of some window."""
+        if not len(self.least):
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        wide = np.zeros(self.width, np.uint64)
+        most = _sliding(np.maximum, np.concatenate([wide, np.where(self.inside, self.least, np.uint64(0)), wide]),
+                        self.width + 1)
+        at = np.flatnonzero(most == self.runs)
+        return self.owner[at], self.runs[at].view(np.int64)
+
+    def spans(self, found: np.ndarray, homes: np.ndarray, shards: int) -> list[list[tuple[int, int, int]]]:
+        """For every text (first window, number of windows, shard) of the runs of windows whose anchors are among
+        `found` (ascending, with their homes), by shard."""
+        out: list[list[tuple[int, int, int]]] = [[] for _ in range(len(self.first) - 1)]
+        if not len(found) or not len(self.least):
+            return out
+        least = self.least.view(np.int64)
+        at = np.minimum(np.searchsorted(found, least), len(found) - 1)
+        shard = _mixed(homes[at].view(np.uint64)) % np.uint64(shards)
+        shard = np.where(self.inside & (found[at] == least), shard.astype(np.int64), -1)
+        text = self.owner[:len(shard)]
+        new = np.append(True, (shard[1:] != shard[:-1]) | (text[1:] != text[:-1]))
+        edges = np.append(np.flatnonzero(new), len(shard))
+        for i in np.flatnonzero(shard[edges[:-1]] >= 0):
+            a, b = int(edges[i]), int(edges[i + 1])
+            t = int(text[a])
+            first = int(self.first[t])
+            out[t] += [(j - first, min(j + SPAN, b) - j, int(shard[a])) for j in range(a, b, SPAN)]
+        return out
 
 
 RUNS = ArrayType(StructType([StructField("start", IntegerType()), StructField("end", IntegerType())]))
 SPANS = ArrayType(StructType([StructField("start", IntegerType()), StructField("n", IntegerType()),
                               StructField("shard", IntegerType())]))
-ANCHORS = StructType([StructField("key", LongType()), StructField("anchor", LongType()), StructField("n", LongType())])
+ANCHORS = StructType([StructField("key", LongType()), StructField("anchor", LongType())])
 
 
 def _arrow(schema: StructType) -> pa.Schema:
@@ -167,43 +188,41 @@ def _arrow(schema: StructType) -> pa.Schema:
     return to_arrow_schema(schema)
 
 
-def _bodies(few: pa.RecordBatch, at: int) -> list[list[bytes]]:
-    return [(x or b"").split() for x in few.column(at).cast(pa.binary()).to_pylist()]
+def _texts(few: pa.RecordBatch, at: int) -> list[bytes]:
+    return [x or b"" for x in few.column(at).cast(pa.binary()).to_pylist()]
 
 
 def _anchored(rows: DataFrame, window: int) -> DataFrame:
-    """(key, anchor, n) of every text."""
+    """(key, anchor) of every place of a text that is a window's anchor."""
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        arrow, known = _arrow(ANCHORS), _Hashes()
+        arrow = _arrow(ANCHORS)
         for part in parts:
             for few in slices(part, 1):
-                made = [counted_anchors(w, window, known) for w in _bodies(few, 1)]
-                keys = np.repeat(few.column(0).to_numpy(), [len(a) for a, _ in made])
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(keys), *(pa.array(np.concatenate([m[i] for m in made])) for i in (0, 1))], schema=arrow)
+                owner, anchor = Anchors(_texts(few, 1), window).places()
+                yield pa.RecordBatch.from_arrays([few.column(0).take(pa.array(owner)), pa.array(anchor)], schema=arrow)
 
     return rows.select("key", "body").mapInArrow(run, ANCHORS)
 
 
 def _cut(docs: DataFrame, window: int, shards: int) -> DataFrame:
-    """Add spans to rows with a body, and anchors as an array of (anchor, home), which goes."""
+    """Add the spans of every body, from its array `anchors` of (anchor, home), NULL where it has none, which goes."""
     columns = [c for c in docs.columns if c != "anchors"]
     schema = StructType([docs.schema[c] for c in columns] + [StructField("spans", SPANS)])
     body, n = columns.index("body"), len(columns)
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        arrow, known = _arrow(schema), _Hashes()
+        arrow = _arrow(schema)
         for part in parts:
             for few in slices(part, body):
-                lists, spans = few.column(n), []
-                for i, w in enumerate(_bodies(few, body)):
-                    pairs = lists[i].values
-                    found, homes = (pairs.field(j).to_numpy() for j in (0, 1))
-                    order = np.argsort(found)
-                    spans.append([{"start": a, "n": m, "shard": s}
-                                  for a, m, s in spans_of(w, window, known, found[order], homes[order], shards)])
+                # An anchor has one home, whichever text it is listed for.
+                pairs = few.column(n).flatten()
+                found, at = np.unique(pairs.field(0).to_numpy(), return_index=True)
+                homes = pairs.field(1).to_numpy()[at]
+                listed, texts = few.column(n).is_valid().to_pylist(), _texts(few, body)
+                spans = Anchors([t if x else b"" for t, x in zip(texts, listed)], window).spans(found, homes, shards)
+                made = [[{"start": a, "n": m, "shard": s} for a, m, s in x] for x in spans]
                 yield pa.RecordBatch.from_arrays(
-                    [few.column(i) for i in range(n)] + [pa.array(spans, arrow[n].type)], schema=arrow)
+                    [few.column(i) for i in range(n)] + [pa.array(made, arrow[n].type)], schema=arrow)
 
     return docs.select(*columns, "anchors").mapInArrow(run, schema)
 
@@ -219,12 +238,13 @@ def _span_texts(cut: DataFrame, window: int) -> DataFrame:
         for part in parts:
             for few in slices(part, 2):
                 made: list[list] = [[], [], [], [], [], []]
-                for i, (w, spans) in enumerate(zip(_bodies(few, 2), few.column(3).to_pylist())):
+                for i, (text, spans) in enumerate(zip(_texts(few, 2), few.column(3).to_pylist())):
+                    w = text.split()
                     for s in spans:
                         some = w[s["start"]:s["start"] + s["n"] + window - 1]
-                        text = b" ".join(some)
-                        for column, value in zip(made, (i, s["shard"], s["start"], hashlib.md5(text).digest(),
-                                                        len(some), text)):
+                        span = b" ".join(some)
+                        for column, value in zip(made, (i, s["shard"], s["start"], hashlib.md5(span).digest(),
+                                                        len(some), span)):
                             column.append(value)
                 at = pa.array(made[0], pa.int64())
                 yield pa.RecordBatch.from_arrays(
@@ -294,8 +314,9 @@ def _finish(rows: DataFrame, names: list[str], taken: list[str], window: int) ->
             for few in slices(part, n):
                 made: list[list] = [[], [], []]
                 lists = [few.column(n + 1 + j).to_pylist() for j in range(3)] if full else None
-                for i, w in enumerate(_bodies(few, n)):
+                for i, text in enumerate(_texts(few, n)):
                     runs: list[dict] = []
+                    w = text.split()
                     if lists:
                         spans, new, beaten = ((x[i] or []) for x in lists)
                         drop = np.zeros(len(w) + 1, bool)  # windows to remove
@@ -350,16 +371,16 @@ def remove_repeats(
     known = [f"_keep{i}" for i in range(len(keep))]
     rows = docs.select(*[F.col(c).alias(k) for c, k in zip(keep, known)], F.col(doc_id).alias("id"),
                        F.xxhash64(F.col(doc_id), F.col(text)).alias("key"), F.col(text).cast("binary").alias("body"))
-    counted = _anchored(rows, window).groupBy("anchor").agg(F.sum("n").alias("n"), F.min("key").alias("home"))
+    counted = _anchored(rows, window).groupBy("anchor").agg(F.count(F.lit(1)).alias("n"), F.min("key").alias("home"))
     twice = stored(counted.where("n > 1"), "anchors")
     places = twice.agg(F.sum("n")).first()[0] or 0
     shards = max(1, int(places) * window // 3 // shard_words)  # an anchor stands for about a third of a window
-    of_doc = _anchored(rows, window).select("key", "anchor").join(twice.select("anchor", "home"), "anchor")
+    of_doc = _anchored(rows, window).join(twice.select("anchor", "home").hint("merge"), "anchor")
     lists = stored(of_doc.groupBy("key").agg(F.collect_set(F.struct("anchor", "home")).alias("anchors")), "lists")
-    keys = stored(lists.select("key"), "keys")
-    plain = rows.join(keys, "key", "left_anti")
-    cut = stored(_cut(rows.join(keys, "key", "left_semi").join(lists, "key"), window, shards), "cut")
+    # The one shuffle of whole texts, the same at every size.
+    every = stored(_cut(rows.join(lists.hint("merge"), "key", "left"), window, shards), "cut")
     discard(lists)
+    cut, plain = every.where(F.size("spans") > 0), every.where(F.size("spans") == 0).drop("spans")
 
     spans = _span_texts(cut, window).groupBy("shard", "digest").agg(
         F.min(F.struct(F.col("id").isNull().alias("none"), "id", "start", "key", "words", "body")).alias("first"))
@@ -375,6 +396,6 @@ def remove_repeats(
     def same(other: DataFrame) -> Column:
         return cut["id"].eqNullSafe(other["id"]) & (cut["key"] == other["key"])
 
-    judged = cut.join(news, same(news), "left").join(beaten, same(beaten), "left").select(
+    judged = cut.join(news.hint("merge"), same(news), "left").join(beaten.hint("merge"), same(beaten), "left").select(
         *[cut[c] for c in known], cut["body"], "spans", "new", "beaten")
     return _finish(plain, keep, list(names), window).unionByName(_finish(judged, keep, list(names), window))

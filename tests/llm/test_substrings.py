@@ -45,18 +45,41 @@ def test_first_windows(spans, window):
     assert [x.tolist() for x in sub.first_windows(spans, window)] == want
 
 
-@given(st.lists(st.integers(0, 3), min_size=4, max_size=60))
-@settings(max_examples=200, deadline=None)
-def test_equal_windows_have_equal_counted_anchors(symbols):
-    words, window, known = [b"w%d" % s for s in symbols], 4, sub._Hashes()
-    least = sub.anchors(words, window, known)[1].view(np.int64)
-    values, counts = sub.counted_anchors(words, window, known)
-    n = dict(zip(values.tolist(), counts.tolist()))
-    by_window = {}
-    for i, a in enumerate(least.tolist()):
-        by_window.setdefault(tuple(words[i:i + window]), []).append(a)
-    for found in by_window.values():
-        assert len(set(found)) == 1 and n[found[0]] >= min(2, len(found))
+@given(st.lists(st.lists(st.integers(0, 3), max_size=30), max_size=5))
+@settings(max_examples=300, deadline=None)
+def test_equal_windows_share_an_anchor_that_is_counted_at_their_places(texts):
+    window = 4
+    made = sub.Anchors([b" \t".join(b"w%d" % s * (s + 1) for s in t) + b" " for t in texts], window)
+    owner, values = made.places()
+    assert made.first.tolist() == np.cumsum([0, *map(len, texts)]).tolist()
+    n = dict(zip(*np.unique(values, return_counts=True)))
+    anchors, places = {}, {}
+    for i, (a, inside) in enumerate(zip(made.least.view(np.int64).tolist(), made.inside.tolist())):
+        text = int(made.owner[i])
+        words = tuple(texts[text][i - int(made.first[text]):][:window])
+        assert inside == (len(words) == window)
+        if inside:
+            anchors.setdefault(words, set()).add(a)
+            places[words] = places.get(words, 0) + 1
+    for words, found in anchors.items():
+        assert len(found) == 1 and n[found.copy().pop()] >= min(2, places[words])
+
+
+def test_an_anchor_does_not_depend_on_the_other_texts():
+    text = b"one two  three four five six seven eight nine ten eleven twelve"
+    alone = sub.Anchors([text], 5).least
+    for before, after in ((b"x", b""), (b"", b"some more words"), (b"a b " * 1000, b"z")):
+        made = sub.Anchors([before, text, after], 5)
+        first = int(made.first[1])
+        assert made.least[first:first + len(alone)].tolist() == alone.tolist()
+
+
+def test_spans_are_the_runs_of_known_anchors():
+    texts = [b"a b c d e f g h", b"", b"c d e f x y", b"q"]
+    made = sub.Anchors(texts, 3)
+    known = np.unique(made.least.view(np.int64)[made.inside])
+    assert made.spans(known, known, 1) == [[(0, 6, 0)], [], [(0, 4, 0)], []]
+    assert made.spans(known[:0], known[:0], 1) == [[], [], [], []]
 
 
 def make_docs():
