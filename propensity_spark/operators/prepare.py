@@ -121,35 +121,29 @@ def impute(df: DataFrame, strategies: dict[str, str], fit_on: DataFrame | None =
 def correlation(df: DataFrame, cols: list[str]) -> DataFrame:
     """Pearson correlation of every pair as (feature_a, feature_b, corr), over rows where both are present.
 
-    Undefined correlations are 0: a constant column, or a pair that is never present together. Columns that are no
-    numbers are skipped; NaN and infinite values count as missing. Two scans: the means, and then one record per row
-    and feature, summed map-side to one row per feature, so what is shuffled is features squared. Values are taken
-    relative to the column's mean, so large offsets do not cancel.
+    Undefined correlations are 0: a column that is constant on the pair's rows, or a pair that is never present
+    together. Columns that are no numbers are skipped; NaN and infinite values count as missing. One scan: a record per
+    row and feature is folded map-side into one row of co-moments per feature, so what is shuffled is features squared.
+    Each pair has its own centred moments, merged around the means of its own rows; values that stand only where the
+    other column is missing do not touch it, and large offsets do not cancel.
     """
     cols = [c for c in cols if c in df.columns and isinstance(df.schema[c].dataType, NumericType)]
     values = df.select(*[F.when(F.abs(number(c)) < math.inf, number(c)).alias(c) for c in cols])
-    mean = values.agg(*[F.coalesce(F.avg(c), F.lit(0.0)).alias(c) for c in cols]).first()
-    moved = values.select(*[(F.col(c) - F.lit(mean[c])).alias(c) for c in cols])
     own = F.array(*[F.struct(F.lit(c).alias("feature_a"), F.col(c).alias("_a")) for c in cols])
-    a, sums = F.col("_a"), []
+    a, moments = F.col("_a"), []
     for i, c in enumerate(cols):
-        shared = F.when(F.col(c).isNotNull(), a)
-        sums += [F.count(shared).alias(f"n{i}"), F.sum(shared).alias(f"a{i}"), F.sum(shared * shared).alias(f"aa{i}"),
-                 F.sum(a * F.col(c)).alias(f"ab{i}"), (F.min(shared) < F.max(shared)).alias(f"varies{i}")]
-    found = moved.select("*", F.inline(own)).filter(a.isNotNull()).groupBy("feature_a").agg(*sums)
+        x, y = F.when(F.col(c).isNotNull(), a), F.col(c)  # a is present in every record
+        moments += [F.covar_pop(a, y).alias(f"ab{i}"), F.var_pop(x).alias(f"aa{i}"), F.var_pop(y).alias(f"bb{i}"),
+                    ((F.min(x) < F.max(x)) & (F.min(y) < F.max(y))).alias(f"vary{i}")]
+    found = values.select("*", F.inline(own)).filter(a.isNotNull()).groupBy("feature_a").agg(*moments)
     # From here on rows are features squared.
     each = F.array(*[F.struct(F.lit(c).alias("feature_b"), *[F.col(f"{k}{i}").alias(k) for k in
-                                                             ("n", "a", "aa", "ab", "varies")])
+                                                             ("ab", "aa", "bb", "vary")])
                      for i, c in enumerate(cols)])
-    one = found.select("feature_a", F.inline(each))
-    other = one.select(F.col("feature_a").alias("feature_b"), F.col("feature_b").alias("feature_a"),
-                       F.col("a").alias("b"), F.col("aa").alias("bb"), F.col("varies").alias("b_varies"))
-    n, x, y = F.col("n"), F.col("a"), F.col("b")
-    spread = F.sqrt(n * F.col("aa") - x * x) * F.sqrt(n * F.col("bb") - y * y)
-    r = F.when(F.col("varies") & F.col("b_varies"), F.try_divide(n * F.col("ab") - x * y, spread))
+    pairs = found.select("feature_a", F.inline(each))
+    r = F.when(F.col("vary"), F.try_divide(F.col("ab"), F.sqrt("aa") * F.sqrt("bb")))
     r = F.coalesce(F.when(~F.isnan(r), r), F.lit(0.0))
-    known = one.join(other, ["feature_a", "feature_b"]).select(
-        "feature_a", "feature_b", F.greatest(F.least(r, F.lit(1.0)), F.lit(-1.0)).alias("corr"))
+    known = pairs.select("feature_a", "feature_b", F.greatest(F.least(r, F.lit(1.0)), F.lit(-1.0)).alias("corr"))
     every = df.sparkSession.createDataFrame([(p, q) for p in cols for q in cols], "feature_a string, feature_b string")
     full = every.join(known, ["feature_a", "feature_b"], "left")
     return full.select("feature_a", "feature_b", F.coalesce("corr", F.lit(0.0)).alias("corr"))
