@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import time
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
 import numpy as np
+from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import (
     GBTClassifier,
@@ -78,14 +80,8 @@ class Trained:
 
     def score(self, df: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
         """Add `score` in [0, 1] and `predicted_label`."""
-        out = self.fitted.transform(_filled(df, self.features))
-        if self.algorithm == "linear_regression":
-            value = F.least(F.greatest(F.col("prediction"), F.lit(0.0)), F.lit(1.0))
-        else:
-            value = F.get(vector_to_array("probability"), F.lit(1))
-            value = F.when(value.isNull() | F.isnan(value), 0.5).otherwise(value)
-        keep = [F.col(f"_raw_{c}").alias(c) if c in self.features else F.col(c) for c in df.columns]
-        return out.select(*keep, value.alias("score")).withColumn(
+        out = score_columns([self], df)
+        return out.select(*df.columns, F.col("_score_0").alias("score")).withColumn(
             "predicted_label", (F.col("score") >= threshold).cast("int"))
 
     def weights(self) -> np.ndarray:
@@ -121,13 +117,16 @@ def _filled(df: DataFrame, features: list[str]) -> DataFrame:
     return raw.withColumns({f: F.coalesce(F.col(f).cast("double"), F.lit(0.0)) for f in features})
 
 
-def train(
-    df: DataFrame, algorithm: str, features: list[str], label: str, params: dict | None = None, suffix: str = "custom",
-    model_id: str | None = None,
-) -> Trained:
-    """Fit one candidate. Parameters an algorithm does not know are ignored; text numbers are converted."""
+def _vectors(df: DataFrame, features: list[str], label: str) -> DataFrame:
+    """The assembled inputs `_vector` and the label."""
+    assembler = VectorAssembler(inputCols=features, outputCol="_vector")
+    return assembler.transform(_filled(df, features).select(*features, label)).select("_vector", label)
+
+
+def _fit(vectors: DataFrame, facts, algorithm: str, features: list[str], label: str, params: dict | None,
+         model_id: str) -> Trained:
+    """Fit one candidate on assembled inputs; facts are their count n and the label's lowest and highest value."""
     spec = ALGORITHMS[algorithm]
-    facts = df.agg(F.count(F.lit(1)).alias("n"), F.min(label).alias("lo"), F.max(label).alias("hi")).first()
     if algorithm != "linear_regression" and facts["lo"] == facts["hi"]:
         raise ValueError("single class")
     estimator = spec.build(facts["n"], len(features))
@@ -138,23 +137,93 @@ def train(
             value = kind(value)
             value = 1.0 / (value * max(1, facts["n"])) if name == "C" else value
             estimator.set(estimator.getParam(spark_name), value)
-    stages: list = [VectorAssembler(inputCols=features, outputCol="_vector")]
+    stages: list = []
     if spec.scaled:
         stages.append(StandardScaler(inputCol="_vector", outputCol="_scaled", withMean=True, withStd=True))
     estimator.setFeaturesCol("_scaled" if spec.scaled else "_vector")
-    fitted = Pipeline(stages=[*stages, estimator]).fit(_filled(df, features).select(*features, label))
-    return Trained(model_id or f"{spec.short}_{suffix}", algorithm, list(features), fitted)
-
-
-def long_scores(models: list[Trained], df: DataFrame, champion: str, keep: list[str]) -> DataFrame:
-    """One row per input row and model: scores of the champion, and of the others in shadow."""
-    out = None
-    for m in models:
-        rows = m.score(df).select(
-            *keep, F.lit(m.model_id).alias("model_id"), "score", "predicted_label",
-            F.lit("champion" if m.model_id == champion else "shadow").alias("role"))
-        out = rows if out is None else out.unionByName(rows)
-    return out
+    fitted = Pipeline(stages=[*stages, estimator]).fit(vectors)
+    assembler = VectorAssembler(inputCols=features, outputCol="_vector")
+    return Trained(model_id, algorithm, list(features), PipelineModel([assembler, *fitted.stages]))
+
+
+def _facts(df: DataFrame, label: str):
+    return df.agg(F.count(F.lit(1)).alias("n"), F.min(label).alias("lo"), F.max(label).alias("hi")).first()
+
+
+def train(
+    df: DataFrame, algorithm: str, features: list[str], label: str, params: dict | None = None, suffix: str = "custom",
+    model_id: str | None = None,
+) -> Trained:
+    """Fit one candidate. Parameters an algorithm does not know are ignored; text numbers are converted."""
+    model_id = model_id or f"{ALGORITHMS[algorithm].short}_{suffix}"
+    return _fit(_vectors(df, features, label), _facts(df, label), algorithm, features, label, params, model_id)
+
+
+def train_many(
+    df: DataFrame, wanted: list[tuple[str, str, dict | None]], features: list[str], label: str
+) -> list[tuple[Trained | Exception, float]]:
+    """Fit candidates (model_id, algorithm, parameters) side by side; for each the model or its error, and seconds.
+
+    The inputs are assembled once and kept while all fits read them, each from a thread of its own; under a fair
+    scheduler every fit has its own pool. One that fails does not touch the others.
+    """
+    spark = df.sparkSession
+    vectors = _vectors(df, features, label).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        facts = _facts(vectors, label)
+
+        def run(model_id: str, algorithm: str, params: dict | None) -> tuple[Trained | Exception, float]:
+            spark.sparkContext.setLocalProperty("spark.scheduler.pool", model_id)
+            start = time.time()
+            try:
+                return _fit(vectors, facts, algorithm, features, label, params, model_id), time.time() - start
+            except Exception as e:
+                return e, 0.0
+
+        with ThreadPoolExecutor(max_workers=max(1, len(wanted))) as pool:
+            fits = [pool.submit(inheritable_thread_target(spark)(run), *w) for w in wanted]
+            return [f.result() for f in fits]
+    finally:
+        vectors.unpersist()
+
+
+def score_columns(models: list[Trained], df: DataFrame) -> DataFrame:
+    """df with the score of models[i] as _score_i, in one pass, whichever features each of them has."""
+    features = list(dict.fromkeys(f for m in models for f in m.features))
+    out, made = _filled(df, features), [f"_raw_{f}" for f in features]
+    for i, m in enumerate(models):
+        names, last = {"_vector": f"_vector_{i}", "_scaled": f"_scaled_{i}"}, len(m.fitted.stages) - 1
+        for at, stage in enumerate(m.fitted.stages):
+            stage = stage.copy()
+            for param in ("inputCol", "outputCol", "featuresCol"):
+                if stage.hasParam(param) and stage.getOrDefault(param) in names:
+                    stage.set(stage.getParam(param), names[stage.getOrDefault(param)])
+            if at == last:
+                for param in ("predictionCol", "probabilityCol", "rawPredictionCol"):
+                    if stage.hasParam(param):
+                        stage.set(stage.getParam(param), f"_{param}_{i}")
+            out = stage.transform(out)
+        if m.algorithm == "linear_regression":
+            value = F.least(F.greatest(F.col(f"_predictionCol_{i}"), F.lit(0.0)), F.lit(1.0))
+        else:
+            value = F.get(vector_to_array(f"_probabilityCol_{i}"), F.lit(1))
+            value = F.when(value.isNull() | F.isnan(value), 0.5).otherwise(value)
+        out = out.withColumn(f"_score_{i}", value)
+    raw = set(made)
+    keep = [F.col(f"_raw_{c}").alias(c) if f"_raw_{c}" in raw else F.col(c) for c in df.columns]
+    return out.select(*keep, *[f"_score_{i}" for i in range(len(models))])
+
+
+def long_scores(
+    models: list[Trained], df: DataFrame, champion: str, keep: list[str], threshold: float = THRESHOLD
+) -> DataFrame:
+    """One row per input row and model: scores of the champion, and of the others in shadow. One pass over df."""
+    each = F.array(*[
+        F.struct(F.lit(m.model_id).alias("model_id"), F.col(f"_score_{i}").alias("score"),
+                 (F.col(f"_score_{i}") >= threshold).cast("int").alias("predicted_label"),
+                 F.lit("champion" if m.model_id == champion else "shadow").alias("role"))
+        for i, m in enumerate(models)])
+    return score_columns(models, df).select(*keep, F.inline(each))
 
 
 @dataclass
@@ -187,18 +256,18 @@ def train_all(
     df: DataFrame, test: DataFrame, algorithms: list[str], features: list[str], label: str, group: str | None = None,
     privileged: str = "Male", unprivileged: str = "Female", params: dict | None = None, suffix: str = "custom",
 ) -> Training:
-    """Fit the candidates one after another and evaluate them together. A failing one gets a row Failed."""
+    """Fit the candidates side by side and evaluate them together. A failing one gets a row Failed."""
     if test.limit(1).count() == 0:
         raise ValueError("no rows to evaluate on")
+    known = [a for a in algorithms if a in ALGORITHMS]
+    wanted = [(f"{ALGORITHMS[a].short}_{suffix}", a, (params or {}).get(a)) for a in known]
     models, notes = [], []
-    for place, name in enumerate(a for a in algorithms if a in ALGORITHMS):
-        spec, start = ALGORITHMS[name], time.time()
-        try:
-            model = train(df, name, features, label, (params or {}).get(name), suffix)
-            models.append(model)
-            notes.append((place, model.model_id, spec.title, "Ready", round((time.time() - start) * 1000, 2)))
-        except Exception as e:
-            notes.append((place, f"{spec.short}_{suffix}", spec.title, f"Failed: {e}", 0.0))
+    for place, ((model_id, name, _), (fit, seconds)) in enumerate(zip(wanted, train_many(df, wanted, features, label))):
+        failed = isinstance(fit, Exception)
+        if not failed:
+            models.append(fit)
+        notes.append((place, model_id, ALGORITHMS[name].title, f"Failed: {fit}" if failed else "Ready",
+                      round(seconds * 1000, 2)))
     notes = test.sparkSession.createDataFrame(
         notes, "place int, model_id string, algorithm_type string, status string, latency_ms double")
     keep = [label] + ([group] if group else [])
@@ -236,15 +305,13 @@ def train_registered(
     `error` of a model whose fit failed. Rules and models that fail keep their rows.
     """
     by_title = {a.title: name for name, a in ALGORITHMS.items()} | {"PyTorch MLP": "pytorch_mlp"}
-    known = df.filter(F.col(label).isin(0, 1)).persist(StorageLevel.MEMORY_AND_DISK)
-    models, failed = [], {}
-    for row in registry.filter(F.col("model_category") != "Rule").orderBy("seq").collect():
-        if row["algorithm_type"] in by_title:
-            try:
-                models.append(train(known, by_title[row["algorithm_type"]], features, label, row["hyperparameters"],
-                                    model_id=row["model_id"]))
-            except Exception as e:
-                failed[row["model_id"]] = str(e)
+    known = df.filter(F.col(label).isin(0, 1))
+    rows = registry.filter(F.col("model_category") != "Rule").orderBy("seq").collect()
+    wanted = [(r["model_id"], by_title[r["algorithm_type"]], r["hyperparameters"]) for r in rows
+              if r["algorithm_type"] in by_title]
+    fits = train_many(known, wanted, features, label)
+    models = [fit for fit, _ in fits if isinstance(fit, Trained)]
+    failed = {w[0]: str(fit) for w, (fit, _) in zip(wanted, fits) if isinstance(fit, Exception)}
     if not models:
         return [], registry.withColumn("error", _errors(failed))
     found = binary_metrics(long_scores(models, known, "", [label]), label, "score", by=["model_id"])

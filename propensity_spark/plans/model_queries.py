@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import os
+from collections.abc import Callable
 from dataclasses import replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from propensity_spark.functions.session import scratch_path
+from propensity_spark.functions.session import scratch_path, shared_dir
 from propensity_spark.operators import models as md
 from propensity_spark.operators import scoring as sc
 from propensity_spark.operators.customer360 import FEATURES
@@ -16,7 +18,7 @@ from propensity_spark.plans import bindings as b
 from propensity_spark.plans.customer_queries import TELEMETRY
 from propensity_spark.plans.metric_queries import SCORE, in_bin_sql, edges_sql
 from propensity_spark.plans.registry import query
-from propensity_spark.sources import readers
+from propensity_spark.sources import model_store, readers
 from propensity_spark.sources.readers import Tables
 from propensity_spark.streaming import jobs
 
@@ -90,27 +92,62 @@ INPUTS = FEATURES
 #: Parameters given by the caller; all other training queries run the declared defaults.
 OVERRIDES = {"logistic_regression": {"max_iter": "50", "C": 0.5}, "random_forest": {"n_estimators": 10, "max_depth": 5},
              "pytorch_mlp": {"max_iter": 10, "unknown": 1}}
-_STUDIO: dict[tuple[str, str], md.Training] = {}
+_RUNS: dict[str, tuple[tuple, object]] = {}
 
 
-def _train_studio(t: Tables, algorithms: list[str], params: dict | None = None) -> md.Training:
-    """The studio's run with its scoreboard and scored rows as stored tables; nothing stays cached."""
-    result = md.train_studio(
-        readers.stored(b.profile(t), "profile"), "defaulter", algorithms, INPUTS,
-        {"credit_limit": "median", "monthly_spend": "mean", "fixed_deposit_balance": "zero"}, 0.7,
-        tags={"auto_cure_max_dpd": 5}, group="segment", privileged="BUILDING", unprivileged="AUTOMOBILE", params=params)
-    kept = replace(result, scoreboard=readers.stored(result.scoreboard, "scoreboard"),
-                   scored=readers.stored(result.scored, "scored"), cached=[])
+def _once(name: str, rows: DataFrame, make: Callable[[], object]):
+    """What make() made last under this name, if it was in this session and of the same rows; else made anew."""
+    key = (rows.sparkSession.sparkContext.applicationId, model_store.content_digest(rows))
+    if name not in _RUNS or _RUNS[name][0] != key:
+        _RUNS[name] = (key, make())
+    return _RUNS[name][1]
+
+
+def _kept(result: md.Training) -> md.Training:
+    """The scoreboard and scored rows as stored tables; nothing stays cached."""
+    out = replace(result, scoreboard=readers.stored(result.scoreboard, "scoreboard"),
+                  scored=readers.stored(result.scored, "scored"), cached=[])
     result.release()
-    return kept
+    return out
+
+
+def _train_studio(profile: DataFrame, algorithms: list[str], params: dict | None = None) -> md.Training:
+    return _kept(md.train_studio(
+        profile, "defaulter", algorithms, INPUTS,
+        {"credit_limit": "median", "monthly_spend": "mean", "fixed_deposit_balance": "zero"}, 0.7,
+        tags={"auto_cure_max_dpd": 5}, group="segment", privileged="BUILDING", unprivileged="AUTOMOBILE", params=params))
 
 
 def _studio(t: Tables) -> md.Training:
-    """All six algorithms with their defaults, trained once per session and data folder."""
-    key = (t.spark.sparkContext.applicationId, t.folder)
-    if key not in _STUDIO:
-        _STUDIO[key] = _train_studio(t, list(md.ALGORITHMS))
-    return _STUDIO[key]
+    """All six algorithms with their defaults; queries over the same rows share the run."""
+    profile = readers.stored(b.profile(t), "profile")
+    return _once("studio", profile, lambda: _train_studio(profile, list(md.ALGORITHMS)))
+
+
+def _campaign(t: Tables) -> tuple[md.Training, DataFrame]:
+    """All six algorithms on the whole population of a campaign, and the best model's leads."""
+    profile = readers.stored(b.profile(t), "profile")
+
+    def make() -> tuple[md.Training, DataFrame]:
+        result, leads = md.train_campaign(profile, "loans", list(md.ALGORITHMS), INPUTS)
+        leads = readers.stored(leads, "leads")
+        return _kept(result), leads
+
+    return _once("campaign", profile, make)
+
+
+def _serving(t: Tables) -> tuple[model_store.Serving, DataFrame]:
+    """Champion and shadows of all six algorithms as loaded from a folder, and the rows they were fitted on.
+
+    The folder is named after the content of those rows: fitted and saved if it holds no models yet.
+    """
+    rows = readers.stored(md.campaign_labels(b.profile(t), "defaulter"), "labelled")
+    folder = os.path.join(shared_dir(t.spark), f"models-{model_store.content_digest(rows)}")
+    if not model_store.has_models(t.spark, folder):
+        wanted = [(f"{a.short}_custom", name, None) for name, a in md.ALGORITHMS.items()]
+        models = [fit for fit, _ in md.train_many(rows, wanted, INPUTS, "label") if isinstance(fit, md.Trained)]
+        model_store.save_models(t.spark, model_store.Serving(models, "xgb_custom"), folder)
+    return model_store.load_models(t.spark, folder), rows
 
 
 @query()
@@ -120,7 +157,8 @@ def studio_scoreboard(t: Tables) -> DataFrame:
 
 @query()
 def studio_overrides(t: Tables) -> DataFrame:
-    return _train_studio(t, list(OVERRIDES), OVERRIDES).scoreboard.drop("latency_ms")
+    profile = readers.stored(b.profile(t), "profile")
+    return _train_studio(profile, list(OVERRIDES), OVERRIDES).scoreboard.drop("latency_ms")
 
 
 @query("""SELECT v.model_id, 'Ready' AS status, test.n AS n_scored, test.late AS n_positive, test.n AS n_in_range,
@@ -150,26 +188,53 @@ def studio_curves(t: Tables) -> DataFrame:
 
 @query()
 def campaign_leads(t: Tables) -> DataFrame:
-    result, leads = md.train_campaign(readers.stored(b.profile(t), "profile"), "loans",
-                                      ["linear_regression", "logistic_regression"], INPUTS)
-    leads = readers.stored(leads.select("customer_id", "annual_income", "credit_score",
-                                        F.round("score", 4).alias("propensity_score")), "leads")
-    result.release()
-    return leads
+    return _campaign(t)[1].select("customer_id", "annual_income", "credit_score",
+                                  F.round("score", 4).alias("propensity_score"))
+
+
+MODEL_IDS = ", ".join(f"('{a.short}_custom')" for a in md.ALGORITHMS.values())
+
+
+@query(f"""SELECT v.model_id, 'Ready' AS status, n AS n_scored, n AS n_in_range, least(n, 100) AS n_leads,
+  least(n, 100) AS n_best_first FROM (VALUES {MODEL_IDS}) v(model_id), (SELECT count(*) AS n FROM profile)""", ["profile"])
+def campaign_checks(t: Tables) -> DataFrame:
+    """What SQL can say of the campaign's run: every model scores everyone, and no one left out beats a lead."""
+    result, leads = _campaign(t)
+    fits = F.col("score").between(0, 1)
+    rows = result.scored.groupBy("model_id").agg(F.count(F.lit(1)).alias("n_scored"), F.count_if(fits).alias("n_in_range"))
+    best = result.best().model_id
+    top = result.scored.where(F.col("model_id") == best).orderBy(F.desc("score")).limit(100)
+    limit = top.agg(F.min("score")).first()[0]
+    found = leads.agg(F.count(F.lit(1)), F.count_if(F.col("score") >= limit)).first()
+    return result.scoreboard.select("model_id", "status").join(rows, "model_id").withColumns(
+        {"n_leads": F.lit(found[0]), "n_best_first": F.lit(found[1])})
 
 
 @query()
 def shadow_scores(t: Tables) -> DataFrame:
-    df = readers.stored(md.campaign_labels(b.profile(t), "defaulter"), "labelled")
-    models = [md.train(df, a, INPUTS, "label") for a in ("linear_regression", "logistic_regression", "xgboost")]
-    return md.long_scores(models, df, "xgb_custom", ["customer_id"])
+    serving, rows = _serving(t)
+    return serving.score(rows, ["customer_id"])
+
+
+ROLES = ", ".join(f"('{a.short}_custom', '{'champion' if name == 'xgboost' else 'shadow'}')"
+                  for name, a in md.ALGORITHMS.items())
+
+
+@query(f"""SELECT m.model_id, m.role, n AS n_scored, n AS n_in_range, n AS n_labelled_by_threshold
+FROM (VALUES {ROLES}) m(model_id, role), (SELECT count(*) AS n FROM profile)""", ["profile"])
+def shadow_checks(t: Tables) -> DataFrame:
+    """What SQL can say of the shadow scores: every model of its role scores and labels everyone."""
+    by_threshold = F.col("predicted_label") == (F.col("score") >= 0.55).cast("int")
+    return shadow_scores(t).groupBy("model_id", "role").agg(
+        F.count(F.lit(1)).alias("n_scored"), F.count_if(F.col("score").between(0, 1)).alias("n_in_range"),
+        F.count_if(by_threshold).alias("n_labelled_by_threshold"))
 
 
 @query()
 def model_explanations(t: Tables) -> DataFrame:
-    df = readers.stored(md.campaign_labels(b.profile(t), "defaulter"), "labelled")
-    model = md.train(df, "random_forest", INPUTS, "label")
-    return model.explain(df).select("customer_id", *[f"explanation_coeff_{i}" for i in (1, 2, 3)])
+    serving, rows = _serving(t)
+    model = next(m for m in serving.models if m.algorithm == "random_forest")
+    return model.explain(rows).select("customer_id", *[f"explanation_coeff_{i}" for i in (1, 2, 3)])
 
 
 @query("""SELECT round(regr_slope(CAST(annual_income >= 500000 AS DOUBLE), credit_score), 8) AS slope,
@@ -183,21 +248,28 @@ def fitted_line(t: Tables) -> DataFrame:
                                    "slope double, intercept double")
 
 
-@query("""SELECT model_id, CASE WHEN p_partkey % 3 = 0 THEN 5 ELSE 0 END AS n_metrics, p_partkey % 3 = 1 AS failed
-FROM (SELECT 'm_' || p_partkey AS model_id, p_partkey FROM part WHERE p_partkey < 6)""")
+REGISTERED = [a.title for a in md.ALGORITHMS.values()] + ["XGBoost", "Prophet"]
+
+
+@query("""SELECT DISTINCT 'm_' || (p_size % 8) AS model_id, CASE WHEN p_size % 8 < 6 THEN 5 ELSE 0 END AS n_metrics,
+  p_size % 8 = 6 AS failed FROM part""")
 def registered_training(t: Tables) -> DataFrame:
-    """Of six registered models two are fitted, two have a parameter that is no number, two an unknown algorithm."""
-    key = F.col("p_partkey")
+    """A model of each algorithm, one with a parameter that is no number, one of an unknown algorithm; all features.
+
+    The outcome is a late payment; parameters that the registry holds are those of small models.
+    """
+    key = F.col("k")
     empty = F.create_map().cast("map<string,double>")
-    registry = t["part"].filter("p_partkey < 6").select(
+    params = F.create_map(*[F.lit(x) for x in ("max_depth", "4", "depth", "4", "n_estimators", "20", "iterations", "20",
+                                               "max_iter", "50")])
+    bad = F.create_map(F.lit("max_depth"), F.lit("deep"))
+    registry = t["part"].select((F.col("p_size") % 8).alias("k")).distinct().select(
         F.concat(F.lit("m_"), key.cast("string")).alias("model_id"), key.alias("seq"),
-        F.when(key % 3 == 0, "Linear Regression").when(key % 3 == 1, "XGBoost").otherwise("Prophet")
-        .alias("algorithm_type"), F.lit("ML").alias("model_category"),
-        F.create_map(F.lit("max_depth"), F.lit("deep")).alias("hyperparameters"), empty.alias("baselines"),
+        F.get(F.array(*[F.lit(x) for x in REGISTERED]), key).alias("algorithm_type"), F.lit("ML").alias("model_category"),
+        F.when(key == 6, bad).otherwise(params).alias("hyperparameters"), empty.alias("baselines"),
         empty.alias("live_metrics"))
-    people = readers.stored(b.demographics(t).withColumn("label", (F.col("annual_income") >= 500000).cast("int")),
-                            "people")
-    _, out = md.train_registered(registry, people, ["age", "credit_score"], "label")
+    people = readers.stored(md.campaign_labels(b.profile(t), "defaulter"), "labelled")
+    _, out = md.train_registered(registry, people, INPUTS, "label")
     return out.select("model_id", F.size("baselines").alias("n_metrics"), F.col("error").isNotNull().alias("failed"))
 
 
@@ -234,22 +306,16 @@ def _log_stream(t: Tables) -> DataFrame:
     return b.request_log(jobs.file_stream(t.spark, t.folder, "events"))
 
 
-def _delay(t: Tables) -> str:
-    return jobs.covering_delay(t.spark, t.folder, "events", "ts")
-
-
 @query("""SELECT log_id, endpoint, CASE WHEN json_exists(payload_summary, '$.k') THEN '{"k":"********"}'
   ELSE payload_summary END AS payload_summary FROM request_log""", ["request_log"])
 def stream_masked_log(t: Tables) -> DataFrame:
-    rows = jobs.masked_log(_log_stream(t), ["k"], delay=_delay(t))
-    return jobs.run_append(rows.select("log_id", "endpoint", "payload_summary"), "masked")
+    return jobs.run_masked_log(_log_stream(t), ["k"], "masked").select("log_id", "endpoint", "payload_summary")
 
 
 @query(f"""SELECT strftime(date_trunc('day', timestamp), '%Y-%m-%d') AS window_start, endpoint, {TELEMETRY}
 FROM request_log GROUP BY ALL""", ["request_log"])
 def stream_telemetry(t: Tables) -> DataFrame:
-    live = jobs.windowed_telemetry(_log_stream(t), delay=_delay(t))
-    out = jobs.run_update(live, "telemetry", ["window_start", "endpoint"])
+    out = jobs.telemetry_of_counters(jobs.run_batches(_log_stream(t), "telemetry", jobs.telemetry_counters))
     return out.withColumn("window_start", F.date_format("window_start", "yyyy-MM-dd"))
 
 
@@ -269,8 +335,8 @@ def stream_psi(t: Tables) -> DataFrame:
     early = b.predictions(t).filter(F.col("timestamp") < F.lit("2024-01-16").cast("timestamp_ntz"))
     baseline = jobs.score_baseline(early, SCORE)
     live = b.predictions({"events": jobs.file_stream(t.spark, t.folder, "events")})
-    out = jobs.run_update(jobs.windowed_psi(live, SCORE, "timestamp", baseline, delay=_delay(t)), "psi", ["window_start"])
-    return out.withColumn("window_start", F.date_format("window_start", "yyyy-MM-dd"))
+    counters = jobs.run_batches(live, "psi", lambda rows: jobs.psi_counters(rows, SCORE, "timestamp"))
+    return jobs.psi_of_counters(counters, baseline).withColumn("window_start", F.date_format("window_start", "yyyy-MM-dd"))
 
 
 @query(f"""SELECT log_id, customer_id, round({LOGIT_SQL}, 6) AS score, CAST({LOGIT_SQL} >= 0.55 AS INT) AS predicted_label
@@ -282,3 +348,23 @@ def stream_scores(t: Tables) -> DataFrame:
     out = jobs.scored_requests(requests, readers.stored(b.profile(t), "profile"), WEIGHTS, INTERCEPT)
     out = out.select("log_id", "customer_id", F.round("score", 6).alias("score"), "predicted_label")
     return jobs.run_append(out, "scores")
+
+
+@query(f"""SELECT event_id AS log_id, m.model_id, m.role, TRUE AS as_in_batch, TRUE AS in_range
+FROM events, (VALUES {ROLES}) m(model_id, role)""")
+def stream_champion(t: Tables) -> DataFrame:
+    """Live requests scored by the loaded champion and its shadows; the batch scores of the same rows are equal."""
+    serving, _ = _serving(t)
+    profile = readers.stored(b.profile(t), "profile")
+
+    def requests(events: DataFrame) -> DataFrame:
+        return events.select(F.col("event_id").alias("log_id"), F.col("user_id").alias("customer_id"))
+
+    keep = ["log_id", "customer_id"]
+    live = jobs.run_append(jobs.served_requests(
+        requests(jobs.file_stream(t.spark, t.folder, "events")), profile, serving, keep), "served")
+    batch = jobs.served_requests(requests(t["events"]), profile, serving, keep)
+    batch = batch.select("log_id", "model_id", F.struct("score", "predicted_label").alias("batch"))
+    same = F.coalesce(F.struct("score", "predicted_label") == F.col("batch"), F.lit(False))
+    return live.join(batch, ["log_id", "model_id"], "left").select(
+        "log_id", "model_id", "role", same.alias("as_in_batch"), F.col("score").between(0, 1).alias("in_range"))

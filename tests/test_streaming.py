@@ -59,6 +59,26 @@ def test_resent_rows_are_dropped_and_secrets_masked(spark, arriving):
     assert rows(out.select("payload_summary").distinct()) == [('{"k":"********"}',)]
 
 
+def test_a_row_sent_again_much_later_is_known_without_a_state(spark, arriving, tmp_path):
+    events = spark.read.parquet(arriving)
+    for i in range(3):  # all rows, then some of them and twice in a file, then all again
+        (events if i != 1 else events.limit(50).union(events.limit(50))).coalesce(1).write.parquet(str(tmp_path / f"{i}"))
+        raw = spark.read.parquet(str(tmp_path / f"{i}")).coalesce(1)
+        raw.write.mode("append").parquet(str(tmp_path / "in"))
+    log = stream(spark, str(tmp_path / "in"))
+    out = jobs.run_masked_log(log, ["k"], "masked")
+    assert out.columns == log.columns and out.count() == out.select("log_id").distinct().count() == events.count()
+    assert rows(out.select("payload_summary").distinct()) == [('{"k":"********"}',)]
+
+
+def test_stored_counters_equal_the_batch(spark, arriving):
+    counters = jobs.run_batches(stream(spark, arriving), "telemetry", jobs.telemetry_counters)
+    log = b.request_log(spark.read.parquet(arriving)).withColumn("day", F.to_date("timestamp"))
+    want = {(str(r["day"]), r["endpoint"]): tuple(r)[2:] for r in telemetry(log, ["day", "endpoint"]).collect()}
+    got = {(str(r["window_start"])[:10], r["endpoint"]): tuple(r)[2:] for r in jobs.telemetry_of_counters(counters).collect()}
+    assert got == want and counters.count() > len(want)
+
+
 def test_stream_scores_equal_batch_scores(spark, arriving):
     weights = {"credit_score": 0.001, "age": 0.01}
     profiles = b.demographics(Tables(spark, SF))
