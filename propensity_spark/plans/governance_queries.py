@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from propensity_spark.functions.session import scratch_path
 from propensity_spark.operators import governance as gv
 from propensity_spark.plans import bindings as b
 from propensity_spark.plans.registry import query
+from propensity_spark.sources.merge_table import BUCKET, MergeTable
 from propensity_spark.sources.readers import Tables, flatten_list, split_list
+from propensity_spark.sources.registry_file import Registry
+from propensity_spark.sources.snapshots import Conflict
 
 RANKS_SQL = """SELECT model_id, status,
   row_number() OVER (ORDER BY coalesce(roc_auc, 0.70) DESC, seq) AS roc_auc_rank,
@@ -196,3 +200,66 @@ def list_columns(t: Tables) -> DataFrame:
     text = flatten_list(lists, "states")
     sizes = split_list(text, "states").select(F.col("o_custkey").alias("key"), F.size("states").cast("bigint").alias("n"))
     return text.join(sizes, text.o_custkey == sizes.key).drop("key")
+
+
+# ---- stored tables that several writers change
+
+@query("""WITH brands AS (SELECT p_brand AS model_id, CAST(regexp_extract(p_brand, '[0-9]+') AS BIGINT) AS seq,
+  round(avg(p_retailprice), 2) AS price FROM part GROUP BY p_brand)
+SELECT model_id, CASE WHEN seq = (SELECT max(seq) FROM brands) THEN 'champion' ELSE 'challenger' END AS status,
+  CASE WHEN seq = (SELECT min(seq) FROM brands) THEN 'champion' ELSE 'challenger' END AS first_status,
+  price, 2 AS n_audit, TRUE AS refused FROM brands""")
+def registry_commits(t: Tables) -> DataFrame:
+    """Two writers who read the same registry: the one who commits second is refused, reads again, and both changes
+    are in; the first document can still be read."""
+    seq = F.regexp_extract("p_brand", "([0-9]+)", 1).cast("bigint")
+    brands = t["part"].groupBy("p_brand").agg(F.round(F.avg("p_retailprice"), 2).alias("price"))
+    models = brands.select(F.col("p_brand").alias("model_id"), seq.alias("seq"),
+                           F.create_map(F.lit("price"), "price").alias("baselines"))
+    ends = models.agg(F.min("seq").alias("low"), F.max_by("model_id", "seq").alias("last")).first()
+    models = models.withColumn("status", F.when(F.col("seq") == ends["low"], "champion").otherwise("challenger"))
+    rules = t.spark.createDataFrame([], "seq bigint, model_id string")
+    audit = t.spark.createDataFrame([], "seq bigint, timestamp string, triggered_by string, action string, "
+                                        "evidence string, approved_by string")
+    registry = Registry(t.spark, scratch_path(t.spark, "registry"))
+    first = registry.commit({"models": models, "rule_models": rules, "audit": audit}, None)
+
+    def promote(frames: dict[str, DataFrame]) -> dict[str, DataFrame]:
+        entry = gv.audit_entry(frames["audit"], "a", f"Hot-Swap completed: first -> {ends['last']}", "", "2024-01-01")
+        return frames | {"models": gv.promote(frames["models"], ends["last"]), "audit": entry}
+
+    def note(frames: dict[str, DataFrame]) -> dict[str, DataFrame]:
+        return frames | {"audit": gv.audit_entry(frames["audit"], "b", "Reviewed", "", "2024-01-01")}
+
+    read = registry.at(first)
+    registry.update(promote)
+    try:
+        registry.commit(note(read), first)
+        refused = False
+    except Conflict:
+        refused = True
+        registry.update(note)
+    now, before = registry.at(registry.newest()), registry.at(first)["models"]
+    return now["models"].join(before.select("model_id", F.col("status").alias("first_status")), "model_id").select(
+        "model_id", "status", "first_status", F.round(F.col("baselines")["price"], 2).alias("price"),
+        F.lit(now["audit"].count()).alias("n_audit"), F.lit(refused).alias("refused"))
+
+
+@query("""SELECT c_custkey, CASE WHEN c_custkey % 100 = 7 THEN 0.0 ELSE c_acctbal END AS c_acctbal, TRUE AS only_touched,
+  TRUE AS once FROM customer
+UNION ALL SELECT -c_custkey - 1, 0.0, TRUE, TRUE FROM customer WHERE c_custkey % 100 = 7""")
+def merge_into_stored(t: Tables) -> DataFrame:
+    """An upsert of one id in a hundred, and of as many new ones, into a stored table, made twice: the buckets it does
+    not touch keep their files, and the second time changes nothing."""
+    rows = t["customer"].select("c_custkey", "c_acctbal")
+    table = MergeTable(t.spark, scratch_path(t.spark, "customers"), "c_custkey", rows.schema, buckets=256)
+    loaded = table.merge(rows, "load", "c_acctbal")
+    some = rows.where("c_custkey % 100 = 7").withColumn("c_acctbal", F.lit(0.0))
+    some = some.unionByName(some.withColumn("c_custkey", -F.col("c_custkey") - 1))
+    merged = table.merge(some, "correction", "c_acctbal")
+    again = table.merge(some, "correction", "c_acctbal")
+    before, after = (table.state(n)["buckets"] for n in (loaded, merged))
+    touched = {str(r[0]) for r in some.select(F.pmod(F.xxhash64("c_custkey"), F.lit(256)).alias(BUCKET)).distinct().collect()}
+    only = all((before.get(b) == folder) == (b not in touched) for b, folder in after.items())
+    return table.read().select("c_custkey", "c_acctbal", F.lit(only).alias("only_touched"),
+                               F.lit(again is None and table.state() == table.state(merged)).alias("once"))

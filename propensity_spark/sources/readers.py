@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from decimal import Decimal
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DecimalType, StringType
 
 from propensity_spark.functions.session import scratch_path
-from propensity_spark.sources.schemas import BANK_TABLES, DRIVER_TABLES
+from propensity_spark.sources.schemas import DRIVER_TABLES
 
 NULL_TEXT = "\\N"
 
@@ -25,36 +26,39 @@ class Tables:
         return self.spark.read.schema(DRIVER_TABLES[name]).parquet(f"{self.folder}/{name}.parquet")
 
 
-def bank_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    """One of the bank's own tables as parquet, with its declared schema."""
-    return spark.read.schema(BANK_TABLES[name]).parquet(f"{folder}/{name}.parquet")
+def key_predicates(key: str, bounds: list[str] | list[int] | list[float], collation: str = '"C"') -> list[str]:
+    """Conditions that cut a table at key bounds: every row, NULL keys too, is in exactly one.
 
-
-def key_predicates(key: str, bounds: list[str]) -> list[str]:
-    """Conditions that cut a table at ascending key bounds, text or numbers: every row, NULL keys too, is in one."""
-    def quoted(value: str) -> str:
-        return "'" + str(value).replace("'", "''") + "'"
-
-    cuts = sorted(set(map(str, bounds)))
+    Bounds that are numbers cut a numeric key. Bounds that are text cut a text key in the order of its bytes, which
+    `collation` names in the database's SQL: the order a database sorts text in by default need not be that of the
+    bounds here, and would read rows twice or not at all.
+    """
+    numeric = all(isinstance(b, (int, float, Decimal)) and not isinstance(b, bool) for b in bounds)
+    if not numeric and not all(isinstance(b, str) for b in bounds):
+        raise ValueError("bounds must be all numbers or all text")
+    cuts = sorted(set(bounds), key=None if numeric else str.encode)
     if not cuts:
         return ["1 = 1"]
-    inner = [f"{key} >= {quoted(a)} AND {key} < {quoted(b)}" for a, b in zip(cuts, cuts[1:])]
-    return [f"{key} < {quoted(cuts[0])} OR {key} IS NULL", *inner, f"{key} >= {quoted(cuts[-1])}"]
+    name = key if numeric else f"{key} COLLATE {collation}"
+    shown = [str(c) if numeric else "'" + c.replace("'", "''") + "'" for c in cuts]
+    inner = [f"{name} >= {x} AND {name} < {y}" for x, y in zip(shown, shown[1:])]
+    return [f"{name} < {shown[0]} OR {key} IS NULL", *inner, f"{name} >= {shown[-1]}"]
 
 
 def read_jdbc(
-    spark: SparkSession, url: str, table: str, key: str, bounds: list[str] | tuple[int, int, int], **options: str
+    spark: SparkSession, url: str, table: str, key: str, bounds: list | tuple[int, int, int],
+    collation: str = '"C"', **options: str
 ) -> DataFrame:
     """A relational table read in parallel; filters and column lists are pushed to the database.
 
-    `bounds` is a list of key values to cut at, for text keys, or (lowest, highest, parts) of a number.
+    `bounds` is a list of key values to cut at, see key_predicates(), or (lowest, highest, parts) of a number.
     """
     if isinstance(bounds, tuple):
         lower, upper, parts = map(str, bounds)
         reader = spark.read.format("jdbc").options(url=url, dbtable=table, partitionColumn=key, lowerBound=lower,
                                                    upperBound=upper, numPartitions=parts, **options)
         return reader.load()
-    return spark.read.jdbc(url, table, predicates=key_predicates(key, bounds), properties=options)
+    return spark.read.jdbc(url, table, predicates=key_predicates(key, bounds, collation), properties=options)
 
 
 def normalise(df: DataFrame) -> DataFrame:
@@ -109,9 +113,13 @@ def append_log(df: DataFrame, path: str, time: str = "timestamp") -> None:
     rows.hint("rebalance", F.col("day")).write.mode("append").partitionBy("day").parquet(path)
 
 
-def save_bucketed(df: DataFrame, table: str, key: str, buckets: int) -> None:
-    """A table stored in buckets of `key`, sorted in each. Tables with the same buckets join without a shuffle."""
-    df.repartition(buckets, key).write.mode("overwrite").bucketBy(buckets, key).sortBy(key).saveAsTable(table)
+def save_bucketed(df: DataFrame, table: str, key: str, buckets: int, path: str | None = None) -> None:
+    """A table stored in buckets of `key`, sorted in each, in the warehouse or at `path`.
+
+    Tables with the same number of buckets join on the key without a shuffle.
+    """
+    writer = df.repartition(buckets, key).write.mode("overwrite").bucketBy(buckets, key).sortBy(key)
+    (writer if path is None else writer.option("path", path)).saveAsTable(table)
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:

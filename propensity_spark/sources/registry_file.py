@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from propensity_spark.sources.schemas import REGISTRY
+from propensity_spark.sources.snapshots import Snapshots
 
 #: Parts of the document that are a single entry.
 SINGLE = ["settings", "active_routing", "traffic_split"]
@@ -44,8 +47,8 @@ def load_registry(spark: SparkSession, path: str, default_rules: DataFrame | Non
             **{name: doc.select(f"{name}.*") for name in SINGLE}}
 
 
-def save_registry(frames: dict[str, DataFrame], path: str) -> None:
-    """Write the frames of load_registry() as one document that it reads back alike.
+def _document(frames: dict[str, DataFrame]) -> DataFrame:
+    """The frames of load_registry() as the one row of a document.
 
     The document is configuration: every model, rule and audit entry of it is one JSON value.
     """
@@ -74,4 +77,43 @@ def save_registry(frames: dict[str, DataFrame], path: str) -> None:
             one = frames[name].limit(1).select(F.lit(1).alias("_one"), entry(frames[name], fields.names).cast(fields)
                                                .alias(name))
             doc = doc.join(one, "_one", "left")
-    doc.drop("_one").coalesce(1).write.mode("overwrite").json(path)
+    return doc.drop("_one")
+
+
+def save_registry(frames: dict[str, DataFrame], path: str) -> None:
+    """Write the frames of load_registry() as one document that it reads back alike.
+
+    For a registry that one writer at a time changes; several writers share a Registry.
+    """
+    _document(frames).coalesce(1).write.mode("overwrite").json(path)
+
+
+class Registry:
+    """A registry that several writers change at a time: numbered documents, each written once.
+
+    A change is made on the newest document and committed under the next number, if no one else has taken it; else it
+    is made again on what the other one wrote. So no entry is lost, readers never see half a document, and every
+    earlier state can be read.
+    """
+
+    def __init__(self, spark: SparkSession, folder: str):
+        self.spark, self.snapshots = spark, Snapshots(spark, folder)
+
+    def at(self, number: int) -> dict[str, DataFrame]:
+        return load_registry(self.spark, self.snapshots.path(number))
+
+    def newest(self) -> int | None:
+        return self.snapshots.newest()
+
+    def commit(self, frames: dict[str, DataFrame], read: int | None) -> int:
+        """Write frames that were made from document `read` (None: from nothing); Conflict if it is not the newest."""
+        row = _document(frames).select(F.to_json(F.struct("*"))).first()
+        return self.snapshots.commit(row[0], read)
+
+    def update(self, change: Callable[[dict[str, DataFrame]], dict[str, DataFrame]], tries: int = 20) -> int:
+        """Commit change(newest document), made anew as often as another writer was first."""
+        return self.snapshots.retry(lambda read: self.commit(change(self.at(read)), read), tries)
+
+    def restore(self, number: int) -> int:
+        """Commit an earlier document again, as it was."""
+        return self.snapshots.retry(lambda read: self.snapshots.commit(self.snapshots.read(number), read))

@@ -1,7 +1,10 @@
 import datetime as dt
 from decimal import Decimal
 
+import duckdb
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from propensity_spark.functions.session import checkpointed, scratch_path, shared_dir
@@ -94,5 +97,36 @@ def test_bucketed_tables_join_without_a_shuffle(spark):
 
 def test_text_keys_are_cut_into_predicates():
     assert readers.key_predicates("k", ["m", "d'x", "m"]) == [
-        "k < 'd''x' OR k IS NULL", "k >= 'd''x' AND k < 'm'", "k >= 'm'"]
+        "k COLLATE \"C\" < 'd''x' OR k IS NULL", "k COLLATE \"C\" >= 'd''x' AND k COLLATE \"C\" < 'm'",
+        "k COLLATE \"C\" >= 'm'"]
     assert readers.key_predicates("k", []) == ["1 = 1"]
+    assert readers.key_predicates("k", [9, 10, 100]) == [
+        "k < 9 OR k IS NULL", "k >= 9 AND k < 10", "k >= 10 AND k < 100", "k >= 100"]
+    with pytest.raises(ValueError):
+        readers.key_predicates("k", ["9", 10])
+
+
+KEYS = st.one_of(st.none(), st.text(alphabet="aAbBzZéß_ '09", max_size=4))
+
+
+@given(st.lists(KEYS, max_size=12), st.lists(st.text(alphabet="aAbBzZéß_ '09", max_size=3), max_size=5))
+@settings(max_examples=60, deadline=None)
+def test_every_text_key_is_in_one_predicate(keys, bounds):
+    con = duckdb.connect()
+    con.execute("CREATE TABLE t (k VARCHAR)")
+    for k in keys:
+        con.execute("INSERT INTO t VALUES (?)", [k])
+    found = [r for p in readers.key_predicates("k", bounds) for r in con.execute(f"SELECT k FROM t WHERE {p}").fetchall()]
+    assert sorted(map(repr, found)) == sorted(repr((k,)) for k in keys)
+
+
+@given(st.lists(st.one_of(st.none(), st.integers(-200, 200)), max_size=12),
+       st.lists(st.one_of(st.integers(-150, 150), st.floats(-150, 150)), max_size=5))
+@settings(max_examples=60, deadline=None)
+def test_every_number_is_in_one_predicate(keys, bounds):
+    con = duckdb.connect()
+    con.execute("CREATE TABLE t (k BIGINT)")
+    for k in keys:
+        con.execute("INSERT INTO t VALUES (?)", [k])
+    found = [r for p in readers.key_predicates("k", bounds) for r in con.execute(f"SELECT k FROM t WHERE {p}").fetchall()]
+    assert sorted(map(repr, found)) == sorted(repr((k,)) for k in keys)
