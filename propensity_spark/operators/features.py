@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from propensity_spark.functions.scalar import is_true, ratio
-from propensity_spark.operators.labels import hash_sample
+from propensity_spark.operators.labels import in_sample
 
 
 def _or(name: str, default: float) -> Column:
@@ -92,24 +92,19 @@ def stress(
 
     What is missing stays missing. df is read for the samples and for the result, so it should be a stored table.
     """
-    keys = df.select(key).distinct()
-    marked = df
-    for name, seed in zip(("_score", "_card"), seeds):
-        chosen = hash_sample(keys, key, n, seed).withColumn(name, F.lit(True))
-        marked = marked.join(chosen, key, "left")
+    scored, carded = in_sample(df.select(key).distinct(), key, n, seeds)
     score = F.least(F.greatest(F.col("credit_score") + spec.score, F.lit(300)), F.lit(850))
     usage = F.col("average_utilization") * spec.utilization
     usage = usage if spec.most is None else F.least(usage, F.lit(spec.most))
     delay = F.greatest(F.col("payment_delay_days") + spec.delay, F.lit(0))
-    out = marked.withColumns({
-        "credit_score": F.when(F.col("_score") & F.col("credit_score").isNotNull(), score)
+    return df.withColumns({
+        "credit_score": F.when(scored & F.col("credit_score").isNotNull(), score)
         .otherwise(F.col("credit_score")),
-        "average_utilization": F.when(F.col("_card") & F.col("average_utilization").isNotNull(), usage)
+        "average_utilization": F.when(carded & F.col("average_utilization").isNotNull(), usage)
         .otherwise(F.col("average_utilization")),
-        "payment_delay_days": F.when(F.col("_card") & F.col("payment_delay_days").isNotNull(), delay)
+        "payment_delay_days": F.when(carded & F.col("payment_delay_days").isNotNull(), delay)
         .otherwise(F.col("payment_delay_days")),
     })
-    return out.select(*df.columns)
 
 
 def cohort_by_keys(df: DataFrame, keys: DataFrame, key: str = "customer_id") -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -100,3 +102,35 @@ def hash_sample(df: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
             return edge if not taken else df.filter(leading < last).unionByName(edge)
         taken += here
     return df
+
+
+def in_sample(keys: DataFrame, key: str, n: int, seeds: tuple[int, ...]) -> list[Column]:
+    """For every seed the condition that a row's key is in hash_sample(keys, key, n, seed); keys are distinct.
+
+    One count over all seeds finds the range that holds the n-th key, and one ordered look into these ranges that key;
+    after that membership is a comparison with it, and rows need no join.
+    """
+    orders = {seed: hash_order(F.col(key), seed) for seed in seeds}
+    leading = {s: F.conv(F.substring(o, 1, 4), 16, 10).cast("int") for s, o in orders.items()}
+    each = F.array(*[F.struct(F.lit(s).alias("seed"), r.alias("r")) for s, r in leading.items()])
+    sizes: dict[int, dict[int, int]] = {s: {} for s in seeds}
+    for r in keys.select(F.inline(each)).groupBy("seed", "r").count().collect():  # at most DIGEST_RANGES a seed
+        sizes[r["seed"]][r["r"]] = r["count"]
+    edges = []
+    for seed in seeds:
+        taken = 0
+        for last, here in sorted(sizes[seed].items()):
+            if taken + here >= n > 0:
+                found = keys.where(leading[seed] == last).orderBy(orders[seed], key).offset(n - taken - 1).limit(1)
+                edges.append(found.select(F.lit(seed).alias("seed"), orders[seed].alias("digest"), F.col(key).alias("key")))
+                break
+            taken += here
+    limits = {r["seed"]: r for r in reduce(DataFrame.unionByName, edges).collect()} if edges else {}
+    out = []
+    for seed, order in orders.items():
+        if n <= 0 or seed not in limits:
+            out.append(F.lit(n > 0))  # nobody, or fewer than n
+            continue
+        digest, last = F.lit(limits[seed]["digest"]), F.lit(limits[seed]["key"])
+        out.append((order < digest) | ((order == digest) & (F.col(key) <= last)))
+    return out

@@ -43,8 +43,13 @@ def binary_metrics(
 
     Undefined values take the defaults .5, .5, 0, .693 and 0.
     """
+    return metrics_of_counts(score_counts(df, label, score, by), threshold, by)
+
+
+def metrics_of_counts(counts: DataFrame, threshold: float = THRESHOLD, by: list[str] | None = None) -> DataFrame:
+    """binary_metrics() from rows (by, score, pos, neg), one per score."""
     by = list(by or [])
-    c = running_totals(score_counts(df, label, score, by), "score", ["pos", "neg"], by)
+    c = running_totals(counts, "score", ["pos", "neg"], by)
     pos, neg, s = F.col("pos").cast("double"), F.col("neg").cast("double"), F.col("score").cast("double")
     all_pos, all_neg = F.col("total_pos").cast("double"), F.col("total_neg").cast("double")
     tp = all_pos - F.col("cum_pos") + pos

@@ -172,18 +172,37 @@ def dpd_buckets(df: DataFrame, delay: str = "payment_delay_days") -> DataFrame:
     return counts.select(F.inline(rows))
 
 
+#: Rules whose hits are one number of a row.
+MASK = 60
+
+
 def evaluate_rules(df: DataFrame, rules: list[dict], delay: str = "payment_delay_days") -> DataFrame:
     """One row per rule: population, matches, match rate and matches per delay bucket.
 
-    One scan whatever the number of rules: each row lists the rules that fired, and the list is counted per rule and
-    delay bucket before the shuffle. What comes back is rules x buckets and is laid on the list of rules, so a rule
-    that never fired, and an empty population, give a row of zeros.
+    One scan whatever the number of rules: a row's hits are bits of a few numbers, rows with the same hits and delay
+    bucket are counted together before the shuffle, and only those counts are laid out per rule. What comes back is
+    rules x buckets and is laid on the list of rules, so a rule that never fired, and an empty population, give a row
+    of zeros. For thousands of rules there is rule_index.evaluate_many().
     """
     types = column_types(df)
     bucket = dpd_bucket(F.col(delay)) if delay in types else F.lit(-1)
-    fired = [F.when(rule_mask(types, r["rule_config"]), F.lit(i)) for i, r in enumerate(rules)]
-    hits = F.explode(F.array_compact(F.array(F.lit(-1), *fired)))  # -1 counts the population
-    counts = df.select(bucket.alias("bucket"), hits.alias("rule")).groupBy("rule", "bucket").count()
+    masks = []
+    for start in range(0, len(rules), MASK):
+        bits = [F.when(rule_mask(types, r["rule_config"]), F.lit(1 << i).cast("bigint")).otherwise(F.lit(0).cast("bigint"))
+                for i, r in enumerate(rules[start:start + MASK])]
+        masks.append(F.aggregate(F.array(*bits), F.lit(0).cast("bigint"), lambda x, y: x.bitwiseOR(y)))
+    names = [f"_hits_{i}" for i in range(len(masks))]
+    same = df.select(bucket.alias("bucket"), *[m.alias(n) for m, n in zip(masks, names)]).groupBy("bucket", *names).agg(
+        F.count(F.lit(1)).alias("count"))
+    # From here on there is a row per set of hits. -1 counts the population.
+    fired = [F.when(F.col(names[i // MASK]).bitwiseAND(F.lit(1 << i % MASK).cast("bigint")) != 0, F.lit(i))
+             for i in range(len(rules))]
+    each = same.select("bucket", "count", F.explode(F.array_compact(F.array(F.lit(-1), *fired))).alias("rule"))
+    return counts_per_rule(each, rules)
+
+
+def counts_per_rule(counts: DataFrame, rules: list[dict]) -> DataFrame:
+    """The rows of evaluate_rules() from counts (rule, bucket, count); rule -1 is the population."""
     in_bucket = [F.sum(F.when(F.col("bucket") == i, F.col("count")).otherwise(0)) for i in range(5)]
     per_rule = counts.groupBy("rule").agg(F.sum("count").alias("n"), F.array(*in_bucket).alias("days"))
     one = per_rule.agg(F.map_from_entries(F.collect_list(F.struct("rule", F.struct("n", "days")))).alias("found"))

@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from propensity_spark.functions.scalar import mask_json
+from propensity_spark.functions.session import scratch_path
 from propensity_spark.operators import customer360 as c360
 from propensity_spark.operators import leads as ld
 from propensity_spark.operators import search as se
+from propensity_spark.operators.indexes import PageIndex, TextIndex
 from propensity_spark.operators.templates import template_features, template_query
 from propensity_spark.plans import bindings as b
 from propensity_spark.plans.registry import query
-from propensity_spark.sources.readers import Tables, normalise
+from propensity_spark.sources.readers import Tables, normalise, save_bucketed, stored
 
 SHOWN = ["customer_id", "segment", "late", *c360.FEATURES, "risk_profile", "is_conversion_successful"]
 SHOWN_SQL = "customer_id, segment, CAST(late_payment_flag AS INT) AS late, " + ", ".join(
@@ -49,6 +53,27 @@ def customer_lookup(t: Tables) -> DataFrame:
     return _shown(c360.customer_360(base, parts, log=log))
 
 
+BUCKETS = 16
+
+
+@query("SELECT customer_id, age, credit_limit, payment_delay_days, fixed_deposit_balance, 0 AS n_shuffles FROM profile",
+       ["profile"])
+def customer_360_bucketed(t: Tables) -> DataFrame:
+    """The star over tables that are stored in the same buckets: a merge of buckets, nothing is shuffled."""
+    frames = [b.demographics(t), b.credit_card_history(t), b.loan_details(t), b.investment_profiles(t)]
+    names = [f"star_{uuid.uuid4().hex}" for _ in frames]
+    for name, frame in zip(names, frames):
+        save_bucketed(frame, name, "customer_id", BUCKETS, scratch_path(t.spark, name))
+    base, *parts = [t.spark.table(name) for name in names]
+    joined = c360.customer_360(base, [p.hint("merge") for p in parts])
+    shuffles = joined._jdf.queryExecution().executedPlan().toString().count("Exchange")
+    out = stored(joined.select("customer_id", "age", "credit_limit", "payment_delay_days", "fixed_deposit_balance",
+                               F.lit(shuffles).alias("n_shuffles")), "star")
+    for name in names:
+        t.spark.sql(f"DROP TABLE {name}")
+    return out
+
+
 COHORT = {"minimum": {"age": 25, "annual_income": 100000.0, "credit_score": 400}, "maximum": {"age": 65},
           "equals": {"segment": "BUILDING", "location": "All"}}
 COHORT_SQL = "age >= 25 AND age <= 65 AND annual_income >= 100000 AND credit_score >= 400 AND segment = 'BUILDING'"
@@ -89,18 +114,10 @@ PULLED = ["customer_id", "age", "annual_income", "credit_limit", "payment_delay_
 @query(f"""SELECT {', '.join(PULLED)} FROM profile
 WHERE age BETWEEN 21 AND 65 AND annual_income >= 25000 AND credit_score >= 600""", ["profile"])
 def template_pull(t: Tables) -> DataFrame:
-    """A view of the session with the name of a table of the template is neither read nor lost."""
-    t.spark.range(1).createOrReplaceTempView("demographics")
-    try:
-        out = template_query(
-            t.spark, TEMPLATE,
-            {"age_min": 21, "age_max": 65, "income_min": 25000.0, "credit_score_min": 600, "gender": "All"}, PULLED,
-            demographics=b.demographics(t), credit_card_history=b.credit_card_history(t),
-            loan_details=b.loan_details(t), investment_profiles=b.investment_profiles(t))
-        assert t.spark.table("demographics").columns == ["id"]
-    finally:
-        t.spark.catalog.dropTempView("demographics")
-    return out
+    return template_query(
+        t.spark, TEMPLATE, {"age_min": 21, "age_max": 65, "income_min": 25000.0, "credit_score_min": 600, "gender": "All"},
+        PULLED, demographics=b.demographics(t), credit_card_history=b.credit_card_history(t),
+        loan_details=b.loan_details(t), investment_profiles=b.investment_profiles(t))
 
 
 @query("""SELECT meta_id, table_name, column_name, pk, fk FROM semantic_metadata
@@ -244,6 +261,31 @@ def page_after(t: Tables) -> DataFrame:
     return se.page_after(rows, "value", "event_id", (50.0, 100), 40)
 
 
+@query("""SELECT prediction_id, customer_id, CAST(propensity_score AS DOUBLE) AS propensity_score FROM predictions
+ORDER BY propensity_score DESC, prediction_id LIMIT 40 OFFSET 1240""", ["predictions"])
+def page_by_index(t: Tables) -> DataFrame:
+    """Page 32 of a listing from the ranges it lies in."""
+    rows = b.predictions(t).select("prediction_id", "customer_id", F.col("propensity_score").cast("double")
+                                   .alias("propensity_score"))
+    index = PageIndex.build(rows, scratch_path(t.spark, "pages"), [("propensity_score", True)], "prediction_id", 8)
+    return index.page(32, 40)
+
+
+@query("""SELECT * EXCLUDE (timestamp) FROM request_log WHERE contains(lower(username), 'user_12')
+  OR contains(lower(user_role), 'user_12') OR contains(lower(endpoint), 'user_12') OR contains(lower(method), 'user_12')
+  OR contains(CAST(status_code AS VARCHAR), 'user_12') OR contains(lower(payload_summary), 'user_12')""", ["request_log"])
+def log_search_by_index(t: Tables) -> DataFrame:
+    log = b.request_log(t["events"])
+    index = TextIndex.build(log, scratch_path(t.spark, "trigrams"), se.LOG_SEARCH_COLUMNS)
+    return index.search("USER_12").drop("timestamp")
+
+
+@query(r"SELECT * FROM part WHERE p_name ILIKE '%r_d%wid%' OR p_type ILIKE '%r_d%wid%'")
+def wildcards_by_index(t: Tables) -> DataFrame:
+    index = TextIndex.build(t["part"], scratch_path(t.spark, "trigrams"), ["p_name", "p_type"])
+    return index.search("R_D%wid", wildcards=True)
+
+
 TELEMETRY = """count(*) AS total_requests,
   round(CAST(sum(CAST(latency_ms AS DECIMAL(12,2))) AS DOUBLE) / count(latency_ms), 2) AS avg_latency_ms,
   round(count(*) FILTER (WHERE status_code >= 200 AND status_code < 300) * 100.0 / greatest(1, count(*)), 2)

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from propensity_spark.functions.scalar import linspace
+from propensity_spark.functions.session import scratch_path
 from propensity_spark.operators import drift as dr
+from propensity_spark.operators import history as hi
 from propensity_spark.operators import metrics as me
 from propensity_spark.operators.customer360 import star_join
 from propensity_spark.operators.features import stress as stress_frame
@@ -259,19 +263,75 @@ def stressed_drift(t: Tables) -> DataFrame:
     return dr.feature_drift(dr.two_sides(base, stress_frame(base, n=4000)), "side", STRESSED)
 
 
-@query(f""", stepped AS (SELECT *, CAST(timestamp AS DATE) AS step FROM predictions),
+HISTORY_SQL = f""", stepped AS (SELECT *, CAST(timestamp AS DATE) AS step FROM predictions),
 live AS (SELECT step, {SCORE}, 'actual' AS side FROM stepped),
 base AS (SELECT s.step, p.{SCORE}, 'expected' AS side FROM (SELECT DISTINCT step FROM stepped) s, predictions p
   WHERE p.timestamp < TIMESTAMP '2024-01-11'),
 both_sides AS (FROM live UNION ALL FROM base),
 psis AS ({_psi_sql('both_sides', SCORE, 'step')}), metrics AS ({_metrics_sql('stepped', LABEL, SCORE, 'step')})
 SELECT CAST(step AS VARCHAR) AS step, n_labelled, roc_auc, pr_auc, f1_score, log_loss, ks_statistic, gini, psi
-FROM metrics JOIN psis USING (step)""", ["predictions"])
+FROM metrics JOIN psis USING (step)"""
+
+
+@query(HISTORY_SQL, ["predictions"])
 def metric_history(t: Tables) -> DataFrame:
     out = dr.metric_history(b.predictions(t), LABEL, SCORE, "timestamp", "2024-01-11")
     return out.withColumn("step", F.col("step").cast("string"))
 
 
+@query(HISTORY_SQL, ["predictions"])
+def history_by_day(t: Tables) -> DataFrame:
+    """The same from stored counters: the early days, then the newest ones with pending outcomes, twice, then the
+    outcomes."""
+    log = b.predictions(t)
+    hist = hi.MetricHistory(t.spark, scratch_path(t.spark, "history"), log.schema[SCORE].dataType)
+    late = F.col("timestamp") >= F.lit("2024-01-25").cast("timestamp_ntz")
+    hist.append(log.where(~late), "early", LABEL, SCORE, "timestamp")
+    hist.set_baseline("2024-01-11")
+    pending = log.where(late).withColumn("was", F.lit(-1))
+    for _ in range(2):
+        hist.append(pending, "new", "was", SCORE, "timestamp")
+    hist.append(pending, "outcomes", LABEL, SCORE, "timestamp", old_label="was")
+    return hist.history().withColumn("step", F.col("step").cast("string"))
+
+
+@query("WITH base AS (SELECT * FROM lineitem WHERE l_shipdate < TIMESTAMP '1998-01-01'),\n" + """
+live AS (SELECT strftime(date_trunc('year', l_shipdate), '%Y-%m-%d') AS step, * FROM lineitem),
+raw AS (""" + " UNION ALL ".join(f"""
+SELECT '{c}' AS feature, 'actual' AS side, step, CAST({c} AS DOUBLE) AS value FROM live
+UNION ALL SELECT '{c}', 'expected', step, CAST({c} AS DOUBLE) FROM base, (SELECT DISTINCT step FROM live)"""
+    for c in ("l_quantity", "l_extendedprice")) + f"""),
+both_sides AS (SELECT *, feature || '|' || step AS k, least(greatest((value - lo) / (hi - lo), 0.0), 1.0) AS scaled
+  FROM raw JOIN (SELECT feature, min(value) AS lo, max(value) AS hi FROM raw WHERE side = 'expected' GROUP BY feature)
+    USING (feature)),
+psis AS ({_psi_sql('both_sides', 'scaled', 'k')})
+SELECT step, feature, count(*) FILTER (WHERE side = 'actual') AS n,
+  count(*) FILTER (WHERE side = 'actual') AS n_sketched,
+  round(avg(value) FILTER (WHERE side = 'actual'), 2) AS live_mean, max(psi) AS psi, TRUE AS median_near
+FROM both_sides JOIN psis USING (k) GROUP BY step, feature""")
+def feature_history(t: Tables) -> DataFrame:
+    """Drift per year from stored counters, the lines in two batches of which one is counted twice; the sketches' median
+    of all years lies within two percent of the ranks."""
+    lines = t["lineitem"].select("l_shipdate", "l_quantity", "l_extendedprice", "l_linenumber")
+    cols = ["l_quantity", "l_extendedprice"]
+    hist = hi.FeatureHistory(t.spark, scratch_path(t.spark, "features"))
+    hist.set_baseline(lines.where(F.col("l_shipdate") < F.lit("1998-01-01").cast("timestamp_ntz")), cols)
+    for batch in ("first", "second", "second"):
+        part = F.col("l_linenumber") == 1
+        hist.append(lines.where(part if batch == "first" else ~part), batch, "l_shipdate", "year")
+    found = {r["feature"]: r["q_0"] for r in hist.quantiles([0.5]).collect()}
+    ranks = lines.agg(*[F.count_if(F.col(c) < found[c]).alias(f"{c}_below") for c in cols],
+                      *[F.count_if(F.col(c) <= found[c]).alias(f"{c}_upto") for c in cols], F.count(F.lit(1)).alias("n")).first()
+    near = all(ranks[f"{c}_below"] / ranks["n"] <= 0.52 and ranks[f"{c}_upto"] / ranks["n"] >= 0.48 for c in cols)
+    steps = [r["step"] for r in hist.drift().select("step").distinct().collect()]
+    each = [hist.quantiles([0.5], str(s), str(s)).select(F.lit(s).alias("step"), "feature", F.col("n").alias("n_sketched"))
+            for s in steps]
+    sketched = reduce(DataFrame.unionByName, each)
+    return hist.drift().join(sketched, ["step", "feature"]).select(
+        F.col("step").cast("string").alias("step"), "feature", "n", "n_sketched",
+        F.round("live_mean", 2).alias("live_mean"), "psi", F.lit(near).alias("median_near"))
+
+
 @query(f""", stepped AS (SELECT * EXCLUDE ({LABEL}), CAST(timestamp AS DATE) AS step,
   CASE WHEN timestamp >= TIMESTAMP '2024-01-25' THEN -1 ELSE {LABEL} END AS {LABEL} FROM predictions),
 live AS (SELECT step, {SCORE}, 'actual' AS side FROM stepped),

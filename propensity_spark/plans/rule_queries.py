@@ -9,6 +9,7 @@ from propensity_spark.operators import features as ft
 from propensity_spark.operators import labels as lb
 from propensity_spark.operators import prepare as pr
 from propensity_spark.operators import rules as ru
+from propensity_spark.operators.rule_index import evaluate_many
 from propensity_spark.operators.customer360 import FEATURES
 from propensity_spark.operators.leads import top_leads
 from propensity_spark.plans import bindings as b
@@ -63,6 +64,41 @@ def rule_monthly_run(t: Tables) -> DataFrame:
     return ru.evaluate_rules(b.with_outcomes(t), ALL_RULES)
 
 
+MANY_SQL = """, rule AS (SELECT DISTINCT 'r_' || p_brand || '_' || p_size AS model_id, p_size AS s,
+  CAST(regexp_extract(p_brand, '[0-9]+') AS INT) AS k FROM part),
+hits AS (SELECT model_id, model_id AS model_name, coalesce(payment_delay_days, 0) AS delay, coalesce(CASE s % 4
+  WHEN 0 THEN age >= 18 + s AND credit_score < 300 + 10 * k
+  WHEN 1 THEN age < 18 + s OR annual_income > 20000 * k
+  WHEN 2 THEN segment <> 'BUILDING' AND average_utilization <= s / 50.0 AND credit_score >= 300 + 10 * k
+  ELSE (segment = 'MACHINERY' OR segment = 'AUTOMOBILE') AND age = 18 + s END, false) AS hit
+  FROM rule, profile)
+"""
+
+
+def _many_rules(t: Tables) -> list[dict]:
+    """A rule per brand and size: more than a thousand, of four kinds."""
+    kinds = [
+        lambda s, k: ([("age", ">=", 18 + s), ("credit_score", "<", 300 + 10 * k)], "AND"),
+        lambda s, k: ([("age", "<", str(18 + s)), ("annual_income", ">", 20000 * k)], "OR"),
+        lambda s, k: ([("segment", "!=", "BUILDING"), ("average_utilization", "<=", s / 50.0),
+                       ("credit_score", ">=", 300 + 10 * k)], "AND"),
+        lambda s, k: ([("segment", "in", ["MACHINERY", "AUTOMOBILE"]), ("age", "==", 18 + s)], "AND"),
+    ]
+    kinds_of = t["part"].select("p_brand", "p_size").distinct().orderBy("p_brand", "p_size").collect()
+    made = []
+    for r in kinds_of:
+        conditions, logic = kinds[r["p_size"] % 4](r["p_size"], int("".join(c for c in r["p_brand"] if c.isdigit())))
+        name = f"r_{r['p_brand']}_{r['p_size']}"
+        made.append(ru.make_rule(name, name, conditions, logic))
+    return made
+
+
+@query(MANY_SQL + RUN_SQL, ["profile"])
+def rule_run_many(t: Tables) -> DataFrame:
+    """More than a thousand rules over everyone by the threshold index."""
+    return evaluate_many(b.profile(t), _many_rules(t))
+
+
 @query(f", population AS (SELECT * FROM profile)\n{HITS_SQL}\nSELECT * FROM ({RUN_SQL}) WHERE model_id = 'x_any'",
        ["profile"])
 def rule_evaluate(t: Tables) -> DataFrame:
@@ -241,6 +277,25 @@ def correlation_far(t: Tables) -> DataFrame:
     return out.withColumn("corr", F.round("corr", 5))
 
 
+MASKED = ["spike", "line", "price"]
+
+
+@query("""WITH masked AS (SELECT CASE WHEN l_linenumber % 2 = 0 THEN 1e12 ELSE l_quantity END AS spike,
+  CASE WHEN l_linenumber % 2 = 1 THEN l_quantity * 3 - 7 END AS line,
+  CASE WHEN l_linenumber % 3 > 0 THEN l_extendedprice END AS price FROM lineitem)
+""" + " UNION ALL ".join(
+    f"SELECT '{x}' AS feature_a, '{y}' AS feature_b, round(corr({x}, {y}), 9) + 0.0 AS corr FROM masked"
+    for x in MASKED for y in MASKED))
+def correlation_masked(t: Tables) -> DataFrame:
+    """Outliers that stand only where the other column is missing: spike and line are one straight line."""
+    number, quantity = F.col("l_linenumber"), F.col("l_quantity")
+    lines = t["lineitem"].select(
+        F.when(number % 2 == 0, 1e12).otherwise(quantity).alias("spike"),
+        F.when(number % 2 == 1, quantity * 3 - 7).alias("line"),
+        F.when(number % 3 > 0, F.col("l_extendedprice")).alias("price"))
+    return pr.correlation(lines, MASKED).withColumn("corr", F.round("corr", 9))
+
+
 def _copies(t: Tables) -> DataFrame:
     """`double` and `less` say what l_quantity says."""
     q = F.col("l_quantity")
@@ -265,9 +320,30 @@ def representatives(t: Tables) -> DataFrame:
     return pr.keep_representatives(lines, clusters, ["l_orderkey", "l_linenumber"])
 
 
-@query()
+def _clusters_sql(cols: list[str], source: str, cut: float = 0.5) -> str:
+    """Average linkage, one merge of the nearest two groups per step; a group is known by its first feature's place."""
+    corr = " UNION ALL ".join(f"SELECT {i} AS a, {j} AS b, " + (
+        "0.0" if "fixed" in (x, y) else f"(SELECT coalesce(corr({x}, {y}), 0.0) FROM {source})") + " AS r"
+        for i, x in enumerate(cols) for j, y in enumerate(cols))
+    steps = [f"g0 AS (SELECT * FROM (VALUES {', '.join(f'({i}, {i})' for i in range(len(cols)))}) v(f, g))"]
+    for k in range(len(cols) - 1):
+        steps.append(f"""m{k} AS MATERIALIZED (SELECT x.g AS a, y.g AS b, avg(1.0 - least(abs(r), 1.0)) AS d
+  FROM g{k} x JOIN g{k} y ON x.g < y.g JOIN dist ON dist.a = x.f AND dist.b = y.f GROUP BY x.g, y.g
+  ORDER BY d, a, b LIMIT 1),
+g{k + 1} AS MATERIALIZED (SELECT f, CASE WHEN g = b AND d <= {cut} THEN a ELSE g END AS g
+  FROM g{k} LEFT JOIN m{k} ON true)""")
+    names = f"(VALUES {', '.join(f'({i}, {c!r})' for i, c in enumerate(cols))})"
+    return f""", dist AS MATERIALIZED ({corr}),
+{', '.join(steps)}
+SELECT CAST(dense_rank() OVER (ORDER BY g) AS INT) AS cluster_id, n.c AS feature, h.c AS representative,
+  CAST(f = g AS INT) AS is_representative
+FROM g{len(cols) - 1} JOIN {names} n(i, c) ON n.i = f JOIN {names} h(i, c) ON h.i = g"""
+
+
+@query(_clusters_sql(CORR_COLUMNS, "lines"), ["lines"])
 def feature_clusters(t: Tables) -> DataFrame:
-    return pr.feature_clusters(pr.correlation(_lines(t), CORR_COLUMNS), CORR_COLUMNS)
+    out = pr.feature_clusters(pr.correlation(_lines(t), CORR_COLUMNS), CORR_COLUMNS)
+    return out.withColumn("is_representative", F.col("is_representative").cast("int"))
 
 
 # ---- derived features

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from propensity_spark.operators import features as ft
 from propensity_spark.operators import prepare as pr
+from propensity_spark.operators.labels import hash_sample, in_sample
 from tests.conftest import rows
 
 AFF = "annual_income double, monthly_spend double, average_utilization double, fixed_deposit_balance double, credit_score int, active_loans_count int"
@@ -49,6 +50,16 @@ def test_stress_caps_and_leaves_the_rest(spark):
     assert ft.stress(df, n=40).columns == df.columns
 
 
+@pytest.mark.parametrize("n", [0, 1, 7, 199, 200, 500])
+def test_membership_equals_the_sample(spark, n):
+    keys = spark.range(200).withColumnRenamed("id", "customer_id")
+    seeds = (1, 2)
+    marked = keys.select("customer_id", *[c.alias(f"s{s}") for s, c in zip(seeds, in_sample(keys, "customer_id", n, seeds))])
+    for seed in seeds:
+        want = sorted(r[0] for r in hash_sample(keys, "customer_id", n, seed).collect())
+        assert sorted(r[0] for r in marked.where(f"s{seed}").collect()) == want and len(want) == min(n, 200)
+
+
 # ---- preparation
 
 @pytest.fixture(scope="module")
@@ -117,6 +128,23 @@ def test_correlation_far_from_zero_in_any_order(spark, ascending):
     assert got["x", "y"] == pytest.approx(pdf["x"].corr(pdf["y"]), abs=1e-9) and got["x", "x"] == pytest.approx(1.0)
 
 
+def test_values_outside_a_pair_do_not_touch_it(spark):
+    """a is 1e12 where b is missing; on the other rows b is proportional to a."""
+    ids = spark.range(10000).repartition(7)
+    even = F.col("id") % 2 == 0
+    df = ids.select(F.when(even, 1e12).otherwise(F.col("id") % 89 / 7).alias("a"),
+                    F.when(~even, F.col("id") % 89 * 2.5).alias("b"),
+                    F.when(F.col("id") % 3 > 0, F.col("id") * 0.1 + F.col("id") % 11).alias("c"))
+    pdf = df.toPandas()
+    got = {(r["feature_a"], r["feature_b"]): r["corr"] for r in pr.correlation(df, ["a", "b", "c"]).collect()}
+    assert got["a", "b"] == pytest.approx(1.0, abs=1e-12) == got["b", "a"]
+    for x in "abc":
+        for y in "abc":
+            want = pdf[[x, y]].dropna()
+            want = 1.0 if x == y else np.corrcoef(want[x], want[y])[0, 1]
+            assert got[x, y] == pytest.approx(want, abs=1e-9)
+
+
 def test_missing_and_imputation(frame):
     df = frame([(1.0, None, 3.0, None), (None, 4.0, 5.0, None), (3.0, 10.0, None, None)], "a double, b double, c double, e double")
     got = {r["feature"]: (r["null_count"], r["null_share"]) for r in pr.missing_stats(df, ["a", "e", "zz"]).collect()}
