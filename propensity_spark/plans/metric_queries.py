@@ -301,8 +301,8 @@ raw AS (""" + " UNION ALL ".join(f"""
 SELECT '{c}' AS feature, 'actual' AS side, step, CAST({c} AS DOUBLE) AS value FROM live
 UNION ALL SELECT '{c}', 'expected', step, CAST({c} AS DOUBLE) FROM base, (SELECT DISTINCT step FROM live)"""
     for c in ("l_quantity", "l_extendedprice")) + f"""),
-both_sides AS (SELECT *, feature || '|' || step AS k, least(greatest((value - lo) / (hi - lo), 0.0), 1.0) AS scaled
-  FROM raw JOIN (SELECT feature, min(value) AS lo, max(value) AS hi FROM raw WHERE side = 'expected' GROUP BY feature)
+both_sides AS (SELECT *, feature || '|' || step AS k, least(greatest((value - least_) / (most - least_), 0.0), 1.0) AS scaled
+  FROM raw JOIN (SELECT feature, min(value) AS least_, max(value) AS most FROM raw WHERE side = 'expected' GROUP BY feature)
     USING (feature)),
 psis AS ({_psi_sql('both_sides', 'scaled', 'k')})
 SELECT step, feature, count(*) FILTER (WHERE side = 'actual') AS n,
