@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 import json
-
 import re
 from collections.abc import Iterable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -190,7 +190,7 @@ def evaluate_rules(df: DataFrame, rules: list[dict], delay: str = "payment_delay
     for start in range(0, len(rules), MASK):
         bits = [F.when(rule_mask(types, r["rule_config"]), F.lit(1 << i).cast("bigint")).otherwise(F.lit(0).cast("bigint"))
                 for i, r in enumerate(rules[start:start + MASK])]
-        masks.append(F.aggregate(F.array(*bits), F.lit(0).cast("bigint"), lambda x, y: x.bitwiseOR(y)))
+        masks.append(reduce(Column.bitwiseOR, bits))
     names = [f"_hits_{i}" for i in range(len(masks))]
     same = df.select(bucket.alias("bucket"), *[m.alias(n) for m, n in zip(masks, names)]).groupBy("bucket", *names).agg(
         F.count(F.lit(1)).alias("count"))

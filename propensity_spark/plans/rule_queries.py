@@ -61,7 +61,7 @@ FROM hits GROUP BY model_id, model_name"""
 
 @query(f", population AS (SELECT * FROM with_outcomes)\n{HITS_SQL}\n{RUN_SQL}", ["with_outcomes"])
 def rule_monthly_run(t: Tables) -> DataFrame:
-    return ru.evaluate_rules(b.with_outcomes(t), ALL_RULES)
+    return evaluate_many(b.with_outcomes(t), ALL_RULES)
 
 
 MANY_SQL = """, rule AS (SELECT DISTINCT 'r_' || p_brand || '_' || p_size AS model_id, p_size AS s,
