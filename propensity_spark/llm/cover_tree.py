@@ -229,15 +229,16 @@ def similar(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embedd
     cut into blocks of about `block` vectors, and each block's lower levels are built once and written to the shared
     folder. Block pairs whose cells may hold a linked pair are then traversed, each reading its two trees; per pair
     only counts and a spanning set of links come out, however many vectors are alike. The result is exact: the sample
-    decides how much is cut off, not what is found. Vectors that are NULL, zero or hold NULL or non-finite numbers,
-    and rows without vec_id, have no links and are their own component; vectors of different lengths never link;
-    repeated ids keep their rows, and component_id is the least vec_id reachable, itself included.
+    decides how much is cut off, not what is found. Vectors that are NULL, zero or hold NULL or non-finite numbers
+    have no links and are their own component; vectors of different lengths never link; repeated ids keep their rows,
+    and component_id is the least vec_id reachable, itself included. Rows without vec_id count and link like any
+    other; a component that has no id at all has none as component_id, and its rows are kept.
     """
     spark = vectors.sparkSession
     value = F.col(embedding).cast("array<double>")
     bad = F.exists(value, lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")))
     zero = F.forall(value, lambda v: v == 0)
-    usable = F.when(F.col(vec_id).isNotNull() & F.coalesce(~bad & ~zero, F.lit(False)), value)
+    usable = F.when(F.coalesce(~bad & ~zero, F.lit(False)), value)
     rows = vectors.select(F.col(vec_id).alias("vec_id"), usable.alias("value"))
     distinct = rows.where(F.col("value").isNotNull()).groupBy("value").agg(F.count(F.lit(1)).alias("weight"))
     distinct = stored(distinct.select(F.monotonically_increasing_id().alias("node"), "weight", "value"), "distinct")
@@ -257,7 +258,7 @@ def similar(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embedd
     out = named.join(least, "component", "left").select(
         F.col("vec_id").alias(vec_id), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
         F.coalesce("component_id", "vec_id").alias("component_id"))
-    return out.withColumn("kept", F.col(vec_id) == F.col("component_id"))
+    return out.withColumn("kept", F.col(vec_id).eqNullSafe(F.col("component_id")))
 
 
 def _search(spark, distinct: DataFrame, cosine: float, cells: int, block: int) -> DataFrame:

@@ -65,9 +65,9 @@ class WuManber:
 class Index:
     """The windows of some items: one Wu-Manber table per window length (13, and the lengths of shorter items)."""
 
-    def __init__(self, items: list[tuple[str, bytes]], size: int):
+    def __init__(self, items: list[tuple[str | None, bytes]], size: int):
         by_length: dict[int, dict[tuple, list[int]]] = defaultdict(dict)
-        self.names = list(dict.fromkeys(name for name, _ in items))
+        self.names = list(dict.fromkeys(name for name, _ in items))  # None for items without a name
         number = {name: i for i, name in enumerate(self.names)}
         for name, text in items:
             w = words(text)
@@ -85,7 +85,7 @@ class Index:
             for first, found in table.search(text):
                 items.update(found)
                 ranges.append((first, first + table.length))
-        return merged(ranges), {self.names[i] for i in items}
+        return merged(ranges), {self.names[i] for i in items} - {None}
 
 
 def merged(ranges) -> list[tuple[int, int]]:
@@ -111,17 +111,18 @@ def decontaminate(
 
     A window is `size` consecutive words of an item; a shorter item, if not empty, is one window. A word of a document
     inside any occurrence of a window is hit; spans are the ranges [start, end) of hit words. The search is one pass
-    over the documents without a shuffle. The benchmark's size is asked first: it is dealt by item id to blocks of
+    over the documents without a shuffle. The benchmark's size is asked first: its distinct rows are dealt to blocks of
     about block_bytes, and the documents are searched for one block after another, the result so far being stored
-    between, so a benchmark of any size is searched whole. NULL texts have no words; items without id cannot be named
-    and are left out; all rows of an item are searched and count as one item; repeated documents keep their rows.
+    between, so a benchmark of any size is searched whole, one with a frequent id too. NULL texts have no words; items
+    without id are searched like the others but cannot be named in `items`; all rows of an item are searched and count
+    as one item; repeated documents keep their rows.
     """
     names = names or NAMES
-    items = benchmark.where(F.col(item_id).isNotNull()).select(
-        F.col(item_id).cast("string").alias("id"), F.coalesce(item_text, F.lit("")).cast("binary").alias("body"))
+    items = benchmark.select(F.col(item_id).cast("string").alias("id"),
+                             F.coalesce(item_text, F.lit("")).cast("binary").alias("body")).distinct()
     total = items.agg(F.sum(F.length("body") + 64)).first()[0] or 0
     blocks = max(1, -(-int(total) // block_bytes))
-    placed = items.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)))
+    placed = items.withColumn("block", F.pmod(F.xxhash64("id", "body"), F.lit(blocks)))
     columns = list(dict.fromkeys([*keep, text]))
     out, before = docs.select(*columns), None
     for block in range(blocks):

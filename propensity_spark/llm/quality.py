@@ -147,7 +147,8 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
 
     Trusted positives are documents whose label rows all say 1; unlabelled text is any document of the learning
     folds, its label unseen. Of each, the `sample` ids whose hash is lowest are used, at most that many: only their
-    ids, then their features, meet the driver. The choice reads ids alone and the features of the chosen alone.
+    ids, then their features, meet the driver. The choice reads ids alone and the features of the chosen alone. Of rows
+    that share an id one counts, the one with the least features, so 2 * sample bounds the rows as well.
     """
     ids = docs.select(F.col(doc_id).alias("id")).where(fold(doc_id) != 0).distinct()
     good = labels.where((fold("doc_id") != 0) & F.col("quality").isNotNull())
@@ -159,6 +160,7 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     bounded = F.broadcast(chosen.select("id", F.col("positive").alias(key)))  # 2 * sample ids at most
     wanted = docs.select(F.col(doc_id).alias("id"), text).join(bounded, "id").select("id", text, key)
     rows = map_texts(wanted, ["id", key], text, lambda texts: [_feature_lists(texts)], [_vector()])
+    rows = rows.groupBy("id", key).agg(F.min("_features").alias("_features"))  # an id is one row, however often it comes
     rows = rows.toPandas().sort_values(["id", key], kind="stable")
     if not len(rows):
         return None

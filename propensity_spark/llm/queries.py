@@ -126,7 +126,7 @@ WORDS = f"regexp_extract_all({LOWER}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
 
 OP3 = f"""
 WITH doc AS (SELECT row_number() OVER () AS r, doc_id, {WORDS.format('text')} AS w FROM documents),
-item AS (SELECT CAST(item_id AS VARCHAR) AS item, {WORDS.format('text')} AS w FROM benchmark WHERE item_id IS NOT NULL),
+item AS (SELECT CAST(item_id AS VARCHAR) AS item, {WORDS.format('text')} AS w FROM benchmark),
 win AS (SELECT DISTINCT item, least(13, len(w)) AS n, array_to_string(w[i:i + least(13, len(w)) - 1], ' ') AS x
         FROM item, unnest(range(1, len(w) - least(13, len(w)) + 2)) AS t(i) WHERE len(w) > 0),
 place AS (SELECT r, i, n, array_to_string(w[i:i + n - 1], ' ') AS x
@@ -134,7 +134,7 @@ place AS (SELECT r, i, n, array_to_string(w[i:i + n - 1], ' ') AS x
 found AS (SELECT p.r, p.i, p.n, win.item FROM place p JOIN win ON p.x = win.x AND p.n = win.n),
 hit AS (SELECT r, count(DISTINCT j) AS n_hit FROM found, unnest(range(i, i + n)) AS t(j) GROUP BY r),
 named AS (SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items
-          FROM (SELECT DISTINCT r, item FROM found) GROUP BY r)
+          FROM (SELECT DISTINCT r, item FROM found WHERE item IS NOT NULL) GROUP BY r)
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
        sha256(coalesce(items, '')) AS items_sha256,
        coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
@@ -146,7 +146,7 @@ WITH usable AS (
     SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v
     FROM embeddings),
 ok AS (SELECT r, vec_id, v, sqrt(list_dot_product(v, v)) AS norm FROM usable
-       WHERE vec_id IS NOT NULL AND v IS NOT NULL AND len(list_filter(v, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+       WHERE v IS NOT NULL AND len(list_filter(v, lambda x: x IS NULL OR NOT isfinite(x))) = 0
          AND len(list_filter(v, lambda x: x <> 0)) > 0),
 link AS MATERIALIZED (SELECT a.r AS a, b.r AS b FROM ok a JOIN ok b ON a.r <> b.r AND len(a.v) = len(b.v)
          WHERE list_dot_product(a.v, b.v) / (a.norm * b.norm) >= 0.95),
@@ -154,8 +154,8 @@ reach AS (WITH RECURSIVE walk(a, b) AS (
               SELECT a, b FROM link UNION SELECT walk.a, link.b FROM walk JOIN link ON walk.b = link.a)
           SELECT a, min(vec_id) AS least FROM walk JOIN usable ON usable.r = walk.b GROUP BY a),
 n AS (SELECT a, count(*) AS n FROM link GROUP BY a)
-SELECT vec_id, coalesce(n.n, 0) AS n_links, least(vec_id, coalesce(reach.least, vec_id)) AS component_id,
-       vec_id = least(vec_id, coalesce(reach.least, vec_id)) AS kept
+SELECT vec_id, coalesce(n.n, 0) AS n_links, least(vec_id, reach.least) AS component_id,
+       vec_id IS NOT DISTINCT FROM least(vec_id, reach.least) AS kept
 FROM usable LEFT JOIN n ON n.a = usable.r LEFT JOIN reach ON reach.a = usable.r
 """
 

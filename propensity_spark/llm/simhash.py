@@ -73,14 +73,31 @@ def _slots(fp: Column, parts: list[tuple[int, int, int]], balls: bool) -> Column
     return F.array(*keys)
 
 
+def candidates(known: DataFrame, parts: list[tuple[int, int, int]]) -> DataFrame:
+    """(slot, fp, group, fp2, group2): pairs of fingerprints in a slot of which not both are of its largest group."""
+    table = known.select("fp", "group", F.explode(_slots(F.col("fp"), parts, False)).alias("slot"))
+    sizes = table.groupBy("slot", "group").agg(F.count(F.lit(1)).alias("n"))
+    tops = stored(sizes.groupBy("slot").agg(F.max_by("group", F.struct("n", "group")).alias("top"),
+                                            F.count(F.lit(1)).alias("groups")), "tops")
+    probes = known.select("fp", "group", F.explode(_slots(F.col("fp"), parts, True)).alias("slot"))
+    # Slots that hold only the searching fingerprint's own group have nothing to add.
+    probes = stored(probes.join(tops, "slot").where((F.col("group") != F.col("top")) | (F.col("groups") > 1)), "probes")
+    other = table.select("slot", F.col("fp").alias("fp2"), F.col("group").alias("group2"))
+    strange = other.join(tops.where("groups > 1").select("slot", "top"), "slot").where(F.col("group2") != F.col("top"))
+    # Of a slot's largest group no member searches for another: one end of each pair is a stranger to it.
+    return probes.where(F.col("group") != F.col("top")).select("slot", "fp", "group").join(other, "slot").unionByName(
+        probes.where(F.col("groups") > 1).select("slot", "fp", "group").join(strange.drop("top"), "slot"))
+
+
 def link(prints: DataFrame, distance: int = 4, count: int = 3) -> DataFrame:
     """(node, component) of the distinct fingerprints fp that have another one within `distance` bits.
 
     Multi-index hashing: every fingerprint is stored under each of its `count` segments; to search, the Hamming ball
     of the segment's radius is enumerated and what is stored there is compared in full. Links inside a dense group are
     not listed: first each fingerprint is compared with a few representatives of its slots, which joins most of a
-    group; then slots in which all are joined already are passed over, and of the rest only links between different
-    groups are made. No candidate is left out: a pair in one slot is either compared or joined already.
+    group; then slots in which all are joined already are passed over, and in the others the largest group is only
+    compared with what is strange to it, so a large group costs its size times the strangers in its slots and never its
+    square. No candidate is left out: a pair in one slot is either compared or joined already.
     """
     parts = segments(distance, count)
     near = lambda a, b: F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= distance
@@ -94,13 +111,7 @@ def link(prints: DataFrame, distance: int = 4, count: int = 3) -> DataFrame:
     known = prints.select("fp").join(joined.withColumnRenamed("node", "fp"), "fp", "left")
     known = stored(known.select("fp", F.coalesce("component", "fp").alias("group")), "groups")
 
-    table = known.select("fp", "group", F.explode(_slots(F.col("fp"), parts, False)).alias("slot"))
-    groups = table.groupBy("slot").agg(F.min("group").alias("low"), F.max("group").alias("high"))
-    probes = known.select("fp", "group", F.explode(_slots(F.col("fp"), parts, True)).alias("slot"))
-    # Slots that hold only the searching fingerprint's own group have nothing to add.
-    probes = probes.join(groups, "slot").where("low <> group OR high <> group").select("slot", "fp", "group")
-    other = table.select("slot", F.col("fp").alias("fp2"), F.col("group").alias("group2"))
-    links = probes.join(other, "slot").where((F.col("group") != F.col("group2")) & near("fp", "fp2"))
+    links = candidates(known, parts).where((F.col("group") != F.col("group2")) & near("fp", "fp2"))
     links = links.select(F.least("group", "group2").alias("a"), F.greatest("group", "group2").alias("b"))
     outer = components(links.distinct()).select(F.col("node").alias("group"), F.col("component").alias("top"))
     out = known.join(outer, "group", "left").select(F.col("fp").alias("node"), F.coalesce("top", "group").alias("component"))
@@ -125,7 +136,8 @@ def near_duplicates(
                                 ["doc_id", "content"], shingle=shingle, name="fp"), "fingerprints")
     prints = stored(every.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct")
     groups = stored(prints.join(link(prints, distance, count).withColumnRenamed("node", "fp"), "fp"), "linked")
-    least = groups.groupBy("component").agg(F.min("first").alias("component_id"))
+    # A table of its own, so that Spark can split a large component where its fingerprints meet the least id.
+    least = stored(groups.groupBy("component").agg(F.min("first").alias("component_id")), "least")
     named = groups.join(least, "component").select("fp", "component_id", "component")
     return every.join(named, "fp").select(
         F.col("doc_id").alias(doc_id), F.col("fp").alias("fingerprint"), "component_id", "component", "content")

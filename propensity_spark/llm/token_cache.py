@@ -69,7 +69,8 @@ def count_tokens(
     most tokenizers), and the SHA-256 of its UTF-8 bytes is looked up among the digests stored for this tokenizer
     version. Texts that are not found are encoded once per distinct digest and appended to the parquet table `cache`.
     The same text many times is combined before the shuffle, and only ids, sizes and digests meet the counts, so a
-    frequent text fills no task. NULL and repeated ids keep their rows. n_bytes is of the normalised text.
+    frequent text fills no task. NULL and repeated ids keep their rows. n_bytes is of the normalised text. Bytes that
+    are no UTF-8 are counted as the replacement characters that stand for them. A text of any length is encoded whole.
     """
     spark, version = docs.sparkSession, version_digest(tokenizer)
     body = normalise(F.col(text))
@@ -84,8 +85,9 @@ def count_tokens(
         count = counter(tokenizer)
         for part in parts:
             for few in slices(part, 1):
+                texts = [b.decode("utf-8", "replace") for b in few.column(1).cast(pa.binary()).to_pylist()]
                 yield pa.RecordBatch.from_arrays(
-                    [few.column(0), pa.array(count(few.column(1).to_pylist()), pa.int64())], ["digest", "n_tokens"])
+                    [few.column(0), pa.array(count(texts), pa.int64())], ["digest", "n_tokens"])
 
     new = misses.mapInArrow(encode, schema).select(F.lit(version).alias("version"), "digest", "n_tokens")
     new.write.mode("append").parquet(cache)

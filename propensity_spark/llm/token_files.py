@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import bisect
 import zlib
 from collections.abc import Iterator
 
@@ -114,6 +115,54 @@ def sequences(folder: str, name: str) -> Iterator[pa.RecordBatch]:
         yield from reader
 
 
+class Sequences:
+    """Sequence number k of all files in order, without reading those before it.
+
+    A stream file has no footer. But a batch of equal-length sequences has one size in bytes, so the place of each
+    follows from the first one's; the file is mapped and only the batch's message is looked at.
+    """
+
+    def __init__(self, spark: SparkSession, folder: str, size: int = 2048):
+        # A row per file meets the driver.
+        sums = index(spark, folder).groupBy("file_number").agg(F.first("file").alias("file"), F.sum("n_tokens").alias("n"))
+        self.folder, self.files, self.firsts, total = folder, [], [], 0
+        for r in sums.orderBy("file_number").collect():
+            self.files.append(r["file"])
+            self.firsts.append(total)
+            total += -(-r["n"] // size)
+        self.total = total
+
+    def __len__(self) -> int:
+        return self.total
+
+    def __getitem__(self, k: int) -> tuple[pa.Array, pa.Array]:
+        """(ids, mask) of sequence k: views of the mapped file where that is on a local disk."""
+        if not 0 <= k < self.total:
+            raise IndexError(k)
+        at = bisect.bisect(self.firsts, k) - 1
+        return read_sequence(self.folder, self.files[at], k - self.firsts[at])
+
+
+def read_sequence(folder: str, name: str, k: int) -> tuple[pa.Array, pa.Array]:
+    """(ids, mask) of the k-th sequence of one file."""
+    store, path = fs.FileSystem.from_uri(f"{folder}/ids/{name}")
+    source = pa.memory_map(path) if isinstance(store, fs.LocalFileSystem) else store.open_input_file(path)
+    schema = pa.ipc.open_stream(source).schema
+    first = source.tell()
+    if k >= BATCH:
+        pa.ipc.read_message(source)
+        place = first + (source.tell() - first) * (k // BATCH)
+        if place >= source.size() - 8:  # the stream's end mark
+            raise IndexError(k)
+        source.seek(place)
+    batch = pa.ipc.read_record_batch(pa.ipc.read_message(source), schema)
+    row = k % BATCH
+    if row >= batch.num_rows:
+        raise IndexError(k)
+    size = schema.field("ids").type.list_size
+    return tuple(batch.column(c).values.slice(row * size, size) for c in (0, 1))
+
+
 def with_starts(table: DataFrame) -> DataFrame:
     """The index with `start`, the number of ids of all documents before: one row per file is summed up in order."""
     sums = table.groupBy("file_number").agg(F.sum("n_tokens").alias("sum"))
@@ -146,12 +195,16 @@ def read_documents(spark: SparkSession, folder: str) -> DataFrame:
             for file, begin, length in zip(*(part.column(i).to_pylist() for i in (2, 3, 4))):
                 if file != name:
                     name, batches, have, at = file, sequences(folder, file), np.empty(0, np.uint16), 0
-                while at + len(have) < begin + length:
-                    batch = next(batches)
-                    mask = batch.column(1).flatten().to_numpy(zero_copy_only=False)
-                    ids = batch.column(0).flatten().to_numpy()[mask]
-                    have, at = np.concatenate([have[begin - at:], ids]), begin
-                crcs.append(zlib.crc32(have[begin - at:begin - at + length].astype("<u4").tobytes()))
+                crc, end = 0, begin + length
+                while at < end:  # ids before `begin` are passed over
+                    if not len(have):
+                        batch = next(batches)
+                        mask = batch.column(1).flatten().to_numpy(zero_copy_only=False)
+                        have = batch.column(0).flatten().to_numpy()[mask]
+                    some, have = have[:end - at], have[end - at:]
+                    crc = zlib.crc32(some[max(0, begin - at):].astype("<u4").tobytes(), crc)
+                    at += len(some)
+                crcs.append(crc)
             yield pa.RecordBatch.from_arrays(
                 [part.column(0), part.column(5), part.column(4), pa.array(crcs, pa.int64())], schema=arrow)
 

@@ -10,8 +10,7 @@ from tests.llm.conftest import by_id
 
 def brute(rows, cosine):
     """(vec_id, links, component, kept) from all pairs."""
-    ok = [i for i, (v, x) in enumerate(rows) if v is not None and x is not None and None not in x
-          and np.isfinite(x).all() and np.any(x)]
+    ok = [i for i, (_, x) in enumerate(rows) if x is not None and None not in x and np.isfinite(x).all() and np.any(x)]
     near = {i: set() for i in range(len(rows))}
     for i in ok:
         for j in ok:
@@ -25,8 +24,8 @@ def brute(rows, cosine):
             new = near[todo.pop()] - reach
             reach |= new
             todo += new
-        least = v if v is None else min(rows[j][0] for j in reach)
-        out.append((v, len(near[i]), least, None if v is None else v == least))
+        least = min((rows[j][0] for j in reach if rows[j][0] is not None), default=None)
+        out.append((v, len(near[i]), least, v == least))
     return sorted(out, key=repr)
 
 
@@ -59,6 +58,15 @@ def test_odd_vectors(spark):
     assert none.count() == 0 and none.columns == ["vec_id", "n_links", "component_id", "kept"]
 
 
+def test_a_vector_without_id_links_others(spark):
+    """1 and 3 are linked through the one between them only."""
+    turn = lambda a: [float(np.cos(a)), float(np.sin(a))]
+    rows = [(1, turn(0.0)), (None, turn(0.25)), (3, turn(0.5)), (None, turn(2.0)), (None, turn(2.1))]
+    got = by_id(cover_tree.similar(spark.createDataFrame(rows, "vec_id long, embedding array<double>")))
+    assert got == brute(rows, 0.95)
+    assert (3, 1, 1, False) in got and (None, 2, 1, False) in got and got.count((None, 1, None, True)) == 2
+
+
 @settings(max_examples=30, deadline=None)
 @given(st.integers(0, 10**6), st.integers(1, 60), st.integers(2, 5))
 def test_trees_are_nested_and_cover(seed, n, dim):

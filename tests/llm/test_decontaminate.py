@@ -16,11 +16,11 @@ def brute(docs, items, size):
         for item, body in items:
             b = decontaminate.words((body or "").encode())
             n = min(size, len(b))
-            windows = {tuple(b[i:i + n]) for i in range(len(b) - n + 1)} if b and item is not None else set()
+            windows = {tuple(b[i:i + n]) for i in range(len(b) - n + 1)} if b else set()
             for i in range(len(w) - n + 1 if windows else 0):
                 if tuple(w[i:i + n]) in windows:
                     hit.update(range(i, i + n))
-                    names.add(str(item))
+                    names |= set() if item is None else {str(item)}
         out.append((doc_id, len(w), len(hit), sorted(names)))
     return sorted(out, key=repr)
 
@@ -28,7 +28,7 @@ def brute(docs, items, size):
 def made(seed):
     rng = random.Random(seed)
     say = lambda n: " ".join(rng.choices(["a", "b", "C", "dé", "1"], k=n))
-    items = [(i % 9, say(rng.randint(0, 9))) for i in range(14)] + [(None, "a b"), (20, None), (21, "...")]
+    items = [(i % 9, say(rng.randint(0, 9))) for i in range(14)] + [(None, "a b"), (None, "C 1 C 1 a"), (20, None), (21, "...")]
     docs = [(i, say(rng.randint(0, 60))) for i in range(40)] + [(40, None), (41, ""), (3, "a, B! c"), (3, "a, B! c")]
     return docs, items
 
@@ -46,6 +46,18 @@ def test_equals_brute_force_in_one_and_in_many_blocks(spark, seed, block):
         assert all(a["end"] < b["start"] for a, b in zip(r["spans"], r["spans"][1:]))
 
 
+def test_items_without_an_id_and_a_frequent_id(spark, monkeypatch):
+    passage = " ".join(f"w{i}" for i in range(14))
+    docs = spark.createDataFrame([(1, passage + " own"), (2, "nothing here"), (3, "x70 y z")], "doc_id long, text string")
+    items = spark.createDataFrame([(None, passage)] + [(7, f"x{i} y z") for i in range(200)], "item_id long, text string")
+    sizes, make = [], decontaminate.Index.__init__
+    monkeypatch.setattr(decontaminate.Index, "__init__", lambda self, rows, size: sizes.append(len(rows)) or make(self, rows, size))
+    got = {r["doc_id"]: r for r in decontaminate.decontaminate(docs, items, ["doc_id"], block_bytes=4000).collect()}
+    assert (got[1]["n_hit"], got[1]["items"]) == (14, []) and got[2]["n_hit"] == 0
+    assert (got[3]["n_hit"], got[3]["items"]) == (3, ["7"])
+    assert sum(sizes) == 201 and max(sizes) < 120  # the frequent id is dealt to several blocks
+
+
 def test_shifts_skip_what_cannot_end_a_window():
     windows = {tuple(f"w{i}".encode() for i in range(13)): [0]}
     table = decontaminate.WuManber(windows, 13)

@@ -2,6 +2,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from propensity_spark.llm import quality
 from tests.llm.conftest import TEXTS
@@ -41,14 +42,24 @@ def test_learns_from_positives_and_unlabelled(corpus):
 
 def test_labels_of_the_held_out_fold_are_not_read(corpus, spark):
     docs, labels, _ = corpus
-    from pyspark.sql import functions as F
-
     flipped = labels.withColumn("quality", F.when(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0,
                                                   1 - F.col("quality")).otherwise(F.col("quality")))
     one, two = (quality.train(docs, x, steps=20) for x in (labels, flipped))
     assert all((a == b).all() for a, b in zip(one.weights, two.weights))
 
 
+def test_a_frequent_id_is_one_row_of_the_sample(corpus, spark, monkeypatch):
+    docs, labels, _ = corpus
+    wanted = docs.where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 != 0).limit(1).first()["doc_id"]
+    many = docs.unionByName(spark.range(3000).select(F.lit(wanted).cast(docs.schema["doc_id"].dataType).alias("doc_id"),
+                                                     F.concat(F.lit("text "), "id").alias("text")), allowMissingColumns=True)
+    sizes = []
+    estimate = quality.estimate_prior
+    monkeypatch.setattr(quality, "estimate_prior", lambda p, u, *rest: sizes.append(len(p) + len(u)) or estimate(p, u, *rest))
+    quality.train(many, labels, sample=10, steps=5)
+    assert sizes and max(sizes) <= 20
+
+
 def test_negative_part_never_counts_below_zero():
     rng = np.random.default_rng(1)
     p = rng.normal(2, 1, (600, quality.N_FEATURES))

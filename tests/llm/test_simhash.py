@@ -78,6 +78,27 @@ def test_links_equal_brute_force(spark, seed):
     assert {r["node"]: r["component"] for r in got.collect()} == brute_groups(near(fps, 4), fps)
 
 
+def test_a_large_group_costs_its_size_times_the_strangers(spark):
+    """Groups around one centre with three strangers in the centre's slots: candidates grow with the group, not its
+    square, and every link is still found."""
+    rng = random.Random(4)
+    flip = lambda x, n: x ^ sum(1 << b for b in rng.sample(range(64), n))
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    centre, parts, rows = rng.getrandbits(64), simhash.segments(4, 3), []
+    strangers = [centre ^ (rng.getrandbits(64 - w - s if s + w < 64 else s) << (s + w if s + w < 64 else 0))
+                 for s, w, _ in parts]
+    for n in (500, 1000, 2000):
+        group = set()
+        while len(group) < n:
+            group.add(signed(flip(centre, rng.randint(0, 4))))
+        fps = sorted(group | set(map(signed, strangers)))
+        known = [(x, min(group) if x in group else x) for x in fps]
+        made = simhash.candidates(spark.createDataFrame(known, "fp long, group long"), parts)
+        rows.append(made.count())
+        assert rows[-1] < 200 * n
+    assert rows[2] < 3 * rows[1] < 9 * rows[0]
+
+
 def test_near_duplicates_of_odd_rows(odd_docs, no_docs):
     got = simhash.near_duplicates(odd_docs).collect()
     rows = odd_docs.collect()

@@ -150,6 +150,45 @@ def test_files_hold_fixed_size_lists_that_are_mapped_not_copied(odd_docs, spark)
         assert masks.sum() == row["n"] and masks[:row["n"]].all() and not ids[row["n"]:].any()
 
 
+def test_any_sequence_is_reached_by_its_number(odd_docs, spark):
+    folder = scratch_path(spark, "files")
+    table = token_files.write(odd_docs.repartition(3), folder, WORD_BPE, 2, size=16)
+    want = []
+    for row in table.select("file_number", "file").distinct().orderBy("file_number").collect():
+        for batch in token_files.sequences(folder, row["file"]):
+            want += list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()))
+    got = token_files.Sequences(spark, folder, size=16)
+    assert len(got) == len(want) > 3 * token_files.BATCH
+    assert [(ids.to_pylist(), mask.to_pylist()) for ids, mask in (got[k] for k in range(len(got)))] == want
+    for k in (-1, len(got)):
+        with pytest.raises(IndexError):
+            got[k]
+    name = got.files[0]
+    with pytest.raises(IndexError):
+        token_files.read_sequence(folder, name, 10**6)
+    path = f"{folder}/ids/{name}"
+    ids, mask = token_files.read_sequence(folder, name, 1)
+    with open("/proc/self/maps") as maps:
+        ranges = [[int(x, 16) for x in line.split()[0].split("-")] for line in maps if path in line]
+    for buffer in (ids.buffers()[1], mask.buffers()[1]):  # views of the mapped file
+        assert any(a <= buffer.address < b for a, b in ranges)
+
+
+def test_a_document_of_many_batches(spark):
+    docs = spark.createDataFrame([(1, "short"), (2, "word and other words " * 30000), (3, "end")], "doc_id long, text string")
+    folder = scratch_path(spark, "files")
+    token_files.write(docs.coalesce(1), folder, WORD_BPE, 2, size=32)
+    got = {r["doc_id"]: (r["n_tokens"], r["ids_crc32"]) for r in token_files.read_documents(spark, folder).collect()}
+    for doc_id, text in docs.collect():
+        assert got[doc_id] == (len(plain(text, 2)), crc(plain(text, 2)))
+
+
+def test_counts_of_text_that_is_no_utf8(spark):
+    docs = spark.sql("SELECT 1L AS doc_id, CAST(X'61FF62' AS STRING) AS text UNION ALL SELECT 2L, 'a\ufffdb'")
+    got = {r["doc_id"]: r for r in token_cache.count_tokens(docs, scratch_path(spark, "cache"), PIECE_BPE).collect()}
+    assert got[1]["n_tokens"] == got[2]["n_tokens"] > 0 and (got[1]["n_bytes"], got[2]["n_bytes"]) == (3, 5)
+
+
 def test_files_of_nothing(no_docs, spark):
     folder = scratch_path(spark, "files")
     token_files.write(no_docs, folder, WORD_BPE, 2)
