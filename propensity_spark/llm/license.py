@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import bisect
-from collections import Counter
+from collections import Counter, defaultdict
+from collections.abc import Iterable
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql.types import ArrayType, DoubleType, LongType, StringType, StructField, StructType
@@ -25,6 +27,10 @@ NOTICES = {
 }
 #: A notice is found if the alignment covers this share of its words.
 COVERAGE = 0.8
+#: A band of starts is this many cells and one more.
+BAND = 5
+#: From so many words on a template is looked for by its pairs of words.
+PAIRED = 30
 FOUND = ArrayType(StructType([
     StructField("license", StringType()), StructField("coverage", DoubleType()),
     StructField("start", LongType()), StructField("end", LongType())]))
@@ -118,16 +124,71 @@ def drifts(missing: int) -> list[tuple[int, int]]:
     return [(0, 0), *[x for d in steps for x in ((d, 0), (0, d), (0, -d))]]
 
 
+Places = dict[object, np.ndarray]
+
+
+def places_of(items: Iterable) -> Places:
+    """Where each of the items stands."""
+    lists: dict[object, list[int]] = defaultdict(list)
+    for i, x in enumerate(items):
+        lists[x].append(i)
+    return {x: np.array(at) for x, at in lists.items()}
+
+
+def likely_starts(t: Template, words_at: Places, pairs_at: Places, n: int, missing: int):
+    """Where t may start in a text of n words with at most `missing` of its words missing, the most voted first; and
+    all votes, as starts in order and the places in t that voted.
+
+    Every two words in a row of the template vote, each at all of their places in the text, for the start that would
+    put them there. A missing word spoils two pairs and one put in spoils one, so a notice with less than a third of
+    its size put in still has a known share of the pairs within a third of its size of each other. In templates of a
+    few words the rarest words vote instead, more than can be missing. Bands of starts with votes of too few different
+    places are dropped; what is left are notices and little else, however many words of a licence a text has.
+    """
+    size = len(t.words)
+    if size >= PAIRED:
+        asked = [(pairs_at.get(pair), k) for k, pair in enumerate(zip(t.words, t.words[1:]))]
+        total, least = size - 1, size - 1 - 2 * missing - size // 3
+    else:
+        chosen: list[int] = []
+        for w in sorted(t.kinds, key=lambda w: (len(words_at.get(w, ())), w)):
+            if len(chosen) > 2.5 * missing:
+                break
+            chosen += t.places[w]
+        asked = [(words_at.get(t.words[p]), p) for p in chosen]
+        total, least = len(chosen), len(chosen) - missing
+    votes = [(at - p, k) for k, (at, p) in enumerate(asked) if at is not None]
+    if len(votes) < least:
+        return [], np.zeros(0, int), np.zeros(0, int)
+    starts = np.concatenate([v for v, _ in votes])
+    voter = np.repeat([k for _, k in votes], [len(v) for v, _ in votes])
+    width = (size // 3 + 2) // 4 + 1
+    cell = (starts + size) // width
+    hit = np.zeros(((n + size) // width + 1 + BAND, total), bool)
+    hit[cell, voter] = True
+    band = hit[:len(hit) - BAND].copy()
+    for k in range(1, BAND + 1):
+        band |= hit[k:len(hit) - BAND + k]
+    good = np.zeros(len(hit), bool)
+    for first in np.flatnonzero(band.sum(axis=1) >= least):
+        good[first:first + BAND + 1] = True
+    found, times = np.unique(starts[good[cell]], return_counts=True)
+    order = np.argsort(starts, kind="stable")
+    return found[np.lexsort((found, -times))].tolist(), starts[order], voter[order]
+
+
 def scan(text: list[bytes], known: list[Template], coverage: float) -> list[tuple[str, float, int, int]]:
     """(license, coverage, start, end) of every notice: ranges of words, in order of start, then name.
 
-    A notice that is covered must hold some of the template's words that are rarest in the text, since all of them
-    together are more than may be missing; and of the words that a near variant lacks, the same share. Around each of their places a window, half as long again as the template,
-    is aligned; where that does not give the whole template in a row, windows of the template's size too, and some
-    words longer or shorter, so a notice that is repeated in a row is found each time. Of finds that overlap, of one template or of several
-    that are alike, the one with the highest coverage stays, then the longest.
+    A notice that is covered holds a share of the template's pairs of words, one after another (likely_starts); around
+    such a place a window, half as long again as the template, is aligned. Where that gives no notice in a row, windows
+    of the template's size too, and some words longer or shorter, so a notice that is repeated in a row is found each
+    time; a notice with words put in is found as long as they are fewer than a third of it. Of the words that a near
+    variant lacks the same share must be matched. Of finds that overlap, of one template or of several that are alike,
+    the one with the highest coverage stays, then the longest.
     """
     have, finds = Counter(text), set()
+    words_at = pairs_at = None
 
     def add(t: Template, low: int, matched: list[tuple[int, int]]) -> None:
         at = {i for i, _ in matched}
@@ -138,41 +199,45 @@ def scan(text: list[bytes], known: list[Template], coverage: float) -> list[tupl
         size, need = len(t.words), coverage * len(t.words)
         if len(text) < need or sum(min(len(t.places[w]), have[w]) for w in t.kinds if w in have) < need:
             continue
-        chosen, places = set(), 0
-        for w in sorted(t.kinds, key=lambda w: (have[w], w)):
-            if places > size - need:
-                break
-            chosen.add(w)
-            places += len(t.places[w])
-        starts = Counter(i - p for i, w in enumerate(text) if w in chosen for p in t.places[w])
-        whole: list[int] = []  # starts of copies found whole, sorted; another copy is a template's size away
+        if words_at is None:
+            words_at = places_of(text)
+        if pairs_at is None and size >= PAIRED:
+            pairs_at = places_of(zip(text, text[1:]))
+        missing = int(size - need)
+        copies: list[int] = []  # starts of notices found in a row, sorted; another copy is a template's size away
         slack = size // 2 + 2
         tried: list[int] = []
-        for start in sorted(starts, key=lambda x: (-starts[x], x)):
-            at = bisect.bisect(whole, start)
-            if any(abs(x - start) <= size // 2 for x in whole[max(0, at - 1):at + 1]):
+        likely, voted, voter = likely_starts(t, words_at, pairs_at, len(text), missing)
+        for start in likely:
+            at = bisect.bisect(copies, start)
+            if any(abs(x - start) <= size // 2 for x in copies[max(0, at - 1):at + 1]):
                 continue
             at = bisect.bisect(tried, start)
-            if any(abs(x - start) <= size // 8 for x in tried[max(0, at - 1):at + 1]):
+            if any(abs(x - start) <= size // (4 if size >= PAIRED else 8) for x in tried[max(0, at - 1):at + 1]):
                 continue  # the slack around that start covers this one
             tried.insert(at, start)
             low = max(0, start - slack)
-            window = text[low:start + size + slack]
+            window = text[low:max(0, start + size + slack)]
             matched = align(t.words, window)
             if matched and len(matched) >= need:
                 add(t, low, matched)
-            if len(matched) == size == matched[-1][1] + 1 - matched[0][1]:
-                bisect.insort(whole, low + matched[0][1])
-                continue
-            inside = Counter(window)  # neighbouring copies hide the anchors: without slack, then by few words
+                if matched[-1][1] + 1 - matched[0][1] <= size + missing // 4:
+                    bisect.insort(copies, low + matched[0][1] - matched[0][0])
+                    continue
+            # Neighbouring copies hide the anchors: without slack, then by few words.
+            if size >= PAIRED:  # a copy that drifts by no more than may be missing has these pairs about its start
+                near = slice(*np.searchsorted(voted, [start - missing, start + missing + 1]))
+                if len(np.unique(voter[near])) < size - 1 - 3 * missing:
+                    continue
+            inside = Counter(window)
             if sum(min(len(t.places[w]), inside[w]) for w in t.kinds) >= need:
-                for before, after in drifts(int(size - need)):
+                for before, after in drifts(missing):
                     low = max(0, start - before)
                     matched = align(t.words, text[low:max(0, start + size + after)])
                     if matched and len(matched) >= need:
                         add(t, low, matched)
                     if len(matched) == size == matched[-1][1] + 1 - matched[0][1]:
-                        bisect.insort(whole, low + matched[0][1])
+                        bisect.insort(copies, low + matched[0][1])
                         break
     out: list[tuple[str, float, int, int]] = []
     taken: list[tuple[int, int]] = []  # disjoint ranges, sorted
@@ -185,11 +250,13 @@ def scan(text: list[bytes], known: list[Template], coverage: float) -> list[tupl
 
 
 def license_scan(docs: DataFrame, keep: list[str], text: str = "text", notices: dict[str, str | list[str]] = NOTICES,
-                 coverage: float = COVERAGE) -> DataFrame:
-    """The columns `keep`, n_words and `licenses`: every notice with its coverage and its range of words.
+                 coverage: float = COVERAGE, names: tuple[str, str] = ("n_words", "licenses")) -> DataFrame:
+    """The columns `keep`, n_words and `licenses` (or these under other `names`): every notice with its coverage and its
+    range of words.
 
     Words are runs of ASCII digits and letters, lower-cased, and other than ASCII characters. One pass over whole
-    texts, no shuffle; NULL and empty texts have no notice; repeated rows are scanned alike.
+    texts, no shuffle; NULL and empty texts have no notice; repeated rows are scanned alike. The time for a text grows
+    with its length, legal prose included, and memory is a few times the text.
     """
     known = templates(notices, coverage)
 
@@ -201,4 +268,4 @@ def license_scan(docs: DataFrame, keep: list[str], text: str = "text", notices:
 
         return [[len(w) for w in split], pa.array(found, to_arrow_type(FOUND))]
 
-    return map_texts(docs, keep, text, run, [StructField("n_words", LongType()), StructField("licenses", FOUND)])
+    return map_texts(docs, keep, text, run, [StructField(names[0], LongType()), StructField(names[1], FOUND)])

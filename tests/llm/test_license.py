@@ -68,3 +68,45 @@ def test_odd_rows(odd_docs, no_docs):
     got = license.license_scan(odd_docs, ["doc_id", "text"]).collect()
     assert len(got) == odd_docs.count() and all(r["licenses"] == [] for r in got)
     assert license.license_scan(no_docs, ["doc_id"]).count() == 0
+
+
+def brute(text, known, coverage):
+    """Finds from all places: a window of the template's size at every word, no votes, no bands."""
+    finds = set()
+    for t in known:
+        size = len(t.words)
+        for start in range(len(text)):
+            matched = license.align(t.words, text[start:start + size])
+            at = {i for i, _ in matched}
+            if matched and len(matched) >= coverage * size and all(len(x & at) >= coverage * len(x) for x in t.deciding):
+                finds.add((t.name, len(matched) / size, start + matched[0][1], start + matched[-1][1] + 1, len(matched)))
+    out, taken = [], []
+    for name, share, a, b, _ in sorted(finds, key=lambda x: (-x[1], -x[4], x[3] - x[2], x[2], x[0])):
+        if all(b <= c or d <= a for c, d in taken):
+            taken.append((a, b))
+            out.append((name, share, a, b))
+    return sorted(out, key=lambda x: (x[2], x[0], x[3]))
+
+
+PIECES = st.one_of(st.sampled_from(sorted(license.NOTICES.values())), st.lists(st.sampled_from(
+    "the a licensed under license version gpl foo bar x".split()), min_size=1, max_size=6).map(" ".join))
+
+
+@settings(deadline=None, max_examples=150)
+@given(st.lists(PIECES, max_size=6))
+def test_scan_equals_all_windows(pieces):
+    """Notices among other words: the same names at the same places as from windows at every word."""
+    text = words(" ".join(pieces).encode())
+    got = license.scan(text, KNOWN, license.COVERAGE)
+    want = brute(text, KNOWN, license.COVERAGE)
+    exact = [x for x in want if x[1] == 1.0]
+    assert [x for x in got if x[1] == 1.0] == exact
+    for name, share, a, b in want:  # what is not whole overlaps a find that covers as much
+        assert any(c < b and a < d and s >= share for _, s, c, d in got), (name, share, a, b, got)
+
+
+def test_clashing_names(odd_docs):
+    got = license.license_scan(odd_docs.withColumn("licenses", odd_docs["text"]), ["doc_id", "n_words", "licenses"],
+                               names=("words", "found"))
+    assert got.columns == ["doc_id", "n_words", "licenses", "words", "found"]
+    assert {r["n_words"] for r in got.collect()} == {"clash"}

@@ -1,3 +1,6 @@
+import random
+import time
+
 import pytest
 
 from propensity_spark.llm import license, license_texts
@@ -35,3 +38,27 @@ def test_deciding_words():
     assert names("GNU GENERAL PUBLIC LICENSE Version 3") == ["GPL-3.0"]
     assert names("This work is licensed under the GNU General Public License, version 2") == ["GPL-2.0"]
     assert names(license_texts.BSD.format("").replace("SUCH DAMAGE", "SUCH")) == ["BSD-2-Clause"]
+
+
+def timed(text):
+    start = time.process_time()
+    got = license.scan(text, TEMPLATES, license.COVERAGE)
+    return got, time.process_time() - start
+
+
+def test_legal_prose_takes_time_in_proportion():
+    """A megabyte of the words of licences in any order, no notice in it; then licences whole, in a row, and changed."""
+    legal = [w for texts in ALL.values() for text in texts for w in words(text.encode())]
+    rng = random.Random(1)
+    text = rng.choices(legal, k=180_000)
+    assert sum(map(len, text)) + len(text) > 1_000_000
+    got, seconds = timed(text)
+    assert got == [] or max(b - a for _, _, a, b in got) < 20
+    assert seconds < 4
+    gpl = words(max(ALL["GPL-3.0"], key=len).encode())
+    assert len(gpl) > 4000
+    got, seconds = timed(gpl + gpl)
+    assert [(x[0], x[1]) for x in got] == [("GPL-3.0", 1.0)] * 2 and seconds < 4
+    changed = [w if rng.random() > 0.05 else b"other" for w in gpl]
+    got, seconds = timed(changed)
+    assert [x[0] for x in got if x[3] - x[2] > 1000] == ["GPL-3.0"] and seconds < 2
