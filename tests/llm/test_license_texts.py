@@ -59,7 +59,8 @@ def test_legal_prose_takes_time_in_proportion():
     assert len(gpl) > 4000
     got, seconds = timed(gpl + gpl)
     assert [(x[0], x[1]) for x in got] == [("GPL-3.0", 1.0)] * 2 and seconds < 4
-    deciding = {i for t in TEMPLATES if t.words == gpl for x in t.deciding for i in x}
-    changed = [w if i in deciding or rng.random() > 0.05 else b"other" for i, w in enumerate(gpl)]
-    got, seconds = timed(changed)
-    assert [x[0] for x in got if x[3] - x[2] > 1000] == ["GPL-3.0"] and seconds < 2
+    changed = [w if rng.random() > 0.05 else b"other" for w in gpl]
+    got, seconds = timed(changed)  # a short notice inside may cover more, and then it is what stays
+    assert {x[0] for x in got} == {"GPL-3.0"} and seconds < 2
+    (name, share, a, b), = license.scan(changed, [t for t in TEMPLATES if t.words == gpl], license.COVERAGE)
+    assert (name, a, b) == ("GPL-3.0", 0, len(gpl)) and 0.9 < share < 1
