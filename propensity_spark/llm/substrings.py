@@ -366,7 +366,8 @@ def remove_repeats(
     shard's spans a task builds a suffix automaton and streams them through it for matching statistics: where the
     match is as long as a window, the state says where that window ended first. A shard of more than shard_words is
     dealt to several automata by its spans' digests, and what is first in one of them is compared with the others by
-    digest, so no hot passage or group of near copies gathers in a task, and work grows with the spans.
+    digest, so no hot passage or group of near copies gathers in a task, and work grows with the spans. A worker holds
+    a few megabytes of texts at a time, a longer text alone, and some forty bytes for each of their bytes.
     """
     known = [f"_keep{i}" for i in range(len(keep))]
     rows = docs.select(*[F.col(c).alias(k) for c, k in zip(keep, known)], F.col(doc_id).alias("id"),
