@@ -1,12 +1,17 @@
 import math
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
 from propensity_spark.operators import models as md
 from propensity_spark.operators import scoring as sc
 from propensity_spark.operators.customer360 import FEATURES
+from propensity_spark.plans import model_queries as mq
+from propensity_spark.sources.model_store import Serving
+from propensity_spark.sources.readers import Tables
+from propensity_spark.streaming import jobs
 from tests.conftest import rows
 
 FAST = {"logistic_regression": {"max_iter": "20", "C": 0.5}, "xgboost": {"n_estimators": 3, "max_depth": 2},
@@ -146,3 +151,30 @@ def test_registered_models_get_fresh_metrics(spark, people):
     assert rows_["a"]["live_metrics"] == {"latency": 9.0, **rows_["a"]["baselines"]}
     assert rows_["b"]["live_metrics"] == rows_["b"]["baselines"]
     assert rows_["r"]["baselines"] == {"roc_auc": 0.2} and rows_["u"]["live_metrics"] == {}
+
+
+@pytest.fixture(scope="module")
+def serving(people):
+    wanted = [("lin", "linear_regression", None), ("log", "logistic_regression", FAST["logistic_regression"])]
+    return Serving([fit for fit, _ in md.train_many(people, wanted, FEATURES, "target")], "log")
+
+
+def test_requests_of_one_file_are_scored_on_all_cores(spark, people, serving):
+    requests = people.select((F.col("customer_id") + 50).alias("customer_id")).coalesce(1)
+    out = jobs.served_requests(requests, people, serving, ["customer_id"])
+    assert out.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+    assert out.count() == 200 and out.where("customer_id >= 100").select("model_id", "score").distinct().count() == 2
+    wide = jobs.served_requests(requests, people, serving, ["customer_id"], wide="all")
+    assert sorted(rows(wide.selectExpr("customer_id", "inline(all)"))) == sorted(rows(out))
+
+
+def test_live_scores_are_compared_per_request_and_its_customers_assembled_once(spark, people, serving, tmp_path, monkeypatch):
+    events = [(i, i % 120) for i in range(60)] + [(7, 7), (None, 3)]  # a repeated and a missing id, unknown customers
+    events = spark.createDataFrame(events, "event_id long, user_id long")
+    kinds = [(f.name, f.dataType) for f in Tables(spark, "/root/testdata/sf0.001")["events"].schema if f.name not in events.columns]
+    pq.write_table(events.withColumns({n: F.lit(None).cast(k) for n, k in kinds}).toArrow(), f"{tmp_path}/events.parquet")
+    monkeypatch.setattr(mq, "_serving", lambda t: (serving, people.withColumn("label", F.col("target"))))
+    monkeypatch.setattr(mq.b, "profile", lambda t: pytest.fail("the customers are assembled again"))
+    got = rows(mq.stream_champion(Tables(spark, str(tmp_path))))
+    want = [(i, m, r, i is not None, True) for i in [*range(60), None, 7, 7, 7] for m, r in (("lin", "shadow"), ("log", "champion"))]
+    assert sorted(got, key=str) == sorted(want, key=str)
