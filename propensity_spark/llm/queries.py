@@ -57,8 +57,7 @@ def op6_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     held_out = F.coalesce(fold("doc_id") == 1, F.lit(False))
     learned = docs.where(~held_out)
-    counts = stored(suffix_tree.word_counts(learned), "word-counts")
-    tree = suffix_tables.train(learned, counts)
+    tree = suffix_tables.train(learned, suffix_tables.word_counts(learned))
     scored = suffix_tables.score(docs, tree)
     return scored.select(
         "doc_id", held_out.alias("held_out"), "n_tokens", "n_known", F.lit(tree.train_tokens).cast("long").alias(

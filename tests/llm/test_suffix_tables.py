@@ -52,3 +52,23 @@ def test_odd_rows(odd_docs, no_docs):
     empty = suffix_tables.train(no_docs, suffix_tree.word_counts(no_docs))
     got = suffix_tables.score(odd_docs, empty)
     assert got.count() == odd_docs.count() and got.where("n_known <> 0").count() == 0
+
+
+def test_tokens_are_told_apart_as_plain_python_does():
+    rng = random.Random(5)
+    words = ["a", "b" * 8, "b" * 9, "b" * 17, "c" * 256, "c" * 257, "c" * 5000, "É", "é", "x\x00", "x", "\x00"]
+    texts = ["", " ", "A a\x0bB\x1cb"] + [rng.choice(" \t\n\r\f\v").join(rng.choices(words, k=30)) for _ in range(50)]
+    texts = [t.encode() for t in texts]
+    keys, end, sizes = suffix_tables.tokens(texts)
+    plain = [suffix_tree.tokens(t) for t in texts]
+    flat = [w for t in plain for w in t]
+    assert sizes.tolist() == [len(t) for t in plain] and end.tolist() == [w == suffix_tree.END for w in flat]
+    pairs = set(zip(flat, map(tuple, keys.T.tolist())))
+    assert len(pairs) == len(set(flat)) == len({k for _, k in pairs})
+
+
+def test_keys_without_a_free_slot_are_held_too():
+    keys = suffix_tables.hashed(bytes(range(256)) * 4 + bytes(8), suffix_tables.np.arange(256), suffix_tables.np.full(256, 2))
+    keys[1] %= 4
+    held = suffix_tables.Held(keys[:, :200], suffix_tables.np.zeros(200, suffix_tables.ADDED))
+    assert held(keys).tolist() == [*range(200), *[-1] * 56]
