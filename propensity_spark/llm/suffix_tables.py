@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, DoubleType, IntegerType, LongType, StructField, StructType
 
-from propensity_spark.llm.common import discard, slices, stored
+from propensity_spark.llm.common import ROWS, discard, slices, stored
 from propensity_spark.llm.suffix_tree import DEPTH, GAIN, LEAST, MU
 
 #: Words, or runs of words, that a task gathers before it passes them on.
@@ -26,7 +26,7 @@ PAIRS = 1_000_000
 HELD = 1 << 20
 #: Log2 of the bits, least and most, of a map that tells which keys cannot be in a table; whatever it lets through is
 #: counted or joined.
-BITS = 27, 30
+BITS = 27, 29
 #: Bytes of a key that is only counted to fill such a map, beside the bits that its bucket has.
 SHORT = 5
 #: Words of more bytes are digested one by one.
@@ -36,6 +36,8 @@ ADDED = np.dtype([("base", "<f8"), ("own", "<f8"), ("known", "<i4")])
 _A = np.array([[0x9E3779B97F4A7C15], [0xC2B2AE3D27D4EB4F]], np.uint64)
 _B = np.array([[0xD6E8FEB86659FD93], [0xA0761D6478BD642F]], np.uint64)
 _C = np.array([[0xBF58476D1CE4E5B9], [0x94D049BB133111EB]], np.uint64)
+#: The second lane of a key has its upper half only.
+_HALF = np.uint64(0xFFFFFFFF00000000)
 _MASK = np.array([(1 << 8 * i) - 1 for i in range(9)], np.uint64)
 
 
@@ -43,18 +45,20 @@ def _stirred(x: np.ndarray) -> np.ndarray:
     x ^= x >> np.uint64(32)
     x *= _C
     x ^= x >> np.uint64(29)
+    x[1] &= _HALF
     return x
 
 
 def mixed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """128-bit keys (two lanes) of the runs that begin with the runs a and end with the runs b, both one word shorter."""
+    """96-bit keys (two lanes) of the runs that begin with the runs a and end with the runs b, both one word shorter."""
     return _stirred(a * _A + b * _B)
 
 
 def hashed(buffer: bytes, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """128-bit keys (two lanes) of pieces of a buffer that ends in eight bytes of no piece."""
+    """96-bit keys (two lanes) of pieces of a buffer that ends in eight bytes of no piece."""
     eight = np.ndarray(len(buffer) - 7, "<u8", buffer, strides=(1,))
     keys, done, at = sizes.astype(np.uint64) * _A + _B, 0, np.flatnonzero((sizes > 0) & (sizes <= LONG))
+    keys[1] &= _HALF
     while len(at):
         piece = eight[starts[at] + done] & _MASK[np.minimum(sizes[at] - done, 8)]
         keys[:, at] = _stirred((keys[:, at] ^ piece) * _A)
@@ -63,6 +67,7 @@ def hashed(buffer: bytes, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     for i in np.flatnonzero(sizes > LONG).tolist():
         piece = buffer[starts[i]:starts[i] + sizes[i]]
         keys[:, i] = np.frombuffer(blake2b(piece, digest_size=16).digest(), np.uint64)
+        keys[1, i] &= _HALF
     return keys
 
 
@@ -79,7 +84,7 @@ def tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     end[words + np.arange(len(texts))] = True
     keys = np.empty((2, len(end)), np.uint64)
     keys[:, ~end] = hashed(buffer, starts, edges[1::2] - starts)
-    keys[:, end] = _B
+    keys[:, end] = hashed(bytes(8), np.zeros(1, np.int64), np.zeros(1, np.int64))
     return keys, end, np.diff(words, prepend=0) + 1
 
 
@@ -107,24 +112,28 @@ def runs_of(keys: np.ndarray, end: np.ndarray, size: int) -> tuple[np.ndarray, n
 
 
 class Bits:
-    """Which keys may be in a table, by their first bits. Sent packed, since few are set for a small table."""
+    """Which keys may be in a table, by the first bits of their lanes. Sent packed, since a small table sets few."""
 
-    def __init__(self, bits: np.ndarray):
-        self.bits = bits
+    def __init__(self, bits: np.ndarray, lanes: int = 1):
+        self.bits, self.lanes = bits, lanes
 
     @property
     def log2(self) -> int:
         return len(self.bits).bit_length() + 2
 
-    def __getstate__(self) -> bytes:
-        return zlib.compress(self.bits, 1)
+    def __getstate__(self) -> tuple:
+        return zlib.compress(self.bits, 1), self.lanes
 
-    def __setstate__(self, packed: bytes) -> None:
-        self.bits = np.frombuffer(zlib.decompress(packed), np.uint8)
+    def __setstate__(self, state: tuple) -> None:
+        self.bits, self.lanes = np.frombuffer(zlib.decompress(state[0]), np.uint8), state[1]
 
     def __call__(self, keys: np.ndarray) -> np.ndarray:
-        at = keys[0] >> np.uint64(64 - self.log2)
-        return (self.bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 > 0
+        out = np.ones(keys.shape[1], bool)
+        for lane in keys[:self.lanes]:
+            left = np.flatnonzero(out)
+            at = lane[left] >> np.uint64(64 - self.log2)
+            out[left] = (self.bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 > 0
+        return out
 
 
 def map_size(rows: int) -> int:
@@ -152,7 +161,7 @@ def _short(keys: np.ndarray, spread: int, least: int) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), _blobs(body, ends[some])], ["bucket", "keys"])
 
 
-def _map(short: DataFrame, log2: int, spread: int, least: int) -> Bits:
+def _map(short: DataFrame, log2: int, spread: int, least: int, lanes: int = 1) -> Bits:
     """The map of the keys that the rows of _short() hold `least` times."""
     def count(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         buckets = defaultdict(list)
@@ -174,16 +183,18 @@ def _map(short: DataFrame, log2: int, spread: int, least: int) -> Bits:
     out, length = np.zeros(1 << log2 - 3, np.uint8), 1 << log2 - spread - 3
     for bucket, packed in short.repartition("bucket").mapInArrow(count, short.schema).collect():
         out[bucket * length:(bucket + 1) * length] = np.frombuffer(zlib.decompress(packed), np.uint8)
-    return Bits(out)
+    return Bits(out, lanes)
 
 
-def bits_of(table: DataFrame, log2: int, spread: int) -> Bits:
+def bits_of(table: DataFrame, log2: int, spread: int, lanes: int = 1) -> Bits:
+    """The map of a table's keys, by so many lanes."""
     def gather(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [part.column(0).to_numpy(zero_copy_only=False).view(np.uint64) for part in parts]
+        held = [x.to_numpy(zero_copy_only=False).view(np.uint64) for part in parts for x in part.columns]
         if held:
             yield _short(np.concatenate(held), spread, 1)
 
-    return _map(table.select("key0").mapInArrow(gather, "bucket int, keys binary"), log2, spread, 1)
+    keys = table.select(*["key0", "key1"][:lanes])
+    return _map(keys.mapInArrow(gather, "bucket int, keys binary"), log2, spread, 1, lanes)
 
 
 def _long(lane: np.ndarray) -> pa.Array:
@@ -268,7 +279,7 @@ def frequent(texts: DataFrame, size: int, shorter, least: int, spread: int, text
 def runs(texts: DataFrame, size: int, bits, least: int, text: str = "text") -> DataFrame:
     """ctx0, ctx1, suf0, suf1, key0, key1, n: the runs of `size` words that occur `least` times, as their first and last
     size - 1 words. `bits` is a broadcast map that lets them through; END is last or not there."""
-    four = ["ctx0", "ctx1", "suf0", "suf1"]
+    three, four = ["ctx0", "suf0", "halves"], ["ctx0", "ctx1", "suf0", "suf1"]
 
     def count(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         may, held, named, gathered = bits.value, [], [], 0
@@ -277,24 +288,25 @@ def runs(texts: DataFrame, size: int, bits, least: int, text: str = "text") -> D
             key, fits = longer(keys, fits, end)
             i = np.flatnonzero(fits)
             i = i[may(key[:, i])]
-            held.append(np.concatenate([keys[:, i - 1], keys[:, i]]))
+            held.append(np.stack([keys[0, i - 1], keys[0, i], keys[1, i - 1] | keys[1, i] >> np.uint64(32)]))
             named.append(key[0, i])
             gathered += len(i)
-            if gathered > PAIRS:
-                yield pa.RecordBatch.from_arrays(_tally(np.concatenate(held, 1), np.concatenate(named)), [*four, "n"])
+            if gathered > 4 * PAIRS // 3:
+                yield pa.RecordBatch.from_arrays(_tally(np.concatenate(held, 1), np.concatenate(named)), [*three, "n"])
                 held, named, gathered = [], [], 0
         if gathered:
-            yield pa.RecordBatch.from_arrays(_tally(np.concatenate(held, 1), np.concatenate(named)), [*four, "n"])
+            yield pa.RecordBatch.from_arrays(_tally(np.concatenate(held, 1), np.concatenate(named)), [*three, "n"])
 
     def name(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
-            key = mixed(_keys(part, 0), _keys(part, 2))
+            ctx0, suf0, halves = (part.column(i).to_numpy(zero_copy_only=False).view(np.uint64) for i in range(3))
+            ctx, suf = np.stack([ctx0, halves & _HALF]), np.stack([suf0, halves << np.uint64(32)])
             yield pa.RecordBatch.from_arrays(
-                [*[part.column(i) for i in range(4)], _long(key[0]), _long(key[1]), part.column(4)],
-                [*four, "key0", "key1", "n"])
+                [*map(_long, [*ctx, *suf, *mixed(ctx, suf)]), part.column(3)], [*four, "key0", "key1", "n"])
 
-    found = texts.select(text).mapInArrow(count, StructType(_fields(*four, "n"))).groupBy(*four).agg(F.sum("n").alias("n"))
-    return found.where(F.col("n") >= least).mapInArrow(name, StructType(_fields(*four, "key0", "key1", "n")))
+    found = texts.select(text).mapInArrow(count, StructType(_fields(*three, "n")))
+    found = found.groupBy(*three).agg(F.sum("n").alias("n")).where(F.col("n") >= least)
+    return found.mapInArrow(name, StructType(_fields(*four, "key0", "key1", "n")))
 
 
 @contextmanager
@@ -333,7 +345,7 @@ def train(texts: DataFrame, counts: DataFrame, text: str = "text", depth: int =
     The parts are found level by level: runs of length + 1 words are counted where both shorter runs in them occur often
     enough, joined with the probability of their last word one level below, and summed up per context. Each length is
     counted twice: by the first bits of all keys, which tells the few that may be frequent, and then those exactly.
-    The driver sees sums and maps of at most 2^30 bits. `counts` is a table of word_counts(), or of those of suffix_tree.
+    The driver sees sums and maps of at most 2^29 bits. `counts` is a table of word_counts(), or of those of suffix_tree.
     """
     with shuffles_removed(texts.sparkSession):
         return _train(texts, counts, text, depth, least, mu, gain)
@@ -367,8 +379,7 @@ def _train(texts: DataFrame, counts: DataFrame, text: str, depth: int, least: in
         gained = F.col("nats") - F.col("listed") * F.log(n + mu) + rest * F.log(factor)
         alpha = F.when(gained > gain * F.col("entries"), factor).alias("alpha")
         ended = stored(level.join(sums, ["key0", "key1"], "left").select("key0", "key1", "n", "base", "entry", alpha), "level")
-        if size > 2:
-            discard(level)
+        discard(level)
         made.append(ended)
         of = ended.where("alpha IS NOT NULL").select(
             F.col("key0").alias("ctx0"), F.col("key1").alias("ctx1"), F.col("n").alias("total"), "alpha")
@@ -379,7 +390,6 @@ def _train(texts: DataFrame, counts: DataFrame, text: str, depth: int, least: in
             F.when(kept, F.log10(p / s / F.col("alpha"))).otherwise(none).alias("entry")), "below")
         discard(entries)
     handle.destroy()
-    discard(words)
     made.append(level.withColumn("alpha", F.lit(None).cast("double")))
     own = F.col("entry") + F.coalesce(F.log10("alpha"), none)
     for at, x in enumerate(made):
@@ -408,7 +418,7 @@ class Held:
             left, at = left[more], (at[more] + np.uint64(1)) & np.uint64(len(self.slots) - 1)
 
     def _first(self, keys: np.ndarray) -> np.ndarray:
-        return keys[1] & np.uint64(len(self.slots) - 1)
+        return keys[0] & np.uint64(len(self.slots) - 1)
 
     def __call__(self, keys: np.ndarray) -> np.ndarray:
         """The number of each key, -1 where it is not held."""
@@ -444,7 +454,7 @@ def _added(part: pa.RecordBatch, first: int) -> np.ndarray:
 def _dealt(keys: np.ndarray, values: np.ndarray, spread: int) -> tuple[np.ndarray, pa.Array, pa.Array]:
     """Buckets by the first bits of the second lane, the first lanes of the keys in each, and their values."""
     bucket = keys[1] >> np.uint64(64 - spread)
-    order = np.argsort(bucket, kind="stable")
+    order = np.argsort((bucket << np.uint64(64 - spread)) | (keys[0] >> np.uint64(spread)))  # equal keys side by side
     ends = np.searchsorted(bucket[order], np.arange(1 << spread), "right")
     some = np.flatnonzero(np.diff(ends, prepend=0))
     return some, _blobs(keys[0][order], ends[some]), _blobs(values[order], ends[some])
@@ -479,7 +489,7 @@ def _score(docs: DataFrame, tables: Tables, doc_id: str, text: str, depth: int)
     held = [(_keys(x, 0), _added(x, 2)) for x in top]
     held = Held(np.concatenate([np.zeros((2, 0), np.uint64), *[k for k, _ in held]], 1),
                 np.concatenate([np.zeros(0, ADDED), *[v for _, v in held]]))
-    may = bits_of(others, map_size(tables.train_tokens), spread)
+    may = bits_of(others, map_size(tables.train_tokens), spread, 2)
     handle = docs.sparkSession.sparkContext.broadcast((held, may))
     source = docs.select(F.col(doc_id).alias("id"), text)
     sums = [*_fields("row", "n_tokens", "known"), StructField("base", DoubleType()), StructField("own", DoubleType())]
@@ -518,15 +528,16 @@ def _score(docs: DataFrame, tables: Tables, doc_id: str, text: str, depth: int)
                 rest = np.flatnonzero(found < 0)
                 rest = rest[may(run[:, rest])]
                 wanted.append(run[:, rest])
-                rows.append((of[at[rest]] + (row - block)).astype(np.uint32))
+                rows.append((of[at[rest]] + (row - block)).astype(np.uint16))
                 gathered += len(rest)
                 keys, fits = longer(keys, fits, end)
             yield batch(n, id=few.column(0), block=np.full(n, block), row=np.arange(row, row + n), n_tokens=sizes,
                         known=here["known"], base=here["base"], own=here["own"],
                         bucket=np.full(n, n_blocks % (1 << spread)))
             row += n
-            if gathered > PAIRS:
-                yield emit()
+            if gathered > PAIRS or row - block > (1 << 16) - ROWS - 1:
+                if gathered:
+                    yield emit()
                 wanted, rows, gathered, n_blocks, block = [], [], 0, n_blocks + 1, row
         if gathered:
             yield emit()
@@ -562,7 +573,7 @@ def _score(docs: DataFrame, tables: Tables, doc_id: str, text: str, depth: int)
                 want = np.frombuffer(want, np.uint64)
                 at = np.minimum(np.searchsorted(keys, want), len(keys) - 1)
                 hit = np.flatnonzero(keys[at] == want)
-                found.append(_summed(np.frombuffer(rows, np.uint32)[hit].astype(np.int64) + block, values[at[hit]]))
+                found.append(_summed(np.frombuffer(rows, np.uint16)[hit].astype(np.int64) + block, values[at[hit]]))
         if found:
             rows, values = _summed(*[np.concatenate(x) for x in zip(*found)])
             blocks = np.array(sorted(blocks - {-1}))
