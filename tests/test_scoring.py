@@ -1,4 +1,5 @@
 import math
+from dataclasses import replace
 
 import numpy as np
 import pyarrow.parquet as pq
@@ -178,3 +179,29 @@ def test_live_scores_are_compared_per_request_and_its_customers_assembled_once(s
     got = rows(mq.stream_champion(Tables(spark, str(tmp_path))))
     want = [(i, m, r, i is not None, True) for i in [*range(60), None, 7, 7, 7] for m, r in (("lin", "shadow"), ("log", "champion"))]
     assert sorted(got, key=str) == sorted(want, key=str)
+
+
+def test_scores_of_all_models_or_an_error(spark, people, monkeypatch):
+    """A fit that fails, or a folder that an earlier run left without a model, does not give scores of five models."""
+    algorithms = {n: replace(a, build=(lambda make: lambda n, k: make(n, k).setMaxIter(2))(a.build))
+                  if n in ("xgboost", "catboost", "pytorch_mlp") else a for n, a in md.ALGORITHMS.items()}
+    algorithms["random_forest"] = replace(algorithms["random_forest"],
+                                          build=lambda n, k: md.RandomForestClassifier(numTrees=3, maxDepth=2))
+    labelled = people.withColumn("label", F.col("target"))
+    monkeypatch.setattr(mq.b, "profile", lambda t: labelled)
+    monkeypatch.setattr(mq.md, "campaign_labels", lambda df, campaign: df)
+    tables = Tables(spark, "")
+
+    def broken(n, k):
+        raise OSError("no space left")
+
+    monkeypatch.setattr(mq.md, "ALGORITHMS", {**algorithms, "random_forest": replace(algorithms["random_forest"], build=broken)})
+    with pytest.raises(RuntimeError, match="rf_custom: no space left"):
+        mq.shadow_scores(tables)
+    monkeypatch.setattr(mq.md, "ALGORITHMS", algorithms)
+    folder = f"{mq.shared_dir(spark)}/models-{mq.model_store.content_digest(labelled)}"
+    some = [(f"{a.short}_custom", n, None) for n, a in algorithms.items() if n != "random_forest"]
+    mq.model_store.save_models(spark, Serving(md.train_whole(people, some, FEATURES, "target"), "xgb_custom"), folder)
+    scored = mq.shadow_scores(tables)
+    assert {r["model_id"]: r["count"] for r in scored.groupBy("model_id").count().collect()} == {
+        f"{a.short}_custom": 100 for a in md.ALGORITHMS.values()}
