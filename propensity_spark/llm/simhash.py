@@ -73,6 +73,11 @@ def _slots(fp: Column, parts: list[tuple[int, int, int]], balls: bool) -> Column
     return F.array(*keys)
 
 
+def _merge(one: DataFrame, other: DataFrame) -> DataFrame:
+    """Join on slot by sorting both sides. Spark sizes what explode() made like the rows before it, and would broadcast it."""
+    return one.hint("merge").join(other, "slot")
+
+
 def candidates(known: DataFrame, parts: list[tuple[int, int, int]]) -> DataFrame:
     """(slot, fp, group, fp2, group2): pairs of fingerprints in a slot of which not both are of its largest group."""
     table = known.select("fp", "group", F.explode(_slots(F.col("fp"), parts, False)).alias("slot"))
@@ -81,12 +86,12 @@ def candidates(known: DataFrame, parts: list[tuple[int, int, int]]) -> DataFrame
                                             F.count(F.lit(1)).alias("groups")), "tops")
     probes = known.select("fp", "group", F.explode(_slots(F.col("fp"), parts, True)).alias("slot"))
     # Slots that hold only the searching fingerprint's own group have nothing to add.
-    probes = stored(probes.join(tops, "slot").where((F.col("group") != F.col("top")) | (F.col("groups") > 1)), "probes")
+    probes = stored(_merge(probes, tops).where((F.col("group") != F.col("top")) | (F.col("groups") > 1)), "probes")
     other = table.select("slot", F.col("fp").alias("fp2"), F.col("group").alias("group2"))
-    strange = other.join(tops.where("groups > 1").select("slot", "top"), "slot").where(F.col("group2") != F.col("top"))
+    strange = _merge(other, tops.where("groups > 1").select("slot", "top")).where(F.col("group2") != F.col("top"))
     # Of a slot's largest group no member searches for another: one end of each pair is a stranger to it.
-    return probes.where(F.col("group") != F.col("top")).select("slot", "fp", "group").join(other, "slot").unionByName(
-        probes.where(F.col("groups") > 1).select("slot", "fp", "group").join(strange.drop("top"), "slot"))
+    return _merge(probes.where(F.col("group") != F.col("top")).select("slot", "fp", "group"), other).unionByName(
+        _merge(probes.where(F.col("groups") > 1).select("slot", "fp", "group"), strange.drop("top")))
 
 
 def link(prints: DataFrame, distance: int = 4, count: int = 3) -> DataFrame:
@@ -105,7 +110,7 @@ def link(prints: DataFrame, distance: int = 4, count: int = 3) -> DataFrame:
     chosen = [F.min("fp"), F.max("fp"), *[F.min_by("fp", F.xxhash64("fp", F.lit(i))) for i in range(6)]]
     heads = entries.groupBy("slot").agg(F.count(F.lit(1)).alias("n"), F.array_distinct(F.array(*chosen)).alias("heads"))
     heads = heads.where("n > 1").select("slot", "heads")
-    first = entries.join(heads, "slot").select("fp", F.explode("heads").alias("head"))
+    first = _merge(entries, heads).select("fp", F.explode("heads").alias("head"))
     first = first.where(near("fp", "head") & (F.col("fp") != F.col("head"))).distinct()
     joined = components(first, "fp", "head")
     known = prints.select("fp").join(joined.withColumnRenamed("node", "fp"), "fp", "left")

@@ -4,8 +4,10 @@ import re
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from propensity_spark.llm import simhash
+from propensity_spark.llm.common import stored
 from propensity_spark.llm.components import components
 from tests.llm.conftest import TEXTS, by_id
 
@@ -99,6 +101,21 @@ def test_a_large_group_costs_its_size_times_the_strangers(spark):
     assert rows[2] < 3 * rows[1] < 9 * rows[0]
 
 
+def test_what_explode_made_is_not_broadcast(spark, monkeypatch):
+    """A fingerprint has 46 entries to look up, but Spark takes them for as small as the table of fingerprints."""
+    plans = []
+
+    def noted(df, name):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return stored(df, name)
+
+    monkeypatch.setattr(simhash, "stored", noted)
+    monkeypatch.setattr(simhash, "components", lambda df, *names: noted(components(noted(df, "links"), *names), "joined"))
+    simhash.link(spark.range(50).select(F.xxhash64("id").alias("fp")))
+    exploded = [p for p in plans if "Generate explode" in p]
+    assert len(exploded) >= 3 and not [p for p in exploded if "BroadcastExchange" in p]
+
+
 def test_near_duplicates_of_odd_rows(odd_docs, no_docs):
     got = simhash.near_duplicates(odd_docs).collect()
     rows = odd_docs.collect()
