@@ -26,7 +26,9 @@ CELLS, SAMPLE = 256, 4096
 #: Vectors in a block, for which one tree is built.
 BLOCK = 4096
 #: Block pairs that one task traverses.
-PAIRS = 4
+PAIRS = 8
+#: Directions of the widest spread, in which vectors are compared first where a tree has no structure.
+LEADING = 16
 #: Radii of the levels inside a block; below the last one, the vectors themselves.
 RADII = (1.0, 0.5, 0.25)
 #: Allows for rounding where a bound is taken in single precision.
@@ -71,9 +73,38 @@ class Node:
 class Tree:
     x: np.ndarray  # unit vectors in tree order: the members of every node lie together
     levels: list[Node]
+    low: np.ndarray  # shadows of x, see shadows()
 
+    def __getstate__(self) -> tuple:
+        """Without the centres, which are rows of x."""
+        return self.x, [(n.radius, n.start, n.stop) for n in self.levels], self.low
 
-def build(x: np.ndarray) -> tuple[Tree, np.ndarray]:
+    def __setstate__(self, state: tuple) -> None:
+        self.x, levels, self.low = state
+        self.levels = [Node(self.x[start], radius, start, stop) for radius, start, stop in levels]
+
+    def flat(self) -> bool:
+        """Whether the first level has nearly every vector as a centre, so that the levels cut off little."""
+        return 2 * len(self.levels[0].centre) > len(self.x)
+
+
+def leading(sample: np.ndarray) -> np.ndarray:
+    """At most LEADING orthonormal directions (columns) in which unit vectors like these spread most."""
+    return np.linalg.eigh(sample.T @ sample)[1][:, ::-1][:, :LEADING]
+
+
+def shadows(x: np.ndarray, basis: np.ndarray) -> np.ndarray:
+    """The coordinates of unit vectors along the basis, and the length of the rest as one more.
+
+    The rests of two vectors have at most the product of their lengths as dot product, so the dot product of two
+    shadows is never less than that of the vectors.
+    """
+    p = x @ basis
+    rest = np.sqrt(np.maximum(0, 1 - np.einsum("ij,ij->i", p, p)))
+    return np.column_stack([p, rest]).astype(np.float32)
+
+
+def build(x: np.ndarray, basis: np.ndarray | None = None) -> tuple[Tree, np.ndarray]:
     """Cover tree of unit vectors, and the order in which it holds them.
 
     The centres of a level are spread by more than its radius and each is a member of its own node, so the centres of
@@ -99,7 +130,7 @@ def build(x: np.ndarray) -> tuple[Tree, np.ndarray]:
         centre = y[starts]
         dist = np.sqrt(np.maximum(0, 2 - 2 * np.einsum("ij,ij->i", y, np.repeat(centre, stops - starts, axis=0))))
         levels.append(Node(centre, np.maximum.reduceat(dist, starts) if len(y) else dist, starts, stops))
-    return Tree(y, levels), order
+    return Tree(y, levels, shadows(y, np.eye(x.shape[1])[:, :LEADING] if basis is None else basis)), order
 
 
 def near_nodes(a: Node, b: Node, rows: np.ndarray, cols: np.ndarray, reach: float) -> np.ndarray:
@@ -140,8 +171,11 @@ def links(a: Tree, b: Tree, wa: np.ndarray, wb: np.ndarray, cosine: float, same:
 
     A node pair whose centres lie further apart than the reach and both covering radii is cut off with all below; the
     vectors below the rest are compared in double precision. Rows of b are counted behind those of a in the pairs. A
-    linked row counts as many times as its weight says. With `same`, a is b.
+    linked row counts as many times as its weight says. With `same`, a is b. Two trees without structure, in which
+    every node pair would be looked at, are compared by their vectors' shadows instead.
     """
+    if a.flat() and b.flat():
+        return flat_links(a, b, wa, wb, cosine, same)
     reach = chord(cosine)
     na, nb = np.zeros(len(a.x), np.int64), np.zeros(len(b.x), np.int64)
     shift = 0 if same else len(a.x)
@@ -176,6 +210,44 @@ def links(a: Tree, b: Tree, wa: np.ndarray, wb: np.ndarray, cosine: float, same:
     return (na + nb if same else na), nb, forest.pairs()
 
 
+def _places(found: np.ndarray) -> np.ndarray:
+    """np.flatnonzero() of a table of booleans with few True, read eight at a time."""
+    flat = found.reshape(-1)
+    whole = len(flat) // 8 * 8
+    words = np.flatnonzero(flat[:whole].view(np.uint64))
+    at = (words[:, None] * 8 + np.arange(8)).reshape(-1)
+    return np.concatenate([at[flat[at]], np.flatnonzero(flat[whole:]) + whole])
+
+
+def flat_links(a: Tree, b: Tree, wa: np.ndarray, wb: np.ndarray, cosine: float, same: bool):
+    """links() without the levels: pairs whose shadows are near enough are compared in double precision."""
+    na, nb = np.zeros(len(a.x)), np.zeros(len(b.x))  # whole numbers
+    shift = 0 if same else len(a.x)
+    forest = _Forest(shift + len(b.x))
+    for at in range(0, len(a.x), 256):
+        stop, first = min(len(a.x), at + 256), at if same else 0
+        near = a.low[at:stop] @ b.low[first:].T >= np.float32(cosine - SLACK)
+        hits = _places(near)
+        dense = 16 * len(hits) > near.size
+        if dense:
+            hits = np.flatnonzero(a.x[at:stop] @ b.x[first:].T >= cosine)
+        r, c = np.divmod(hits, near.shape[1])
+        r, c = r + at, c + first
+        if same:
+            r, c = r[r < c], c[r < c]
+        if not dense:
+            ok = [np.einsum("ij,ij->i", a.x[r[i:i + 4096]], b.x[c[i:i + 4096]]) >= cosine for i in range(0, len(r), 4096)]
+            ok = np.concatenate([np.zeros(0, bool), *ok])
+            r, c = r[ok], c[ok]
+        na += np.bincount(r, wb[c], len(na))
+        nb += np.bincount(c, wa[r], len(nb))
+        rows, starts = np.unique(r, return_index=True)
+        for i, to in zip(rows.tolist(), np.split(c + shift, starts[1:])):
+            forest.join(i, to)
+    na, nb = na.astype(np.int64), nb.astype(np.int64)
+    return (na + nb if same else na), nb, forest.pairs()
+
+
 class _Forest:
     """Spanning pairs of what has been joined; every member's set is known by its label."""
 
@@ -227,7 +299,8 @@ def similar(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embedd
     Equal vectors are combined and counted first. The upper levels of the cover tree are centres found in a sample of
     at most SAMPLE vectors; every vector goes to the nearest, which gives cells with true covering radii. A cell is
     cut into blocks of about `block` vectors, and each block's lower levels are built once and written to the shared
-    folder. Block pairs whose cells may hold a linked pair are then traversed, each reading its two trees; per pair
+    folder. Block pairs whose cells may hold a linked pair are then traversed, each reading its two trees; where the
+    vectors have no structure, they are compared by a few leading coordinates and the length of the rest first. Per pair
     only counts and a spanning set of links come out, however many vectors are alike. The result is exact: the sample
     decides how much is cut off, not what is found. Vectors that are NULL, zero or hold NULL or non-finite numbers
     have no links and are their own component; vectors of different lengths never link; repeated ids keep their rows,
@@ -265,7 +338,8 @@ def _search(spark, distinct: DataFrame, cosine: float, cells: int, block: int) -
     """Link counts (a, n) and spanning links (a, b) of distinct vectors of one length."""
     total = distinct.count()
     sample = distinct.orderBy(F.xxhash64("value"), "node").limit(SAMPLE).select("value").toPandas()
-    centres = upper_levels(unit(np.array(sample["value"].tolist(), float)), min(cells, -(-total // block)))
+    sample = unit(np.array(sample["value"].tolist(), float))
+    centres, basis = upper_levels(sample, min(cells, -(-total // block))), leading(sample)
 
     def place(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
@@ -284,7 +358,7 @@ def _search(spark, distinct: DataFrame, cosine: float, cells: int, block: int) -
 
     def plant(group: pd.DataFrame) -> pd.DataFrame:
         x = np.frombuffer(b"".join(group["x"]), float).reshape(len(group), -1)
-        tree, order = build(x)
+        tree, order = build(x, basis)
         held = (tree, group["node"].to_numpy()[order], group["weight"].to_numpy()[order])
         store, path = fs.FileSystem.from_uri(folder)
         store.create_dir(path, recursive=True)

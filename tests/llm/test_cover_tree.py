@@ -1,3 +1,5 @@
+import pickle
+
 import numpy as np
 import pytest
 from hypothesis import given, settings
@@ -87,3 +89,44 @@ def test_far_nodes_are_cut_off():
     tree, _ = cover_tree.build(x)
     rows, cols = cover_tree.top_pairs(tree.levels[0], tree.levels[0], cover_tree.chord(0.95))
     assert len(rows) < 0.02 * len(tree.levels[0].centre) ** 2
+
+
+@settings(max_examples=30, deadline=None)
+@given(st.integers(0, 10**6), st.integers(2, 40))
+def test_shadows_are_never_further_apart(seed, dim):
+    rng = np.random.default_rng(seed)
+    x = cover_tree.unit(rng.normal(size=(50, dim)) * rng.choice([0.05, 1], size=(50, 1)) + np.eye(dim)[0])
+    low = cover_tree.shadows(x, cover_tree.leading(x[:20]))
+    assert low.shape[1] <= cover_tree.LEADING + 1 and (low @ low.T >= x @ x.T - cover_tree.SLACK).all()
+
+
+@pytest.mark.parametrize("near", [0.0, 0.02, 0.06])
+def test_vectors_without_structure_are_not_traversed(monkeypatch, near):
+    """Few and many links among random vectors, over a block and itself and over two blocks."""
+    rng = np.random.default_rng(5)
+    x = cover_tree.unit(rng.normal(size=(700, 64)))
+    x[500:] = cover_tree.unit(x[500:600].repeat(2, axis=0) + rng.normal(scale=near, size=(200, 64)))
+    x[600:] = x[0] if near == 0.02 else x[600:]
+    weights = rng.integers(1, 4, 700)
+    parts = [np.arange(0, 700, 2), np.arange(1, 700, 2)]
+    trees = [cover_tree.build(x[p], cover_tree.leading(x)) for p in parts]
+    monkeypatch.setattr(cover_tree, "near_nodes", lambda *args: pytest.fail("node pairs are looked at one by one"))
+    for one, two in ((0, 1), (1, 1)):
+        (a, rows), (b, cols) = trees[one], trees[two]
+        wa, wb = weights[parts[one]][rows], weights[parts[two]][cols]
+        hit = a.x @ b.x.T >= 0.95
+        if one == two:
+            np.fill_diagonal(hit, False)
+        na, nb, edges = cover_tree.links(a, b, wa, wb, 0.95, one == two)
+        assert (na == hit @ wb).all() and (one == two or (nb == wa @ hit).all())
+        shift = 0 if one == two else len(a.x)
+        n = shift + len(b.x)
+        every = np.zeros((n, n), bool)
+        every[:len(a.x), shift:] = hit
+        assert all((every | every.T)[i, j] for i, j in edges)
+        forest = cover_tree._Forest(n)
+        for i, j in np.argwhere(every):
+            forest.join(i, np.array([j]))
+        assert len(edges) == len(forest.edges)
+    again = pickle.loads(pickle.dumps(trees[0][0]))
+    assert all((m.centre == n.centre).all() for m, n in zip(again.levels, trees[0][0].levels))
